@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trawl.functions import fixed_values as fv
 from trawl.functions.scores import recency_score
+from trawl.functions.text import strip
 from trawl.functions.vectors import cosine01, dot
 from trawl.operators.bm25 import ALL, bm25_range, bm25_scores, with_scope
 from trawl.operators.ranking import SCORE_DIGITS, Mix, best_candidates
@@ -15,7 +16,7 @@ from trawl.session import stage
 def parse_allowed(selected: Column) -> Column:
     """Allowed documents from a JSON list or a comma list; NULL means all."""
     listed = F.from_json(selected, "array<string>")
-    split = F.filter(F.transform(F.split(selected, ","), F.trim), lambda s: s != "")
+    split = F.filter(F.transform(F.split(selected, ","), lambda s: strip(s)), lambda s: s != "")
     names = F.when(selected.startswith("["), F.coalesce(listed, split)).otherwise(split)
     return F.when(F.size(names) > 0, F.array_sort(F.array_distinct(names)))
 
@@ -56,7 +57,7 @@ def _plain(chunks: DataFrame) -> DataFrame:
     return with_scope(chunks).select(
         "scope", "chunk_key", "vec",
         F.lit(0.0).alias("recency"),
-        F.array().cast(f"array<bigint>").alias("match_query"),
+        F.array().cast("array<bigint>").alias("match_query"),
         F.array().cast("array<double>").alias("match_raw"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import lit
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("trawl")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
@@ -48,3 +50,8 @@ def stage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="trawl-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def with_session(df: DataFrame) -> DataFrame:
+    """Rows without a session column all belong to the session ''."""
+    return df if "session_id" in df.columns else df.withColumn("session_id", lit(""))
