@@ -59,9 +59,10 @@ def _(spark, d):
     return pg.clean_pages(pages(spark, d)).select("doc_name", "page", "text")
 
 
-@query("pages_needing_ocr", _EDGES + "SELECT doc_name, page, text FROM cleaned WHERE text = ''")
+@query("pages_needing_ocr", _EDGES.replace(">= 3", ">= 1") + "SELECT doc_name, page, text FROM cleaned WHERE text = ''")
 def _(spark, d):
-    return pg.pages_needing_ocr(pg.clean_pages(pages(spark, d))).select("doc_name", "page", "text")
+    """Pages left blank when every first and last line counts as a header or footer."""
+    return pg.pages_needing_ocr(pg.clean_pages(pages(spark, d), 1)).select("doc_name", "page", "text")
 
 
 @query(

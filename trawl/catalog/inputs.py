@@ -8,7 +8,11 @@ AS_OF = 1706659200.0  # 2024-01-31 00:00 UTC
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one that lies in a single file is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents" and len(df.inputFiles()) == 1:
+        df = df.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return df
 
 
 def r6(c: Column | str) -> Column:

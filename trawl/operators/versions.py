@@ -8,15 +8,13 @@ follow from one nearest-earlier-document join.
 from __future__ import annotations
 
 import sys
-from functools import lru_cache
-from hashlib import md5
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, LongType
 
 from trawl.functions import fixed_values as fv
 from trawl.functions.text import stem
@@ -29,36 +27,48 @@ HASH_BITS = 128
 BANDS, FINE_BANDS, HOT_BAND = 12, 14, 4096
 
 
-def _votes(texts: pd.Series) -> pd.Series:
-    """Per text 128 signed votes: +1 or -1 per word and bit of the word's MD5."""
-    digest = lru_cache(maxsize=1 << 16)(lambda word: md5(word.encode()).digest())
+def _bit_counts(digests: pa.Array) -> pa.Array:
+    """Per text 64 sums: how many digests set bit j (low 32) and bit 64 + j (high 32)."""
+    raw = np.frombuffer(b"".join(digests.flatten().to_pylist()), dtype=np.uint8).reshape(-1, HASH_BITS // 8)
+    ends = np.cumsum(np.asarray(digests.value_lengths().fill_null(0)))
+    ones = np.zeros((len(digests), HASH_BITS), dtype=np.int64)
+    at = 0
+    for row, end in enumerate(ends):
+        ones[row] = np.unpackbits(raw[at:end], axis=1).sum(axis=0, dtype=np.int64)
+        at = end
+    packed = ones[:, :64] + (ones[:, 64:] << 32)
+    return pa.ListArray.from_arrays(np.arange(0, packed.size + 1, 64, dtype=np.int32), packed.ravel())
 
-    def one(text: str) -> np.ndarray:
-        found = (text or "").lower().split()
-        if not found:
-            return np.zeros(HASH_BITS, dtype=np.int32)
-        raw = np.frombuffer(b"".join(map(digest, found)), dtype=np.uint8).reshape(-1, HASH_BITS // 8)
-        ones = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int32)
-        return 2 * ones - np.int32(len(found))
 
-    return texts.map(one)
+def hashed_words(text: Column) -> Column:
+    """MD5 digests of the lower-cased words of a text, repeats included."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s\x1c-\x1f]+")
+    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.unhex(F.md5(w.cast("binary"))))
 
 
 def simhash128(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, hi, lo): 128-bit SimHash of each key's texts as two signed halves.
 
-    Votes are additive, so the pages of a document may lie anywhere and are
+    Bit counts are additive, so the pages of a document may lie anywhere and are
     summed with partial aggregation; the document text is never put together.
+    Two counts share one BIGINT, which halves the aggregation columns.
     """
-    votes = F.pandas_udf(_votes, ArrayType(IntegerType()))
-    voted = texts.select(*keys, votes(F.col(text)).alias("v"))
-    sums = voted.groupBy(*keys).agg(*[F.sum(F.get("v", F.lit(i))).alias(f"b{i}") for i in range(HASH_BITS)])
+    counts = F.arrow_udf(_bit_counts, ArrayType(LongType()))
+    hashed = texts.select(*keys, hashed_words(F.col(text)).alias("h"))
+    counted = hashed.select(*keys, F.size("h").alias("n"), counts("h").alias("c"))
+    sums = counted.groupBy(*keys).agg(
+        F.sum("n").alias("n"), *[F.sum(F.get("c", F.lit(j))).alias(f"c{j}") for j in range(64)]
+    )
 
-    def half(first: int) -> Column:
-        bits = [F.when(F.col(f"b{first + i}") > 0, F.lit(_signed(1 << (63 - i)))).otherwise(F.lit(0)) for i in range(64)]
+    def half(count) -> Column:
+        bits = [
+            F.when(2 * count(F.col(f"c{j}")) > F.col("n"), F.lit(_signed(1 << (63 - j)))).otherwise(F.lit(0)) for j in range(64)
+        ]
         return F.aggregate(F.array(*bits), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
-    return sums.select(*keys, half(0).alias("hi"), half(64).alias("lo"))
+    low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
+    high = lambda c: F.shiftrightunsigned(c, 32)
+    return sums.select(*keys, half(low).alias("hi"), half(high).alias("lo"))
 
 
 def _signed(v: int) -> int:
@@ -119,12 +129,13 @@ def near_hash_pairs(hashes: DataFrame, max_distance: int = fv.MAX_HAMMING, bands
     band keys instead.
     """
     distinct = with_session(hashes).select("session_id", "hi", "lo").distinct()
+    key = ["session_id", "band"]
     keyed = distinct.select("session_id", "hi", "lo", F.explode(_band_keys(bands, max_distance)).alias("band"))
-    if bands >= FINE_BANDS:
+    crowded = keyed.groupBy(*key).count().filter(F.col("count") > hot).select(*key)
+    if bands >= FINE_BANDS or crowded.isEmpty():
         return _verified(keyed, max_distance).distinct()
-    crowded = keyed.groupBy("session_id", "band").count().filter(F.col("count") > hot).select("session_id", "band")
-    cold = _verified(keyed.join(crowded, ["session_id", "band"], "left_anti"), max_distance)
-    packed = keyed.join(crowded, ["session_id", "band"], "left_semi").select("session_id", "hi", "lo").distinct()
+    cold = _verified(keyed.join(crowded, key, "left_anti"), max_distance)
+    packed = keyed.join(crowded, key, "left_semi").select("session_id", "hi", "lo").distinct()
     fine = near_hash_pairs(packed, max_distance, FINE_BANDS, hot)
     return cold.unionByName(fine).distinct()
 
