@@ -27,8 +27,8 @@ def cache_lookup(texts: DataFrame, cache: DataFrame) -> DataFrame:
 
 def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """(k, text): each uncached text once."""
-    keyed = with_key(texts).select("k", "text")
-    return keyed.join(cache.select("k"), "k", "left_anti").groupBy("k").agg(F.first("text").alias("text"))
+    once = with_key(texts).groupBy("k").agg(F.first("text").alias("text"))
+    return once.join(cache.select("k"), "k", "left_anti")
 
 
 def cache_upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trawl.functions import fixed_values as fv
 from trawl.functions.text import sanitize_filename
@@ -16,6 +16,10 @@ FINGERPRINT = (
     "page_count: INT, chunk_count: INT, chunk_ids: ARRAY<STRING>, status: STRING, version: INT, "
     "supersedes: ARRAY<STRING>, superseded_by: STRING>"
 )
+FINGERPRINT_FIELDS = [
+    "filename", "file_hash", "content_hash", "semantic_hash", "upload_timestamp", "page_count", "chunk_count", "chunk_ids",
+    "status", "version", "supersedes", "superseded_by",
+]
 MANIFEST_DOC = (
     "STRUCT<doc: STRING, pages: INT, chunks: BIGINT, status: STRING, message: STRING, upload_timestamp: DOUBLE, "
     "document_status: STRING, version: INT>"
@@ -90,8 +94,7 @@ def write_fingerprints(registry: DataFrame, path: str, mode: str = "overwrite")
     A document with very many versions is spread over several lines, so that no
     list grows without bound; reading puts them side by side again.
     """
-    fields = [f.split(":")[0].strip() for f in FINGERPRINT[7:-1].replace("ARRAY<STRING>", "ARRAY").split(",")]
-    fp = F.struct(*[F.col(n) for n in fields])
+    fp = F.struct(*FINGERPRINT_FIELDS)
     part = F.floor((F.col("version") - 1) / PART_ROWS)
     lists = registry.groupBy("session_id", "doc_id", part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("version", fp.alias("fp")))).alias("v")
@@ -116,7 +119,7 @@ def nest_manifest(docs: DataFrame, ts: int) -> DataFrame:
     """Manifest records: the documents of a session, sorted, nested in ``docs``.
 
     Sessions of up to PART_ROWS documents are one record; larger ones are split
-    by name range-free hash into records of about that size.
+    by a hash of the name into records of about that size.
     """
     totals = docs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("total_chunks"))
     part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / PART_ROWS))
