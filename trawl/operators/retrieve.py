@@ -142,37 +142,39 @@ def vector_search(
     allowed: DataFrame | None = None,
 ) -> DataFrame:
     """Cosine top 3k, then MMR; the document filter applies to the result."""
+    return filter_docs(search_scoped(questions, chunks, k, mmr_lambda), allowed)
+
+
+def search_scoped(questions: DataFrame, chunks: DataFrame, k: int, mmr_lambda: float) -> DataFrame:
     dim = vector_dim(chunks)
     asked = questions if dim is None else keep_dim(questions, dim)
     top = _cosine_best(asked, chunks, max(3 * k, k)).select("query_id", "rank", "chunk_key", "dense_raw", "vec")
-    picked = mmr_select(top, k, mmr_lambda, floor_zero=False).withColumn("score", cosine01(F.col("dense_raw")))
-    out = picked.drop("vec").join(chunks.drop("vec", "scope"), "chunk_key")
-    return filter_docs(out, allowed)
+    picked = mmr_select(top, k, mmr_lambda, floor_zero=False).withColumns(
+        {"score": cosine01(F.col("dense_raw")), "dense_01": cosine01(F.col("dense_raw"))}
+    )
+    return picked.drop("vec").join(chunks.drop("vec", "scope"), "chunk_key")
 
 
-def score_candidates(
+def score_scoped(
     questions: DataFrame,
-    chunks: DataFrame,
+    pool: DataFrame,
     as_of: float,
-    scopes: DataFrame | None = None,
-    best_n: int = 3 * fv.TOP_K,
+    best_n: int,
     alpha: float = fv.HYBRID_ALPHA,
     recency_weight: float = fv.RECENCY_WEIGHT,
     recency_mode: str = "exponential",
 ) -> DataFrame:
-    """Ranked best candidates with every partial score.
+    """Ranked best candidates of scoped questions among scoped chunks.
 
     The sparse scores feed two readers (the per-question range and the match
     lists), so they are staged once.
     """
-    asked = with_scope(questions)
-    dim = vector_dim(asked)
-    pool = scope_chunks(chunks, scopes)
+    dim = vector_dim(questions)
     pool = pool if dim is None else require_dim(pool, dim)
     texts = pool.select("scope", "chunk_key", "text")
-    sparse = stage(bm25_scores(asked, texts))
+    sparse = stage(bm25_scores(questions, texts))
     ranges = bm25_range(sparse, texts)
-    limits = asked.join(ranges, ["scope", "query_id"], "left").select(
+    limits = questions.join(ranges, ["scope", "query_id"], "left").select(
         "scope", "query_id", "vec",
         F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"),
     )
@@ -191,6 +193,32 @@ def score_candidates(
     return best_candidates(limits, ready, Mix(alpha, recency_weight, best_n))
 
 
+def score_candidates(
+    questions: DataFrame,
+    chunks: DataFrame,
+    as_of: float,
+    scopes: DataFrame | None = None,
+    best_n: int = 3 * fv.TOP_K,
+    alpha: float = fv.HYBRID_ALPHA,
+    recency_weight: float = fv.RECENCY_WEIGHT,
+    recency_mode: str = "exponential",
+) -> DataFrame:
+    """Ranked best candidates with every partial score."""
+    pool = scope_chunks(chunks, scopes)
+    return score_scoped(with_scope(questions), pool, as_of, best_n, alpha, recency_weight, recency_mode)
+
+
+def pick_and_describe(best: DataFrame, chunks: DataFrame, k: int, mmr_lambda: float) -> DataFrame:
+    """MMR picks of ranked candidates, with the chunk's own columns."""
+    return (
+        mmr_select(best.drop("scope"), k, mmr_lambda)
+        .withColumn("dense_01", cosine01(F.col("dense_raw")))
+        .withColumnRenamed("final", "hybrid_score")
+        .drop("vec")
+        .join(chunks.drop("vec", "scope"), "chunk_key")
+    )
+
+
 def hybrid_retrieve(
     questions: DataFrame,
     chunks: DataFrame,
@@ -212,10 +240,4 @@ def hybrid_retrieve(
     best = score_candidates(
         questions, chunks, as_of, scopes, max(3 * k, k), alpha, recency_weight, recency_mode
     )
-    return (
-        mmr_select(best.drop("scope"), k, mmr_lambda)
-        .withColumn("dense_01", cosine01(F.col("dense_raw")))
-        .withColumnRenamed("final", "hybrid_score")
-        .drop("vec")
-        .join(chunks.drop("vec", "scope"), "chunk_key")
-    )
+    return pick_and_describe(best, chunks, k, mmr_lambda)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import lit
@@ -55,3 +56,13 @@ def stage(df: DataFrame) -> DataFrame:
 def with_session(df: DataFrame) -> DataFrame:
     """Rows without a session column all belong to the session ''."""
     return df if "session_id" in df.columns else df.withColumn("session_id", lit(""))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name for round trips, in the shared checkpoint folder of a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="trawl-scratch-")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

@@ -28,11 +28,9 @@ MANIFEST_SCHEMA = f"session_id STRING, docs ARRAY<{MANIFEST_DOC}>, total_chunks
 PART_ROWS = 10_000
 
 
-def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """PDF files below ``folder``: session_id (parent folder), filename, size, content."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
-    )
+def scan_files(spark: SparkSession, folder: str, names: str = "*.[pP][dD][fF]") -> DataFrame:
+    """Files below ``folder``: session_id (parent folder), filename, size, content."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(folder)
     parts = F.split("path", "/")
     return files.select(
         F.element_at(parts, -2).alias("session_id"), F.element_at(parts, -1).alias("filename"),
