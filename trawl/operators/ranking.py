@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCORE_DIGITS = 9
-MAX_BROADCAST_VALUES = 8_000_000  # question vectors of 64 MB in double precision
-QUESTIONS_PER_BLOCK, CHUNKS_PER_BLOCK = 1024, 65_536
+# Size bounds: a task holds a few matrices of QUESTIONS_PER_BLOCK x ROWS_PER_SLICE.
+QUESTIONS_PER_BLOCK, CHUNKS_PER_BLOCK, ROWS_PER_SLICE = 1024, 16_384, 2048
+MERGE_EVERY = 16
 
 
 @dataclass(frozen=True)
@@ -94,15 +95,36 @@ def _score_block(questions: pa.Table, chunks: pa.Table, mix: Mix) -> pa.Table |
     )
 
 
-def _scoped_blocks(questions: pa.Table, chunks: pa.Table, mix: Mix):
-    scopes = chunks["scope"].to_numpy(zero_copy_only=False)
+def _keep_best(found: list[pa.Table], n: int) -> pa.Table:
+    """Best n rows per question of several partial results."""
+    table = pa.concat_tables(found)
+    order = pa.array(-np.round(table["final"].to_numpy(zero_copy_only=False), SCORE_DIGITS))
+    table = table.append_column("order", order).sort_by(
+        [("query_id", "ascending"), ("order", "ascending"), ("chunk_key", "ascending")]
+    )
+    q = table["query_id"].to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return table.filter(pa.array(place < n)).drop_columns(["order"])
+
+
+def _best_of(questions: pa.Table, blocks, mix: Mix) -> pa.Table | None:
+    """Best rows per question over an iterator of chunk blocks, slice by slice."""
     asked = questions["scope"].to_numpy(zero_copy_only=False)
-    for scope in np.unique(scopes):
-        block = _score_block(
-            questions.filter(pa.array(asked == scope)), chunks.filter(pa.array(scopes == scope)), mix
-        )
-        if block is not None:
-            yield block
+    found: list[pa.Table] = []
+    for block in blocks:
+        for at in range(0, block.num_rows, ROWS_PER_SLICE):
+            part = block.slice(at, ROWS_PER_SLICE)
+            scopes = part["scope"].to_numpy(zero_copy_only=False)
+            for scope in np.unique(scopes):
+                scored = _score_block(
+                    questions.filter(pa.array(asked == scope)), part.filter(pa.array(scopes == scope)), mix
+                )
+                if scored is not None:
+                    found.append(scored)
+            if len(found) > MERGE_EVERY:
+                found = [_keep_best(found, mix.best_n)]
+    return _keep_best(found, mix.best_n) if found else None
 
 
 def _output_schema(questions: DataFrame, chunks: DataFrame) -> str:
@@ -114,56 +136,63 @@ def _output_schema(questions: DataFrame, chunks: DataFrame) -> str:
     )
 
 
-def best_candidates(questions: DataFrame, chunks: DataFrame, mix: Mix) -> DataFrame:
+def _matches(sparse: DataFrame | None, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks with the list of their sparse scores, empty where nothing matched."""
+    if sparse is None:
+        return chunks.withColumns(
+            {"match_query": F.array().cast("array<bigint>"), "match_raw": F.array().cast("array<double>")}
+        )
+    lists = sparse.groupBy(*keys).agg(F.collect_list(F.struct("query_id", "bm25_raw")).alias("m"))
+    return chunks.join(lists, keys, "left").withColumns(
+        {"match_query": F.col("m.query_id"), "match_raw": F.col("m.bm25_raw")}
+    ).drop("m")
+
+
+def best_candidates(questions: DataFrame, chunks: DataFrame, mix: Mix, sparse: DataFrame | None = None) -> DataFrame:
     """Ranked best ``mix.best_n`` chunks per question, exact.
 
     ``questions``: scope, query_id, vec, low, high.
-    ``chunks``: scope, chunk_key, vec, recency, match_query, match_raw.
+    ``chunks``: scope, chunk_key, vec, recency.
+    ``sparse``: scope, query_id, chunk_key, bm25_raw of matching pairs.
 
-    A question table whose vectors fit the bound travels to the tasks as a
-    broadcast and the chunk table is scanned in place. A larger one is cut,
-    with the chunks, into blocks that meet in a shuffle.
+    Up to QUESTIONS_PER_BLOCK questions travel to the tasks as a broadcast and
+    the chunk table is scanned in place. More are cut, with the chunks, into
+    blocks of bounded size that meet in a shuffle.
     """
     spark = chunks.sparkSession
     questions = questions.select("scope", "query_id", "vec", "low", "high")
-    chunks = chunks.select("scope", "chunk_key", "vec", "recency", "match_query", "match_raw")
+    chunks = chunks.select("scope", "chunk_key", "vec", "recency")
     schema = _output_schema(questions, chunks)
-    head = questions.select(F.size("vec").alias("dim")).limit(1).collect()
-    rows_allowed = MAX_BROADCAST_VALUES // max(head[0].dim, 1) if head else 1
-    small = questions.limit(rows_allowed + 1).toArrow()
-    if small.num_rows <= rows_allowed:
+    small = questions.limit(QUESTIONS_PER_BLOCK + 1).toArrow()
+    if small.num_rows <= QUESTIONS_PER_BLOCK:
         shared = spark.sparkContext.broadcast(small)
 
         def scan(batches):
-            for batch in batches:
-                for block in _scoped_blocks(shared.value, pa.Table.from_batches([batch]), mix):
-                    yield from block.to_batches()
+            best = _best_of(shared.value, (pa.Table.from_batches([b]) for b in batches), mix)
+            if best is not None:
+                yield from best.to_batches()
 
-        scored = chunks.mapInArrow(scan, schema)
+        scored = _matches(sparse, chunks, ["scope", "chunk_key"]).mapInArrow(scan, schema)
     else:
-        scored = _shuffled_blocks(questions, chunks, mix, schema)
+        scored = _shuffled_blocks(questions, chunks, mix, sparse, schema)
     place = Window.partitionBy("query_id").orderBy(F.round("final", SCORE_DIGITS).desc(), "chunk_key")
     return scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= mix.best_n)
 
 
-def _shuffled_blocks(questions: DataFrame, chunks: DataFrame, mix: Mix, schema: str) -> DataFrame:
+def _shuffled_blocks(questions: DataFrame, chunks: DataFrame, mix: Mix, sparse: DataFrame | None, schema: str) -> DataFrame:
     n_q = -(-questions.count() // QUESTIONS_PER_BLOCK)
-    n_c = -(-chunks.count() // CHUNKS_PER_BLOCK) or 1
+    n_c = max(-(-chunks.count() // CHUNKS_PER_BLOCK), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = questions.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("cb", every(n_c))
-    right = chunks.withColumn("cb", F.pmod(F.xxhash64("chunk_key"), F.lit(n_c)).cast("int")).withColumn("qb", every(n_q))
-    # A chunk only carries the matches of the question block it is sent to.
-    owned = F.filter(
-        F.arrays_zip("match_query", "match_raw"),
-        lambda m: F.pmod(F.xxhash64(m["match_query"]), F.lit(n_q)).cast("int") == F.col("qb"),
-    )
-    right = right.withColumn("_own", owned).withColumn("match_query", F.col("_own.match_query")).withColumn(
-        "match_raw", F.col("_own.match_raw")
-    ).drop("_own")
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = questions.withColumn("qb", block("query_id", n_q)).withColumn("cb", every(n_c))
+    spread = chunks.withColumn("cb", block("chunk_key", n_c)).withColumn("qb", every(n_q))
+    # A chunk row only carries the matches of the question block it is sent to.
+    owned = sparse.withColumn("qb", block("query_id", n_q)) if sparse is not None else None
+    right = _matches(owned, spread, ["scope", "chunk_key", "qb"])
+    empty = chunks.sparkSession.createDataFrame([], schema).toArrow()
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        blocks = list(_scoped_blocks(q, c, mix)) if q.num_rows and c.num_rows else []
-        return pa.concat_tables(blocks) if blocks else empty
+        best = _best_of(q, [c], mix) if q.num_rows and c.num_rows else None
+        return empty if best is None else best
 
-    empty = chunks.sparkSession.createDataFrame([], schema).toArrow()
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)

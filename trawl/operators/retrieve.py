@@ -54,12 +54,7 @@ def keep_dim(df: DataFrame, dim: int) -> DataFrame:
 
 def _plain(chunks: DataFrame) -> DataFrame:
     """Chunk side of the scorer when only cosine counts."""
-    return with_scope(chunks).select(
-        "scope", "chunk_key", "vec",
-        F.lit(0.0).alias("recency"),
-        F.array().cast("array<bigint>").alias("match_query"),
-        F.array().cast("array<double>").alias("match_raw"),
-    )
+    return with_scope(chunks).select("scope", "chunk_key", "vec", F.lit(0.0).alias("recency"))
 
 
 def _cosine_best(questions: DataFrame, chunks: DataFrame, best_n: int) -> DataFrame:
@@ -166,8 +161,8 @@ def score_scoped(
 ) -> DataFrame:
     """Ranked best candidates of scoped questions among scoped chunks.
 
-    The sparse scores feed two readers (the per-question range and the match
-    lists), so they are staged once.
+    The sparse scores feed two readers, the per-question range and the blocked
+    scorer, so they are staged once.
     """
     dim = vector_dim(questions)
     pool = pool if dim is None else require_dim(pool, dim)
@@ -178,19 +173,9 @@ def score_scoped(
         "scope", "query_id", "vec",
         F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"),
     )
-    matches = sparse.groupBy("scope", "chunk_key").agg(
-        F.collect_list(F.struct("query_id", "bm25_raw")).alias("m")
-    )
-    ready = (
-        pool.select("scope", "chunk_key", "vec", "upload_timestamp")
-        .join(matches, ["scope", "chunk_key"], "left")
-        .select(
-            "scope", "chunk_key", "vec",
-            recency_score(F.col("upload_timestamp"), F.lit(as_of), recency_mode).alias("recency"),
-            F.col("m.query_id").alias("match_query"), F.col("m.bm25_raw").alias("match_raw"),
-        )
-    )
-    return best_candidates(limits, ready, Mix(alpha, recency_weight, best_n))
+    recency = recency_score(F.col("upload_timestamp"), F.lit(as_of), recency_mode)
+    ready = pool.select("scope", "chunk_key", "vec", recency.alias("recency"))
+    return best_candidates(limits, ready, Mix(alpha, recency_weight, best_n), sparse)
 
 
 def score_candidates(

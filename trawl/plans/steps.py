@@ -140,14 +140,13 @@ def ask(
         )
     )
     scopes = scoped.select("scope", "session_id", "_allowed").distinct()
-    own = (
-        chunks.join(scopes, "session_id")
-        .filter(F.col("_allowed").isNull() | F.array_contains(F.col("_allowed"), F.col("doc_name")))
-        .drop("_allowed")
-    )
+    whole = scopes.filter("_allowed IS NULL").drop("_allowed")
+    named = scopes.select("scope", "session_id", F.explode("_allowed").alias("doc_name"))
+    own = chunks.join(whole, "session_id").unionByName(chunks.join(named, ["session_id", "doc_name"]))
     asked = scoped.select("scope", "query_id", "query_text", "vec")
     if hybrid:
-        found = _retrieve_scoped(asked, own, as_of, k, alpha, mmr_lambda, recency_weight, recency_mode)
+        best = retrieve.score_scoped(asked, own, as_of, max(3 * k, k), alpha, recency_weight, recency_mode)
+        found = retrieve.pick_and_describe(best, chunks, k, mmr_lambda)
     else:
         everything = chunks.withColumn("scope", F.col("session_id"))
         by_session = scoped.select(F.col("session_id").alias("scope"), "query_id", "query_text", "vec", "_allowed")
@@ -167,11 +166,6 @@ def ask(
     return Asked(invalid, hits, context, prompts, ps.no_answer(asked.select("query_id", "query_text"), context))
 
 
-def _retrieve_scoped(asked, own, as_of, k, alpha, mmr_lambda, recency_weight, recency_mode) -> DataFrame:
-    best = retrieve.score_scoped(asked, own, as_of, max(3 * k, k), alpha, recency_weight, recency_mode)
-    return retrieve.pick_and_describe(best, own.drop("scope").dropDuplicates(["chunk_key"]), k, mmr_lambda)
-
-
 @dataclass
 class Finished:
     sources: DataFrame
