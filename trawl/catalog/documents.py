@@ -144,18 +144,23 @@ def _(spark, d):
 
 
 # Fingerprints: every document is one upload; its source names the file.
-_HASH = r"""words AS (SELECT doc_id, word, count(*) AS n FROM (
-  SELECT doc_id, unnest(regexp_split_to_array(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) AS word FROM documents)
+def hash_sql(source: str, key: str) -> str:
+    """CTEs from a table of texts to ``hashes(key, simhash, hi, lo)``."""
+    return rf"""words AS (SELECT {key}, word, count(*) AS n FROM (
+  SELECT {key}, unnest(regexp_split_to_array(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) AS word FROM {source})
   WHERE word <> '' GROUP BY ALL),
 hexed AS (SELECT word, md5(word) AS h FROM (SELECT DISTINCT word FROM words)),
 bits AS (SELECT word, b, (strpos('0123456789abcdef', h[b // 4 + 1]) - 1) >> (3 - b % 4) & 1 AS bit
   FROM hexed, (SELECT unnest(range(128)) AS b)),
-votes AS (SELECT doc_id, b, sum(n * (2 * bit - 1)) > 0 AS v FROM words JOIN bits USING (word) GROUP BY ALL),
-half AS (SELECT d.doc_id,
+votes AS (SELECT {key}, b, sum(n * (2 * bit - 1)) > 0 AS v FROM words JOIN bits USING (word) GROUP BY ALL),
+half AS (SELECT {key},
     sum(CASE WHEN v AND b < 64 THEN 1::HUGEINT << (63 - b) ELSE 0 END) AS hi,
     sum(CASE WHEN v AND b >= 64 THEN 1::HUGEINT << (127 - b) ELSE 0 END) AS lo
-  FROM documents d LEFT JOIN votes USING (doc_id) GROUP BY ALL),
-hashes AS (SELECT doc_id, lower(printf('%016x', hi::UBIGINT) || printf('%016x', lo::UBIGINT)) AS simhash, hi::UBIGINT AS hi, lo::UBIGINT AS lo FROM half)"""
+  FROM (SELECT DISTINCT {key} FROM {source}) LEFT JOIN votes USING ({key}) GROUP BY ALL),
+hashes AS (SELECT {key}, lower(printf('%016x', hi::UBIGINT) || printf('%016x', lo::UBIGINT)) AS simhash, hi::UBIGINT AS hi, lo::UBIGINT AS lo FROM half)"""
+
+
+_HASH = hash_sql("documents", "doc_id")
 
 
 def _hashes(spark, d):

@@ -12,14 +12,18 @@ from trawl.operators import ops
 LIMITS = {"click": (1, 86400.0), "view": (2, 3 * 86400.0), "purchase": (3, 5 * 86400.0)}
 
 
-def requests(spark, d):
-    return table(spark, d, "events").select(
+def as_requests(events):
+    return events.select(
         F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("endpoint"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("value").alias("response_ms"),
         (F.col("event_type") != "error").alias("success"),
     )
 
 
+def requests(spark, d):
+    return as_requests(table(spark, d, "events"))
+
+
 @query(
     "rate_limit",
     """WITH RECURSIVE lim AS (SELECT * FROM (VALUES ('click', 1, 86400.0::DOUBLE), ('view', 2, 259200.0), ('purchase', 3, 432000.0)) t(event_type, m, w)),
@@ -54,16 +58,20 @@ def _(spark, d):
     return _rounded(ops.request_metrics(requests(spark, d)))
 
 
-def job_events(spark, d):
+def as_job_events(events):
     kind = F.col("event_type")
     event = F.when(kind == "signup", "created").when(kind == "purchase", "done").when(kind == "error", "failed").otherwise("progress")
-    return table(spark, d, "events").select(
+    return events.select(
         F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"), F.concat(F.lit("s"), (F.col("user_id") % 9).cast("string")).alias("session_id"),
         F.col("event_id").alias("seq"), event.alias("event"), (F.col("value") - 20).alias("progress"), F.col("props").alias("result"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
     )
 
 
+def job_events(spark, d):
+    return as_job_events(table(spark, d, "events"))
+
+
 _JOBS = """SELECT 'job-' || user_id AS job_id, any_value('s' || user_id % 9) AS session_id,
   coalesce(arg_max(CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END, event_id)
     FILTER (event_type IN ('signup', 'purchase', 'error')), 'pending') AS status,

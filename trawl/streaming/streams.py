@@ -28,7 +28,7 @@ class _Limiter(StatefulProcessor):
         self.handle = handle
         self.kept = handle.getValueState("kept", "times array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.kept.get()
         kept = list(state[0]) if state is not None else []
         batch = pd.concat(list(rows)).sort_values(["ts", "request_id"])
@@ -42,10 +42,10 @@ class _Limiter(StatefulProcessor):
         for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         expiry = int((batch["ts"].iloc[-1] + batch["window_s"].iloc[-1]) * 1000)
-        self.handle.registerTimer(max(expiry, timers.getCurrentWatermarkInMs() + 1))
+        self.handle.registerTimer(max(expiry, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame({"request_id": batch["request_id"].to_numpy(), "allowed": allowed})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.kept.clear()
         return iter([])
 
