@@ -8,6 +8,7 @@ from trawl.catalog.inputs import AS_OF, PAGES_SQL, big, pages, r6, table, upload
 from trawl.catalog.registry import query
 from trawl.functions.text import normalize_ws, split_lines, tokenize_terms
 from trawl.operators import chunks, pages as pg, versions as v
+from trawl.session import stage_table
 
 _SPLIT = r"list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: regexp_matches(x, '\S'))"
 _NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -43,9 +44,7 @@ def _(spark, d):
 
 @query("detect_repeated", _EDGES + "SELECT 'head' AS position, * FROM heads UNION ALL SELECT 'tail', * FROM tails")
 def _(spark, d):
-    edges = pg.page_edges(pages(spark, d))
-    parts = [pg.detect_repeated(edges, p).withColumn("position", F.lit(p)) for p in ("head", "tail")]
-    return parts[0].unionByName(parts[1]).drop("session_id")
+    return pg.repeated_lines(pg.page_edges(pages(spark, d))).drop("session_id")
 
 
 @query("strip_repeated", _EDGES + "SELECT doc_name, page, len(lines) AS n_lines, coalesce(array_to_string(lines, '|'), '') AS joined FROM cut2")
@@ -139,7 +138,7 @@ def _(spark, d):
     "array_to_string(k.t[s + 1 : e], '') AS text FROM walk JOIN toks k USING (doc_name, page) WHERE e >= 0",
 )
 def _(spark, d):
-    s = chunks.chunk_pages(pg.clean_pages(pages(spark, d)))
+    s = chunks.chunk_pages(stage_table(pg.clean_pages(pages(spark, d))))
     return s.select("doc_name", "page", "chunk_id", big("n_tokens").alias("n_tokens"), "text")
 
 
@@ -164,7 +163,13 @@ _HASH = hash_sql("documents", "doc_id")
 
 
 def _hashes(spark, d):
-    return v.simhash128(table(spark, d, "documents"), ["doc_id"])
+    return v.simhash128_rows(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("simhash128_pages", f"WITH {PAGES_SQL}, {hash_sql('pages_in', 'doc_name')} SELECT doc_name, simhash FROM hashes")
+def _(spark, d):
+    h = v.simhash128(pages(spark, d), ["doc_name"])
+    return h.select("doc_name", v.simhash_hex(F.col("hi"), F.col("lo")).alias("simhash"))
 
 
 @query("simhash128", f"WITH {_HASH} SELECT doc_id, simhash FROM hashes")
@@ -204,12 +209,11 @@ def _(spark, d):
 
 def uploads(spark, d):
     t = table(spark, d, "documents")
-    docs = t.select(
+    return v.simhash128_rows(t).select(
         F.col("doc_id").alias("reg"), F.concat("source", F.lit(".pdf")).alias("filename"), F.sha2("text", 256).alias("file_hash"),
         upload_time(F.col("doc_id")).alias("upload_timestamp"), F.lit(1).cast("bigint").alias("page_count"),
-        F.col("n_chars").alias("chunk_count"),
+        F.col("n_chars").alias("chunk_count"), "hi", "lo",
     )
-    return docs.join(_hashes(spark, d).withColumnRenamed("doc_id", "reg"), "reg")
 
 
 _REG = f"""WITH {_HASH},

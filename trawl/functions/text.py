@@ -11,7 +11,7 @@ from trawl.functions import fixed_values as fv
 # Unicode white space plus the four ASCII separators Java leaves out.
 _SPACE = r"[\s\x1c-\x1f]"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-TERM_PATTERN = r"(\p{L}+\p{M}*|\p{Nd}+)"
+TERM_PATTERN = r"\p{L}++\p{M}*+|\p{Nd}++"  # possessive: the classes are disjoint
 WORD_PATTERN = r"(\S+\s*)"
 
 
@@ -35,7 +35,7 @@ def split_lines(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Raw term matches of a text; lower-case them after exploding."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TERM_PATTERN), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TERM_PATTERN), F.lit(0))
 
 
 def tokenize_terms(c: Column) -> Column:

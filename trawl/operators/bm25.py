@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from trawl.functions import fixed_values as fv
 from trawl.functions.scores import rescale01
 from trawl.functions.text import terms
+from trawl.session import stage_table
 
 ALL = ""  # scope of questions without a document filter
 
@@ -25,14 +26,15 @@ def with_scope(df: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame, key: str = "chunk_key", text: str = "text") -> DataFrame:
-    """(scope, key, term, tf) of every chunk, partitioned by key."""
-    tokens = (
-        with_scope(chunks).select("scope", key, text).repartition(key)
-        .select("scope", key, F.explode(terms(F.col(text))).alias("term"))
-    )
+    """(scope, key, len, term, tf) of every chunk, partitioned by key; len counts all its terms.
+
+    One row per distinct term. Write it as a table to serve many question sets.
+    """
+    found = with_scope(chunks).select("scope", key, text).repartition(key).select("scope", key, terms(F.col(text)).alias("t"))
+    tokens = found.select("scope", key, F.size("t").cast("bigint").alias("len"), F.explode("t").alias("term"))
     return (
-        tokens.select("scope", key, F.lower("term").alias("term"))
-        .groupBy("scope", key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        tokens.select("scope", key, "len", F.lower("term").alias("term"))
+        .groupBy("scope", key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
@@ -88,15 +90,18 @@ def bm25_scores(
     k1: float = fv.BM25_K1,
     b: float = fv.BM25_B,
     salts: int = 16,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """(scope, query_id, key, bm25_raw) of all pairs sharing at least one term.
 
     The join runs on (term, salt): a term in a third of all chunks is spread
     over ``salts`` groups, and the question side is repeated per salt. Small
     question sets are broadcast by adaptive execution once their size is known,
-    and then the postings do not move at all.
+    and then the postings do not move at all. ``postings`` is a stored result of
+    ``chunk_terms`` for these chunks; without it the postings are staged here, so
+    that statistics and scores read one tokenised copy.
     """
-    postings = chunk_terms(chunks, key)
+    postings = stage_table(chunk_terms(chunks, key)) if postings is None else postings
     frequency = term_document_frequency(postings)
     idf = term_idf(frequency, corpus_stats(chunks, frequency))
     weights = (
@@ -105,8 +110,7 @@ def bm25_scores(
         .select("scope", query_id, "term", "weight", "avg_len")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    lengths = postings.groupBy("scope", key).agg(F.sum("tf").alias("len"))
-    sized = postings.join(lengths, ["scope", key]).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    sized = postings.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     fade = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     return (
         sized.join(weights, ["scope", "term", "salt"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trawl.functions import fixed_values as fv
 from trawl.functions.text import normalize_ws, split_lines
-from trawl.session import with_session
+from trawl.session import stage_table, with_session
 
 SEGMENT_PAGES = 4096
 DOC = ["session_id", "doc_name"]
@@ -29,28 +29,34 @@ def page_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def detect_repeated(edges: DataFrame, position: str, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
-    """(session_id, doc_name, key, n) of first ("head") or last ("tail") lines repeated within a document."""
+def repeated_lines(edges: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
+    """(session_id, doc_name, position, key, n) of first ("head") and last ("tail") lines repeated in a document."""
+    sides = F.array(*[F.struct(F.lit(p).alias("position"), F.col(p).alias("key")) for p in ("head", "tail")])
     return (
-        edges.filter(F.col(position) != "")
-        .groupBy(*DOC, F.col(position).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        edges.select(*DOC, F.inline(sides)).filter("key <> ''")
+        .groupBy(*DOC, "position", "key").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_repeat)
     )
 
 
+def detect_repeated(edges: DataFrame, position: str, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
+    return repeated_lines(edges, min_repeat).filter(F.col("position") == position).drop("position")
+
+
 def repeated_edges(pages: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
     """Pages that lose a line: (session_id, doc_name, page, drop_head, drop_tail).
 
     Works on line keys only, so page texts stay out of the skewed joins. The
     last line is judged after a dropped first line: a one-line page keeps none.
     """
-    edges = page_edges(pages)
+    edges = stage_table(page_edges(pages))  # read twice, and far smaller than the texts
+    known = repeated_lines(edges, min_repeat)
     marked = edges
     for position in ("head", "tail"):
-        known = detect_repeated(edges, position, min_repeat).select(
+        side = known.filter(F.col("position") == position).select(
             *DOC, F.col("key").alias(position), F.lit(True).alias(f"is_{position}")
         )
-        marked = marked.join(known, [*DOC, position], "left")
+        marked = marked.join(side, [*DOC, position], "left")
     drop_head = F.coalesce("is_head", F.lit(False))
     left = F.col("n_lines") - drop_head.cast("int")
     drop_tail = F.coalesce("is_tail", F.lit(False)) & (left > 0)

@@ -27,23 +27,49 @@ HASH_BITS = 128
 BANDS, FINE_BANDS, HOT_BAND = 12, 14, 4096
 
 
+def _ones(digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the number of words, and of digests that set each of the 128 bits."""
+    width = HASH_BITS // 8
+    ends = np.frombuffer(digests.buffers()[1], dtype=np.int32)[digests.offset : digests.offset + len(digests) + 1] // width
+    raw = np.frombuffer(digests.buffers()[2] or b"", dtype=np.uint8)[: int(ends[-1]) * width].reshape(-1, width)
+    ones = np.zeros((len(digests), HASH_BITS), dtype=np.int64)
+    for row, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        ones[row] = np.unpackbits(raw[a:b], axis=1).sum(axis=0, dtype=np.int64)
+    return np.diff(ends), ones
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1]
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, width, dtype=np.int32), rows.ravel())
+
+
 def _bit_counts(digests: pa.Array) -> pa.Array:
     """Per text 64 sums: how many digests set bit j (low 32) and bit 64 + j (high 32)."""
-    raw = np.frombuffer(b"".join(digests.flatten().to_pylist()), dtype=np.uint8).reshape(-1, HASH_BITS // 8)
-    ends = np.cumsum(np.asarray(digests.value_lengths().fill_null(0)))
-    ones = np.zeros((len(digests), HASH_BITS), dtype=np.int64)
-    at = 0
-    for row, end in enumerate(ends):
-        ones[row] = np.unpackbits(raw[at:end], axis=1).sum(axis=0, dtype=np.int64)
-        at = end
-    packed = ones[:, :64] + (ones[:, 64:] << 32)
-    return pa.ListArray.from_arrays(np.arange(0, packed.size + 1, 64, dtype=np.int32), packed.ravel())
+    _, ones = _ones(digests)
+    return _lists(ones[:, :64] + (ones[:, 64:] << 32))
+
+
+def _halves(digests: pa.Array) -> pa.Array:
+    """Per text the two signed halves of its hash."""
+    lengths, ones = _ones(digests)
+    packed = np.packbits(2 * ones > lengths[:, None], axis=1)
+    return _lists(packed.view(">i8").astype(np.int64))
 
 
 def hashed_words(text: Column) -> Column:
-    """MD5 digests of the lower-cased words of a text, repeats included."""
+    """MD5 digests of the lower-cased words of a text, end to end, repeats included."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s\x1c-\x1f]+")
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.unhex(F.md5(w.cast("binary"))))
+    digests = F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.md5(w.cast("binary")))
+    return F.unhex(F.array_join(digests, ""))
+
+
+def simhash128_rows(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Add hi and lo to rows that are whole texts; nothing is shuffled."""
+    halves = F.arrow_udf(_halves, ArrayType(LongType()))
+    return (
+        texts.withColumn("_halves", halves(hashed_words(F.col(text))))
+        .withColumns({"hi": F.get("_halves", F.lit(0)), "lo": F.get("_halves", F.lit(1))}).drop("_halves")
+    )
 
 
 def simhash128(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -55,7 +81,7 @@ def simhash128(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     """
     counts = F.arrow_udf(_bit_counts, ArrayType(LongType()))
     hashed = texts.select(*keys, hashed_words(F.col(text)).alias("h"))
-    counted = hashed.select(*keys, F.size("h").alias("n"), counts("h").alias("c"))
+    counted = hashed.select(*keys, (F.octet_length("h") / 16).cast("bigint").alias("n"), counts("h").alias("c"))
     sums = counted.groupBy(*keys).agg(
         F.sum("n").alias("n"), *[F.sum(F.get("c", F.lit(j))).alias(f"c{j}") for j in range(64)]
     )
@@ -157,7 +183,9 @@ def near_duplicate_pairs(docs: DataFrame, max_distance: int = fv.MAX_HAMMING) ->
     Copies with the same hash are one group with a count: their pairs at distance
     0 are not spelled out.
     """
-    groups = with_session(docs).groupBy("session_id", "hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"))
+    groups = stage(
+        with_session(docs).groupBy("session_id", "hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"))
+    )
     pairs = near_hash_pairs(groups, max_distance)
     side = lambda s: groups.select("session_id", *[F.col(c).alias(f"{c}_{s}") for c in groups.columns[1:]])
     joined = pairs.join(side("a"), ["session_id", "hi_a", "lo_a"]).join(side("b"), ["session_id", "hi_b", "lo_b"])
@@ -203,7 +231,7 @@ def nearest_prior(registered: DataFrame, max_distance: int = fv.MAX_HAMMING) ->
     doc_first = registered.groupBy("session_id", "doc_id").agg(F.min("reg").alias("doc_first"))
     rows = registered.join(doc_first, ["session_id", "doc_id"]).select("session_id", *_PRIOR, "hi", "lo")
     me = F.struct(*_PRIOR)
-    seen = min_before(rows, ["session_id", "hi", "lo"], "reg", me, "same")
+    seen = stage(min_before(rows, ["session_id", "hi", "lo"], "reg", me, "same"))
     same = seen.filter("same IS NOT NULL").select("reg", F.lit(0).alias("distance"), F.col("same").alias("prior"))
     heads = seen.filter("same IS NULL")
     records = seen.filter(F.col("same").isNull() | (me < F.col("same"))).select("session_id", "hi", "lo", me.alias("prior"))

@@ -15,7 +15,7 @@ from trawl.operators import answers as an, chats as ch, citations as ct, embeddi
 from trawl.operators import retrieve, sessions as se, versions as v
 from trawl.operators.chunks import chunk_pages
 from trawl.operators.pages import SEGMENT_PAGES, clean_pages, document_text
-from trawl.session import stage, with_session
+from trawl.session import stage, stage_table, with_session
 
 
 @dataclass
@@ -63,7 +63,7 @@ def ingest(
     pages, files = with_session(pages), with_session(files)
     new_files, skipped = se.split_new_documents(files, manifest)
     doc = ["session_id", "doc_name"]
-    cleaned = clean_pages(pages.join(new_files.select(*doc), doc, "left_semi"))
+    cleaned = stage_table(clean_pages(pages.join(new_files.select(*doc), doc, "left_semi")))
     columns = [
         "session_id", "reg", "filename", "file_hash", "content_hash", "hi", "lo", "upload_timestamp", "page_count",
     ]
@@ -80,8 +80,10 @@ def ingest(
     state = wanted.select(
         "session_id", F.col("filename").alias("doc_name"), "result", "message", "upload_timestamp", "document_status", "document_version"
     )
-    pieces = chunk_pages(cleaned, size, overlap).join(
-        state.select(*doc, "upload_timestamp", "document_status", "document_version"), doc
+    pieces = stage_table(
+        chunk_pages(cleaned, size, overlap).join(
+            state.select(*doc, "upload_timestamp", "document_status", "document_version"), doc
+        )
     )
     chunks, grown = em.embed_column(pieces, cache, embed)
     docs = se.doc_summary(

@@ -66,3 +66,14 @@ def scratch_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="trawl-scratch-")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write a text-heavy intermediate as a Parquet table in the shared folder.
+
+    Unlike a checkpoint it is compressed and columnar: later readers that only
+    need keys do not read the texts again.
+    """
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
