@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trawl.catalog.inputs import AS_OF, PAGES_SQL, big, pages, r6, table, upload_time
+from trawl.catalog.inputs import AS_OF, PAGES_SQL, big, pages, r6, table, text_chunks, upload_time
 from trawl.catalog.registry import query
 from trawl.functions.text import normalize_ws, split_lines, tokenize_terms
 from trawl.operators import chunks, pages as pg, versions as v
@@ -291,6 +291,16 @@ def _(spark, d):
     return m.select("doc_id", "reg", "version", "status", "upload_timestamp")
 
 
+@query(
+    "current_status",
+    _REG + "SELECT d.doc_id AS chunk_key, m.status AS document_status, m.version AS document_version FROM documents d JOIN (SELECT *, "
+    "row_number() OVER (PARTITION BY doc_id ORDER BY status = 'active' DESC, version DESC) AS rn FROM registry) m ON m.doc_id = d.source AND rn = 1",
+)
+def _(spark, d):
+    s = v.with_current_status(text_chunks(spark, d), v.register(uploads(spark, d)))
+    return s.select("chunk_key", "document_status", "document_version")
+
+
 @query("active_documents", _REG + "SELECT reg, doc_id, version FROM registry WHERE status = 'active'")
 def _(spark, d):
     return v.active_documents(v.register(uploads(spark, d))).select("reg", "doc_id", "version")

@@ -1,7 +1,7 @@
 """BM25 over many questions at once.
 
-Chunks are shuffled once, by chunk key; term counts, chunk lengths and the sums
-per (question, chunk) then reuse that partitioning. Scores are sparse: a chunk
+Term counts come from inside each chunk row, without a shuffle; only document
+frequencies and the sums per (question, chunk) move. Scores are sparse: a chunk
 that shares no term with a question scores 0 and has no row. The zero still
 takes part in the min-max normalisation through the candidate count.
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trawl.functions import fixed_values as fv
 from trawl.functions.scores import rescale01
-from trawl.functions.text import terms
+from trawl.functions.text import terms, tokenize_terms
 from trawl.session import stage_table
 
 ALL = ""  # scope of questions without a document filter
@@ -26,16 +26,24 @@ def with_scope(df: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame, key: str = "chunk_key", text: str = "text") -> DataFrame:
-    """(scope, key, len, term, tf) of every chunk, partitioned by key; len counts all its terms.
+    """(scope, key, len, term, tf): a row per chunk and distinct term; len counts all terms.
 
-    One row per distinct term. Write it as a table to serve many question sets.
+    A chunk is one row, so its terms are counted inside the row: sort them, find
+    where runs start, and take the distances. Nothing is shuffled. Write the
+    result as a table to serve many question sets.
     """
-    found = with_scope(chunks).select("scope", key, text).repartition(key).select("scope", key, terms(F.col(text)).alias("t"))
-    tokens = found.select("scope", key, F.size("t").cast("bigint").alias("len"), F.explode("t").alias("term"))
-    return (
-        tokens.select("scope", key, "len", F.lower("term").alias("term"))
-        .groupBy("scope", key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = with_scope(chunks).select("scope", key, F.sort_array(tokenize_terms(F.col(text))).alias("t"))
+    # No filter on the token array: the optimizer would copy the tokenizing into it.
+    at = lambda i: F.get(F.col("t"), i)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0))), lambda i: at(i).isNotNull() & ((i == 0) | (at(i) != at(i - 1)))
+    )
+    runs = found.select("scope", key, "t", F.size("t").alias("n"), starts.alias("s"))
+    term = lambda i, j: F.struct(
+        F.get(F.col("t"), i).alias("term"), (F.coalesce(F.get(F.col("s"), j + 1), F.col("n")) - i).cast("bigint").alias("tf")
     )
+    counted = runs.select("scope", key, "n", F.inline(F.transform("s", term)))
+    return counted.select("scope", key, F.col("n").cast("bigint").alias("len"), "term", "tf")
 
 
 def corpus_size(chunks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trawl.functions import fixed_values as fv
 from trawl.functions.text import words
 from trawl.operators.prefix import sum_before
-from trawl.session import with_session
+from trawl.session import stage_table, with_session
 
 
 def _check(size: int, overlap: int) -> None:
@@ -103,14 +103,15 @@ def chunk_pages(
     """Chunks of every page, numbered from 0 across each document.
 
     The numbers come from a running total of chunk counts over pages, which is
-    exact and does not gather a long document in one task.
+    exact and does not gather a long document in one task. The totals are written
+    first: small ones are broadcast by their known size, and texts stay in place.
     """
     doc = ["session_id", "doc_name"]
     pieces = split_pages(with_session(pages), size, overlap, semantic, tokens)
-    counts = pieces.groupBy(*doc, "page").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage_table(pieces.groupBy(*doc, "page").agg(F.count(F.lit(1)).alias("n")))
     offsets = sum_before(counts, doc, "page", F.col("n"), "before").select(*doc, "page", "before")
     return (
-        pieces.join(offsets, [*doc, "page"])
+        pieces.join(stage_table(offsets), [*doc, "page"])
         .withColumn("chunk_id", F.col("before") + F.col("pos"))
         .drop("before", "pos", "start", "end")
     )

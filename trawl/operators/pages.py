@@ -16,16 +16,17 @@ def line_key(line: Column) -> Column:
     return F.substring(normalize_ws(line), 1, fv.LINE_KEY_CHARS)
 
 
+def line_key_or_null(line: Column) -> Column:
+    return F.when(line.isNotNull(), line_key(line))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Per page with lines: line count and the keys of its first and last line."""
+    """Per page: line count and the keys of its first and last line, NULL without lines."""
     lines = split_lines(F.col("text"))
-    return (
-        with_session(pages).select(*DOC, "page", lines.alias("lines")).filter(F.size("lines") > 0)
-        .select(
-            *DOC, "page", F.size("lines").alias("n_lines"),
-            line_key(F.element_at("lines", 1)).alias("head"),
-            line_key(F.element_at("lines", -1)).alias("tail"),
-        )
+    return with_session(pages).select(*DOC, "page", lines.alias("lines")).select(
+        *DOC, "page", F.size("lines").alias("n_lines"),
+        line_key_or_null(F.get("lines", F.lit(0))).alias("head"),
+        line_key_or_null(F.get("lines", F.size("lines") - 1)).alias("tail"),
     )
 
 
@@ -66,8 +67,12 @@ def repeated_edges(pages: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFra
 
 
 def strip_repeated(pages: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
-    """Pages with ``lines``: the non-blank lines left after header and footer removal."""
-    drops = repeated_edges(pages, min_repeat)
+    """Pages with ``lines``: the non-blank lines left after header and footer removal.
+
+    The list of pages to cut is written first, so the planner knows its size and
+    shuffles the texts only when it is too large to broadcast.
+    """
+    drops = stage_table(repeated_edges(pages, min_repeat))
     lines = split_lines(F.col("text"))
     first = 1 + F.coalesce("drop_head", F.lit(False)).cast("int")
     kept = F.size("lines") - F.coalesce("drop_head", F.lit(False)).cast("int") - F.coalesce("drop_tail", F.lit(False)).cast("int")

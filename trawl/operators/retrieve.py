@@ -10,7 +10,7 @@ from trawl.functions.text import strip
 from trawl.functions.vectors import cosine01, dot
 from trawl.operators.bm25 import ALL, bm25_range, bm25_scores, with_scope
 from trawl.operators.ranking import SCORE_DIGITS, Mix, best_candidates
-from trawl.session import stage
+from trawl.session import stage, stage_table
 
 
 def parse_allowed(selected: Column) -> Column:
@@ -147,7 +147,7 @@ def search_scoped(questions: DataFrame, chunks: DataFrame, k: int, mmr_lambda: f
     picked = mmr_select(top, k, mmr_lambda, floor_zero=False).withColumns(
         {"score": cosine01(F.col("dense_raw")), "dense_01": cosine01(F.col("dense_raw"))}
     )
-    return picked.drop("vec").join(chunks.drop("vec", "scope"), "chunk_key")
+    return _describe(picked.drop("vec"), chunks)
 
 
 def score_scoped(
@@ -195,13 +195,23 @@ def score_candidates(
 
 def pick_and_describe(best: DataFrame, chunks: DataFrame, k: int, mmr_lambda: float) -> DataFrame:
     """MMR picks of ranked candidates, with the chunk's own columns."""
-    return (
+    picked = (
         mmr_select(best.drop("scope"), k, mmr_lambda)
         .withColumn("dense_01", cosine01(F.col("dense_raw")))
         .withColumnRenamed("final", "hybrid_score")
         .drop("vec")
-        .join(chunks.drop("vec", "scope"), "chunk_key")
     )
+    return _describe(picked, chunks)
+
+
+def _describe(picked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Join the few picks to the chunk table.
+
+    The picks are written first, so the planner knows their true size: below
+    the broadcast threshold the chunk texts stay where they are, above it both
+    sides are shuffled.
+    """
+    return stage_table(picked).join(chunks.drop("vec", "scope"), "chunk_key")
 
 
 def hybrid_retrieve(

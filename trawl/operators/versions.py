@@ -198,11 +198,12 @@ _FILE = ["session_id", "doc_id", "file_hash"]
 def registered_documents(uploads: DataFrame) -> DataFrame:
     """First upload of every (doc_id, file_hash), with its version number.
 
-    ``uploads``: reg (unique order), filename, file_hash, hi, lo and payload.
+    ``uploads``: reg (unique order), filename, file_hash, hi, lo and payload. The
+    rows are staged, since hashing texts comes before and the count reads twice.
     """
     named = with_session(uploads).withColumn("doc_id", stem(F.col("filename")))
     rest = [c for c in named.columns if c not in _FILE]
-    firsts = (
+    firsts = stage(
         named.groupBy(*_FILE).agg(F.min_by(F.struct(*rest), "reg").alias("r"))
         .select(*_FILE, "r.*")
     )
@@ -284,9 +285,8 @@ def register(uploads: DataFrame, max_distance: int = fv.MAX_HAMMING) -> DataFram
 
     Adds doc_id, version, result (new / version / duplicate / updated), message,
     matched_reg, similarity, supersedes, status (active / superseded), superseded_by.
-    The registered rows feed several joins, so they are staged once.
     """
-    rows = stage(registered_documents(uploads))
+    rows = stage(registered_documents(uploads))  # read by several joins
     prior = nearest_prior(rows, max_distance)
     matched = (
         rows.join(prior, "reg", "left")
@@ -330,6 +330,15 @@ def document_metadata(registry: DataFrame) -> DataFrame:
     return registry.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
+def with_current_status(rows: DataFrame, registry: DataFrame, name: str = "doc_name") -> DataFrame:
+    """Replace the status and version a chunk got at ingest by the registry's current ones."""
+    now = document_metadata(registry).select(
+        "session_id", "doc_id", F.col("status").alias("document_status"), F.col("version").alias("document_version")
+    )
+    base = with_session(rows.drop("document_status", "document_version")).withColumn("doc_id", stem(F.col(name)))
+    return base.join(now, ["session_id", "doc_id"], "left").drop("doc_id")
+
+
 def active_documents(registry: DataFrame) -> DataFrame:
     return registry.filter(F.col("status") == "active")
 

@@ -63,6 +63,7 @@ def ingest(
     pages, files = with_session(pages), with_session(files)
     new_files, skipped = se.split_new_documents(files, manifest)
     doc = ["session_id", "doc_name"]
+    new_files = stage_table(new_files)
     cleaned = stage_table(clean_pages(pages.join(new_files.select(*doc), doc, "left_semi")))
     columns = [
         "session_id", "reg", "filename", "file_hash", "content_hash", "hi", "lo", "upload_timestamp", "page_count",
