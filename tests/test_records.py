@@ -105,6 +105,8 @@ def test_citation_edges(spark):
     for r in ct.extract_citations(df).collect():
         got[r.query_id].add((r.doc_name, r.page))
     assert got == {k: w for k, (_, w) in cases.items()}
+    long = df.select("query_id", F.lit("[a.pdf:5-25004]").alias("answer")).limit(1)
+    assert ct.extract_citations(long).agg(F.count("*"), F.min(F.col("page").cast("int")), F.max(F.col("page").cast("int"))).first()[:] == (25000, 5, 25004)
     ends = {(r.doc_name, r.page) for r in ct.extract_citations(df.filter("query_id = 1"), ends_only=True).collect()}
     assert ends == {("a.pdf", "3"), ("a.pdf", "5"), ("a.pdf", "9")}
 

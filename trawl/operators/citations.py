@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from trawl.functions import fixed_values as fv
 from trawl.functions.text import strip, truncate
 
+RANGE_BLOCK = 10_000
+
 
 def extract_citations(answers: DataFrame, ends_only: bool = False, pattern: str = fv.CITATION_PATTERN) -> DataFrame:
     """Distinct (query_id, doc_name, page) cited in ``answer``; page is a string or NULL.
@@ -33,12 +35,20 @@ def extract_citations(answers: DataFrame, ends_only: bool = False, pattern: str
     low = F.regexp_extract("seg", fv.PAGE_RANGE_PATTERN, 1)
     high = F.regexp_extract("seg", fv.PAGE_RANGE_PATTERN, 2)
     a, b = low.try_cast("bigint"), high.try_cast("bigint")
-    ends = F.array(low, high)
-    run = ends if ends_only else F.when(a <= b, F.transform(F.sequence(a, b), lambda p: p.cast("string"))).otherwise(ends)
-    pages = F.when(F.col("seg").rlike(fv.PAGE_RANGE_PATTERN), run).otherwise(F.array("seg"))
-    return (
-        segments.filter("doc_name <> ''").select("query_id", "doc_name", F.explode(pages).alias("page")).distinct()
+    is_range = F.col("seg").rlike(fv.PAGE_RANGE_PATTERN)
+    # A long range is unfolded in blocks, so no single array holds all its pages.
+    block = F.transform(
+        F.sequence(a, b, F.lit(RANGE_BLOCK)), lambda s: F.struct(s.alias("lo"), F.least(s + RANGE_BLOCK - 1, b).alias("hi"))
+    )
+    blocks = segments.filter("doc_name <> ''").select(
+        "query_id", "doc_name", "seg", low.alias("low"), high.alias("high"), is_range.alias("is_range"),
+        F.explode_outer(F.when(is_range & (a <= b) & F.lit(not ends_only), block)).alias("run"),
+    )
+    run = F.transform(F.sequence("run.lo", "run.hi"), lambda p: p.cast("string"))
+    pages = (
+        F.when(F.col("run").isNotNull(), run).when(F.col("is_range"), F.array("low", "high")).otherwise(F.array("seg"))
     )
+    return blocks.select("query_id", "doc_name", F.explode(pages).alias("page")).distinct()
 
 
 def match_sources(passages: DataFrame, citations: DataFrame) -> DataFrame:
