@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import lit
 
+_OWN_FOLDERS: dict[str, str] = {}
+_STAGED: dict[str, list[str]] = {}
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -33,23 +36,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediates that all executors can read and write.
+
+    It is the session's ``spark.checkpoint.dir``. A session that runs in one
+    process (master ``local`` or ``local[n]``) and has no such setting gets one
+    temporary folder for its life time; anywhere else the setting is required.
+    Intermediates stay until `drop_stages` or the owner of the folder deletes them.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN_FOLDERS.get(context.applicationId)
+    if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="trawl-shared-")
+    return folder.rstrip("/")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read, and cut its lineage.
 
-    Uses the reliable checkpoint folder named by ``spark.checkpoint.dir``, so a
-    lost executor costs a re-read and not a recomputation. A local session
-    without that setting gets a temporary folder; a cluster without it keeps
-    the plain lineage, since a machine-local folder would not survive there.
+    Uses a reliable checkpoint in `shared_folder`, so a lost executor costs a
+    re-read and not a recomputation.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="trawl-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -59,13 +71,23 @@ def with_session(df: DataFrame) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name for round trips, in the shared checkpoint folder of a cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="trawl-scratch-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder name for round trips and staged tables, below `shared_folder`."""
+    name = f"{shared_folder(spark)}/trawl-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return name
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the folders that this session's `scratch_folder` calls named; returns how many.
+
+    Call it when no result that reads them is needed any more.
+    """
+    names = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(names)
 
 
 def stage_table(df: DataFrame) -> DataFrame:
