@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import simhash
+from trawl.llm import mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +20,44 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+_MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('42|' || coalesce(doc_id::VARCHAR, '')) AS k
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight
+  FROM sized GROUP BY source),
+filled AS (
+  SELECT *, row_number() OVER w AS place,
+    1.5::DOUBLE * (SELECT sum(size) FROM sources)::DOUBLE - coalesce(sum(2.0::DOUBLE * size) OVER b, 0) AS rest,
+    (sum(weight) OVER ())::BIGINT - coalesce(sum(weight) OVER b, 0)::BIGINT AS free
+  FROM sources
+  WINDOW w AS (ORDER BY 2.0::DOUBLE * size / weight, source),
+    b AS (ORDER BY 2.0::DOUBLE * size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT rest, free, place FROM filled WHERE rest * weight <= 2.0::DOUBLE * size * free ORDER BY place LIMIT 1),
+goals AS (
+  SELECT f.source, f.size AS source_size,
+    CASE WHEN f.place < l.place THEN 2.0::DOUBLE * f.size ELSE l.rest * f.weight / l.free END AS target
+  FROM filled f, level l),
+planned AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target,
+    (CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END)::BIGINT AS whole,
+    round(g.target)::BIGINT AS goal,
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size)::BIGINT AS ahead
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+  (whole * size + least(greatest(goal - whole * source_size - ahead, 0), size))::BIGINT AS taken
+FROM planned
+"""
+
+
+@query("op6_mix_sources", _MIX_SQL)
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken from every document when sources weigh 5, 2, 1 and share 150 % of all words, twice at most."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, max_epochs=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
