@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import mixing, simhash
+from trawl.llm import mixing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +61,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document when sources weigh 5, 2, 1 and share 150 % of all words, twice at most."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, max_epochs=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_repeated_substrings")
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that start elsewhere, too."""
+    left = substrings.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200, digest=True)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
