@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import mixing, simhash, substrings
+from trawl.llm import mixing, packing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_vocabulary() -> str:
+    """Path of the public word-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query("op10_simhash_near_duplicates")
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its 3-word SimHash and the smallest document it is linked to."""
@@ -68,3 +75,9 @@ def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 200-byte strings that start elsewhere, too."""
     left = substrings.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200, digest=True)
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
+@query("op1_pack_documents")
+def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), word_vocabulary(), size=4096)
