@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import mixing, packing, simhash, substrings
+from trawl.llm import mixing, packing, quality, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,3 +81,10 @@ def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), word_vocabulary(), size=4096)
+
+
+@query("op5_quality_scores")
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every document by its words, by its metadata, and by both."""
+    scored = quality.cotrained_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "content_score", "metadata_score", "score", (F.col("score") >= 0.5).alias("keep"))
