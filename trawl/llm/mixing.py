@@ -66,56 +66,68 @@ def water_filled(sources: DataFrame, budget: float, max_epochs: float) -> DataFr
     return sources.withColumn("target", F.when(above, cap).otherwise(F.lit(rest) * F.col("weight") / F.lit(weight)))
 
 
-def seed_key(seed: int, key: str = "doc_id"):
-    """Hex digits that order documents the same way on every run."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+def _taken(docs: DataFrame, weights: list[int], share: float, max_epochs: float, seed: int, key: str, source: str, text: str, carry: bool) -> DataFrame:
+    """(key, source, size, source_size, target, whole, once_more[, row]): what `mix` takes; row is the whole row of docs."""
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).cast("binary"))
+    sized = docs.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(text).alias("size"), order.alias("order"),
+        *([F.struct("*").alias("row")] if carry else []),
+    )
+    sized = sized.withColumn("slice", F.substring("order", 1, _SLICE_DIGITS)).withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    sized = stage_table(sized)
+    slices = stage_table(sized.groupBy("named", "source", "slice").agg(F.sum("size").alias("words")))
+    sources = ranked_sources(slices.groupBy("named", "source").agg(F.sum("words").alias("size")))
+    weight = F.array(*map(F.lit, weights))[(F.col("place") % len(weights)).cast("int")].cast("bigint")
+    sources = stage_table(sources.withColumn("weight", weight))
+    total = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    goals = water_filled(sources, share * total, max_epochs).select(
+        "named", F.col("size").alias("source_size"), "target",
+        F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("bigint").alias("whole"),
+    ).withColumn("quota", F.round("target").cast("bigint") - F.col("whole") * F.col("source_size"))
+    ahead = F.sum("words").over(Window.partitionBy("named").orderBy("slice")) - F.col("words")
+    plan = slices.withColumn("ahead", ahead).join(goals, "named").drop("source", "words")
+    within = Window.partitionBy("named", "slice").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("ahead") + F.sum("size").over(within) - F.col("size")
+    once_more = F.least(F.greatest(F.col("quota") - start, F.lit(0)), F.col("size")).cast("bigint")
+    placed = sized.join(plan, ["named", "slice"]).withColumn("once_more", once_more)
+    return placed.select("key", "source", "size", "source_size", "target", "whole", "once_more", *(["row"] if carry else []))
 
 
 def mix(
     docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 42,
-    key: str = "doc_id", source: str = "source", text: str = "text", keep: tuple[str, ...] = (),
+    key: str = "doc_id", source: str = "source", text: str = "text",
 ) -> DataFrame:
-    """(key, source, size, source_size, target, taken, *keep): one row per row of docs.
+    """(key, source, size, source_size, target, taken): one row per row of docs.
 
     Sources by code point, null last, get the weights in turn, and share
     `share` x all sizes. A source takes round(target) words: each document
     floor(target / source_size) times, then documents in seeded order once more
     until the rest is used up; the last one gives only the words that are left.
     Null and empty texts have size 0 and take 0. Rows that repeat are separate
-    documents; equal keys are ordered by size. An empty table gives no rows.
+    documents; equal keys are ordered by size. An empty table gives no rows;
+    other columns are ignored.
     """
-    sized = docs.select(
-        F.col(key).alias("_key"), F.col(source).alias("source"), word_count(text).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
-    ).withColumn("_order", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("_key").cast("string"), F.lit(""))).cast("binary")))
-    sized = sized.withColumn("_slice", F.substring("_order", 1, _SLICE_DIGITS)).withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    sized = stage_table(sized)
-    slices = stage_table(sized.groupBy("_source", "source", "_slice").agg(F.sum("size").alias("_words")))
-    sources = ranked_sources(slices.groupBy("_source", "source").agg(F.sum("_words").alias("size")))
-    weight = F.array(*map(F.lit, weights))[(F.col("place") % len(weights)).cast("int")].cast("bigint")
-    sources = stage_table(sources.withColumn("weight", weight))
-    total = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
-    goals = water_filled(sources, share * total, max_epochs).select(
-        "_source", F.col("size").alias("source_size"), "target",
-        F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("bigint").alias("_whole"),
-    ).withColumn("_quota", F.round("target").cast("bigint") - F.col("_whole") * F.col("source_size"))
-    ahead = F.sum("_words").over(Window.partitionBy("_source").orderBy("_slice")) - F.col("_words")
-    plan = slices.withColumn("_ahead", ahead).join(goals, "_source").drop("source", "_words")
-    start = F.col("_ahead") + F.sum("size").over(
-        Window.partitionBy("_source", "_slice").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("size")
-    once_more = F.least(F.greatest(F.col("_quota") - start, F.lit(0)), F.col("size"))
-    return sized.join(plan, ["_source", "_slice"]).select(
-        F.col("_key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
-        (F.col("_whole") * F.col("size") + once_more).cast("bigint").alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep],
-    )
+    taken = _taken(docs, weights, share, max_epochs, seed, key, source, text, carry=False)
+    words = (F.col("whole") * F.col("size") + F.col("once_more")).alias("taken")
+    return taken.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", words)
 
 
-def mixed_words(column, words, taken, size):
-    """The text taken `taken` words long: whole copies, then a prefix by words, joined by a line break.
+def mixed_documents(
+    docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 42,
+    key: str = "doc_id", source: str = "source", text: str = "text",
+) -> DataFrame:
+    """The columns of docs, a row for each copy that `mix` takes.
 
-    Whole copies keep the text as it is; only the last, partial copy is words joined by spaces.
+    Whole copies are the row as it is; a copy that is only started has the first
+    words of the text, joined by spaces. Documents that the mix leaves out and
+    texts without words have no row.
     """
-    whole = F.floor(taken / F.greatest(size, F.lit(1))).cast("int")
-    rest = (taken - whole * size).cast("int")
-    part = F.when(rest > 0, F.array_join(F.slice(words, F.lit(1), rest), " "))
-    return F.array_join(F.concat(F.array_repeat(column, whole), F.array_compact(F.array(part))), "\n")
+    taken = _taken(docs, weights, share, max_epochs, seed, key, source, text, carry=True)
+    more = F.col("once_more")
+    copies = F.col("whole") + F.when(more > 0, 1).otherwise(0)
+    each = taken.filter(F.col("size") > 0).withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("bigint"), copies))))
+    value = F.col(f"row.`{text}`")
+    words = F.filter(F.split(F.translate(value, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+    started = (F.col("copy") > F.col("whole")) & (more < F.col("size"))
+    kept = F.when(started, F.array_join(F.slice(words, F.lit(1), more.cast("int")), " ")).otherwise(value)
+    return each.select(*[(kept if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

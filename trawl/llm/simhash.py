@@ -6,6 +6,12 @@ fingerprints, so a range join on the grid of vectors loses no pair. The grid is
 joined by meeting half way: each side enters its own cell and the cells within
 half of the allowed distance, and two vectors within the allowed distance share
 such a cell. What meets is then verified on the fingerprints.
+
+A 64-bit fingerprint that differs in two bits stands for nearly equal texts only.
+`similar_groups` finds texts that share most of their shingles: besides the
+fingerprint of the whole text, each text has fingerprints of small samples of its
+shingles, drawn alike for all texts; similar texts agree on some of them. All
+that meets is verified on the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
@@ -137,3 +143,102 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, ke
     grouped = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(grouped, "root").select("fp", "component")
     return rows.join(named, "fp").select(F.col("k").alias(key), F.col("fp").alias("fingerprint"), "component")
+
+
+#: Sampled fingerprints of a text, and shingles in each sample.
+VIEWS, SAMPLE = 20, 4
+_SEEDS = np.random.default_rng(20).integers(1, 1 << 63, VIEWS * SAMPLE, dtype=np.uint64)[:, None]
+
+
+def sampled_fingerprints(text: str | None, size: int) -> list[int]:
+    """The SimHash of the whole text and of VIEWS samples: the shingles that come first under SAMPLE random orders each."""
+    first = np.full(VIEWS * SAMPLE, np.iinfo(np.uint64).max, np.uint64)
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(words_of(text), size):
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+        for at in range(0, len(hashes), 2048):
+            mixed = (hashes[None, at : at + 2048] ^ _SEEDS) * np.uint64(0x9E3779B97F4A7C15)
+            np.minimum(first, mixed.min(axis=1), out=first)
+    bits = np.unpackbits(first.astype(">u8").view(np.uint8)).reshape(VIEWS, SAMPLE, 64).sum(axis=1) * 2 > SAMPLE
+    rows = np.packbits(np.concatenate([(2 * ones > n)[None, :], bits]), axis=1)
+    return rows.view(">i8").ravel().tolist()
+
+
+def _shingle_sets(size: int):
+    def sets(batch: pa.Array) -> pa.Array:
+        out = []
+        for text in batch:
+            parts = list(shingle_hashes(words_of(text.as_py()), size))
+            out.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return F.arrow_udf(sets, "array<bigint>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least this Jaccard similarity."""
+    met = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return met.filter(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """(node, root): digests of different texts whose word-shingle sets have this Jaccard similarity, directly or over others.
+
+    texts holds (t BINARY digest, text). Copies count once. Who shares a sampled
+    fingerprint is compared with the bucket's most central member first, the one
+    that shares most buckets with others, and whoever is linked by then needs no
+    further comparison; those of other components meet 8, 64, 512 ... members
+    until a bucket is one component or all its members have met.
+    """
+    hashed = texts.withColumn("f", F.arrow_udf(lambda batch: pa.array([sampled_fingerprints(t, words) for t in batch.to_pylist()], pa.list_(pa.int64())), "array<bigint>")("text"))
+    signed = stage_table(hashed.select("t", "f").groupBy("t").agg(F.first("f").alias("f")))
+    shared = signed.select("t", F.posexplode("f").alias("view", "fp")).select("t", F.xxhash64("view", "fp").alias("bucket"))
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stage_table(shared.join(sizes, "bucket"))
+    whole = signed.select("t", F.get("f", F.lit(0)).alias("fp")).groupBy("fp").agg(F.min("t").alias("t"))
+    whole = stage_table(whole)
+    linked = linked_fingerprints(whole, max_bits)
+    ends = whole.select(F.col("fp").alias("a"), F.col("t").alias("ta")), whole.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
+    near = stage_table(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
+    involved = shared.select("t").union(near.select("a")).union(near.select("b")).distinct()
+    sets = texts.join(involved, "t", "left_semi").dropDuplicates(["t"]).select("t", _shingle_sets(words)("text").alias("s"))
+    sets = stage_table(sets)
+    central = shared.groupBy("t").agg(F.sum("n").alias("central"))
+    shared = stage_table(shared.join(central, "t").select("bucket", "t", "n", "central"))
+    lead = shared.groupBy("bucket").agg(F.max_by("t", F.struct("central", "t")).alias("a"))
+    pairs = shared.join(lead, "bucket").filter(F.col("a") != F.col("t")).select("a", F.col("t").alias("b")).union(near).distinct()
+    links = stage_table(_verified(pairs, sets, similarity))
+    found = stage_table(components(links))
+    met, most = 1, 8
+    while True:
+        rooted = shared.filter(F.col("n") > met).join(found.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+        order = Window.partitionBy("bucket").orderBy(F.desc("central"), F.desc("t"))
+        ranked = stage_table(rooted.join(open_, "bucket").withColumn("place", F.row_number().over(order)).select("bucket", "t", "root", "place"))
+        if ranked.isEmpty():
+            return found
+        heads = ranked.filter((F.col("place") > met) & (F.col("place") <= most)).select("bucket", F.col("t").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa"))
+        fresh = heads.join(ranked, "bucket").filter("root <> ra and place > pa").select("a", F.col("t").alias("b")).distinct()
+        links = stage_table(links.union(_verified(fresh, sets, similarity)))
+        found = stage_table(components(links))
+        met, most = most, most * 8
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay when one row of each group of similar texts does: the one with the smallest key.
+
+    Equal texts are one group, null and empty ones too. A null key comes after
+    all others. Of rows with equal key and text any one stays. All columns are
+    kept as they are; an empty table stays empty.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    rows = stage_table(docs.select(F.col(f"`{key}`").alias("k"), digest.alias("t")).groupBy("k", "t").agg(F.count("*").alias("n")))
+    groups = similar_texts(docs.select(digest.alias("t"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), words, similarity, max_bits)
+    rooted = rows.join(groups.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t", "n")).alias("least"))
+    kept = stage_table(kept.select(F.col("least.k").alias("_k"), F.col("least.t").alias("_t"), F.col("least.n").alias("_n")))
+    staying = docs.withColumn("_digest", digest).join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_t")))
+    single, repeated = staying.filter("_n = 1"), staying.filter("_n > 1").dropDuplicates(["_k", "_t"])
+    return single.union(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

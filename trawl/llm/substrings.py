@@ -382,3 +382,8 @@ def without_repeats(docs: DataFrame, length: int = 200, anchor: int = 48, text:
         same = same.withColumn("kept", F.col("t").cast("binary"))
     both = hit.unionByName(same.select(*hit.columns))
     return both.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names) if not (digest and c == text)], *new)
+
+
+def whole_characters(kept):
+    """Column of UTF-8 bytes as a string without characters that a cut has broken."""
+    return F.arrow_udf(lambda batch: pa.array([None if b is None else b.decode(errors="ignore") for b in batch.to_pylist()], pa.string()), "string")(kept)
