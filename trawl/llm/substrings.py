@@ -84,87 +84,108 @@ def _window_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def owned_runs(data: np.ndarray, length: int, anchor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, firsts, counts) of the runs of string starts that one anchor owns, in order, by parts of a long text."""
-    starts, width, low = len(data) - length + 1, length - anchor + 1, np.uint64(0xFFFFFF)
-    for base in range(0, max(starts, 0), _STARTS):
-        n = min(_STARTS, starts - base)
+def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begins, ends) of a string or binary column as one byte array; nulls are empty."""
+    wide = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    values = wide.buffers()[2]
+    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    return data, offsets[:-1], offsets[1:]
+
+
+def owned_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(texts, hashes, firsts, counts, places): runs of string starts in `data` that one anchor owns; its place counts from the run.
+
+    Text i is data[begins[i]:ends[i]]; the texts follow one another, and strings
+    do not cross them. Long data comes in parts, which may split a run.
+    """
+    if not len(begins):
+        return
+    width, low = length - anchor + 1, np.uint64(0xFFFFFF)
+    for base in range(int(begins[0]), int(ends[-1]) - length + 1, _STARTS):
+        n = min(_STARTS, int(ends[-1]) - length + 1 - base)
+        texts = np.arange(np.searchsorted(ends, base, "right"), np.searchsorted(begins, base + n, "left"))
+        first, stop = np.maximum(begins[texts] - base, 0), np.minimum(ends[texts] - length + 1 - base, n)
+        first, stop = first[first < stop], stop[first < stop]
+        if not len(first):
+            continue
         hashes = gram_hashes(data[base : base + n + length - 1], anchor)
         places = np.arange(len(hashes), dtype=np.uint64)
         least = _window_minimum((hashes & ~low) | places, width) & low
-        firsts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        counts = np.diff(np.append(firsts, n))
-        yield hashes[least[firsts].astype(np.int64)].view(np.int64), firsts + base, counts
-
-
-def _as_bytes(value) -> bytes:
-    return b"" if value is None else value if isinstance(value, bytes) else value.encode()
+        turn = np.zeros(n + 1, bool)
+        turn[1:n] = least[1:] != least[:-1]
+        turn[first] = turn[stop] = turn[n] = True
+        inside = np.zeros(n + 1, np.int8)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, stop, -1)
+        turns = np.flatnonzero(turn)
+        kept = np.cumsum(inside)[turns] > 0
+        starts, counts = turns[kept], np.diff(np.append(turns, n))[kept]
+        anchors = least[starts].astype(np.int64)
+        yield np.searchsorted(ends, base + starts, "right"), hashes[anchors].view(np.int64), starts + base, counts, anchors - starts
 
 
 def _anchor_rows(length: int, anchor: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, key in zip(batch.column(0), batch.column(1)):
-                data = np.frombuffer(_as_bytes(text.as_py()), np.uint8)
-                for hashes, _, _ in owned_runs(data, length, anchor):
-                    values, n = np.unique(hashes, return_counts=True)
-                    keys = pa.array([key.as_py()] * len(values), pa.binary())
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(values), pa.array(n.astype(np.int32))], ["k", "h", "n"])
+            for texts, hashes, _, _, _ in owned_runs(*flat_texts(batch.column(0)), length, anchor):
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(texts)), pa.array(hashes)], ["k", "h"])
 
     return rows
 
 
-_CONTEXT = "k binary, first bigint, starts int, h bigint, c binary, context binary, n bigint"
+_CONTEXT = "k binary, first bigint, h bigint, c binary, context binary, place int, n bigint"
 
 
 def _context_rows(length: int, anchor: int):
-    """Per text and repeated anchor: (k, first, starts, c) for each run; per task and context, merged: (h, c, context, n)."""
-    schema = pa.schema([("k", pa.binary()), ("first", pa.int64()), ("starts", pa.int32()), ("h", pa.int64()), ("c", pa.binary()), ("context", pa.binary()), ("n", pa.int64())])
+    """Per text and repeated anchor: (k, first, c) for each run; per task and context, merged: (h, c, context, place, n)."""
+    schema = pa.schema([("k", pa.binary()), ("first", pa.int64()), ("h", pa.int64()), ("c", pa.binary()), ("context", pa.binary()), ("place", pa.int32()), ("n", pa.int64())])
 
     def merged(held: dict) -> pa.RecordBatch:
         n = len(held)
-        hs, cs, xs, counts = zip(*[(h, c, x, m) for (h, c), (x, m) in held.items()])
+        hs, cs, xs, places, counts = zip(*[(h, c, *rest) for (h, c), rest in held.items()])
         none = pa.nulls(n)
         return pa.RecordBatch.from_arrays(
-            [none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(hs, pa.int64()), pa.array(cs, pa.binary()), pa.array(xs, pa.binary()), pa.array(counts, pa.int64())],
+            [none.cast(pa.binary()), none.cast(pa.int64()), pa.array(hs, pa.int64()), pa.array(cs, pa.binary()), pa.array(xs, pa.binary()), pa.array(places, pa.int32()), pa.array(counts, pa.int64())],
             schema=schema,
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple[bytes, int]] = {}
-        size = 0
+        held: dict[tuple[int, bytes], tuple[bytes, int, int]] = {}
+        size, digest = 0, hashlib.md5
         for batch in batches:
-            for text, key, cool, hot in zip(*[batch.column(i) for i in range(4)]):
-                raw, key = _as_bytes(text.as_py()), key.as_py()
-                data = np.frombuffer(raw, np.uint8)
-                wanted = np.array(cool.as_py() or [], np.int64)
-                single = np.array(hot.as_py() or [], np.int64)
-                runs: list[tuple[int, int, int]] = []
-                for hashes, firsts, counts in owned_runs(data, length, anchor):
-                    for i in np.flatnonzero(np.isin(hashes, wanted)):
-                        runs.append((int(hashes[i]), int(firsts[i]), int(counts[i])))
-                    alone = np.flatnonzero(np.isin(hashes, single))
-                    for i in alone:
-                        first, n = int(firsts[i]), int(counts[i])
-                        whole = gram_hashes(data[first : first + n + length - 1], length).view(np.int64)
-                        runs += [(int(h), first + j, 1) for j, h in enumerate(whole)]
-                firsts, sizes, names = [], [], []
-                for h, first, n in runs:
-                    context = raw[first : first + n + length - 1]
-                    name = hashlib.md5(context).digest()
-                    firsts.append(first), sizes.append(n), names.append(name)
+            data, begins, ends = flat_texts(batch.column(0))
+            wanted, single = (np.unique(batch.column(i).flatten().to_numpy(zero_copy_only=False)) for i in (2, 3))
+            for texts, hashes, firsts, counts, places in owned_runs(data, begins, ends, length, anchor):
+                common, alone = np.isin(hashes, wanted), np.flatnonzero(np.isin(hashes, single))
+                if len(alone):
+                    spread, owner = _spread(firsts[alone], counts[alone])
+                    whole = [gram_hashes(data[f : f + n + length - 1], length).view(np.int64) for f, n in zip(firsts[alone], counts[alone])]
+                    texts = np.concatenate([texts[common], texts[alone][owner]])
+                    hashes, firsts = np.concatenate([hashes[common], *whole]), np.concatenate([firsts[common], spread])
+                    counts = np.concatenate([counts[common], np.ones(len(owner), counts.dtype)])
+                    places = np.concatenate([places[common], np.zeros(len(owner), np.int64)])
+                else:
+                    texts, hashes, firsts, counts, places = (x[common] for x in (texts, hashes, firsts, counts, places))
+                names = []
+                for h, first, stop, place in zip(hashes.tolist(), firsts.tolist(), (firsts + counts + length - 1).tolist(), places.tolist()):
+                    context = data[first:stop].tobytes()
+                    name = digest(context).digest()
+                    names.append(name)
                     old = held.get((h, name))
-                    held[h, name] = (context, 1) if old is None else (old[0], old[1] + 1)
-                    size += len(context) + 150 if old is None else 0
-                    if size > _MERGE_BYTES:
-                        yield merged(held)
-                        held, size = {}, 0
-                if runs:
-                    n = len(runs)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * n, pa.binary()), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n).cast(pa.int64()), pa.array(names, pa.binary()), pa.nulls(n).cast(pa.binary()), pa.nulls(n).cast(pa.int64())],
-                        schema=schema,
-                    )
+                    if old is None:
+                        held[h, name] = (context, place, 1)
+                        size += len(context) + 150
+                        if size > _MERGE_BYTES:
+                            yield merged(held)
+                            held, size = {}, 0
+                    else:
+                        held[h, name] = (context, place, old[2] + 1)
+                none = pa.nulls(len(names))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(pa.array(texts)), pa.array(firsts - begins[texts]), none.cast(pa.int64()), pa.array(names, pa.binary()), none.cast(pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())],
+                    schema=schema,
+                )
         if held:
             yield merged(held)
 
@@ -172,23 +193,30 @@ def _context_rows(length: int, anchor: int):
 
 
 def sorted_suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, ranks) of an integer array whose suffixes differ within `depth` symbols, by doubling."""
+    """(suffix array, ranks) of an integer array whose suffixes differ within `depth` symbols, by doubling.
+
+    Only suffixes that are still tied are sorted again.
+    """
     n, width = len(data), int(data.max()) + 2
     done = max(1, 62 // width.bit_length())
     key = np.zeros(n, np.int64)
     for i in range(done):
         key = key * width
         key[: n - i] += data[i:] + 1
+    order = np.argsort(key)
+    rank, places, tied, key = np.empty(n, np.int64), np.arange(n), order, key[order]
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        fresh = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if done >= depth or fresh[-1] == n - 1:
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[tied] = np.maximum.accumulate(np.where(new, places, 0))
+        open_ = ~(new & np.append(new[1:], True))
+        tied, places = tied[open_], places[open_]
+        if done >= depth or not len(tied):
             return order, rank
-        key = rank * np.int64(n + 1)
-        key[: n - done] += rank[done:] + 1
+        after = np.minimum(tied + done, n)
+        key = rank[tied] * np.int64(n + 1) + np.append(rank + 1, 0)[after]
+        again = np.argsort(key)
+        tied, key = tied[again], key[again]
+        order[places] = tied
         done *= 2
 
 
@@ -213,31 +241,26 @@ def bounded_prefixes(order: np.ndarray, rank: np.ndarray, symbols: np.ndarray, l
     before = symbols[order - 1]
     to = rank[order - 1]
     by_symbol = np.argsort(before, kind="stable")
+    spelled = before[by_symbol] * np.int64(n) + by_symbol
     same = before[by_symbol][1:] == before[by_symbol][:-1]
-    behind, ahead = np.full(n, -1), np.full(n, n)
-    behind[by_symbol[1:][same]] = by_symbol[:-1][same]
+    ahead = np.full(n, n)
     ahead[by_symbol[:-1][same]] = by_symbol[1:][same]
-    turns = np.flatnonzero(before[1:] != before[:-1])
-    low, high, width = np.array([0]), np.array([n - 1]), symbols.max() + 1
+    turn = before[1:] != before[:-1]
+    turns, turns_before = np.flatnonzero(turn), np.concatenate([[0], np.cumsum(turn)])
+    low, high = np.array([0]), np.array([n - 1])
     for level in range(length):
         if not len(low):
             break
-        a, b = np.searchsorted(turns, low), np.searchsorted(turns, high)
-        inner, owner = _spread(a, b - a)
-        lasts = np.concatenate([turns[inner], high])
-        firsts = np.concatenate([turns[inner] + 1, low])
-        owner = np.concatenate([owner, np.arange(len(low))])
-        keep = ahead[lasts] > high[owner]
-        lasts, last_owner = lasts[keep], owner[keep]
-        keep = behind[firsts] < low[owner]
-        firsts, first_owner = firsts[keep], owner[keep]
-        by_last = np.argsort(last_owner * width + before[lasts], kind="stable")
-        by_first = np.argsort(first_owner * width + before[firsts], kind="stable")
-        lasts, firsts = lasts[by_last], firsts[by_first]
-        next_low, next_high = to[firsts], to[lasts]
+        inner, owner = _spread(turns_before[low], turns_before[high] - turns_before[low])
+        inner = turns[inner]
+        last = ahead[inner] > high[owner]
+        lasts, owner = np.concatenate([inner[last], high]), np.concatenate([owner[last], np.arange(len(low))])
+        next_high = to[lasts]
         unset = found[next_high + 1] == length
-        found[next_high[unset] + 1] = level
-        low, high = next_low[unset], next_high[unset]
+        lasts, owner, high = lasts[unset], owner[unset], next_high[unset]
+        found[high + 1] = level
+        firsts = by_symbol[np.searchsorted(spelled, before[lasts] * np.int64(n) + low[owner])]
+        low = to[firsts]
     return found[:n]
 
 
@@ -269,55 +292,107 @@ def _run_list(starts: np.ndarray) -> list[int]:
     return np.stack([firsts, counts], axis=1).ravel().tolist()
 
 
-def _transformed(length: int):
-    """(c, runs) of the contexts, sorted by anchor and content, that hold repeated strings."""
+def _comparable(group: list[tuple], anchor: int, length: int) -> list[tuple]:
+    """The contexts of one anchor that can hold a repeated string.
 
-    def settle(block: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-        found = repeated_starts([b[1] for b in block], [b[2] for b in block], length)
+    A string around the anchor has half of the bytes it still needs on one side
+    of it at least; a context is out if the longer strings to either side of its
+    anchor occur nowhere else in the group.
+    """
+    half = (length - anchor) // 2
+    sides: dict[bytes, int] = {}
+    keys = []
+    for _, context, at, n in group:
+        own = [b"L" + context[at - half : at + anchor]] if at >= half else []
+        own += [b"R" + context[at : at + length - half]] if at + length - half <= len(context) else []
+        keys.append(own)
+        for side in own:
+            sides[side] = sides.get(side, 0) + n
+    return [g for g, own in zip(group, keys) if any(sides[side] > 1 for side in own)]
+
+
+def _transformed(length: int, anchor: int):
+    """(c, runs) of the contexts, sorted by anchor and content, that hold repeated strings.
+
+    Equal contexts are merged and counted; one that meets no other has only
+    strings that occur as often as itself.
+    """
+
+    def batch_of(names: list[bytes], runs: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(runs, pa.list_(pa.int32()))], ["c", "runs"])
+
+    def settle(block: list[tuple]) -> pa.RecordBatch:
+        found = repeated_starts([b[1] for b in block], [b[3] for b in block], length)
         rows = [(b[0], _run_list(s)) for b, s in zip(block, found) if len(s)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["c", "runs"]
-        )
+        return batch_of([r[0] for r in rows], [r[1] for r in rows])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple[bytes, bytes, int]] = []
+        block: list[tuple] = []
+        lone: list[tuple] = []
+        group: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for h, c, context, n in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                if block and last == h and block[-1][0] == c:
-                    block[-1] = (c, context, block[-1][2] + n)
+            for h, c, context, place, n in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                if group and last == h and group[-1][0] == c:
+                    group[-1] = (c, context, place, group[-1][3] + n)
                     continue
-                if h != last and size >= _BLOCK_BYTES:
-                    yield settle(block)
-                    block, size = [], 0
-                block.append((c, context, n))
-                size, last = size + len(context), h
+                if h != last:
+                    size += _close(group, block, lone, anchor, length)
+                    group = []
+                    if size >= _BLOCK_BYTES:
+                        yield settle(block)
+                        block, size = [], 0
+                group.append((c, context, place, n))
+                last = h
+            if lone:
+                yield batch_of([g[0] for g in lone], [[0, len(g[1]) - length + 1] for g in lone])
+                lone = []
+        _close(group, block, lone, anchor, length)
+        if lone:
+            yield batch_of([g[0] for g in lone], [[0, len(g[1]) - length + 1] for g in lone])
         if block:
             yield settle(block)
 
     return rows
 
 
+def _close(group: list[tuple], block: list[tuple], lone: list[tuple], anchor: int, length: int) -> int:
+    """Hand a finished group on; returns the bytes added to the block."""
+    if len(group) == 1:
+        lone.extend(g for g in group if g[3] > 1)
+        return 0
+    kept = _comparable(group, anchor, length)
+    block.extend(kept)
+    return sum(len(g[1]) for g in kept)
+
+
 def _cut(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("_text"), batch.column("_spans")):
-                raw = _as_bytes(text.as_py())
-                gone = np.zeros(len(raw) + 1, np.int32)
-                for span in spans.as_py() or []:
-                    runs = np.array(span["runs"], np.int64).reshape(-1, 2)
-                    np.add.at(gone, span["first"] + runs[:, 0], 1)
-                    np.add.at(gone, span["first"] + runs[:, 0] + runs[:, 1] + length - 1, -1)
-                gone = (np.cumsum(gone) > 0)[:-1]
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((kept, int(gone.sum()), len(edges) // 2))
-            kept, removed, spans = ([r[i] for r in out] for i in range(3))
-            columns = [batch.column(c) for c in batch.schema.names if c not in ("_text", "_spans")]
+            data, begins, ends = flat_texts(batch.column("_text"))
+            spans = batch.column("_spans")
+            flat, runs = spans.flatten(), spans.flatten().field("runs")
+            per_text = np.diff(spans.offsets.to_numpy())
+            per_span = np.diff(runs.offsets.to_numpy()) // 2
+            pairs = runs.flatten().to_numpy().reshape(-1, 2)
+            text_of = np.repeat(np.repeat(np.arange(len(per_text)), per_text), per_span)
+            starts = np.repeat(flat.field("first").to_numpy(), per_span) + pairs[:, 0] + begins[text_of]
+            cover = np.zeros(len(data) + 1, np.int32)
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, starts + pairs[:, 1] + length - 1, -1)
+            gone = np.cumsum(cover)[:-1] > 0
+            edge = gone.copy()
+            edge[1:] &= ~gone[:-1]
+            kept, removed, n_spans = [], [], []
+            for a, b in zip(begins.tolist(), ends.tolist()):
+                part = gone[a:b]
+                kept.append(data[a:b][~part].tobytes())
+                removed.append(int(np.count_nonzero(part)))
+                n_spans.append(int(np.count_nonzero(edge[a:b])) + int(b > a and part[0] and not edge[a]))
             names = [c for c in batch.schema.names if c not in ("_text", "_spans")]
+            columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*names, "kept", "n_removed", "n_spans"]
+                [*columns, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())], [*names, "kept", "n_removed", "n_spans"]
             )
 
     return rows
@@ -331,8 +406,8 @@ def repeated_spans(texts: DataFrame, length: int = 200, anchor: int = 48, keep_a
     second table has (k, first, runs): starts first + runs[2i] up to runs[2i + 1]
     of them are of strings that occur elsewhere.
     """
-    anchors = stage_table(texts.select("t", "k").mapInArrow(_anchor_rows(length, anchor), "k binary, h bigint, n int"))
-    totals = anchors.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("hot", F.col("n") > HOT).select("h", "hot")
+    anchors = stage_table(texts.select("t", "k").mapInArrow(_anchor_rows(length, anchor), "k binary, h bigint"))
+    totals = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("hot", F.col("n") > HOT).select("h", "hot")
     per_text = anchors.select("k", "h").join(totals, "h").groupBy("k").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cool"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("single")
     )
@@ -342,8 +417,8 @@ def repeated_spans(texts: DataFrame, length: int = 200, anchor: int = 48, keep_a
     beside = stage_table(beside)
     shared = beside.filter("candidate").select("t", "k", "cool", "single").mapInArrow(_context_rows(length, anchor), _CONTEXT)
     shared = stage_table(shared)
-    contexts = shared.filter("context is not null").select("h", "c", "context", "n").repartition("h").sortWithinPartitions("h", "c")
-    repeated = contexts.mapInArrow(_transformed(length), "c binary, runs array<int>")
+    contexts = shared.filter("context is not null").select("h", "c", "context", "place", "n").repartition("h").sortWithinPartitions("h", "c")
+    repeated = contexts.mapInArrow(_transformed(length, anchor), "c binary, runs array<int>")
     places = shared.filter("k is not null").groupBy("k", "first").agg(F.first("c").alias("c"))
     return beside.drop("cool", "single"), places.join(repeated, "c").select("k", "first", "runs")
 
