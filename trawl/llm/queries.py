@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import mixing, packing, quality, simhash, substrings
+from trawl.llm import html_text, mixing, packing, quality, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,3 +88,10 @@ def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of good quality of every document by its words, by its metadata, and by both."""
     scored = quality.cotrained_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "content_score", "metadata_score", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
+@query("op9_main_text")
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    pages = html_text.with_main_text(_table(spark, sf_dir, "pages"), out="main_text")
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("bigint").alias("n_chars"))
