@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import html_text, mixing, packing, quality, simhash, substrings
+from trawl.llm import html_text, mixing, packing, quality, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,3 +95,14 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article text of every page."""
     pages = html_text.with_main_text(_table(spark, sf_dir, "pages"), out="main_text")
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("bigint").alias("n_chars"))
+
+
+#: (host, path, verdict)
+_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op7_url_verdicts")
+def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    judged = urls.url_verdicts(_table(spark, sf_dir, "pages"), urls.rules_frame(spark, _RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
