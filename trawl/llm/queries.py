@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import html_text, mixing, packing, quality, simhash, substrings, urls
+from trawl.llm import fingerprints, html_text, mixing, packing, quality, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,3 +106,9 @@ def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     judged = urls.url_verdicts(_table(spark, sf_dir, "pages"), urls.rules_frame(spark, _RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@query("op4_version_fingerprints")
+def op4_version_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.edited_likeness(_table(spark, sf_dir, "documents"))
