@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import fingerprints, html_text, mixing, packing, quality, simhash, substrings, urls
+from trawl.llm import fingerprints, html_text, mixing, packing, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,3 +112,29 @@ def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_version_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
     return fingerprints.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def byte_vocabulary() -> str:
+    """Path of the public byte-level BPE ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op3_edited_token_counts")
+def op3_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits of its text.
+
+    At a third the first 24 characters are put in once more; then 40 characters
+    from the middle go; then 20 characters at three quarters become the word "edit".
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")
+
+    def change(start, length: int, text):
+        return F.struct(F.floor(start).alias("start"), (F.floor(start) + length).alias("stop"), text.alias("text"))
+
+    edits = F.array(change(n / 3, 0, F.substring("text", 1, 24)), change(n / 2, 40, F.lit("")), change(n * 0.75, 20, F.lit("edit")))
+    counted = token_counts.with_edit_counts(docs, byte_vocabulary(), edits)
+    c = F.col("token_counts")
+    return counted.select("doc_id", c["tokens"].alias("tokens"), c["edited_tokens"].alias("edited_tokens"), c["encoded_chars"].alias("encoded_chars"), F.sha2(c["edited"].cast("binary"), 256).alias("edited_sha256"))
