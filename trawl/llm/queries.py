@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import fingerprints, html_text, mixing, packing, quality, simhash, substrings, token_counts, urls
+from trawl.llm import fingerprints, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,3 +138,10 @@ def op3_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.with_edit_counts(docs, byte_vocabulary(), edits)
     c = F.col("token_counts")
     return counted.select("doc_id", c["tokens"].alias("tokens"), c["edited_tokens"].alias("edited_tokens"), c["encoded_chars"].alias("encoded_chars"), F.sha2(c["edited"].cast("binary"), 256).alias("edited_sha256"))
+
+
+@query("op2_nearest_vectors")
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest other vectors of every 50th vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
