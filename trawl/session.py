@@ -77,17 +77,22 @@ def scratch_folder(spark: SparkSession) -> str:
     return name
 
 
-def drop_stages(spark: SparkSession) -> int:
+def drop_stages(spark: SparkSession, needed_by: DataFrame | None = None) -> int:
     """Delete the folders that this session's `scratch_folder` calls named; returns how many.
 
-    Call it when no result that reads them is needed any more.
+    Folders that `needed_by` reads stay. Call it when no other result that was
+    not written elsewhere needs them any more.
     """
     names = _STAGED.pop(spark.sparkContext.applicationId, [])
+    files = needed_by.inputFiles() if needed_by is not None and names else []
+    kept = [n for n in names if any(n.rsplit("/", 1)[1] in f for f in files)]
+    _STAGED[spark.sparkContext.applicationId] = kept
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in names:
+    gone = [n for n in names if n not in kept]
+    for name in gone:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return len(names)
+    return len(gone)
 
 
 def stage_table(df: DataFrame) -> DataFrame:
