@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
 from trawl.llm import mixing, packing, quality, simhash, substrings
 from trawl.llm.queries import word_vocabulary
-from trawl.session import stage_table
+from trawl.session import drop_stages, scratch_folder
+
+
+def _fresh(stage):
+    """A stage that first deletes what earlier ones staged, but for what its input is read from.
+
+    The stages' results are written before the next one starts, so only the
+    input can still need a staged table.
+    """
+
+    @functools.wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_stages(spark, needed_by=docs)
+        return stage(spark, docs, sf_dir)
+
+    return begin
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +59,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("quality classifier", keep_good),
-    ("SimHash near-dedup", drop_near_duplicates),
-    ("suffix-array dedup", cut_repeats),
-    ("mixing sources to target weights", mix_sources),
-    ("packing", pack_sequences),
+    ("quality classifier", _fresh(keep_good)),
+    ("SimHash near-dedup", _fresh(drop_near_duplicates)),
+    ("suffix-array dedup", _fresh(cut_repeats)),
+    ("mixing sources to target weights", _fresh(mix_sources)),
+    ("packing", _fresh(pack_sequences)),
 ]
 
 #: The stages use trained models, tokens and similarity groups, which SQL cannot express.
@@ -58,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir))
+        folder = scratch_folder(spark)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)

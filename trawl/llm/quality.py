@@ -176,6 +176,10 @@ def _inputs(docs: DataFrame, text: str):
     return [F.col(f"`{text}`"), *[(F.col(c) if c in have else F.lit(None)).cast(kind) for c, kind in kinds.items()]]
 
 
+def _order(seed: int, key: str):
+    return F.xxhash64(F.lit(seed), F.col(key))
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rounds: int = 5,
     max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, seed: int = 42,
@@ -185,32 +189,28 @@ def fit(
     Labels above 0.5 in the mean of a key are good; rows without key or label
     are left out. Only the features of the picked rows reach the driver.
     """
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    order = _order(seed, key)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("_y"))
     labelled = known.orderBy(order, key).limit(max_labelled).select(F.col(key).alias("_k"), (F.col("_y") > 0.5).cast("double").alias("_y"))
     ids = docs.select(key).filter(F.col(key).isNotNull())
     pool = ids.orderBy(order, key).limit(max_pool).distinct().join(known.select(key), key, "left_anti")
     wanted = labelled.union(pool.select(F.col(key).alias("_k"), F.lit(None).cast("double"))).dropDuplicates(["_k"])
     picked = docs.select(F.col(key).alias("_k"), *[c.alias(n) for c, n in zip(_inputs(docs, text), ("t", "n", "s", "g"))])
-    picked = picked.join(F.broadcast(wanted), "_k").orderBy(order_of(seed, "_k"), "_k", "n").limit(max_labelled + max_pool)
+    picked = picked.join(F.broadcast(wanted), "_k").orderBy(_order(seed, "_k"), "_k", "n").limit(max_labelled + max_pool)
 
     def packed(texts: pa.Array, counts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
         content, meta = _features(texts, counts, sources, langs)
         return pa.array([row.tobytes() for row in np.hstack([content, meta])], pa.binary())
 
     found = picked.select("_y", F.arrow_udf(packed, "binary")("t", "n", "s", "g").alias("x")).toArrow()
+    if not found.num_rows:
+        return CoTrained(1.0)
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(found.num_rows, -1)
     y = found["_y"].to_numpy().astype(float)
-    if not len(y):
-        return CoTrained(1.0)
     content, meta, has = x[:, : 5 + _TRIPLES], x[:, 5 + _TRIPLES :], ~np.isnan(y)
     return CoTrained.fit(content[has], meta[has], y[has], content[~has], meta[~has], rounds)
 
 
-def order_of(seed: int, key: str):
-    return F.xxhash64(F.lit(seed), F.col(key))
-
-
 def with_scores(docs: DataFrame, model: CoTrained, text: str = "text") -> DataFrame:
     """docs with content_score, metadata_score and score, the probability of good.
 

@@ -20,6 +20,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -183,22 +184,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.filter(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+#: Members and bytes of shingle hashes of a bucket that one task compares with as many others.
+_BLOCK_MEMBERS, _BLOCK_BYTES = 2048, 16 << 20
+
+
+def _linked_in_block(similarity: float):
+    """Of a block pair's members (t, root, s, block; i and j name the pair), links that join different components.
+
+    Shingles that occur once in the pair are in no intersection; the others make
+    a 0/1 matrix, whose products are all intersections. Only links that join two
+    components that were apart until then come out, never the pairs.
+    """
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        rows = rows.sort_values(["block", "t"])
+        sets = [np.frombuffer(s, np.int64) for s in rows["s"]]
+        sizes, blocks = np.array([len(s) for s in sets]), rows["block"].to_numpy()
+        names, roots = rows["t"].tolist(), rows["root"].tolist()
+        parent = {r: r for r in roots}
+
+        def top(r: bytes) -> bytes:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        common = count[place] > 1
+        row_of, column_of = np.repeat(np.arange(len(sets)), sizes)[common], column[place[common]]
+        width = int(column[-1]) + 1 if len(column) else 0
+        left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        at = np.zeros(len(sets), np.int64)
+        at[left] = np.arange(len(left))
+        for start in range(0, width, 4096):
+            part = (column_of >= start) & (column_of < start + 4096)
+            matrix = np.zeros((len(sets), min(4096, width - start)), np.float32)
+            matrix[row_of[part], column_of[part] - start] = 1
+            shared += matrix[left] @ matrix[right].T
+        linked = shared >= similarity * (sizes[left][:, None] + sizes[right][None, :] - shared) - 1e-3
+        pairs = []
+        for x, y in zip(*np.nonzero(linked)):
+            a, b, n = left[x], right[y], int(shared[x, y])
+            if a != b and n >= similarity * (int(sizes[a]) + int(sizes[b]) - n):
+                p, q = top(roots[a]), top(roots[b])
+                if p != q:
+                    parent[p] = q
+                    pairs.append((names[a], names[b]))
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    return found
+
+
+def _links_across(shared: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that the buckets' members have beside those to their leaders, where members are of different components."""
+    rooted = shared.filter("n > 2 and not leads").join(found.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    packed = F.arrow_udf(lambda batch: pa.array([np.asarray(s.values.to_numpy(zero_copy_only=False), np.int64).tobytes() for s in batch], pa.binary()), "binary")
+    members = stage_table(rooted.join(open_, "bucket").join(sets.select("t", F.size("s").alias("m")), "t").select("bucket", "t", "root", "m"))
+    blocks = members.groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count("*") / _BLOCK_MEMBERS), F.ceil(F.sum(F.col("m") * 8) / _BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    placed = members.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = placed.withColumn("other", other).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "t", "root", "block")
+    full = paired.join(sets.select("t", packed("s").alias("s")), "t")
+    return full.groupBy("bucket", "i", "j").applyInPandas(_linked_in_block(similarity), "a binary, b binary")
+
+
 def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """(node, root): digests of different texts whose word-shingle sets have this Jaccard similarity, directly or over others.
 
     texts holds (t BINARY digest, text). Copies count once. Who shares a sampled
-    fingerprint is compared with the bucket's most central member first, the one
-    that shares most buckets with others, and whoever is linked by then needs no
-    further comparison; those of other components meet 8, 64, 512 ... members
-    until a bucket is one component or all its members have met.
+    fingerprint is compared with the bucket's most central member, the one that
+    shares most buckets with others. Buckets that hold several components after
+    that are compared in full, in blocks inside tasks.
     """
-    hashed = texts.withColumn("f", F.arrow_udf(lambda batch: pa.array([sampled_fingerprints(t, words) for t in batch.to_pylist()], pa.list_(pa.int64())), "array<bigint>")("text"))
+    hashed = texts.withColumn("f", F.arrow_udf(lambda batch: pa.array([sampled_fingerprints(t.as_py(), words) for t in batch], pa.list_(pa.int64())), "array<bigint>")("text"))
     signed = stage_table(hashed.select("t", "f").groupBy("t").agg(F.first("f").alias("f")))
     shared = signed.select("t", F.posexplode("f").alias("view", "fp")).select("t", F.xxhash64("view", "fp").alias("bucket"))
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stage_table(shared.join(sizes, "bucket"))
-    whole = signed.select("t", F.get("f", F.lit(0)).alias("fp")).groupBy("fp").agg(F.min("t").alias("t"))
-    whole = stage_table(whole)
+    whole = stage_table(signed.select("t", F.get("f", F.lit(0)).alias("fp")).groupBy("fp").agg(F.min("t").alias("t")))
     linked = linked_fingerprints(whole, max_bits)
     ends = whole.select(F.col("fp").alias("a"), F.col("t").alias("ta")), whole.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
     near = stage_table(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
@@ -206,24 +275,14 @@ def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8, max
     sets = texts.join(involved, "t", "left_semi").dropDuplicates(["t"]).select("t", _shingle_sets(words)("text").alias("s"))
     sets = stage_table(sets)
     central = shared.groupBy("t").agg(F.sum("n").alias("central"))
-    shared = stage_table(shared.join(central, "t").select("bucket", "t", "n", "central"))
-    lead = shared.groupBy("bucket").agg(F.max_by("t", F.struct("central", "t")).alias("a"))
-    pairs = shared.join(lead, "bucket").filter(F.col("a") != F.col("t")).select("a", F.col("t").alias("b")).union(near).distinct()
+    weighed = shared.join(central, "t")
+    lead = weighed.groupBy("bucket").agg(F.max_by("t", F.struct("central", "t")).alias("a"))
+    shared = stage_table(shared.join(lead, "bucket").withColumn("leads", F.col("a") == F.col("t")))
+    pairs = shared.filter("not leads").select("a", F.col("t").alias("b")).union(near).distinct()
     links = stage_table(_verified(pairs, sets, similarity))
     found = stage_table(components(links))
-    met, most = 1, 8
-    while True:
-        rooted = shared.filter(F.col("n") > met).join(found.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-        order = Window.partitionBy("bucket").orderBy(F.desc("central"), F.desc("t"))
-        ranked = stage_table(rooted.join(open_, "bucket").withColumn("place", F.row_number().over(order)).select("bucket", "t", "root", "place"))
-        if ranked.isEmpty():
-            return found
-        heads = ranked.filter((F.col("place") > met) & (F.col("place") <= most)).select("bucket", F.col("t").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa"))
-        fresh = heads.join(ranked, "bucket").filter("root <> ra and place > pa").select("a", F.col("t").alias("b")).distinct()
-        links = stage_table(links.union(_verified(fresh, sets, similarity)))
-        found = stage_table(components(links))
-        met, most = most, most * 8
+    across = stage_table(_links_across(shared, found, sets, similarity))
+    return components(links.union(across))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
