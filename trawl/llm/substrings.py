@@ -10,9 +10,9 @@ partition, where a Burrows-Wheeler transform over a block of anchors decides:
 breadth-first backward extension sets the common prefix of neighbouring suffixes
 by increasing value and stops at `length`; what is not set by then is repeated.
 
-An anchor that occurs more than `HOT` times gives up ownership to the whole
-strings themselves: then what meets are equal strings only, which merge before
-they are sent.
+Equal texts around an anchor are merged and counted before they are sent, so
+copies cost no more. An anchor with more than `HOT` different texts around it is
+left out of the blocks: the digests of those texts' strings are counted instead.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from trawl.session import stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Occurrences of one anchor that are compared as texts around it.
+#: Different texts around one anchor that are compared in one transform.
 HOT = 4096
 #: Bytes of text in one transform.
 _BLOCK_BYTES = 1 << 20
@@ -155,18 +155,10 @@ def _context_rows(length: int, anchor: int):
         size, digest = 0, hashlib.md5
         for batch in batches:
             data, begins, ends = flat_texts(batch.column(0))
-            wanted, single = (np.unique(batch.column(i).flatten().to_numpy(zero_copy_only=False)) for i in (2, 3))
+            wanted = np.unique(batch.column(2).flatten().to_numpy(zero_copy_only=False))
             for texts, hashes, firsts, counts, places in owned_runs(data, begins, ends, length, anchor):
-                common, alone = np.isin(hashes, wanted), np.flatnonzero(np.isin(hashes, single))
-                if len(alone):
-                    spread, owner = _spread(firsts[alone], counts[alone])
-                    whole = [gram_hashes(data[f : f + n + length - 1], length).view(np.int64) for f, n in zip(firsts[alone], counts[alone])]
-                    texts = np.concatenate([texts[common], texts[alone][owner]])
-                    hashes, firsts = np.concatenate([hashes[common], *whole]), np.concatenate([firsts[common], spread])
-                    counts = np.concatenate([counts[common], np.ones(len(owner), counts.dtype)])
-                    places = np.concatenate([places[common], np.zeros(len(owner), np.int64)])
-                else:
-                    texts, hashes, firsts, counts, places = (x[common] for x in (texts, hashes, firsts, counts, places))
+                common = np.isin(hashes, wanted)
+                texts, hashes, firsts, counts, places = (x[common] for x in (texts, hashes, firsts, counts, places))
                 names = []
                 for h, first, stop, place in zip(hashes.tolist(), firsts.tolist(), (firsts + counts + length - 1).tolist(), places.tolist()):
                     context = data[first:stop].tobytes()
@@ -407,20 +399,43 @@ def repeated_spans(texts: DataFrame, length: int = 200, anchor: int = 48, keep_a
     of them are of strings that occur elsewhere.
     """
     anchors = stage_table(texts.select("t", "k").mapInArrow(_anchor_rows(length, anchor), "k binary, h bigint"))
-    totals = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("hot", F.col("n") > HOT).select("h", "hot")
-    per_text = anchors.select("k", "h").join(totals, "h").groupBy("k").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cool"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("single")
-    )
-    beside = texts.join(per_text, "k", "left").withColumn("candidate", F.col("cool").isNotNull())
+    again = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    per_text = anchors.join(again, "h").groupBy("k").agg(F.collect_set("h").alias("shared"))
+    beside = texts.join(per_text, "k", "left").withColumn("candidate", F.col("shared").isNotNull())
     if not keep_all:
         beside = beside.withColumn("t", F.when(F.col("candidate"), F.col("t")))
     beside = stage_table(beside)
-    shared = beside.filter("candidate").select("t", "k", "cool", "single").mapInArrow(_context_rows(length, anchor), _CONTEXT)
+    shared = beside.filter("candidate").select("t", "k", "shared").mapInArrow(_context_rows(length, anchor), _CONTEXT)
     shared = stage_table(shared)
-    contexts = shared.filter("context is not null").select("h", "c", "context", "place", "n").repartition("h").sortWithinPartitions("h", "c")
-    repeated = contexts.mapInArrow(_transformed(length, anchor), "c binary, runs array<int>")
+    contexts = shared.filter("context is not null").select("h", "c", "context", "place", "n")
+    many = contexts.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("h")
+    many = contexts.select("h", "c").join(many, "h").distinct().groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("h")
+    many = stage_table(many)
+    hot = not many.isEmpty()
+    cool = contexts.join(many, "h", "left_anti") if hot else contexts
+    cool = cool.repartition("h").sortWithinPartitions("h", "c")
+    repeated = cool.mapInArrow(_transformed(length, anchor), "c binary, runs array<int>")
+    if hot:
+        repeated = repeated.union(_counted(contexts.join(many, "h", "left_semi"), length))
     places = shared.filter("k is not null").groupBy("k", "first").agg(F.first("c").alias("c"))
-    return beside.drop("cool", "single"), places.join(repeated, "c").select("k", "first", "runs")
+    return beside.drop("shared"), places.join(repeated, "c").select("k", "first", "runs")
+
+
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """(c, runs) of contexts with strings that occur more than once, by counting the digests of all their strings."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, context, n in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                starts = len(context) - length + 1
+                found = [hashlib.md5(context[i : i + length]).digest() for i in range(starts)]
+                yield pa.RecordBatch.from_arrays([pa.array([c] * starts, pa.binary()), pa.array(range(starts), pa.int32()), pa.array(found, pa.binary()), pa.array([n] * starts, pa.int64())], ["c", "start", "g", "n"])
+
+    distinct = contexts.groupBy("h", "c").agg(F.first("context").alias("context"), F.sum("n").alias("n")).select("c", "context", "n")
+    grams = stage_table(distinct.mapInArrow(strings, "c binary, start int, g binary, n bigint"))
+    often = grams.groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g")
+    runs = F.flatten(F.transform(F.array_sort(F.collect_set("start")), lambda i: F.array(i, F.lit(1))))
+    return grams.join(often, "g").groupBy("c").agg(runs.alias("runs"))
 
 
 def without_repeats(docs: DataFrame, length: int = 200, anchor: int = 48, text: str = "text", digest: bool = False) -> DataFrame:
