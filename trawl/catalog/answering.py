@@ -160,7 +160,7 @@ def _(spark, d):
 
 
 # Answers made from documents: ranges, reversed ranges, lists and blank pages.
-_ANSWERS = """answers AS (SELECT doc_id AS query_id, left(text, 80) || ' [' || source || '.pdf:' || doc_id % 50 || '-' || (doc_id % 50 + 2) || ', 7] and [' ||
+_ANSWERS = """answers AS (SELECT doc_id AS query_id, text || ' [' || source || '.pdf:' || doc_id % 50 || '-' || (doc_id % 50 + 2) || ', 7] and [' ||
   source || '.pdf: 9–4 , x' || '] [other.PDF:3] [src1.pdf : ,] [ src2.pdf:' || doc_id % 9 || ']' AS answer FROM documents)"""
 
 
@@ -168,7 +168,7 @@ def answers(spark, d):
     i = F.col("doc_id")
     s = lambda c: c.cast("string")
     answer = F.concat(
-        F.substring("text", 1, 80), F.lit(" ["), "source", F.lit(".pdf:"), s(i % 50), F.lit("-"), s(i % 50 + 2), F.lit(", 7] and ["),
+        "text", F.lit(" ["), "source", F.lit(".pdf:"), s(i % 50), F.lit("-"), s(i % 50 + 2), F.lit(", 7] and ["),
         "source", F.lit(".pdf: 9–4 , x] [other.PDF:3] [src1.pdf : ,] [ src2.pdf:"), s(i % 9), F.lit("]"),
     )
     return table(spark, d, "documents").select(i.alias("query_id"), answer.alias("answer"))
@@ -197,16 +197,16 @@ def _(spark, d):
 
 # Passages to match: each document answers for itself, as page doc_id % 60 of its file.
 _DOC_PASSAGES = """docs AS (SELECT doc_id AS query_id, 1::BIGINT AS place, source || '.pdf' AS doc_name, doc_id % 60 AS page, text,
-  quality / 2 + 0.25 AS relevance, doc_id % 7 / 7 AS hybrid_score FROM documents JOIN labels USING (doc_id)),
+  coalesce(quality, 1) / 2 + 0.25 AS relevance, doc_id % 7 / 7 AS hybrid_score FROM documents LEFT JOIN labels USING (doc_id)),
 matched AS (SELECT d.* FROM docs d WHERE EXISTS (SELECT 1 FROM cited c WHERE c.query_id = d.query_id AND c.doc_name = d.doc_name
   AND (c.page IS NULL OR c.page = '' OR c.page = d.page::VARCHAR)))
 """
 
 
 def _matched(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(
         F.col("doc_id").alias("query_id"), F.lit(1).cast("bigint").alias("place"), F.concat("source", F.lit(".pdf")).alias("doc_name"),
-        (F.col("doc_id") % 60).alias("page"), "text", (F.col("quality") / 2 + 0.25).alias("relevance"),
+        (F.col("doc_id") % 60).alias("page"), "text", (F.coalesce("quality", F.lit(1)) / 2 + 0.25).alias("relevance"),
         (F.col("doc_id") % 7 / 7).alias("hybrid_score"),
     )
     return ct.match_sources(docs, ct.extract_citations(answers(spark, d)))

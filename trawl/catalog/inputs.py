@@ -47,9 +47,10 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that have a vector."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_key"), F.col("embedding").alias("vec"))
-    return text_chunks(spark, sf_dir).join(vectors, "chunk_key")
+    """Every document with a vector; the vectors are dealt out in turn."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec_id"), F.col("embedding").alias("vec"))
+    dealt = F.col("chunk_key") % F.lit(vectors.count())
+    return text_chunks(spark, sf_dir).withColumn("_vec_id", dealt).join(vectors, "_vec_id").drop("_vec_id")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ TEXT_CHUNKS_SQL = f"""text_chunks AS (
   FROM documents)"""
 
 CHUNKS_SQL = TEXT_CHUNKS_SQL + """,
-chunks AS (SELECT c.*, e.embedding::DOUBLE[] AS vec FROM text_chunks c JOIN embeddings e ON e.vec_id = c.chunk_key)"""
+chunks AS (SELECT c.*, e.embedding::DOUBLE[] AS vec FROM text_chunks c JOIN embeddings e ON e.vec_id = c.chunk_key % (SELECT count(*) FROM embeddings))"""
 
 QUESTIONS_SQL = """questions AS (
   SELECT b.item_id AS query_id, b.text AS query_text, e.embedding::DOUBLE[] AS vec
@@ -80,18 +81,23 @@ TEXT_QUESTIONS_SQL = "questions AS (SELECT item_id AS query_id, text AS query_te
 TERM_RE = r"\p{L}+\p{M}*|\p{Nd}+"
 
 
-def bm25_sql(source: str) -> str:
-    """CTEs from a table of (chunk_key, text) and ``questions`` up to sparse scores."""
+def bm25_stats_sql(source: str) -> str:
+    """CTEs from a table of (chunk_key, text) up to the term weights."""
     return rf"""tf AS (
   SELECT chunk_key, term, count(*) AS tf FROM (
     SELECT chunk_key, lower(unnest(regexp_extract_all(text, '{TERM_RE}'))) AS term FROM {source}) GROUP BY ALL),
-lens AS (SELECT chunk_key, sum(tf) AS len FROM tf GROUP BY ALL),
 dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
 size AS (SELECT count(*) AS n FROM {source}),
 ridf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfreq, size),
 stat AS (SELECT (SELECT n FROM size) AS n, (SELECT sum(tf) FROM tf) / (SELECT n FROM size) AS avg_len,
                 (SELECT avg(raw) FROM ridf) AS mean_idf),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END AS idf FROM ridf, stat),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END AS idf FROM ridf, stat)"""
+
+
+def bm25_sql(source: str) -> str:
+    """The same and ``questions`` up to sparse scores."""
+    return bm25_stats_sql(source) + rf""",
+lens AS (SELECT chunk_key, sum(tf) AS len FROM tf GROUP BY ALL),
 qt AS (SELECT query_id, term, count(*) AS qn FROM (
   SELECT query_id, lower(unnest(regexp_extract_all(query_text, '{TERM_RE}'))) AS term FROM questions) GROUP BY ALL),
 sparse AS (

@@ -100,16 +100,16 @@ def _(spark, d):
     return ops.cache_stats(_cache(spark, d), _answer_cache(spark, d, "true"))
 
 
-# Evaluation cases: the question of an exchange, its answer, and two words to look for.
-_CASES = r"""cases AS (SELECT u.conv_id, u.turn, a.text AS answer, regexp_extract_all(upper(u.text), '\S+')[1:2] AS expected, len(u.text)::DOUBLE AS latency_ms
+# Evaluation cases: the question of an exchange, its answer, and the question's words to look for.
+_CASES = r"""cases AS (SELECT u.conv_id, u.turn, a.text AS answer, regexp_extract_all(upper(u.text), '\S+') AS expected, len(u.text)::DOUBLE AS latency_ms
   FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
-judged AS (SELECT *, coalesce(contains(lower(answer), lower(expected[1])), false) OR coalesce(contains(lower(answer), lower(expected[2])), false) AS matched FROM cases)"""
+judged AS (SELECT *, answer IS NOT NULL AND len(list_filter(expected, lambda x: contains(lower(answer), lower(x)))) > 0 AS matched FROM cases)"""
 
 
 def cases(spark, d):
     c = table(spark, d, "conversations")
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    words = F.slice(F.regexp_extract_all(F.upper("text"), F.lit(r"(\S+)"), F.lit(1)), 1, 2)
+    words = F.regexp_extract_all(F.upper("text"), F.lit(r"(\S+)"), F.lit(1))
     return c.filter("role = 'user'").join(a, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "answer", words.alias("expected"), F.length("text").cast("double").alias("latency_ms")
     )

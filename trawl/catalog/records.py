@@ -329,7 +329,7 @@ def _(spark, d):
 _CHANGES = _EXCHANGES + """, acts AS (SELECT conv_id * 1000 + turn AS seq, 's' || conv_id % 25 AS session_id, CASE turn WHEN 1 THEN 'rename' WHEN 3 THEN 'delete'
   WHEN 5 THEN 'create' WHEN 7 THEN 'create_session' ELSE 'rename' END AS action, CASE WHEN turn IN (5, 7) THEN 'n' || conv_id || '-' || turn WHEN turn = 4 THEN NULL
   WHEN turn = 3 AND conv_id % 3 > 0 THEN 'none' ELSE 'c' || conv_id END AS chat_id,
-  CASE WHEN turn = 2 THEN '  ' WHEN turn IN (5, 7) AND conv_id % 2 = 0 THEN '' ELSE ' T' || turn || left(text, 5) || ' ' END AS title, 1800000000 + turn AS timestamp
+  CASE WHEN turn = 2 THEN '  ' WHEN turn IN (5, 7) AND conv_id % 2 = 0 THEN '' ELSE ' T' || turn || text || ' ' END AS title, 1800000000 + turn AS timestamp
   FROM conversations)"""
 
 
@@ -339,7 +339,7 @@ def changes(spark, d):
     own = F.concat(F.lit("c"), i.cast("string"))
     new = F.concat(F.lit("n"), i.cast("string"), F.lit("-"), t.cast("string"))
     chat = F.when(t.isin(5, 7), new).when(t == 4, None).when((t == 3) & (i % 3 > 0), "none").otherwise(own)
-    title = F.when(t == 2, "  ").when(t.isin(5, 7) & (i % 2 == 0), "").otherwise(F.concat(F.lit(" T"), t.cast("string"), F.substring("text", 1, 5), F.lit(" ")))
+    title = F.when(t == 2, "  ").when(t.isin(5, 7) & (i % 2 == 0), "").otherwise(F.concat(F.lit(" T"), t.cast("string"), F.col("text"), F.lit(" ")))
     return table(spark, d, "conversations").select(
         (i * 1000 + t).alias("seq"), F.concat(F.lit("s"), (i % 25).cast("string")).alias("session_id"), action.alias("action"),
         chat.alias("chat_id"), title.alias("title"), (1800000000 + t).alias("timestamp"),

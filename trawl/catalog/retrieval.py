@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.catalog.inputs import (
-    AS_OF, CHUNKS_SQL, QUESTIONS_SQL, RANGE_SQL, TEXT_CHUNKS_SQL, TEXT_QUESTIONS_SQL, big, bm25_sql, chunks, mmr_sql,
+    AS_OF, CHUNKS_SQL, QUESTIONS_SQL, RANGE_SQL, TEXT_CHUNKS_SQL, TEXT_QUESTIONS_SQL, big, bm25_sql, bm25_stats_sql, chunks, mmr_sql,
     questions, r6, ranked_sql, scored_sql, table, text_chunks, vector_questions,
 )
 from trawl.catalog.registry import query
@@ -14,6 +14,7 @@ from trawl.operators import bm25, retrieve
 from trawl.operators.ranking import SCORE_DIGITS
 
 _TEXT = f"WITH {TEXT_CHUNKS_SQL}, {TEXT_QUESTIONS_SQL}, {bm25_sql('text_chunks')}, {RANGE_SQL}"
+_STATS = f"WITH {TEXT_CHUNKS_SQL}, {bm25_stats_sql('text_chunks')} "
 _HYBRID = (
     f"WITH RECURSIVE {CHUNKS_SQL}, {QUESTIONS_SQL}, {bm25_sql('chunks')}, {RANGE_SQL}, {scored_sql(0.5, 0.3)}"
 )
@@ -21,7 +22,7 @@ _HYBRID = (
 
 @query(
     "bm25_corpus_stats",
-    _TEXT + "SELECT n AS n_chunks, round(avg_len, 6) AS avg_len, (SELECT count(*) FROM dfreq) AS n_distinct_terms, "
+    _STATS + "SELECT n AS n_chunks, round(avg_len, 6) AS avg_len, (SELECT count(*) FROM dfreq) AS n_distinct_terms, "
     "(SELECT sum(tf)::BIGINT FROM tf) AS n_terms, round(mean_idf, 6) AS mean_idf FROM stat",
 )
 def _(spark, d):
@@ -31,7 +32,7 @@ def _(spark, d):
     return s.select("n_chunks", r6("avg_len").alias("avg_len"), "n_distinct_terms", "n_terms", r6("mean_idf").alias("mean_idf"))
 
 
-@query("bm25_idf", _TEXT + "SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("bm25_idf", _STATS + "SELECT term, df, round(idf, 6) AS idf FROM idf")
 def _(spark, d):
     pool = text_chunks(spark, d)
     frequency = bm25.term_document_frequency(bm25.chunk_terms(pool))

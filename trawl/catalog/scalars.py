@@ -125,7 +125,7 @@ def _(spark, d):
     return v.select("event_id", r6(p).alias("prob"))
 
 
-_ORDER_AS_OF = 915148800.0  # 1999-01-01
+_ORDER_AS_OF = 1009843200.0  # 2002-01-01, behind all orders
 _AGE = f"({_ORDER_AS_OF}::DOUBLE - epoch(o_orderdate)) / 86400.0::DOUBLE"
 
 
@@ -140,10 +140,10 @@ def _orders(spark, d):
   round(CASE WHEN unknown THEN 0.5 ELSE greatest(0, 1 - a / 90) END, 6) AS linear,
   round(CASE WHEN unknown THEN 0.5 WHEN a <= 7 THEN 1 WHEN a <= 30 THEN 0.8 WHEN a <= 90 THEN 0.5 ELSE 0.2 END, 6)::DOUBLE AS step,
   CASE WHEN unknown THEN 0.5 ELSE 1 END::DOUBLE AS none
-FROM (SELECT o_orderkey, o_orderkey % 9 = 0 AS unknown, {_AGE} AS a FROM orders WHERE epoch(o_orderdate) <= {_ORDER_AS_OF})""",
+FROM (SELECT o_orderkey, o_orderkey % 9 = 0 AS unknown, {_AGE} AS a FROM orders)""",
 )
 def _(spark, d):
-    o = _orders(spark, d).filter(F.col("ts") <= _ORDER_AS_OF)
+    o = _orders(spark, d)
     ts = F.when(F.col("o_orderkey") % 9 == 0, None).otherwise(F.col("ts"))
     modes = ("exponential", "linear", "step", "none")
     return o.select("o_orderkey", *[r6(scores.recency_score(ts, F.lit(_ORDER_AS_OF), m)).alias(m) for m in modes])
