@@ -194,3 +194,13 @@ def test_sessions_do_not_match_each_other(spark):
     rows = [("a", 1, "x.pdf", "1", 5, 5), ("b", 2, "x.pdf", "1", 5, 5)]
     df = spark.createDataFrame(rows, "session_id string, reg bigint, filename string, file_hash string, hi bigint, lo bigint")
     assert {r.result for r in v.register(df).collect()} == {"new"}
+
+
+def test_content_hash_does_not_depend_on_the_number_of_pages(spark):
+    import hashlib
+
+    words = [f"w{i}" for i in range(5000)]
+    rows = [("one", 1, " ".join(words))] + [("many", i + 1, w) for i, w in enumerate(words)] + [("none", 1, None), ("none", 2, "x")]
+    got = {r.doc_name: r for r in pg.document_digests(spark.createDataFrame(rows, "doc_name string, page int, text string").repartition(6)).collect()}
+    assert got["one"].content_hash == got["many"].content_hash == hashlib.sha256(" ".join(words).encode()).hexdigest()
+    assert got["one"].n_chars == got["many"].n_chars == len(" ".join(words)) and got["none"].content_hash == hashlib.sha256(b" x").hexdigest()

@@ -66,12 +66,11 @@ def _(spark, d):
 
 @query(
     "document_text",
-    f"WITH {PAGES_SQL} SELECT doc_name, (page - 1) // 64 AS segment, sha256(string_agg(text, ' ' ORDER BY page)) AS digest, "
+    f"WITH {PAGES_SQL} SELECT doc_name, sha256(string_agg(text, ' ' ORDER BY page)) AS digest, "
     "sum(len(text))::BIGINT + count(*) - 1 AS n_chars FROM pages_in GROUP BY ALL",
 )
 def _(spark, d):
-    s = pg.document_text(pages(spark, d), 64)
-    return s.select("doc_name", "segment", F.sha2("text", 256).alias("digest"), big(F.length("text")).alias("n_chars"))
+    return pg.document_digests(pages(spark, d)).select("doc_name", F.col("content_hash").alias("digest"), "n_chars")
 
 
 @query(

@@ -21,11 +21,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Files and tables.
 
 
-@query("scan_files")
+@query(
+    "scan_files",
+    "SELECT 'bucket=' || page_id % 16 AS session_id, sum(strlen(translate(html, chr(10) || chr(13), '  ')) + 1)::BIGINT AS size FROM pages GROUP BY ALL",
+)
 def _(spark, d):
-    """The data files themselves, found by name pattern and read as binary files."""
-    s = fi.scan_files(spark, d, "*.parquet")
-    return s.select("session_id", "filename", "size", F.length("content").cast("bigint").alias("n_bytes"))
+    """Pages written as one text file per bucket, found by name pattern; sizes come from the files' metadata."""
+    folder = scratch_folder(spark)
+    lines = table(spark, d, "pages").select((F.col("page_id") % 16).alias("bucket"), F.translate("html", "\n\r", "  ").alias("value"))
+    lines.repartition("bucket").write.partitionBy("bucket").text(folder)
+    return fi.scan_files(spark, folder, "*.[tT][xX][tT]").select("session_id", "size")
 
 
 @query(

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trawl.functions import fixed_values as fv
 from trawl.functions.text import normalize_ws, split_lines
 from trawl.session import stage_table, with_session
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEGMENT_PAGES = 4096
 DOC = ["session_id", "doc_name"]
 
@@ -111,3 +119,35 @@ def document_text(pages: DataFrame, segment_pages: int = SEGMENT_PAGES) -> DataF
         with_session(pages).groupBy(*DOC, segment.alias("segment")).agg(ordered.alias("p"))
         .select(*DOC, "segment", F.array_join(F.col("p.text"), " ").alias("text"))
     )
+
+
+def _running_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document of sorted pages; only the digest of the open document is held."""
+    names = ["session_id", "doc_name", "content_hash", "n_chars"]
+    open_, digest, n_chars = None, None, 0
+    for batch in batches:
+        done = []
+        for session, doc, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            text = text or ""
+            if (session, doc) != open_:
+                if open_ is not None:
+                    done.append((*open_, digest.hexdigest(), n_chars))
+                open_, digest, n_chars = (session, doc), hashlib.sha256(text.encode()), len(text)
+            else:
+                digest.update(b" " + text.encode())
+                n_chars += 1 + len(text)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], pa.int64() if i == 3 else pa.string()) for i in range(4)], names)
+    if open_ is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*open_, digest.hexdigest())] + [pa.array([n_chars], pa.int64())], names)
+
+
+def document_digests(pages: DataFrame) -> DataFrame:
+    """(session_id, doc_name, content_hash, n_chars): SHA-256 and length of the pages joined with ' ' in page order.
+
+    One definition for any number of pages: a document's sorted pages stream
+    through its task, which keeps a running digest and never the text.
+    """
+    ordered = with_session(pages).select(*DOC, "text", "page").repartition(*DOC).sortWithinPartitions(*DOC, "page", "text")
+    kinds = {f.name: f.dataType for f in ordered.schema}
+    assert all(kinds[c].simpleString() == "string" for c in DOC)
+    return ordered.select(*DOC, "text").mapInArrow(_running_digests, "session_id string, doc_name string, content_hash string, n_chars bigint")

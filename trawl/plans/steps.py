@@ -10,11 +10,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from trawl.functions import fixed_values as fv
-from trawl.functions.text import normalize_session_id, question_error, sha256_key, strip
+from trawl.functions.text import normalize_session_id, question_error, strip
 from trawl.operators import answers as an, chats as ch, citations as ct, embedding as em, ops, passages as ps
 from trawl.operators import retrieve, sessions as se, versions as v
 from trawl.operators.chunks import chunk_pages
-from trawl.operators.pages import SEGMENT_PAGES, clean_pages, document_text
+from trawl.operators.pages import clean_pages, document_digests
 from trawl.session import stage, stage_table, with_session
 
 
@@ -30,18 +30,9 @@ class Ingested:
 
 
 def _document_uploads(pages: DataFrame, files: DataFrame) -> DataFrame:
-    """One upload per file with hashes of its cleaned text.
-
-    ``content_hash`` is the SHA-256 of the document text; a document of several
-    segments has the hash of its segment hashes.
-    """
+    """One upload per file with hashes of its cleaned text; ``content_hash`` is the SHA-256 of the document text."""
     doc = ["session_id", "doc_name"]
-    digests = document_text(pages, SEGMENT_PAGES).select(*doc, "segment", sha256_key(F.col("text")).alias("h"))
-    joined = F.array_sort(F.collect_list(F.struct("segment", "h")))
-    content = digests.groupBy(*doc).agg(joined.alias("s")).select(
-        *doc,
-        F.when(F.size("s") == 1, F.get("s", F.lit(0))["h"]).otherwise(F.sha2(F.array_join(F.col("s.h"), ""), 256)).alias("content_hash"),
-    )
+    content = document_digests(pages).drop("n_chars")
     n_pages = pages.groupBy(*doc).agg(F.countDistinct("page").alias("page_count"))
     hashes = v.simhash128(pages, doc)
     joined = files.join(hashes, doc).join(content, doc).join(n_pages, doc)
