@@ -4,6 +4,7 @@ import json
 import random
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,10 +167,9 @@ def test_rate_limit_equals_the_loop(spark):
 
 
 def test_rate_limit_stream_over_several_batches(spark, folder):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     rows = requests(5)
-    schema = "request_id bigint, client string, endpoint string, ts double, event_time timestamp"
-    df = spark.createDataFrame(rows, "request_id bigint, client string, endpoint string, ts double").withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("bigint")))
+    schema = "request_id bigint, client string, endpoint string, ts double"
+    df = spark.createDataFrame(rows, schema)
     for part, (low, high) in enumerate(((0, 200), (200, 400), (400, 600))):
         df.filter(f"request_id >= {low} AND request_id < {high}").coalesce(1).write.parquet(f"{folder}/in/p{part}")
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in/p*")
@@ -180,6 +180,37 @@ def test_rate_limit_stream_over_several_batches(spark, folder):
     assert got == admit_by_hand(rows, LIMITS)
 
 
+def test_rate_limit_stream_judges_late_requests(spark, folder):
+    schema = "request_id bigint, client string, endpoint string, ts double"
+    limits = {"ask": (2, 10.0)}
+    parts = [[(1, "a", "ask", 100.0), (2, "a", "ask", 104.0)], [(3, "a", "ask", 20.0), (4, "b", "ask", 5.0)], [(5, "a", "ask", 110.0), (6, "a", "ask", 50.0), (7, "a", "free", 1.0)]]
+    for part, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/late/p{part}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/late/p*")
+        streams.rate_limit_stream(stream, limits).writeStream.format("parquet").option("path", f"{folder}/lateout").option(
+            "checkpointLocation", f"{folder}/latecp"
+        ).trigger(availableNow=True).start().awaitTermination()
+    got = {r.request_id: r.allowed for r in spark.read.parquet(f"{folder}/lateout").collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 6: False, 5: True, 7: True}
+
+
+def test_admission_equals_the_loop():
+    rng = random.Random(12)
+    for _ in range(200):
+        most, span = rng.choice([0, 1, 2, 5]), rng.choice([1.0, 0.3, 7.5])
+        times = sorted(round(rng.random() * 30, 1) for _ in range(rng.randint(0, 60)))
+        want, kept = [], []
+        for t in times:
+            kept = [k for k in kept if t - k < span]
+            want.append(len(kept) < most)
+            if want[-1]:
+                kept.append(t)
+        cut = rng.randint(0, len(times))
+        first, state = ops.admitted(np.array(times[:cut]), most, span, [])
+        second, _ = ops.admitted(np.array(times[cut:]), most, span, state)
+        assert [*first, *second] == want
+
+
 def test_metrics_of_nothing(spark):
     df = spark.createDataFrame([], "endpoint string, response_ms double, success boolean")
     assert tuple(ops.request_metrics(df).first()) == (0, 0, 0.0, 0.0, 0.0, 0.0)
@@ -194,3 +225,17 @@ def test_ingest_stream_skips_known_documents(spark, folder):
         streams.ingest_stream(stream, f"{folder}/chunks", f"{folder}/manifest", f"{folder}/cp", size=40, overlap=5).awaitTermination()
     got = spark.read.parquet(f"{folder}/chunks").groupBy("doc_name").agg(F.countDistinct("batch").alias("n")).collect()
     assert {r.doc_name: r.n for r in got} == {"a.pdf": 1, "b.pdf": 1, "c.pdf": 1}
+    skipped = spark.read.parquet(f"{folder}/manifest_skipped").collect()
+    assert sorted((r.doc_name, r.page) for r in skipped) == [("b.pdf", 1), ("b.pdf", 2)]
+
+
+def test_ingest_stream_goes_on_with_late_pages(spark, folder):
+    schema = "session_id string, doc_name string, page bigint, text string"
+    for part, pages in enumerate(((1, 2), (2, 3))):
+        rows = [("s", "a.pdf", p, f"line {p} " * 60) for p in pages]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/two/p{part}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/two/p*")
+        streams.ingest_stream(stream, f"{folder}/twochunks", f"{folder}/twomanifest", f"{folder}/twocp", size=40, overlap=5).awaitTermination()
+    chunks = spark.read.parquet(f"{folder}/twochunks").collect()
+    assert {r.page for r in chunks} == {1, 2, 3}
+    assert sorted(r.chunk_id for r in chunks) == list(range(len(chunks)))

@@ -129,11 +129,9 @@ def _(spark, d):
 
 @query("rate_limit_stream", SQL["rate_limit"])
 def _(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     out = scratch_folder(spark)
-    stream = as_requests(_events(spark, d)).withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("bigint")))
     run = (
-        streams.rate_limit_stream(stream, LIMITS).writeStream.format("parquet").outputMode("append")
+        streams.rate_limit_stream(as_requests(_events(spark, d)), LIMITS).writeStream.format("parquet").outputMode("append")
         .option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     run.awaitTermination()

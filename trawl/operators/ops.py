@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
@@ -41,20 +39,47 @@ def independent_stretches(requests: DataFrame) -> DataFrame:
     return stepped.join(cut, [*CLIENT, "step"]).drop("step")
 
 
+def admitted(times: np.ndarray, most: int, span: float, kept: list[float]) -> tuple[np.ndarray, list[float]]:
+    """(allowed, last accepted times) of one client's requests in time order, after accepted ones at ``kept``.
+
+    The next request passes once the most-th last accepted one has left its
+    window, so refused runs are skipped by binary search.
+    """
+    allowed = np.zeros(len(times), bool)
+    kept = kept[-most:] if most > 0 else []
+    at = 0
+    while at < len(times) and most > 0:
+        if len(kept) == most:
+            first = kept[0]
+            at = max(at, int(np.searchsorted(times, first + span)))
+            while at < len(times) and times[at] - first < span:  # the sum may be rounded to either side
+                at += 1
+            while at > 0 and not allowed[at - 1] and times[at - 1] - first >= span:
+                at -= 1
+            if at == len(times):
+                break
+            kept.pop(0)
+        allowed[at] = True
+        kept.append(float(times[at]))
+        at += 1
+    return allowed, kept
+
+
 def _admit(batches):
-    """Sequential pass over sorted rows; keeps at most ``max_requests`` times per key."""
-    current, kept = None, deque()
+    """Pass over rows sorted by client, stretch and time; holds one stretch's last accepted times."""
+    current, kept = None, []
     for pdf in batches:
-        keys = list(zip(pdf["client"], pdf["endpoint"], pdf["stretch"]))
+        if not len(pdf):
+            continue
+        keys = pdf[["client", "endpoint", "stretch"]]
+        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy() | (np.arange(len(pdf)) == 0))
+        times = pdf["ts"].to_numpy()
         out = np.empty(len(pdf), dtype=bool)
-        for i, (key, ts, most, span) in enumerate(zip(keys, pdf["ts"], pdf["max_requests"], pdf["window_s"])):
-            if key != current:
-                current, kept = key, deque()
-            while kept and ts - kept[0] >= span:
-                kept.popleft()
-            out[i] = len(kept) < most
-            if out[i]:
-                kept.append(ts)
+        for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+            key = tuple(keys.iloc[a])
+            kept = kept if key == current else []
+            current = key
+            out[a:b], kept = admitted(times[a:b], int(pdf["max_requests"].iloc[a]), float(pdf["window_s"].iloc[a]), kept)
         yield pd.DataFrame({"request_id": pdf["request_id"], "allowed": out})
 
 

@@ -5,67 +5,49 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trawl.functions import fixed_values as fv
-from trawl.operators.ops import CLIENT, Limits, _limit_columns, job_state, request_metrics
+from trawl.operators.ops import CLIENT, Limits, _limit_columns, admitted, job_state, request_metrics
 from trawl.operators.chunks import chunk_pages
 from trawl.operators.pages import clean_pages
-from trawl.operators.sessions import split_new_documents
+from trawl.session import stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class _Limiter(StatefulProcessor):
-    """Keeps the accepted times of one (client, endpoint) within its window."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.kept = handle.getValueState("kept", "times array<double>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.kept.get()
-        kept = list(state[0]) if state is not None else []
-        batch = pd.concat(list(rows)).sort_values(["ts", "request_id"])
-        allowed = []
-        for ts, most, span in zip(batch["ts"], batch["max_requests"], batch["window_s"]):
-            kept = [t for t in kept if ts - t < span]
-            allowed.append(len(kept) < most)
-            if allowed[-1]:
-                kept.append(ts)
-        self.kept.update((kept,))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        expiry = int((batch["ts"].iloc[-1] + batch["window_s"].iloc[-1]) * 1000)
-        self.handle.registerTimer(max(expiry, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame({"request_id": batch["request_id"].to_numpy(), "allowed": allowed})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limit_stream(requests: DataFrame, limits: Limits = fv.RATE_LIMITS, delay: str = "1 minute") -> DataFrame:
-    """(request_id, allowed) of a request stream with event_time and ts in seconds.
-
-    The watermark only cleans state up: a key's times go once its window has
-    passed. Endpoints without a limit pass in a branch of their own, stateless.
-    Needs the RocksDB state store.
+def _judge(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Judge a client's requests of a micro-batch in time order; a late one is judged as if it came now."""
+    kept, last = (list(state.get[0]), state.get[1]) if state.exists else ([], -np.inf)
+    parts = [p[["request_id", "ts", "max_requests", "window_s"]] for p in rows]
+    batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+    batch = batch.sort_values(["ts", "request_id"])
+    times = np.maximum(batch["ts"].to_numpy(), last)
+    most, span = int(batch["max_requests"].iloc[0]), float(batch["window_s"].iloc[0])
+    allowed, kept = admitted(times, most, span, kept)
+    state.update((kept, float(times[-1])))
+    yield pd.DataFrame({"request_id": batch["request_id"].to_numpy(), "allowed": allowed})
+
+
+def rate_limit_stream(requests: DataFrame, limits: Limits = fv.RATE_LIMITS) -> DataFrame:
+    """(request_id, allowed) of a request stream with ts in seconds; every request gets a row.
+
+    There is no watermark, so nothing is too late: a request older than one of
+    its client that an earlier micro-batch judged is judged at that one's time,
+    as the limiter sees it only now. A client's state is its last accepted times,
+    no more than the endpoint's maximum, and the latest time. Endpoints without a
+    limit pass in a branch of their own, stateless.
     """
     most, span = _limit_columns(limits)
-    marked = requests.withColumns({"max_requests": most, "window_s": span}).withWatermark("event_time", delay)
+    marked = requests.withColumns({"max_requests": most, "window_s": span})
     kind = requests.schema["request_id"].dataType.simpleString()
     free = marked.filter(F.col("max_requests").isNull()).select("request_id", F.lit(True).alias("allowed"))
-    judged = marked.filter(F.col("max_requests").isNotNull()).groupBy(*CLIENT).transformWithStateInPandas(
-        _Limiter(), f"request_id {kind}, allowed boolean", "Append", "EventTime"
+    judged = marked.filter(F.col("max_requests").isNotNull()).groupBy(*CLIENT).applyInPandasWithState(
+        _judge, f"request_id {kind}, allowed boolean", "times array<double>, last double", "append", GroupStateTimeout.NoTimeout
     )
     return judged.unionByName(free)
 
@@ -96,28 +78,40 @@ def current_jobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_stream(pages: DataFrame, chunks_path: str, manifest_path: str, checkpoint: str, **chunking) -> StreamingQuery:
-    """Chunk arriving documents, skipping those the manifest already names.
+    """Chunk arriving pages (session_id, doc_name, page, text), each page number of a document once.
 
-    ``pages``: session_id, doc_name, page, text; the pages of a document arrive
-    in one trigger. Each batch writes its own folder, so a retry replaces it.
+    A document may arrive over several triggers: pages that are new to it are
+    chunked, and its chunk numbers go on. Pages it has already are not chunked
+    again; they are listed below ``manifest_path`` + "_skipped". Header and footer
+    lines are judged by the pages of a trigger. Each batch writes its own folders,
+    so a retry replaces them.
     """
+    doc = ["session_id", "doc_name"]
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _manifest(spark, manifest_path, batch_id)
-        new = split_new_documents(batch, known)[0] if known is not None else batch
-        chunk_pages(clean_pages(new), **chunking).write.mode("overwrite").parquet(f"{chunks_path}/batch={batch_id}")
+        fresh = batch.dropDuplicates([*doc, "page"])
+        if batch_id:
+            seen = _earlier(spark, f"{manifest_path}_pages", batch_id).select(*doc, "page")
+            skipped = fresh.join(seen, [*doc, "page"], "left_semi").select(*doc, "page")
+            skipped.write.mode("overwrite").parquet(f"{manifest_path}_skipped/batch={batch_id}")
+            fresh = fresh.join(seen, [*doc, "page"], "left_anti")
+        fresh = stage_table(fresh)
+        fresh.select(*doc, "page").write.mode("overwrite").parquet(f"{manifest_path}_pages/batch={batch_id}")
+        chunks = chunk_pages(clean_pages(fresh), **chunking)
+        if batch_id:
+            done = _earlier(spark, manifest_path, batch_id).groupBy("session_id", F.col("doc").alias("doc_name")).agg(F.sum("chunks").alias("_done"))
+            chunks = chunks.join(done, doc, "left").withColumn("chunk_id", F.col("chunk_id") + F.coalesce("_done", F.lit(0))).drop("_done")
+        chunks.write.mode("overwrite").parquet(f"{chunks_path}/batch={batch_id}")
         made = spark.read.parquet(f"{chunks_path}/batch={batch_id}")
         counts = made.groupBy("session_id", F.col("doc_name").alias("doc")).agg(F.count(F.lit(1)).alias("chunks"))
-        n_pages = new.groupBy("session_id", F.col("doc_name").alias("doc")).agg(F.count(F.lit(1)).alias("pages"))
+        n_pages = fresh.groupBy("session_id", F.col("doc_name").alias("doc")).agg(F.count(F.lit(1)).alias("pages"))
         rows = n_pages.join(counts, ["session_id", "doc"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
         rows.write.mode("overwrite").parquet(f"{manifest_path}/batch={batch_id}")
 
     return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _manifest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Manifest rows of earlier batches; None when there are none yet."""
-    if before == 0:
-        return None
-    return spark.read.parquet(path).filter(F.col("batch") < before).select("session_id", "doc")
+def _earlier(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """Rows that earlier batches wrote."""
+    return spark.read.parquet(path).filter(F.col("batch") < before)
