@@ -86,6 +86,45 @@ def test_chunks_cover_the_page_and_take_own_tokens(spark):
         chunks.split_pages(df, 10, 7)
 
 
+def test_breaks_are_found_across_token_limits(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(30):
+        tokens = []
+        for _ in range(rng.choice([20, 90, 300])):
+            tokens += rng.choice([["ab"], [" cd"], [".", " e"], ["!", " "], ["?"], ["\n", "\n"], ["f.", " g"]])
+        rows.append((i, "".join(tokens), tokens))
+        n, start, spans = len(tokens), 0, []
+        while n:
+            end = min(start + 30, n)
+            if n > 30 and end < n:
+                limit = min(end + 50, n)
+                segment = "".join(tokens[start:limit])
+                for mark in fv.BREAK_MARKERS:
+                    at = segment.find(mark)
+                    if at >= 0:
+                        count, length = 0, 0
+                        while length < at + len(mark):
+                            length += len(tokens[start + count])
+                            count += 1
+                        if start + 0.7 * 30 < start + count < limit:
+                            end = start + count
+                            break
+            spans.append((start, end))
+            if end == n:
+                break
+            start = max(0, end - 5)
+        want[i] = spans
+    df = spark.createDataFrame(rows, "id int, text string, toks array<string>")
+    got = {}
+    for r in chunks.split_pages(df, 30, 5, tokens="toks").orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append((r.start, r.end))
+    assert got == {i: s for i, s in want.items() if s}
+    plain = ["w"] * 25 + ["."] + [" w"] * 35
+    assert chunks.break_spans(plain, 30, 5)[0] == (0, 27)
+    assert chunks.break_spans(["word "] * 1_000_000, 380, 50)[-1][1] == 1_000_000
+
+
 def simhash_by_hand(text):
     words = text.lower().split()
     votes = [0] * 128

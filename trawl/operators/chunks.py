@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trawl.functions import fixed_values as fv
@@ -9,6 +14,8 @@ from trawl.functions.text import words
 from trawl.operators.prefix import sum_before
 from trawl.session import stage_table, with_session
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _check(size: int, overlap: int) -> None:
     if not 0 <= overlap < fv.BREAK_MIN_FILL * size:
@@ -23,52 +30,54 @@ def fixed_spans(n: Column, size: int, overlap: int) -> Column:
     return F.filter(spans, lambda s: s["end"] > s["start"])
 
 
-def semantic_spans(tokens: Column, size: int, overlap: int) -> Column:
-    """Windows whose end moves to just behind a break.
+def break_spans(tokens: list[str], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Windows (start, end) over tokens, whose end moves to just behind a break.
 
-    For each marker, in order, only its first occurrence in the window plus the
-    lookahead counts; the first marker whose occurrence lies past 70 % of the
-    window and before the end of the lookahead sets the end.
+    For each marker, in order, only its first occurrence in the text of the
+    window and its lookahead counts, wherever the token limits lie; the first
+    marker that ends in or with a token past 70 % of the window and before the end
+    of the lookahead sets the end. Linear in the tokens, but for the logarithm of
+    a search per window.
     """
-    n = F.size(tokens)
-    positions = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-
-    def occurrences(marker: str) -> Column:
-        return F.filter(positions, lambda i: F.contains(F.get(tokens, i), F.lit(marker)))
-
-    marks = F.array(*[occurrences(m) for m in fv.BREAK_MARKERS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    n = len(tokens)
+    if n <= size:
+        return [(0, n)] if n else []
+    text = "".join(tokens)
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, tokens), np.int64, n))])
+    marks = []
+    for marker in fv.BREAK_MARKERS:
+        places, at = [], text.find(marker)
+        while at >= 0:
+            places.append(at)
+            at = text.find(marker, at + 1)
+        marks.append((np.array(places, np.int64), len(marker)))
+    spans, start = [], 0
+    while True:
+        end = min(start + size, n)
+        if end < n:
+            limit = min(end + fv.BREAK_LOOKAHEAD, n)
+            for places, length in marks:
+                i = np.searchsorted(places, offsets[start])
+                if i < len(places) and places[i] + length <= offsets[limit]:
+                    behind = int(np.searchsorted(offsets, places[i] + length))
+                    if start + fv.BREAK_MIN_FILL * size < behind < limit:
+                        end = behind
+                        break
+        spans.append((start, end))
+        if end == n:
+            return spans
+        start = max(0, end - overlap)
 
-    def walk(found: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            at = state["at"]
-            plain = F.least(at + size, n)
-            limit = F.least(plain + fv.BREAK_LOOKAHEAD, n)
 
-            def behind(mark: Column) -> Column:
-                return F.array_min(F.filter(mark, lambda p: p >= at)) + 1
-
-            accepted = F.filter(
-                F.transform(found, behind), lambda e: (e > at + fv.BREAK_MIN_FILL * size) & (e < limit)
-            )
-            end = F.when(plain < n, F.coalesce(F.get(accepted, F.lit(0)), plain)).otherwise(plain)
-
-            def close(e: Column) -> Column:
-                return F.struct(
-                    F.when(e == n, -1).otherwise(F.greatest(F.lit(0), e - overlap)).alias("at"),
-                    F.concat(state["spans"], F.array(F.struct(at.alias("start"), e.alias("end")))).alias("spans"),
-                )
-
-            moved = F.get(F.transform(F.array(end), close), F.lit(0))
-            return F.when(at < 0, state).otherwise(moved)
+def semantic_spans(tokens: Column, size: int, overlap: int) -> Column:
+    """ARRAY<STRUCT<start, end>> of `break_spans`; empty for null."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-        slowest = int(fv.BREAK_MIN_FILL * size) - overlap
-        rounds = F.sequence(F.lit(1), F.ceil(n / F.lit(max(slowest, 1))).cast("int") + 1)
-        return F.aggregate(rounds, start, step, lambda s: s["spans"])
+    def spans(batch: pa.Array) -> pa.Array:
+        found = (break_spans(row.as_py() or [], size, overlap) for row in batch)
+        return pa.array([[{"start": s, "end": e} for s, e in row] for row in found], kind)
 
-    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
-    long = F.get(F.transform(F.array(marks), walk), F.lit(0))
-    return F.when(n == 0, F.array().cast("array<struct<start:int,end:int>>")).when(n <= size, whole).otherwise(long)
+    return F.arrow_udf(spans, "array<struct<start:int,end:int>>")(tokens)
 
 
 def split_pages(
@@ -80,19 +89,25 @@ def split_pages(
     ``tokens`` names a column with the caller's token array; the default tokens
     are words with the white space behind them.
     """
-    _check(size, overlap)
     keep = [c for c in pages.columns if c not in ("text", tokens)]
-    toks = F.col(tokens) if tokens else words(F.col("text"))
-    base = pages.select(*keep, toks.alias("_tokens"))
-    spans = semantic_spans(F.col("_tokens"), size, overlap) if semantic else fixed_spans(F.size("_tokens"), size, overlap)
-    return (
-        base.select(*keep, "_tokens", F.posexplode(spans).alias("pos", "span"))
-        .select(
-            *keep, "pos",
-            F.col("span.start").alias("start"), F.col("span.end").alias("end"),
-            (F.col("span.end") - F.col("span.start")).alias("n_tokens"),
-            F.array_join(F.slice("_tokens", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")), "").alias("text"),
-        )
+    return _cut(pages.withColumn("_spans", _spans(size, overlap, semantic, tokens)), keep, tokens)
+
+
+def _tokens(tokens: str | None) -> Column:
+    return F.col(tokens) if tokens else words(F.col("text"))
+
+
+def _spans(size: int, overlap: int, semantic: bool, tokens: str | None) -> Column:
+    _check(size, overlap)
+    return semantic_spans(_tokens(tokens), size, overlap) if semantic else fixed_spans(F.size(_tokens(tokens)), size, overlap)
+
+
+def _cut(pages: DataFrame, keep: list[str], tokens: str | None) -> DataFrame:
+    """A row for each of the pages' _spans."""
+    start, end = F.col("span.start"), F.col("span.end")
+    return pages.select(*keep, _tokens(tokens).alias("_tokens"), F.posexplode("_spans").alias("pos", "span")).select(
+        *keep, "pos", start.alias("start"), end.alias("end"), (end - start).alias("n_tokens"),
+        F.array_join(F.slice("_tokens", start + 1, end - start), "").alias("text"),
     )
 
 
@@ -103,15 +118,16 @@ def chunk_pages(
     """Chunks of every page, numbered from 0 across each document.
 
     The numbers come from a running total of chunk counts over pages, which is
-    exact and does not gather a long document in one task. The totals are written
-    first: small ones are broadcast by their known size, and texts stay in place.
+    exact and does not gather a long document in one task. Windows are found once
+    and written; with the totals beside them they are small enough to be broadcast
+    by their known size, and texts stay in place.
     """
     doc = ["session_id", "doc_name"]
-    pieces = split_pages(with_session(pages), size, overlap, semantic, tokens)
-    counts = stage_table(pieces.groupBy(*doc, "page").agg(F.count(F.lit(1)).alias("n")))
+    pages = with_session(pages)
+    spans = stage_table(pages.select(*doc, "page", _spans(size, overlap, semantic, tokens).alias("_spans")))
+    counts = spans.select(*doc, "page", F.size("_spans").alias("n"))
     offsets = sum_before(counts, doc, "page", F.col("n"), "before").select(*doc, "page", "before")
-    return (
-        pieces.join(stage_table(offsets), [*doc, "page"])
-        .withColumn("chunk_id", F.col("before") + F.col("pos"))
-        .drop("before", "pos", "start", "end")
-    )
+    found = stage_table(spans.filter(F.size("_spans") > 0).join(offsets, [*doc, "page"]))
+    keep = [c for c in pages.columns if c not in ("text", tokens)]
+    pieces = _cut(pages.join(found, [*doc, "page"]), [*keep, "before"], tokens)
+    return pieces.withColumn("chunk_id", F.col("before") + F.col("pos")).drop("before", "pos", "start", "end")
