@@ -32,6 +32,8 @@ LIST_VECTORS = 100
 REPLICAS, BOUNDARY = 4, 1.15
 #: Lists visited at least, and rows of a list or of its queries handled at once.
 LEAST_LISTS, BLOCK = 8, 4096
+#: Rows of both sides that a task scores together.
+SHARD = 40_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -81,6 +83,9 @@ class Graph:
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, similarities), nearest first, of the `width` best met on a best-first walk from the entries."""
+        if len(x) > 512:
+            parts = [self.search(x[i : i + 512], width) for i in range(0, len(x), 512)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         n, c = len(x), len(self.centroids)
         width = min(width, c)
         x = x.astype(np.float32)
@@ -145,7 +150,7 @@ class Index:
         return rows, found[rows, at]
 
     @staticmethod
-    def fit(sample: np.ndarray, n: int, k: int, recall: float = 0.97) -> Index:
+    def fit(sample: np.ndarray, n: int, k: int, recall: float = 0.96) -> Index:
         """Train on unit rows of a sample of n vectors; the ratio is tried on some of the sample's rows as queries."""
         wanted = 1 << max(0, round(math.log2(max(n / LIST_VECTORS, 1))))
         c = min(wanted, MAX_CENTROIDS, 1 << max(0, int(math.log2(max(len(sample) / 8, 1)))))
@@ -157,13 +162,14 @@ class Index:
         sims = sample[tries] @ sample.T
         sims[np.arange(len(tries)), tries] = -2
         best = np.argsort(-sims, axis=1)[:, :k]
-        for index.ratio in (*np.arange(1.0, 1.6, 0.02), 10.0):
-            at, visited = index.visits(sample[tries])
-            hit = 0
-            for i in range(len(tries)):
-                hit += stored[visited[at == i]][:, best[i]].any(axis=0).sum()
-            if hit >= recall * best.size:
-                break
+        found, near = index.graph.search(sample[tries], len(index.graph.centroids))
+        far = _far(near)
+        # The place of the first visited list that holds each of a query's best, and the ratio that reaches it.
+        holds = np.stack([stored[found[i]][:, best[i]] for i in range(len(tries))])
+        first = np.where(holds.any(axis=1), holds.argmax(axis=1), len(index.graph.centroids) - 1)
+        needed = np.take_along_axis(far, first, axis=1) / far[:, :1]
+        needed[first < LEAST_LISTS] = 1.0
+        index.ratio = float(np.quantile(needed, min(recall, 1.0), method="higher")) + 1e-9
         return index
 
 
@@ -204,22 +210,31 @@ def _blocked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _scored(k: int):
-    def rows(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(stored) or not len(asked):
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
+    """The k + 1 best of each query over all lists of a shard; both sides' rows are (list, block, part, rep, least, v)."""
+    keys = ["list", "block", "part"]
+
+    def in_list(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        stored = stored.sort_values("least")
         a, b = _unpacked(asked["v"].tolist()), _unpacked(stored["v"].tolist())
-        reps = stored["rep"].to_numpy()
-        order = np.argsort(reps, kind="stable")
-        b, reps = b[order], reps[order]
         sims = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
         best = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]
         query = np.repeat(asked["rep"].to_numpy(), best.shape[1])
-        return pd.DataFrame({"query": query, "rep": reps[best].ravel(), "score": np.take_along_axis(sims, best, axis=1).ravel()})
+        picked = stored.iloc[best.ravel()]
+        return pd.DataFrame({"query": query, "rep": picked["rep"].to_numpy(), "least": picked["least"].to_numpy(), "score": np.take_along_axis(sims, best, axis=1).ravel()})
+
+    def rows(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        lists = dict(iter(stored.groupby(keys))) if len(stored) else {}
+        found = [in_list(lists[key], part) for key, part in asked.groupby(keys) if key in lists] if len(asked) else []
+        if not found:
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
+        both = pd.concat(found).sort_values(["query", "score", "least"], ascending=[True, False, True])
+        both = both.drop_duplicates(["query", "rep"])
+        return both.groupby("query").head(k + 1)[["query", "rep", "score"]]
 
     return rows
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", recall: float = 0.97, seed: int = 42) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", recall: float = 0.96, seed: int = 42) -> DataFrame:
     """(query_id, rank, key, score): for each row with is_query its k nearest other rows by cosine, as far as found.
 
     Vectors that are null, empty or zero, or hold null or non-finite components
@@ -264,14 +279,20 @@ def _near_reps(reps: DataFrame, asked: DataFrame, k: int, recall: float, seed: i
     schema = "list int, rep bigint, v binary"
     stored = stage_table(reps.select("rep", "v").mapInArrow(_listed(index, False), schema))
     visits = stage_table(reps.join(asked, "rep", "left_semi").select("rep", "v").mapInArrow(_listed(index, True), schema))
+    stored_rows, visit_rows = stored.count(), visits.count()
     stored, stored_blocks = _blocked(stored, "block")
     visits, visit_blocks = _blocked(visits, "part")
-    # A list of many rows or queries is scored block by block, every part of one with every block of the other.
+    # A list of many rows or queries is scored block by block, every part of one with every block of the other,
+    # and lists are gathered to shards of bounded size, whose tasks hand on each query's best only.
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1)).alias(name)
-    left = stored.join(visit_blocks, "list").select("list", "block", each("part"), "rep", "v")
-    right = visits.join(stored_blocks, "list").select("list", each("block"), "part", "rep", "v")
-    keys = ["list", "block", "part"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scored(k), "query bigint, rep bigint, score double")
+    columns = ["list", "block", "part", "rep", "v"]
+    left = stored.join(visit_blocks, "list").select("list", "block", each("part"), "rep", "v").select(*columns)
+    right = visits.join(stored_blocks, "list").select("list", each("block"), "part", "rep", "v").select(*columns)
+    rows = stored_rows + visit_rows
+    shard = F.pmod(F.xxhash64("list", "block", "part"), F.lit(max(1, math.ceil(rows / SHARD)))).alias("shard")
+    left = left.join(reps.select("rep", "least"), "rep").select(shard, *columns, "least")
+    right = right.select(shard, *columns)
+    scored = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(_scored(k), "query bigint, rep bigint, score double")
     once = scored.groupBy("query", "rep").agg(F.max("score").alias("score")).join(reps.select("rep", "least"), "rep")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
     return once.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).select("query", "rep", "score")
