@@ -14,14 +14,22 @@ def test_running_totals_cross_ranges(spark):
     rng = random.Random(1)
     rows = [(rng.choice("aab"), i, rng.randint(0, 9)) for i in rng.sample(range(1000), 300)]
     df = spark.createDataFrame(rows, "k string, o bigint, x bigint")
-    sums = {(r.k, r.o): r.s for r in prefix.sum_before(df, ["k"], "o", F.col("x"), "s", 16).collect()}
-    mins = {(r.k, r.o): r.s for r in prefix.min_before(df, ["k"], "o", F.col("x"), "s", 16).collect()}
+    sums = {(r.k, r.o): r.s for r in prefix.sum_before(df, ["k"], "o", F.col("x"), "s", 6).collect()}
+    mins = {(r.k, r.o): r.s for r in prefix.min_before(df, ["k"], "o", F.col("x"), "s", 6).collect()}
     for k, o, _ in rows:
         before = [x for kk, oo, x in rows if kk == k and oo < o]
         assert sums[k, o] == sum(before)
         assert mins[k, o] == (min(before) if before else None)
 
 
+def test_sparse_orders_give_few_ranges(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") * 1_000_003).alias("o"))
+    cut = prefix.ranged(df, ["k"], "o", 5).groupBy("_range").count().collect()
+    assert 2 <= len(cut) <= 5 and max(r["count"] for r in cut) < 10_000
+    got = prefix.count_before(df, ["k"], "o", "n", 5)
+    assert got.filter("n <> o / 1000003").count() == 0 and got.count() == 20_000
+
+
 def test_one_line_page_loses_its_line_once(spark):
     rows = [("d", i, "Head\nbody %d\nFoot" % i) for i in range(1, 4)] + [("d", 4, "Head"), ("d", 5, " \n"), ("e", 1, "Head\nx")]
     got = {(r.doc_name, r.page): r.text for r in pg.clean_pages(spark.createDataFrame(rows, "doc_name string, page int, text string")).collect()}

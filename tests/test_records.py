@@ -239,3 +239,12 @@ def test_ingest_stream_goes_on_with_late_pages(spark, folder):
     chunks = spark.read.parquet(f"{folder}/twochunks").collect()
     assert {r.page for r in chunks} == {1, 2, 3}
     assert sorted(r.chunk_id for r in chunks) == list(range(len(chunks)))
+
+
+def test_endless_page_ranges_stay_ranges(spark):
+    answers = spark.createDataFrame([(1, "see [a.pdf:1-99999999999] and [b.pdf: 9-4, 7]")], "query_id int, answer string")
+    passages = spark.createDataFrame([(1, "a.pdf", 12), (1, "a.pdf", 0), (1, "b.pdf", 4), (1, "b.pdf", 5), (1, "b.pdf", 7), (2, "a.pdf", 12)], "query_id int, doc_name string, page int")
+    ranges = ct.cited_ranges(answers)
+    assert ranges.count() == 4
+    got = {(r.doc_name, r.page) for r in ct.match_sources(passages, ranges).collect()}
+    assert got == {("a.pdf", 12), ("b.pdf", 4), ("b.pdf", 7)}

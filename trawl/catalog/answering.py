@@ -209,7 +209,7 @@ def _matched(spark, d):
         (F.col("doc_id") % 60).alias("page"), "text", (F.coalesce("quality", F.lit(1)) / 2 + 0.25).alias("relevance"),
         (F.col("doc_id") % 7 / 7).alias("hybrid_score"),
     )
-    return ct.match_sources(docs, ct.extract_citations(answers(spark, d)))
+    return ct.match_sources(docs, ct.cited_ranges(answers(spark, d)))
 
 
 @query("match_sources", _citations_sql(False) + ", " + _DOC_PASSAGES + "SELECT query_id, doc_name, page FROM matched")

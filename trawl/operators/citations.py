@@ -10,11 +10,13 @@ from trawl.functions.text import strip, truncate
 RANGE_BLOCK = 10_000
 
 
-def extract_citations(answers: DataFrame, ends_only: bool = False, pattern: str = fv.CITATION_PATTERN) -> DataFrame:
-    """Distinct (query_id, doc_name, page) cited in ``answer``; page is a string or NULL.
+def cited_ranges(answers: DataFrame, ends_only: bool = False, pattern: str = fv.CITATION_PATTERN) -> DataFrame:
+    """(query_id, doc_name, page, lo, hi) of the citations in ``answer``, as written and with repeats.
 
-    A range names each of its pages, a reversed one only its two ends. With
-    ``ends_only`` the name ends at the first ':' and every range gives its ends.
+    A rising range of pages is one row with lo and hi and no page, however long
+    it is. Anything else is a page as a string, NULL for the whole document; a
+    reversed range gives its two ends. With ``ends_only`` the name ends at the
+    first ':' and every range gives its ends.
     """
     found = answers.select(
         "query_id",
@@ -35,27 +37,40 @@ def extract_citations(answers: DataFrame, ends_only: bool = False, pattern: str
     low = F.regexp_extract("seg", fv.PAGE_RANGE_PATTERN, 1)
     high = F.regexp_extract("seg", fv.PAGE_RANGE_PATTERN, 2)
     a, b = low.try_cast("bigint"), high.try_cast("bigint")
-    is_range = F.col("seg").rlike(fv.PAGE_RANGE_PATTERN)
-    # A long range is unfolded in blocks, so no single array holds all its pages.
-    block = F.transform(
-        F.sequence(a, b, F.lit(RANGE_BLOCK)), lambda s: F.struct(s.alias("lo"), F.least(s + RANGE_BLOCK - 1, b).alias("hi"))
-    )
-    blocks = segments.filter("doc_name <> ''").select(
-        "query_id", "doc_name", "seg", low.alias("low"), high.alias("high"), is_range.alias("is_range"),
-        F.explode_outer(F.when(is_range & (a <= b) & F.lit(not ends_only), block)).alias("run"),
-    )
-    run = F.transform(F.sequence("run.lo", "run.hi"), lambda p: p.cast("string"))
-    pages = (
-        F.when(F.col("run").isNotNull(), run).when(F.col("is_range"), F.array("low", "high")).otherwise(F.array("seg"))
+    is_range = F.coalesce(F.col("seg").rlike(fv.PAGE_RANGE_PATTERN), F.lit(False))
+    rising = is_range & F.coalesce(a <= b, F.lit(False)) & F.lit(not ends_only)
+    ends = F.when(rising, F.array(F.lit(None).cast("string"))).when(is_range, F.array(low, high)).otherwise(F.array("seg"))
+    return segments.filter("doc_name <> ''").select(
+        "query_id", "doc_name", F.explode(ends).alias("page"), F.when(rising, a).alias("lo"), F.when(rising, b).alias("hi")
     )
+
+
+def extract_citations(answers: DataFrame, ends_only: bool = False, pattern: str = fv.CITATION_PATTERN) -> DataFrame:
+    """Distinct (query_id, doc_name, page) cited in ``answer``; page is a string or NULL.
+
+    A range names each of its pages, a reversed one only its two ends. With
+    ``ends_only`` the name ends at the first ':' and every range gives its ends.
+    A range of very many pages gives as many rows; `match_sources` takes
+    `cited_ranges` as they are.
+    """
+    ranges = cited_ranges(answers, ends_only, pattern).distinct()
+    # A long range is unfolded in blocks, so no single array holds all its pages.
+    starts = F.when(F.col("lo").isNotNull(), F.sequence("lo", "hi", F.lit(RANGE_BLOCK)))
+    blocks = ranges.withColumn("start", F.explode_outer(starts))
+    run = F.transform(F.sequence("start", F.least(F.col("start") + RANGE_BLOCK - 1, F.col("hi"))), lambda p: p.cast("string"))
+    pages = F.when(F.col("start").isNotNull(), run).otherwise(F.array("page"))
     return blocks.select("query_id", "doc_name", F.explode(pages).alias("page")).distinct()
 
 
 def match_sources(passages: DataFrame, citations: DataFrame) -> DataFrame:
-    """Passages whose document and page, or whole document, was cited."""
+    """Passages whose document and page, or whole document, was cited; takes `cited_ranges` or `extract_citations`."""
     p, c = passages.alias("p"), citations.alias("c")
     same = (F.col("p.query_id") == F.col("c.query_id")) & (F.col("p.doc_name") == F.col("c.doc_name"))
-    page = F.col("c.page").isNull() | (F.col("c.page") == "") | (F.col("p.page").cast("string") == F.col("c.page"))
+    own = F.col("p.page").cast("string")
+    page = F.col("c.page").isNull() | (F.col("c.page") == "") | (own == F.col("c.page"))
+    if "lo" in citations.columns:
+        number = own.try_cast("bigint")
+        page = F.when(F.col("c.lo").isNotNull(), number.between(F.col("c.lo"), F.col("c.hi"))).otherwise(page)
     return p.join(c, same & page, "left_semi")
 
 

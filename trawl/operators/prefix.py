@@ -1,44 +1,54 @@
 """Running totals and minima over a key that may hold most of the rows.
 
-A plain window would sort a hot key in one task. Here each key is cut into
-ranges of its integer order column: one window runs inside the ranges, one over
-a row per range, and the two are added. The result is exact.
+A plain window would sort a hot key in one task. Here the rows are cut into
+ranges of about equal numbers of rows by key and order column, so a hot key
+spreads over many ranges however its order values lie; one window runs inside the
+ranges, one over a row per range and key, and the two are added. The result is
+exact: rows of equal key and order are always in one range.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGE_WIDTH = 1 << 16
+from trawl.session import stage_table
 
 
-def _before(df: DataFrame, keys: list[str], order: str, value: Column, fold, merge, width: int, out: str) -> DataFrame:
-    cut = df.withColumn("_range", F.floor(F.col(order) / width)).withColumn("_value", value)
+def ranged(df: DataFrame, keys: list[str], order: str, ranges: int | None = None) -> DataFrame:
+    """Add ``_range``, which grows with (keys, order); written, so that it stays the same for all readers."""
+    by = [*keys, order]
+    cut = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    return stage_table(cut.withColumn("_range", F.spark_partition_id()))
+
+
+def _before(df: DataFrame, keys: list[str], order: str, value: Column, fold, merge, ranges: int | None, out: str) -> DataFrame:
+    cut = ranged(df.withColumn("_value", value), keys, order, ranges)
     upto = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(*upto)
     across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*upto)
-    ranges = (
+    sums = (
         cut.groupBy(*keys, "_range").agg(fold(F.col("_value")).alias("_range_value"))
         .select(*keys, "_range", fold(F.col("_range_value")).over(across).alias("_base"))
     )
-    return (
-        cut.withColumn("_local", fold(F.col("_value")).over(inside))
-        .join(ranges, [*keys, "_range"])
-        .withColumn(out, merge(F.col("_base"), F.col("_local")))
-        .drop("_range", "_value", "_local", "_base")
+    same = F.col("l._range") == F.col("r._range")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    local = cut.withColumn("_local", fold(F.col("_value")).over(inside))
+    return local.alias("l").join(sums.alias("r"), same).select(
+        *[F.col(f"l.{c}") for c in df.columns], merge(F.col("r._base"), F.col("l._local")).alias(out)
     )
 
 
-def sum_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int = RANGE_WIDTH) -> DataFrame:
+def sum_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, ranges: int | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the key's rows ordered before this one."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return _before(df, keys, order, value, F.sum, lambda a, b: zero(a) + zero(b), width, out)
+    return _before(df, keys, order, value, F.sum, lambda a, b: zero(a) + zero(b), ranges, out)
 
 
-def count_before(df: DataFrame, keys: list[str], order: str, out: str, width: int = RANGE_WIDTH) -> DataFrame:
-    return sum_before(df, keys, order, F.lit(1).cast("bigint"), out, width)
+def count_before(df: DataFrame, keys: list[str], order: str, out: str, ranges: int | None = None) -> DataFrame:
+    return sum_before(df, keys, order, F.lit(1).cast("bigint"), out, ranges)
 
 
-def min_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int = RANGE_WIDTH) -> DataFrame:
+def min_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, ranges: int | None = None) -> DataFrame:
     """Add ``out``: the least ``value`` over the key's earlier rows, NULL for the first."""
-    return _before(df, keys, order, value, F.min, lambda a, b: F.least(a, b), width, out)
+    return _before(df, keys, order, value, F.min, lambda a, b: F.least(a, b), ranges, out)

@@ -175,7 +175,7 @@ def finish(answers: DataFrame, context: DataFrame, log: DataFrame, chats: DataFr
     ``answers``: query_id, session_id, chat_id, seq, query_text, answer, docs, ts.
     ``context``: the passages the answers were made from.
     """
-    matched = ct.match_sources(context, ct.extract_citations(answers))
+    matched = ct.match_sources(context, ct.cited_ranges(answers))
     sources = ct.source_rows(matched)
     confidence = ps.answer_confidence(context)
     record = [c for c in sources.columns if c not in ("query_id", "place")]
