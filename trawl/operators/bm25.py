@@ -127,6 +127,32 @@ def bm25_scores(
     )
 
 
+def sparse_sides(
+    questions: DataFrame, chunks: DataFrame, key: str = "chunk_key", query_id: str = "query_id", k1: float = fv.BM25_K1, b: float = fv.BM25_B,
+    postings: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(scope, query_id, terms, weights) and (scope, key, terms, gains) for the blocked scorer.
+
+    A chunk's list holds those of its terms that a question of its scope has, so
+    neither list is longer than its text. The score of a pair is the sum of
+    weight times gain over the terms both have.
+    """
+    postings = stage_table(chunk_terms(chunks, key)) if postings is None else postings
+    frequency = term_document_frequency(postings)
+    idf = term_idf(frequency, corpus_stats(chunks, frequency))
+    asked = question_terms(questions, query_id).join(idf, ["scope", "term"])
+    asked = stage_table(asked.select("scope", query_id, "term", (F.col("query_count") * F.col("idf")).alias("weight"), "avg_len"))
+    known = asked.groupBy("scope", "term").agg(F.first("avg_len").alias("avg_len"))
+    known = stage_table(known.withColumn("id", F.monotonically_increasing_id()))
+    fade = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + fade)
+    both = lambda df, owner, value, out: df.groupBy("scope", owner).agg(
+        F.collect_list(F.struct("id", value.alias("v"))).alias("l")
+    ).select("scope", owner, F.col("l.id").alias("terms"), F.col("l.v").alias(out))
+    weighted = asked.join(known.select("scope", "term", "id"), ["scope", "term"])
+    return both(weighted, query_id, F.col("weight"), "weights"), both(postings.join(known, ["scope", "term"]), key, gain, "gains")
+
+
 def bm25_range(scores: DataFrame, chunks: DataFrame, query_id: str = "query_id") -> DataFrame:
     """Per question the least and greatest score over all candidates, zeros included."""
     seen = scores.groupBy("scope", query_id).agg(

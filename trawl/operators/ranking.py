@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Task code travels by value, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,6 +23,8 @@ SCORE_DIGITS = 9
 # Size bounds: a task holds a few matrices of QUESTIONS_PER_BLOCK x ROWS_PER_SLICE.
 QUESTIONS_PER_BLOCK, CHUNKS_PER_BLOCK, ROWS_PER_SLICE = 1024, 16_384, 2048
 MERGE_EVERY = 16
+# Term matches of a block summed at a time.
+PAIRS_AT_ONCE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -45,8 +48,34 @@ def _best_rows(rounded: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
         pool = np.flatnonzero(rounded >= cut)
     else:
         pool = np.arange(rounded.size)
-    ranked = sorted(pool, key=lambda i: (-rounded[i], keys[i]))
-    return np.asarray(ranked[:n], dtype=np.int64)
+    return pool[np.lexsort((keys[pool], -rounded[pool]))[:n]]
+
+
+def _raw_scores(questions: pa.Table, chunks: pa.Table) -> np.ndarray:
+    """Sparse scores of a block: for each question and chunk the sum of weight times gain over the terms both have."""
+    shape = (questions.num_rows, chunks.num_rows)
+    if "terms" not in chunks.column_names or "terms" not in questions.column_names:
+        return np.zeros(shape)
+
+    def flat(table: pa.Table, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = table["terms"].combine_chunks()
+        counts = np.asarray(lists.value_lengths().fill_null(0))
+        rest = table[values].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(table.num_rows), counts), lists.flatten().to_numpy(zero_copy_only=False), rest
+
+    owner, term, weight = flat(questions, "weights")
+    order = np.argsort(term, kind="stable")
+    owner, term, weight = owner[order], term[order], weight[order]
+    raw = np.zeros(shape[0] * shape[1])
+    column, posted, gain = flat(chunks, "gains")
+    first, last = np.searchsorted(term, posted, "left"), np.searchsorted(term, posted, "right")
+    sizes = last - first
+    steps = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS_AT_ONCE)) + 1, [len(posted)]])
+    for a, b in zip(steps[:-1], steps[1:]):
+        at = np.repeat(np.arange(a, b), sizes[a:b])
+        own = np.arange(len(at)) - np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b]) + first[at]
+        raw += np.bincount(owner[own] * shape[1] + column[at], weight[own] * gain[at], len(raw))
+    return raw.reshape(shape)
 
 
 def _score_block(questions: pa.Table, chunks: pa.Table, mix: Mix) -> pa.Table | None:
@@ -54,19 +83,10 @@ def _score_block(questions: pa.Table, chunks: pa.Table, mix: Mix) -> pa.Table |
     if questions.num_rows == 0 or chunks.num_rows == 0:
         return None
     dim = len(questions["vec"][0])
-    q_ids = questions["query_id"].to_numpy(zero_copy_only=False)
     keys = chunks["chunk_key"].to_numpy(zero_copy_only=False)
     vectors = _matrix(chunks["vec"], dim)
     dense = _matrix(questions["vec"], dim) @ vectors.T
-    raw = np.zeros_like(dense)
-    matched = chunks["match_query"].combine_chunks()
-    counts = np.asarray(matched.value_lengths().fill_null(0))
-    if counts.sum():
-        order = np.argsort(q_ids, kind="stable")
-        owners = matched.flatten().to_numpy(zero_copy_only=False)
-        rows = order[np.searchsorted(q_ids[order], owners)]
-        columns = np.repeat(np.arange(chunks.num_rows), counts)
-        raw[rows, columns] = chunks["match_raw"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    raw = _raw_scores(questions, chunks)
     low = questions["low"].to_numpy(zero_copy_only=False)[:, None]
     span = questions["high"].to_numpy(zero_copy_only=False)[:, None] - low
     flat = span < 1e-12
@@ -108,25 +128,42 @@ def _keep_best(found: list[pa.Table], n: int) -> pa.Table:
     return table.filter(pa.array(place < n)).drop_columns(["order"])
 
 
-def _best_of(questions: pa.Table, blocks, mix: Mix) -> pa.Table | None:
-    """Best rows per question over an iterator of chunk blocks, slice by slice."""
+def _meetings(questions: pa.Table, blocks):
+    """(questions, chunks) of one scope, slice by slice over an iterator of chunk blocks."""
     asked = questions["scope"].to_numpy(zero_copy_only=False)
-    found: list[pa.Table] = []
+    own = {scope: questions.filter(pa.array(asked == scope)) for scope in np.unique(asked)}
     for block in blocks:
         for at in range(0, block.num_rows, ROWS_PER_SLICE):
             part = block.slice(at, ROWS_PER_SLICE)
             scopes = part["scope"].to_numpy(zero_copy_only=False)
             for scope in np.unique(scopes):
-                scored = _score_block(
-                    questions.filter(pa.array(asked == scope)), part.filter(pa.array(scopes == scope)), mix
-                )
-                if scored is not None:
-                    found.append(scored)
-            if len(found) > MERGE_EVERY:
-                found = [_keep_best(found, mix.best_n)]
+                if scope in own:
+                    yield own[scope], part.filter(pa.array(scopes == scope))
+
+
+def _best_of(questions: pa.Table, blocks, mix: Mix) -> pa.Table | None:
+    """Best rows per question over an iterator of chunk blocks."""
+    found: list[pa.Table] = []
+    for asked, part in _meetings(questions, blocks):
+        found.append(_score_block(asked, part, mix))
+        if len(found) > MERGE_EVERY:
+            found = [_keep_best(found, mix.best_n)]
     return _keep_best(found, mix.best_n) if found else None
 
 
+def _range_of(questions: pa.Table, blocks) -> pa.Table | None:
+    """Least and greatest sparse score per question over an iterator of chunk blocks."""
+    low: dict[int, np.ndarray] = {}
+    scopes: dict[int, pa.Table] = {}
+    for asked, part in _meetings(questions, blocks):
+        raw = _raw_scores(asked, part)
+        edge = np.stack([raw.min(axis=1), -raw.max(axis=1)])
+        low[id(asked)] = np.minimum(low[id(asked)], edge) if id(asked) in low else edge
+        scopes[id(asked)] = asked
+    tables = [t.select(["scope", "query_id"]).append_column("low", pa.array(low[i][0])).append_column("high", pa.array(-low[i][1])) for i, t in scopes.items()]
+    return pa.concat_tables(tables) if tables else None
+
+
 def _output_schema(questions: DataFrame, chunks: DataFrame) -> str:
     q, k = questions.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_key"].dataType.simpleString()
     v = chunks.schema["vec"].dataType.simpleString()
@@ -136,63 +173,60 @@ def _output_schema(questions: DataFrame, chunks: DataFrame) -> str:
     )
 
 
-def _matches(sparse: DataFrame | None, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks with the list of their sparse scores, empty where nothing matched."""
-    if sparse is None:
-        return chunks.withColumns(
-            {"match_query": F.array().cast("array<bigint>"), "match_raw": F.array().cast("array<double>")}
-        )
-    lists = sparse.groupBy(*keys).agg(F.collect_list(F.struct("query_id", "bm25_raw")).alias("m"))
-    return chunks.join(lists, keys, "left").withColumns(
-        {"match_query": F.col("m.query_id"), "match_raw": F.col("m.bm25_raw")}
-    ).drop("m")
+def best_candidates(questions: DataFrame, chunks: DataFrame, mix: Mix) -> DataFrame:
+    """Ranked best ``mix.best_n`` chunks per question, exact.
+
+    ``questions``: scope, query_id, vec, low, high, and for sparse scores terms
+    and weights. ``chunks``: scope, chunk_key, vec, recency, and for sparse
+    scores terms and gains.
+    """
+    questions = questions.select(*[c for c in ("scope", "query_id", "vec", "low", "high", "terms", "weights") if c in questions.columns])
+    chunks = chunks.select(*[c for c in ("scope", "chunk_key", "vec", "recency", "terms", "gains") if c in chunks.columns])
+    scored = _met(questions, chunks, lambda q, blocks: _best_of(q, blocks, mix), _output_schema(questions, chunks))
+    place = Window.partitionBy("query_id").orderBy(F.round("final", SCORE_DIGITS).desc(), "chunk_key")
+    return scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= mix.best_n)
 
 
-def best_candidates(questions: DataFrame, chunks: DataFrame, mix: Mix, sparse: DataFrame | None = None) -> DataFrame:
-    """Ranked best ``mix.best_n`` chunks per question, exact.
+def sparse_ranges(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(scope, query_id, low, high): range of the sparse scores of a question over all chunks of its scope, zeros included."""
+    kind = questions.schema["query_id"].dataType.simpleString()
+    asked, posted = questions.select("scope", "query_id", "terms", "weights"), chunks.select("scope", "chunk_key", "terms", "gains")
+    parts = _met(asked, posted, _range_of, f"scope string, query_id {kind}, low double, high double")
+    return parts.groupBy("scope", "query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
-    ``questions``: scope, query_id, vec, low, high.
-    ``chunks``: scope, chunk_key, vec, recency.
-    ``sparse``: scope, query_id, chunk_key, bm25_raw of matching pairs.
+
+def _met(questions: DataFrame, chunks: DataFrame, fold, schema: str) -> DataFrame:
+    """fold(questions, chunk blocks) in every task.
 
     Up to QUESTIONS_PER_BLOCK questions travel to the tasks as a broadcast and
     the chunk table is scanned in place. More are cut, with the chunks, into
-    blocks of bounded size that meet in a shuffle.
+    blocks of bounded size that meet in a shuffle. Results are the same.
     """
     spark = chunks.sparkSession
-    questions = questions.select("scope", "query_id", "vec", "low", "high")
-    chunks = chunks.select("scope", "chunk_key", "vec", "recency")
-    schema = _output_schema(questions, chunks)
     small = questions.limit(QUESTIONS_PER_BLOCK + 1).toArrow()
-    if small.num_rows <= QUESTIONS_PER_BLOCK:
-        shared = spark.sparkContext.broadcast(small)
+    if small.num_rows > QUESTIONS_PER_BLOCK:
+        return _shuffled_blocks(questions, chunks, fold, schema)
+    shared = spark.sparkContext.broadcast(small)
 
-        def scan(batches):
-            best = _best_of(shared.value, (pa.Table.from_batches([b]) for b in batches), mix)
-            if best is not None:
-                yield from best.to_batches()
+    def scan(batches):
+        found = fold(shared.value, (pa.Table.from_batches([b]) for b in batches))
+        if found is not None:
+            yield from found.to_batches()
 
-        scored = _matches(sparse, chunks, ["scope", "chunk_key"]).mapInArrow(scan, schema)
-    else:
-        scored = _shuffled_blocks(questions, chunks, mix, sparse, schema)
-    place = Window.partitionBy("query_id").orderBy(F.round("final", SCORE_DIGITS).desc(), "chunk_key")
-    return scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= mix.best_n)
+    return chunks.mapInArrow(scan, schema)
 
 
-def _shuffled_blocks(questions: DataFrame, chunks: DataFrame, mix: Mix, sparse: DataFrame | None, schema: str) -> DataFrame:
+def _shuffled_blocks(questions: DataFrame, chunks: DataFrame, fold, schema: str) -> DataFrame:
     n_q = -(-questions.count() // QUESTIONS_PER_BLOCK)
     n_c = max(-(-chunks.count() // CHUNKS_PER_BLOCK), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = questions.withColumn("qb", block("query_id", n_q)).withColumn("cb", every(n_c))
-    spread = chunks.withColumn("cb", block("chunk_key", n_c)).withColumn("qb", every(n_q))
-    # A chunk row only carries the matches of the question block it is sent to.
-    owned = sparse.withColumn("qb", block("query_id", n_q)) if sparse is not None else None
-    right = _matches(owned, spread, ["scope", "chunk_key", "qb"])
-    empty = chunks.sparkSession.createDataFrame([], schema).toArrow()
+    right = chunks.withColumn("cb", block("chunk_key", n_c)).withColumn("qb", every(n_q))
+    empty = to_arrow_schema(chunks.sparkSession.createDataFrame([], schema).schema).empty_table()
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        best = _best_of(q, [c], mix) if q.num_rows and c.num_rows else None
-        return empty if best is None else best
+        found = fold(q, [c]) if q.num_rows and c.num_rows else None
+        return empty if found is None else found
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)

@@ -8,9 +8,9 @@ from trawl.functions import fixed_values as fv
 from trawl.functions.scores import recency_score
 from trawl.functions.text import strip
 from trawl.functions.vectors import cosine01, dot
-from trawl.operators.bm25 import ALL, bm25_range, bm25_scores, with_scope
-from trawl.operators.ranking import SCORE_DIGITS, Mix, best_candidates
-from trawl.session import stage, stage_table
+from trawl.operators.bm25 import ALL, sparse_sides, with_scope
+from trawl.operators.ranking import SCORE_DIGITS, Mix, best_candidates, sparse_ranges
+from trawl.session import stage_table
 
 
 def parse_allowed(selected: Column) -> Column:
@@ -161,21 +161,23 @@ def score_scoped(
 ) -> DataFrame:
     """Ranked best candidates of scoped questions among scoped chunks.
 
-    The sparse scores feed two readers, the per-question range and the blocked
-    scorer, so they are staged once.
+    No (question, chunk) pair becomes a row: chunks carry their postings of the
+    questions' terms beside the vector, in one written table that two scans
+    read, the first for the range of each question's sparse scores and the second
+    for the best of the mixed ones.
     """
     dim = vector_dim(questions)
     pool = pool if dim is None else require_dim(pool, dim)
-    texts = pool.select("scope", "chunk_key", "text")
-    sparse = stage(bm25_scores(questions, texts))
-    ranges = bm25_range(sparse, texts)
-    limits = questions.join(ranges, ["scope", "query_id"], "left").select(
-        "scope", "query_id", "vec",
-        F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"),
-    )
     recency = recency_score(F.col("upload_timestamp"), F.lit(as_of), recency_mode)
-    ready = pool.select("scope", "chunk_key", "vec", recency.alias("recency"))
-    return best_candidates(limits, ready, Mix(alpha, recency_weight, best_n), sparse)
+    asked, posted = sparse_sides(questions, pool.select("scope", "chunk_key", "text"))
+    own = pool.select("scope", "chunk_key", "vec", recency.alias("recency"))
+    ready = stage_table(own.join(posted, ["scope", "chunk_key"], "left"))
+    asked = questions.select("scope", "query_id", "vec").join(asked, ["scope", "query_id"], "left")
+    asked = stage_table(asked)
+    limits = asked.join(sparse_ranges(asked, ready), ["scope", "query_id"], "left").withColumns(
+        {"low": F.coalesce("low", F.lit(0.0)), "high": F.coalesce("high", F.lit(0.0))}
+    )
+    return best_candidates(limits, ready, Mix(alpha, recency_weight, best_n))
 
 
 def score_candidates(
