@@ -41,9 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the strings of 200 bytes that occur more than once; n_chars follows a changed text."""
-    left = substrings.without_repeats(docs, length=200)
-    text = F.when(F.col("n_removed") > 0, substrings.whole_characters(F.col("kept"))).otherwise(F.col("text"))
-    left = left.withColumn("text", text)
+    left = substrings.without_repeats(docs, length=200, output="text")
+    left = left.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -150,8 +150,10 @@ def test_repeated_strings(spark, monkeypatch, hot):
     assert left.columns == ["doc_id", "text", "t", "k", "n_bytes", "n_removed", "n_spans", "kept"]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in left.collect()}
     assert [got[i] for i in range(len(texts))] == want
-    digest = substrings.without_repeats(docs, length=40, anchor=10, digest=True)
+    digest = substrings.without_repeats(docs, length=40, anchor=10, output="digest")
     assert {r.doc_id: r.kept for r in digest.collect()} == {i: hashlib.sha256(w[3]).hexdigest() for i, w in enumerate(want)}
+    words = substrings.without_repeats(docs, length=40, anchor=10, output="text")
+    assert {r.doc_id: r.kept for r in words.collect()} == {i: w[3].decode(errors="ignore") for i, w in enumerate(want)}
     assert substrings.without_repeats(docs.limit(0)).count() == 0
 
 

@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.llm.memory import release
 from trawl.llm.tokens import slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -220,7 +221,9 @@ def with_scores(docs: DataFrame, model: CoTrained, text: str = "text") -> DataFr
     """
 
     def scored(texts: pa.Array, counts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
-        return pa.array(model.score(*_features(texts, counts, sources, langs)).tolist(), pa.list_(pa.float64()))
+        scores = pa.array(model.score(*_features(texts, counts, sources, langs)).tolist(), pa.list_(pa.float64()))
+        release()
+        return scores
 
     names = ["content_score", "metadata_score", "score"]
     both = docs.drop(*names).withColumn("_scores", F.arrow_udf(scored, "array<double>")(*_inputs(docs, text)))

@@ -73,7 +73,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repeated_substrings")
 def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 200-byte strings that start elsewhere, too."""
-    left = substrings.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200, digest=True)
+    left = substrings.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200, output="digest")
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 

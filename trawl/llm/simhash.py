@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
+from trawl.llm.memory import release
 from trawl.session import stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,7 +71,7 @@ def with_fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str
     """Add a BIGINT SimHash of each whole text; a null or wordless text has 0."""
 
     def hashed(batch: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, words, seed) for t in batch.to_pylist()], pa.int64())
+        return pa.array([fingerprint(t.as_py(), words, seed) for t in batch], pa.int64())
 
     return docs.withColumn(out, F.arrow_udf(hashed, "bigint")(F.col(text)))
 
@@ -172,7 +173,9 @@ def _shingle_sets(size: int):
         for text in batch:
             parts = list(shingle_hashes(words_of(text.as_py()), size))
             out.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+        found = pa.array(out, pa.list_(pa.int64()))
+        release()
+        return found
 
     return F.arrow_udf(sets, "array<bigint>")
 
@@ -185,7 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 #: Members and bytes of shingle hashes of a bucket that one task compares with as many others.
-_BLOCK_MEMBERS, _BLOCK_BYTES = 2048, 16 << 20
+_BLOCK_MEMBERS, _BLOCK_BYTES = 1024, 4 << 20
 
 
 def _linked_in_block(similarity: float):
@@ -216,12 +219,12 @@ def _linked_in_block(similarity: float):
         row_of, column_of = np.repeat(np.arange(len(sets)), sizes)[common], column[place[common]]
         width = int(column[-1]) + 1 if len(column) else 0
         left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-        shared = np.zeros((len(left), len(right)), np.float32)
+        shared, matrix = np.zeros((len(left), len(right)), np.float32), None
         at = np.zeros(len(sets), np.int64)
         at[left] = np.arange(len(left))
-        for start in range(0, width, 4096):
-            part = (column_of >= start) & (column_of < start + 4096)
-            matrix = np.zeros((len(sets), min(4096, width - start)), np.float32)
+        for start in range(0, width, 2048):
+            part = (column_of >= start) & (column_of < start + 2048)
+            matrix = np.zeros((len(sets), min(2048, width - start)), np.float32)
             matrix[row_of[part], column_of[part] - start] = 1
             shared += matrix[left] @ matrix[right].T
         linked = shared >= similarity * (sizes[left][:, None] + sizes[right][None, :] - shared) - 1e-3
@@ -233,6 +236,8 @@ def _linked_in_block(similarity: float):
                 if p != q:
                     parent[p] = q
                     pairs.append((names[a], names[b]))
+        del values, place, count, matrix, shared, linked
+        release()
         return pd.DataFrame(pairs, columns=["a", "b"])
 
     return found
@@ -262,7 +267,12 @@ def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8, max
     shares most buckets with others. Buckets that hold several components after
     that are compared in full, in blocks inside tasks.
     """
-    hashed = texts.withColumn("f", F.arrow_udf(lambda batch: pa.array([sampled_fingerprints(t.as_py(), words) for t in batch], pa.list_(pa.int64())), "array<bigint>")("text"))
+    def sampled(batch: pa.Array) -> pa.Array:
+        found = pa.array([sampled_fingerprints(t.as_py(), words) for t in batch], pa.list_(pa.int64()))
+        release()
+        return found
+
+    hashed = texts.withColumn("f", F.arrow_udf(sampled, "array<bigint>")("text"))
     signed = stage_table(hashed.select("t", "f").groupBy("t").agg(F.first("f").alias("f")))
     shared = signed.select("t", F.posexplode("f").alias("view", "fp")).select("t", F.xxhash64("view", "fp").alias("bucket"))
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")

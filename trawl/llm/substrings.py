@@ -27,6 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.llm.memory import release
 from trawl.session import stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,7 +37,7 @@ HOT = 4096
 #: Bytes of text in one transform.
 _BLOCK_BYTES = 1 << 20
 #: String starts looked at together in a long text.
-_STARTS = 1 << 21
+_STARTS = 1 << 19
 #: Bytes of merged contexts held by a task before they are passed on.
 _MERGE_BYTES = 8 << 20
 
@@ -130,6 +131,7 @@ def _anchor_rows(length: int, anchor: int):
         for batch in batches:
             for texts, hashes, _, _, _ in owned_runs(*flat_texts(batch.column(0)), length, anchor):
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(texts)), pa.array(hashes)], ["k", "h"])
+            release()
 
     return rows
 
@@ -180,6 +182,8 @@ def _context_rows(length: int, anchor: int):
                 )
         if held:
             yield merged(held)
+        held = {}
+        release()
 
     return rows
 
@@ -344,6 +348,8 @@ def _transformed(length: int, anchor: int):
             yield batch_of([g[0] for g in lone], [[0, len(g[1]) - length + 1] for g in lone])
         if block:
             yield settle(block)
+        block = []
+        release()
 
     return rows
 
@@ -358,34 +364,39 @@ def _close(group: list[tuple], block: list[tuple], lone: list[tuple], anchor: in
     return sum(len(g[1]) for g in kept)
 
 
-def _cut(length: int):
+def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
+    """(bytes left, number removed, maximal removed runs) of a text without [starts, ends)."""
+    if not len(starts):
+        return raw, 0, 0
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    fresh = np.concatenate([[True], starts[1:] > reach[:-1]])
+    first, last = starts[fresh].tolist(), reach[np.append(fresh[1:], True)].tolist()
+    kept = b"".join(raw[a:b] for a, b in zip([0, *last], [*first, len(raw)]))
+    return kept, len(raw) - len(kept), len(first)
+
+
+def _cut(length: int, as_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, begins, ends = flat_texts(batch.column("_text"))
             spans = batch.column("_spans")
             flat, runs = spans.flatten(), spans.flatten().field("runs")
             per_text = np.diff(spans.offsets.to_numpy())
             per_span = np.diff(runs.offsets.to_numpy()) // 2
             pairs = runs.flatten().to_numpy().reshape(-1, 2)
-            text_of = np.repeat(np.repeat(np.arange(len(per_text)), per_text), per_span)
-            starts = np.repeat(flat.field("first").to_numpy(), per_span) + pairs[:, 0] + begins[text_of]
-            cover = np.zeros(len(data) + 1, np.int32)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + pairs[:, 1] + length - 1, -1)
-            gone = np.cumsum(cover)[:-1] > 0
-            edge = gone.copy()
-            edge[1:] &= ~gone[:-1]
-            kept, removed, n_spans = [], [], []
-            for a, b in zip(begins.tolist(), ends.tolist()):
-                part = gone[a:b]
-                kept.append(data[a:b][~part].tobytes())
-                removed.append(int(np.count_nonzero(part)))
-                n_spans.append(int(np.count_nonzero(edge[a:b])) + int(b > a and part[0] and not edge[a]))
+            starts = np.repeat(flat.field("first").to_numpy(), per_span) + pairs[:, 0]
+            ends = starts + pairs[:, 1] + length - 1
+            bounds = np.concatenate([[0], np.cumsum(per_span)])[np.concatenate([[0], np.cumsum(per_text)])]
+            out = [_without(text.as_py().encode(), starts[a:b], ends[a:b]) for text, a, b in zip(batch.column("_text"), bounds[:-1], bounds[1:])]
+            kept = [k.decode(errors="ignore") for k, _, _ in out] if as_text else [k for k, _, _ in out]
             names = [c for c in batch.schema.names if c not in ("_text", "_spans")]
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())], [*names, "kept", "n_removed", "n_spans"]
+                [*columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array([r for _, r, _ in out], pa.int64()), pa.array([n for _, _, n in out], pa.int64())],
+                [*names, "kept", "n_removed", "n_spans"],
             )
+            del out, kept, columns
+            release()
 
     return rows
 
@@ -438,18 +449,19 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     return grams.join(often, "g").groupBy("c").agg(runs.alias("runs"))
 
 
-def without_repeats(docs: DataFrame, length: int = 200, anchor: int = 48, text: str = "text", digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, anchor: int = 48, text: str = "text", output: str = "bytes") -> DataFrame:
     """The rows of docs with (n_bytes, n_removed, n_spans, kept): every byte that a repeated
     string of `length` UTF-8 bytes covers is removed; strings never cross rows.
 
-    kept is BINARY, as a cut may fall inside a character; with digest it is the
-    SHA-256 of those bytes in hex, and texts without a repeated anchor are not
+    kept is BINARY, as a cut may fall inside a character; with output "text" it is
+    a STRING without characters that a cut has broken; with output "digest" it is
+    the SHA-256 of those bytes in hex, and texts without a repeated anchor are not
     carried along. Columns of docs with one of these four names are replaced. A
     null text counts as empty. Shorter texts never change. A text of `length`
     bytes or more whose row repeats loses everything, as each copy occurs
     elsewhere. An empty table gives no rows.
     """
-    new = ["n_bytes", "n_removed", "n_spans", "kept"]
+    new, digest, as_text = ["n_bytes", "n_removed", "n_spans", "kept"], output == "digest", output == "text"
     names = [c for c in docs.columns if c not in new]
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(
@@ -463,17 +475,12 @@ def without_repeats(docs: DataFrame, length: int = 200, anchor: int = 48, text:
     own = [c for c in beside.columns if c not in ("k", "t", "sha", "candidate")]
     hit = touched.filter("_spans is not null").select(*own, F.col("t").alias("_text"), "_spans")
     schema = ", ".join(f"`{c}` {hit.schema[c].dataType.simpleString()}" for c in own)
-    hit = hit.mapInArrow(_cut(length), f"{schema}, kept binary, n_removed bigint, n_spans bigint")
+    hit = hit.mapInArrow(_cut(length, as_text), f"{schema}, kept {'string' if as_text else 'binary'}, n_removed bigint, n_spans bigint")
     same = touched.filter("_spans is null").drop("_spans").unionByName(beside.filter("not candidate"))
     same = same.withColumns({"n_removed": F.lit(0).cast("bigint"), "n_spans": F.lit(0).cast("bigint")})
     if digest:
         hit, same = hit.withColumn("kept", F.sha2("kept", 256)), same.withColumn("kept", F.col("sha"))
     else:
-        same = same.withColumn("kept", F.col("t").cast("binary"))
+        same = same.withColumn("kept", F.col("t") if as_text else F.col("t").cast("binary"))
     both = hit.unionByName(same.select(*hit.columns))
     return both.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names) if not (digest and c == text)], *new)
-
-
-def whole_characters(kept):
-    """Column of UTF-8 bytes as a string without characters that a cut has broken."""
-    return F.arrow_udf(lambda batch: pa.array([None if b is None else b.decode(errors="ignore") for b in batch.to_pylist()], pa.string()), "string")(kept)
