@@ -248,3 +248,13 @@ def test_endless_page_ranges_stay_ranges(spark):
     assert ranges.count() == 4
     got = {(r.doc_name, r.page) for r in ct.match_sources(passages, ranges).collect()}
     assert got == {("a.pdf", 12), ("b.pdf", 4), ("b.pdf", 7)}
+
+
+def test_questions_without_a_chat_get_one(spark):
+    from trawl.plans import steps
+
+    chats = spark.createDataFrame([("s", "old", "A", 1, 1), ("s", "new", "B", 2, 9)], "session_id string, chat_id string, title string, created_at bigint, updated_at bigint")
+    asked = [(1, "s", None, 1, 50), (2, "s", "old", 2, 50), (3, "s", "gone", 3, 50), (4, "s", "gone", 4, 50), (5, "t", None, 5, 50), (6, "t", " ", 6, 50)]
+    questions, after = steps.settle_chats(spark.createDataFrame(asked, "query_id bigint, session_id string, chat_id string, seq bigint, ts bigint"), chats)
+    assert {r.query_id: r.chat_id for r in questions.collect()} == {1: "new", 2: "old", 3: "chat-3", 4: "chat-3", 5: "chat-5", 6: "chat-5"}
+    assert {r.chat_id for r in after.collect()} == {"old", "new", "chat-3", "chat-5"}

@@ -12,6 +12,9 @@ from trawl.catalog.inputs import AS_OF, big, chunks, mmr_sql, pages, r6, ranked_
 from trawl.catalog.operations import LIMITS, _JOBS, _METRICS, _rounded, as_job_events, as_requests, cases
 from trawl.catalog.registry import SQL, query
 from trawl.catalog.retrieval import _HYBRID
+from trawl.catalog.scalars import SUMMARY_SQL, TYPE_SQL
+from trawl.functions import fixed_values as fv
+from trawl.operators import answers as an
 from trawl.plans import steps
 from trawl.session import scratch_folder
 from trawl.streaming import streams
@@ -80,7 +83,7 @@ def _(spark, d):
 def _(spark, d):
     context = _asked(spark, d).context
     cite = F.concat(F.lit(" ["), "doc_name", F.lit(":"), F.col("page").cast("string"), F.lit("]"))
-    lines = context.filter("place IN (1, 3)").groupBy("query_id").agg(F.array_join(F.collect_list(cite), "").alias("answer"))
+    lines = context.filter("place IN (1, 3)").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", cite.alias("c")))).alias("l")).select("query_id", F.array_join("l.c", "").alias("answer"))
     asked = lines.join(context.select("query_id", "query_text").distinct(), "query_id").select(
         "query_id", F.lit("s").alias("session_id"), F.concat(F.lit("c"), F.col("query_id").cast("string")).alias("chat_id"),
         F.col("query_id").alias("seq"), "query_text", "answer", F.array(F.lit("all")).alias("docs"), F.lit(int(AS_OF)).cast("bigint").alias("ts"),
@@ -90,6 +93,81 @@ def _(spark, d):
     return done.sources.select("query_id", big("place").alias("place"), "filename", "page", r6("relevance").alias("relevance"), "content")
 
 
+# The same flow with a filled cache and a session without documents: every fourth
+# question was answered before, and every fifth of the others asks where nothing is stored.
+_MIXED = _ASK + f""", kinds AS (SELECT query_id, query_text, CASE WHEN query_id % 4 = 0 THEN 'hit' WHEN query_id % 5 = 1 THEN 'none' ELSE 'live' END AS kind FROM questions),
+live AS (SELECT c.* FROM context c JOIN kinds USING (query_id) WHERE kind = 'live'),
+said AS (SELECT query_id, string_agg(' [' || doc_name || ':' || page || ']', '' ORDER BY place) AS answer FROM live WHERE place IN (1, 3) GROUP BY ALL
+  UNION ALL SELECT query_id, 'cached ' || query_id FROM kinds WHERE kind = 'hit'
+  UNION ALL SELECT query_id, '{fv.MSG_NO_ANSWER}' FROM kinds WHERE kind = 'none')
+"""
+
+
+def _mixed_questions(spark, d):
+    none = (F.col("query_id") % 5 == 1) & (F.col("query_id") % 4 != 0)
+    return vector_questions(spark, d).withColumns(
+        {"session_id": F.when(none, "e").otherwise("s"), "docs": F.array(F.lit("all")), "selected": F.lit(None).cast("string")}
+    )
+
+
+def _filled_cache(spark, d):
+    known = an.with_answer_key(_mixed_questions(spark, d).filter("query_id % 4 = 0"))
+    answer = F.concat(F.lit("cached "), F.col("query_id").cast("string"))
+    return known.select("k", answer.alias("answer"), F.lit(0.5).alias("confidence"), F.array().cast(CITATION).alias("citations"), F.lit(1).cast("bigint").alias("ts"))
+
+
+def _mixed(spark, d):
+    return steps.ask(_mixed_questions(spark, d), chunks(spark, d).withColumn("session_id", F.lit("s")), _filled_cache(spark, d), AS_OF)
+
+
+@query("ask_hits", _MIXED + "SELECT query_id, answer, 0.5::DOUBLE AS confidence FROM said JOIN kinds USING (query_id) WHERE kind = 'hit'")
+def _(spark, d):
+    return _mixed(spark, d).hits.select("query_id", "answer", "confidence")
+
+
+@query("ask_unanswered", _MIXED + "SELECT query_id, answer, 0.0::DOUBLE AS confidence FROM said JOIN kinds USING (query_id) WHERE kind = 'none'")
+def _(spark, d):
+    return _mixed(spark, d).unanswered.select("query_id", "answer", "confidence")
+
+
+@query(
+    "ask_prompts",
+    _MIXED + f"SELECT DISTINCT query_id, {TYPE_SQL.replace('{}', 'query_text')} AS question_type, CASE WHEN {SUMMARY_SQL.format('query_text')} THEN 2048 ELSE 1024 END AS output_budget "
+    "FROM kinds JOIN live USING (query_id)",
+)
+def _(spark, d):
+    return _mixed(spark, d).prompts.select("query_id", "question_type", "output_budget")
+
+
+def _mixed_finished(spark, d):
+    asked = _mixed(spark, d)
+    cite = F.concat(F.lit(" ["), "doc_name", F.lit(":"), F.col("page").cast("string"), F.lit("]"))
+    lines = asked.context.filter("place IN (1, 3)").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", cite.alias("c")))).alias("l"))
+    texts = _mixed_questions(spark, d).select(
+        "query_id", "query_text", "session_id", F.concat(F.lit("c"), F.col("query_id").cast("string")).alias("chat_id"), F.col("query_id").alias("seq"),
+        F.lit(int(AS_OF)).cast("bigint").alias("ts"),
+    )
+    answers = lines.select("query_id", F.array_join("l.c", "").alias("answer"), F.array(F.lit("all")).alias("docs")).join(texts, "query_id")
+    hits = asked.hits.join(texts, "query_id")
+    unanswered = asked.unanswered.select("query_id", "answer").join(texts, "query_id")
+    chats = texts.select("session_id", "chat_id", F.lit("Cuộc trò chuyện").alias("title"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+    return steps.finish(answers, asked.context, spark.createDataFrame([], LOG), chats, _filled_cache(spark, d), hits, unanswered)
+
+
+@query(
+    "finish_log",
+    _MIXED + "SELECT 'c' || query_id AS chat_id, 0::BIGINT AS turn, 'user' AS role, query_text AS content FROM kinds JOIN said USING (query_id) "
+    "UNION ALL SELECT 'c' || query_id, 1, 'assistant', answer FROM said",
+)
+def _(spark, d):
+    return _mixed_finished(spark, d).log.select("chat_id", "turn", "role", "content")
+
+
+@query("finish_cache", _MIXED + "SELECT answer FROM said JOIN kinds USING (query_id) WHERE kind <> 'none'")
+def _(spark, d):
+    return _mixed_finished(spark, d).answer_cache.select("answer")
+
+
 @query("evaluate", SQL["eval_report"])
 def _(spark, d):
     q = F.concat_ws("-", "conv_id", "turn")

@@ -169,11 +169,39 @@ class Finished:
     answer_cache: DataFrame
 
 
-def finish(answers: DataFrame, context: DataFrame, log: DataFrame, chats: DataFrame, answer_cache: DataFrame) -> Finished:
-    """Generated answers to sources, confidence, chat log and answer cache.
+def settle_chats(questions: DataFrame, chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions with a chat_id that exists, chats with the new ones).
 
-    ``answers``: query_id, session_id, chat_id, seq, query_text, answer, docs, ts.
-    ``context``: the passages the answers were made from.
+    ``questions``: query_id, session_id, chat_id (NULL for none), seq, ts. A known
+    chat is used, none means the session's newest. Questions that need a new chat
+    share one per session and wanted id; it is named after the first of them.
+    """
+    found = stage(ch.resolve_chat(questions, chats))
+    want = F.coalesce(strip(F.col("chat_id")), F.lit(""))
+    missing = found.filter("must_create").withColumn("_want", want)
+    first = missing.groupBy("session_id", "_want").agg(F.min_by(F.struct("query_id", "seq", "ts"), "seq").alias("q"))
+    made = F.concat(F.lit("chat-"), F.col("q.query_id").cast("string"))
+    made = stage(first.select("session_id", "_want", made.alias("_made"), "q.seq", "q.ts"))
+    creates = made.select(
+        "seq", F.lit("create").alias("action"), "session_id", F.col("_made").alias("chat_id"), F.lit(None).cast("string").alias("title"), F.col("ts").alias("timestamp")
+    )
+    settled = found.withColumn("_want", want).join(made.select("session_id", "_want", "_made"), ["session_id", "_want"], "left")
+    chosen = F.when(F.col("must_create"), F.col("_made")).otherwise(F.col("resolved_chat_id"))
+    return settled.withColumn("chat_id", chosen).select(*questions.columns), ch.apply_chat_changes(chats, creates)
+
+
+def finish(
+    answers: DataFrame, context: DataFrame, log: DataFrame, chats: DataFrame, answer_cache: DataFrame,
+    hits: DataFrame | None = None, unanswered: DataFrame | None = None,
+) -> Finished:
+    """Answers to sources, confidence, chat log and answer cache.
+
+    ``answers``: generated ones, query_id, session_id, chat_id, seq, query_text,
+    answer, docs, ts; ``context``: the passages they were made from. ``hits`` from
+    the answer cache (the same without docs, and confidence, citations) and
+    ``unanswered`` apologies (the same without docs) go to the chat log as well,
+    apologies without sources and with confidence 0. Only generated answers
+    enter the answer cache.
     """
     matched = ct.match_sources(context, ct.cited_ranges(answers))
     sources = ct.source_rows(matched)
@@ -186,6 +214,15 @@ def finish(answers: DataFrame, context: DataFrame, log: DataFrame, chats: DataFr
     exchanges = done.select(
         "session_id", "chat_id", "seq", F.col("query_text").alias("question"), "answer", "sources", "confidence", F.col("ts").alias("timestamp")
     )
+    columns = ["session_id", "chat_id", "seq", F.col("query_text").alias("question"), "answer"]
+    source_type = log.schema["sources"].dataType
+    exchanges = exchanges.withColumn("sources", F.col("sources").cast(source_type))
+    if hits is not None:
+        exchanges = exchanges.unionByName(hits.select(*columns, F.col("citations").cast(source_type).alias("sources"), "confidence", F.col("ts").alias("timestamp")))
+    if unanswered is not None:
+        none = F.array().cast(source_type).alias("sources")
+        exchanges = exchanges.unionByName(unanswered.select(*columns, none, F.lit(0.0).alias("confidence"), F.col("ts").alias("timestamp")))
+    exchanges = stage(exchanges)
     cited = answer_cache.schema["citations"].dataType
     answered = an.with_answer_key(done).select(
         "k", "answer", "confidence", F.coalesce("sources", F.array().cast(nested.schema["sources"].dataType)).cast(cited).alias("citations"), "ts"
