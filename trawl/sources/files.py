@@ -24,7 +24,10 @@ MANIFEST_DOC = (
     "STRUCT<doc: STRING, pages: INT, chunks: BIGINT, status: STRING, message: STRING, upload_timestamp: DOUBLE, "
     "document_status: STRING, version: INT>"
 )
-MANIFEST_SCHEMA = f"session_id STRING, docs ARRAY<{MANIFEST_DOC}>, total_chunks BIGINT, ts BIGINT"
+MANIFEST_SCHEMA = (
+    f"session_id STRING, part BIGINT, docs ARRAY<{MANIFEST_DOC}>, total_chunks BIGINT, ts BIGINT, ocr BOOLEAN, chunk_size INT, chunk_overlap INT, "
+    "document_stats STRUCT<total_documents: BIGINT, active_documents: BIGINT, superseded_documents: BIGINT>"
+)
 PART_ROWS = 10_000
 
 
@@ -89,8 +92,9 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 def write_fingerprints(registry: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines {doc_id: [fingerprint, ...]} in version order.
 
-    A document with very many versions is spread over several lines, so that no
-    list grows without bound; reading puts them side by side again.
+    A document's versions go in parts of PART_ROWS, one line each below the folder
+    of its part number, whatever the number of versions, so that no list grows
+    without bound. Reading puts the parts side by side again.
     """
     fp = F.struct(*FINGERPRINT_FIELDS)
     part = F.floor((F.col("version") - 1) / PART_ROWS)
@@ -98,7 +102,7 @@ def write_fingerprints(registry: DataFrame, path: str, mode: str = "overwrite")
         F.array_sort(F.collect_list(F.struct("version", fp.alias("fp")))).alias("v")
     )
     line = F.to_json(F.create_map("doc_id", F.col("v.fp")))
-    lists.select("session_id", line.alias("value")).write.mode(mode).partitionBy("session_id").text(path)
+    lists.select("session_id", "part", line.alias("value")).write.mode(mode).partitionBy("session_id", "part").text(path)
 
 
 def read_fingerprints(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -113,27 +117,35 @@ def read_fingerprints(spark: SparkSession, path: str, whole_files: bool = False)
     return lists.select(*session, "doc_id", F.explode("fps").alias("fp")).select(*session, "doc_id", "fp.*")
 
 
-def nest_manifest(docs: DataFrame, ts: int) -> DataFrame:
-    """Manifest records: the documents of a session, sorted, nested in ``docs``.
+def nest_manifest(docs: DataFrame, ts: int, ocr: bool = False, chunk_size: int = fv.CHUNK_SIZE, chunk_overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
+    """Manifest records: the documents of a session, sorted, nested in ``docs``, with the settings and the session's counts.
 
-    Sessions of up to PART_ROWS documents are one record; larger ones are split
-    by a hash of the name into records of about that size.
+    Every record has a part number and holds about PART_ROWS documents, which a
+    hash of the name picks; a session of fewer has one, part 0. Totals and counts
+    are the session's in each record.
     """
-    totals = docs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("total_chunks"))
+    status = lambda s: F.count_if(F.col("document_status") == s)
+    totals = docs.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("total_chunks"), status("active").alias("_active"), status("superseded").alias("_superseded")
+    )
     part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / PART_ROWS))
     record = F.struct(
         "doc", F.col("pages").cast("int").alias("pages"), F.col("chunks").cast("bigint").alias("chunks"), "status", "message",
         "upload_timestamp", "document_status", F.col("version").cast("int").alias("version"),
     )
     return (
-        docs.join(totals, "session_id").groupBy("session_id", "total_chunks", part.alias("part"))
+        docs.join(totals, "session_id").groupBy("session_id", "total_chunks", "n", "_active", "_superseded", part.cast("bigint").alias("part"))
         .agg(F.array_sort(F.collect_list(record)).alias("docs"))
-        .select("session_id", "docs", "total_chunks", F.lit(ts).cast("bigint").alias("ts"))
+        .select(
+            "session_id", "part", "docs", "total_chunks", F.lit(ts).cast("bigint").alias("ts"), F.lit(ocr).alias("ocr"),
+            F.lit(chunk_size).alias("chunk_size"), F.lit(chunk_overlap).alias("chunk_overlap"),
+            F.struct(F.col("n").alias("total_documents"), F.col("_active").alias("active_documents"), F.col("_superseded").alias("superseded_documents")).alias("document_stats"),
+        )
     )
 
 
-def write_manifest(docs: DataFrame, path: str, ts: int, mode: str = "overwrite") -> None:
-    nest_manifest(docs, ts).write.mode(mode).json(path)
+def write_manifest(docs: DataFrame, path: str, ts: int, mode: str = "overwrite", **settings) -> None:
+    nest_manifest(docs, ts, **settings).write.mode(mode).json(path)
 
 
 def read_manifest(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
