@@ -258,3 +258,49 @@ def test_questions_without_a_chat_get_one(spark):
     questions, after = steps.settle_chats(spark.createDataFrame(asked, "query_id bigint, session_id string, chat_id string, seq bigint, ts bigint"), chats)
     assert {r.query_id: r.chat_id for r in questions.collect()} == {1: "new", 2: "old", 3: "chat-3", 4: "chat-3", 5: "chat-5", 6: "chat-5"}
     assert {r.chat_id for r in after.collect()} == {"old", "new", "chat-3", "chat-5"}
+
+
+def changed_at_once(chats, changes):
+    """The documented meaning of one batch, row by row."""
+    default = "Cuộc trò chuyện"
+    number = lambda t: int(t.rsplit(" ", 1)[1]) if t.startswith(default) and t.rsplit(" ", 1)[1].isdigit() else 1 if t.strip() == default else None
+    after = {(c[0], c[1]): list(c) for c in chats}
+    newest = {}
+    for c in sorted(chats, key=lambda c: (-c[4], c[1])):
+        newest.setdefault(c[0], c[1])
+    held = {s: sum(c[0] == s for c in chats) for s in {x[1] for x in changes}}
+    top = max([number(c[2]) or 0 for c in chats], default=0)
+    ordered = sorted(changes)
+    for seq, session, action, chat, title, at in ordered:
+        title = (title or "").strip()
+        if action == "create":
+            held[session] += 1
+            after[session, chat] = [session, chat, title or f"{default} {held[session]}", at, at]
+        if action == "create_session":
+            top += not title
+            after[session, chat] = [session, chat, title or f"{default} {top}", at, at]
+    for seq, session, action, chat, title, at in ordered:
+        key = (session, chat or newest.get(session))
+        if action == "rename" and key in after:
+            after[key][2], after[key][4] = (title or "").strip() or after[key][2], at
+    for _, session, action, chat, *_ in ordered:
+        if action == "delete":
+            after.pop((session, chat), None)
+    return sorted(map(tuple, after.values()))
+
+
+def test_a_batch_of_chat_changes_is_simultaneous(spark):
+    rng = random.Random(21)
+    for _ in range(4):
+        chats = [(f"s{i % 3}", f"c{i}", rng.choice(["A", "Cuộc trò chuyện", "Cuộc trò chuyện 4"]), i, rng.randrange(50)) for i in range(8)]
+        changes = []
+        for seq in range(25):
+            action = rng.choice(["create", "create_session", "rename", "rename", "delete"])
+            session = f"s{rng.randrange(4)}"
+            chat = f"n{seq}" if action.startswith("create") else rng.choice([f"c{rng.randrange(8)}", f"n{rng.randrange(25)}", None if action == "rename" else "none"])
+            changes.append((seq, session, action, chat, rng.choice([None, " ", f" T{seq} "]), 100 + seq))
+        got = ch.apply_chat_changes(
+            spark.createDataFrame(chats, "session_id string, chat_id string, title string, created_at bigint, updated_at bigint"),
+            spark.createDataFrame(changes, "seq bigint, session_id string, action string, chat_id string, title string, timestamp bigint"),
+        )
+        assert sorted(map(tuple, got.collect())) == changed_at_once(chats, changes)

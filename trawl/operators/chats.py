@@ -134,6 +134,12 @@ def apply_chat_changes(chats: DataFrame, changes: DataFrame) -> DataFrame:
     gets a numbered default: the session's chat count plus one, or for a new
     session one more than the greatest default number in use. A blank rename
     keeps the title; a rename without chat_id means the session's newest chat.
+
+    One call is one simultaneous change: the newest chat, the chat counts and
+    the greatest number are those before the batch, and a chat that any row
+    deletes is gone, whatever other rows say of it. ``seq`` numbers the creates
+    and decides between several renames of a chat, also of one made in the same
+    batch. For strict order apply the changes in several calls.
     """
     title = F.nullif(strip(F.coalesce("title", F.lit(""))), F.lit(""))
     acts = changes.withColumn("title", title)
