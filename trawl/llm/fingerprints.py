@@ -153,7 +153,9 @@ def peel(counts: np.ndarray, xors: np.ndarray, checks: np.ndarray, size: int) ->
         np.bitwise_xor.at(xors, cells, np.tile(key, 3))
         np.bitwise_xor.at(checks, cells, np.tile(_check(key), 3))
         keys.append(key), signs.append(sign), owners.append(owner)
-        live = np.unique(np.concatenate([live, cells]))
+        single[:] = False  # only cells that were touched can have become pure
+        single[cells] = True
+        live = np.flatnonzero(single)
         live = live[counts[live] != 0]
     left = (counts != 0) | (xors != 0)
     done = ~left.reshape(n, 3 * size).any(axis=1)
