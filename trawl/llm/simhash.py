@@ -282,7 +282,7 @@ def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8, max
     ends = whole.select(F.col("fp").alias("a"), F.col("t").alias("ta")), whole.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
     near = stage_table(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
     involved = shared.select("t").union(near.select("a")).union(near.select("b")).distinct()
-    sets = texts.join(involved, "t", "left_semi").dropDuplicates(["t"]).select("t", _shingle_sets(words)("text").alias("s"))
+    sets = texts.dropDuplicates(["t"]).join(involved, "t", "left_semi").select("t", _shingle_sets(words)("text").alias("s"))
     sets = stage_table(sets)
     central = shared.groupBy("t").agg(F.sum("n").alias("central"))
     weighed = shared.join(central, "t")

@@ -127,10 +127,16 @@ def owned_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: i
 
 
 def _anchor_rows(length: int, anchor: int):
+    """(k, h, n): the anchors of each text with their number, which keeps texts of one word over and over small."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, hashes, _, _, _ in owned_runs(*flat_texts(batch.column(0)), length, anchor):
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(texts)), pa.array(hashes)], ["k", "h"])
+                order = np.lexsort((hashes, texts))
+                texts, hashes = texts[order], hashes[order]
+                fresh = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])]))
+                counts = np.diff(np.append(fresh, len(hashes))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(texts[fresh])), pa.array(hashes[fresh]), pa.array(counts)], ["k", "h", "n"])
             release()
 
     return rows
@@ -409,9 +415,9 @@ def repeated_spans(texts: DataFrame, length: int = 200, anchor: int = 48, keep_a
     second table has (k, first, runs): starts first + runs[2i] up to runs[2i + 1]
     of them are of strings that occur elsewhere.
     """
-    anchors = stage_table(texts.select("t", "k").mapInArrow(_anchor_rows(length, anchor), "k binary, h bigint"))
-    again = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    per_text = anchors.join(again, "h").groupBy("k").agg(F.collect_set("h").alias("shared"))
+    anchors = stage_table(texts.select("t", "k").mapInArrow(_anchor_rows(length, anchor), "k binary, h bigint, n int"))
+    again = anchors.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    per_text = anchors.select("k", "h").join(again, "h").groupBy("k").agg(F.collect_set("h").alias("shared"))
     beside = texts.join(per_text, "k", "left").withColumn("candidate", F.col("shared").isNotNull())
     if not keep_all:
         beside = beside.withColumn("t", F.when(F.col("candidate"), F.col("t")))
