@@ -236,6 +236,19 @@ def _(spark, d):
     return s.select("query_id", big("pick").alias("pick"), "chunk_key", "doc_name", "page", r6("score").alias("score"))
 
 
+@query(
+    "vector_search_per_question",
+    _DENSE + f", {ranked_sql('(dense_raw + 1) / 2', 'dense', 24)}, {mmr_sql(8, 0.5, False)}, {_ALLOWED} "
+    "SELECT query_id, pick, c.chunk_key, t.doc_name, t.page, round((c.dense_raw + 1) / 2, 6) AS score "
+    "FROM picked JOIN cand c USING (query_id, rank) JOIN text_chunks t ON t.chunk_key = c.chunk_key "
+    "WHERE query_id NOT IN (SELECT item_id FROM wanted) OR (query_id, t.doc_name) IN (SELECT (item_id, doc_name) FROM wanted)",
+)
+def _(spark, d):
+    allowed = _selected(spark, d).select(F.col("item_id").alias("query_id"), F.explode("allowed").alias("doc_name"))
+    s = retrieve.vector_search(vector_questions(spark, d), chunks(spark, d), 8, 0.5, allowed)
+    return s.select("query_id", big("pick").alias("pick"), "chunk_key", "doc_name", "page", r6("score").alias("score"))
+
+
 @query(
     "hybrid_retrieve",
     _HYBRID + f", {ranked_sql('final', 'final', 30)}, {mmr_sql(10, 0.6)} "

@@ -22,7 +22,15 @@ def parse_allowed(selected: Column) -> Column:
 
 
 def filter_docs(chunks: DataFrame, allowed: DataFrame | None) -> DataFrame:
-    """Chunks of the documents named in ``allowed(doc_name)``; None or no row keeps all."""
+    """Chunks of the documents named in ``allowed(doc_name)``; None or no row keeps all.
+
+    For rows of questions, ``allowed(query_id, doc_name)`` gives each question its
+    own documents; a question without any row keeps all of its rows.
+    """
+    if allowed is not None and "query_id" in allowed.columns:
+        own = allowed.select("query_id", "doc_name").distinct()
+        free = chunks.join(own.select("query_id").distinct(), "query_id", "left_anti")
+        return free.unionByName(chunks.join(own, ["query_id", "doc_name"], "left_semi").select(*free.columns))
     if allowed is None or allowed.isEmpty():
         return chunks
     return chunks.join(allowed.select("doc_name").distinct(), "doc_name", "left_semi")
@@ -136,7 +144,7 @@ def vector_search(
     mmr_lambda: float = 0.5,
     allowed: DataFrame | None = None,
 ) -> DataFrame:
-    """Cosine top 3k, then MMR; the document filter applies to the result."""
+    """Cosine top 3k, then MMR; the document filter, one for all questions or one each, applies to the result."""
     return filter_docs(search_scoped(questions, chunks, k, mmr_lambda), allowed)
 
 
