@@ -77,18 +77,22 @@ def scratch_folder(spark: SparkSession) -> str:
     return name
 
 
-def drop_stages(spark: SparkSession, needed_by: DataFrame | None = None) -> int:
-    """Delete the folders that this session's `scratch_folder` calls named; returns how many.
+def staged(spark: SparkSession) -> list[str]:
+    """The folders that this session's `scratch_folder` calls named and that were not deleted."""
+    return list(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def drop_stages(spark: SparkSession, among: list[str] | None = None, needed_by: DataFrame | None = None) -> int:
+    """Delete the `staged` folders, or those of them that are in `among`; returns how many.
 
     Folders that `needed_by` reads stay. Call it when no other result that was
     not written elsewhere needs them any more.
     """
-    names = _STAGED.pop(spark.sparkContext.applicationId, [])
+    names = [n for n in staged(spark) if among is None or n in among]
     files = needed_by.inputFiles() if needed_by is not None and names else []
-    kept = [n for n in names if any(n.rsplit("/", 1)[1] in f for f in files)]
-    _STAGED[spark.sparkContext.applicationId] = kept
+    gone = [n for n in names if not any(n.rsplit("/", 1)[1] in f for f in files)]
+    _STAGED[spark.sparkContext.applicationId] = [n for n in staged(spark) if n not in gone]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = [n for n in names if n not in kept]
     for name in gone:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
