@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 from trawl.catalog.registry import query
 from trawl.llm import mixing, packing, quality, simhash, substrings
 from trawl.llm.queries import word_vocabulary
-from trawl.session import drop_stages, scratch_folder
+from trawl.session import drop_stages, scratch_folder, staged
+
+
+#: Folders that the stages so far have staged inside.
+_LEFT: list[str] = []
 
 
 def _fresh(stage):
-    """A stage that first deletes what earlier ones staged, but for what its input is read from.
+    """A stage that first deletes what earlier stages have staged inside, but for what its input is read from.
 
     The stages' results are written before the next one starts, so only the
-    input can still need a staged table.
+    input can still need such a table. Nothing else that the session has staged
+    is touched.
     """
 
     @functools.wraps(stage)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_stages(spark, needed_by=docs)
-        return stage(spark, docs, sf_dir)
+        drop_stages(spark, _LEFT, needed_by=docs)
+        before = staged(spark)
+        result = stage(spark, docs, sf_dir)
+        _LEFT[:] = [n for n in staged(spark) if n in _LEFT or n not in before]
+        return result
 
     return begin
 

@@ -236,7 +236,7 @@ def test_mixing(spark):
     rows = sample_docs()
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS size", "2 AS `row`", "3 AS target")
     got = mixing.mix(docs, [5, 2, 1]).collect()
-    sizes = [len((r[1] or "").split(" ")) if False else len([w for w in (r[1] or "").split() if w]) for r in rows]
+    sizes = [len((r[1] or "").split()) for r in rows]
     by_source = defaultdict(int)
     for r, n in zip(rows, sizes):
         by_source[r[2]] += n
