@@ -242,7 +242,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     they get no rows as queries. Equal vectors are searched once, so that any
     number of copies costs no more, and the k + 1 smallest keys stand for them.
     Ties go to the smaller key. Scores are in double precision on the vectors as
-    they are. Rows that repeat a key count as candidates each. With fewer than k
+    they are. Rows that repeat a key count as candidates each, but none with the
+    query's own key does. With fewer than k
     others all are returned; an empty table gives no rows.
     """
     value = F.col(f"`{vector}`").cast("array<double>")

@@ -197,13 +197,15 @@ def fit(
     pool = ids.orderBy(order, key).limit(max_pool).distinct().join(known.select(key), key, "left_anti")
     wanted = labelled.union(pool.select(F.col(key).alias("_k"), F.lit(None).cast("double"))).dropDuplicates(["_k"])
     picked = docs.select(F.col(key).alias("_k"), *[c.alias(n) for c, n in zip(_inputs(docs, text), ("t", "n", "s", "g"))])
-    picked = picked.join(F.broadcast(wanted), "_k").orderBy(_order(seed, "_k"), "_k", "n").limit(max_labelled + max_pool)
+    picked = picked.join(F.broadcast(wanted), "_k")
 
     def packed(texts: pa.Array, counts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
         content, meta = _features(texts, counts, sources, langs)
         return pa.array([row.tobytes() for row in np.hstack([content, meta])], pa.binary())
 
-    found = picked.select("_y", F.arrow_udf(packed, "binary")("t", "n", "s", "g").alias("x")).toArrow()
+    # Features are made where the texts lie; keys that repeat are cut to the bound as features.
+    made = picked.select("_k", "_y", F.arrow_udf(packed, "binary")("t", "n", "s", "g").alias("x"))
+    found = made.orderBy(_order(seed, "_k"), "_k", "x").limit(max_labelled + max_pool).select("_y", "x").toArrow()
     if not found.num_rows:
         return CoTrained(1.0)
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(found.num_rows, -1)
