@@ -190,6 +190,35 @@ def test_spread_matches_plain_iteration(spark):
     assert set(got) == nodes and all(np.allclose(got[h], now[h]) for h in nodes)
 
 
+def test_verdicts_do_not_depend_on_unrelated_pages(spark):
+    link = lambda host: f'<a href="https://{host}/x">y</a>'
+    chain = [(f"http://bad.org/{i}", "") for i in range(60)] + [("http://spam.io/p", link("bad.org")), ("http://far.io/", link("spam.io"))]
+    pages = spark.createDataFrame([(-1 - i, *r) for i, r in enumerate(chain)], "page_id bigint, url string, html string")
+    flat = spark.range(600_000).select("id", F.concat(F.lit("http://h"), F.col("id") % 1000, F.lit(".com/")), F.lit(""))
+    rules = urls.rules_frame(spark, [("bad.org", "/", "block"), ("com", "/", "allow")])
+    few, many = ({r.host: r for r in urls.url_verdicts(p, rules).filter("page_id < 0").collect()} for p in (pages, pages.union(flat)))
+    assert all(r.verdict == "block" for r in [*few.values(), *many.values()]) and set(few) == set(many) == {"bad.org", "spam.io", "far.io"}
+    assert all(abs(few[h].distrust - many[h].distrust) < 1e-4 and few[h].distrust > 5 for h in few)
+
+
+def test_spread_runs_until_every_host_is_settled(spark):
+    # A long chain to the seed, a circle, and a host that keeps what it gets.
+    links = [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("x", "y"), ("y", "x"), ("y", "z"), ("c3", "x")]
+    seeds = {"c12": (0.0, 1e5), "x": (40.0, 2.0), "z": (3.0, 7.0)}
+    frame = spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double")
+    got = {r.host: (r.trust, r.distrust) for r in urls.spread(frame, spark.createDataFrame(links, "a string, b string"), damping=0.5).collect()}
+    names = sorted(got)
+    steps = np.zeros((2, len(names), len(names)))
+    for v, pairs in enumerate((links, [(b, a) for a, b in links])):
+        for h in names:
+            goals = [b for a, b in pairs if a == h] or [h]
+            for b in goals:
+                steps[v, names.index(b), names.index(h)] += 1 / len(goals)
+    start = np.array([seeds.get(h, (0.0, 0.0)) for h in names])
+    want = [np.linalg.solve(np.eye(len(names)) - 0.5 * steps[v], 0.5 * start[:, v]) for v in (0, 1)]
+    assert all(np.abs([got[h][v] for h in names] - want[v]).max() < 1e-4 for v in (0, 1))
+
+
 def test_pipeline_stages_hand_on_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     sizes, columns = [docs.count()], docs.columns

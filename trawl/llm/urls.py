@@ -7,10 +7,12 @@ those who link to them. A threshold on the balance judges a host.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.session import stage_table
+from trawl.session import drop_stages, stage_table, staged
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,44 +73,64 @@ def host_links(pages: DataFrame, html: str = "html", subdomains: bool = True) ->
     return edges.filter("a <> b and a <> '' and b <> ''")
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust): seeds' trust along the links and their distrust against them.
 
     Each round a host hands `damping` of its trust to the hosts it links to and of
     its distrust to those that link to it, in equal parts, and gets the rest of
     its own seed back; who has nobody to hand it to keeps it. Ends when no value
-    moves by more than `tolerance` of the seeds' total, or after `rounds`. A
-    round's values are a written table; the driver sees one number a round.
+    of any host can be farther than `tolerance`, an absolute number in the unit of
+    the seeds, from where the rounds lead, so other seeds do not end it early.
+    What a host keeps is summed up at once, which leads to the same values; without
+    circles of links the values are then final after as many rounds as the longest
+    chain has links. With `rounds`, what is kept goes round as well and at most so
+    many rounds are done. A round's values are a written table, deleted after the
+    next; the driver sees one number a round.
     """
+    if rounds is None and not (tolerance > 0 and 0 < damping < 1):
+        raise ValueError("without rounds, tolerance must be positive and damping between 0 and 1")
+    spark = seeds.sparkSession
+    zero, one = F.lit(0.0), F.lit(1.0)
     nodes = seeds.select("host").union(links.select("a")).union(links.select("b")).distinct()
-    start = nodes.join(seeds, "host", "left").fillna(0.0, ["trust", "distrust"])
-    start = stage_table(start.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")))
     out, into = links.groupBy("a").agg(F.count("*").alias("n")), links.groupBy("b").agg(F.count("*").alias("n"))
-    zero = F.lit(0.0)
-    hands = (
-        links.join(out, "a").select("a", "b", (1 / F.col("n")).alias("wt"), zero.alias("wd"))
-        .union(links.join(into, "b").select(F.col("b").alias("a"), F.col("a").alias("b"), zero, 1 / F.col("n")))
-        .union(nodes.join(out.withColumnRenamed("a", "host"), "host", "left_anti").select("host", "host", F.lit(1.0), zero))
-        .union(nodes.join(into.withColumnRenamed("b", "host"), "host", "left_anti").select("host", "host", zero, F.lit(1.0)))
+    start = nodes.join(seeds, "host", "left").fillna(0.0, ["trust", "distrust"])
+    start = start.join(out.select(F.col("a").alias("host"), F.col("n").alias("n_out")), "host", "left")
+    start = start.join(into.select(F.col("b").alias("host"), F.col("n").alias("n_in")), "host", "left")
+    # dt, dd: what a value is divided by, 1 - damping where all of it is kept and that is summed up at once.
+    kept = lambda n: F.when(F.col(n).isNull(), 1 - damping).otherwise(one) if rounds is None else one
+    start = stage_table(start.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"), kept("n_out").alias("dt"), kept("n_in").alias("dd")))
+    hands = links.join(out, "a").select("a", "b", (1 / F.col("n")).alias("wt"), zero.alias("wd")).union(
+        links.join(into, "b").select(F.col("b").alias("a"), F.col("a").alias("b"), zero, 1 / F.col("n"))
     )
+    if rounds is not None:
+        hands = hands.union(nodes.join(out.withColumnRenamed("a", "host"), "host", "left_anti").select("host", "host", one, zero)).union(
+            nodes.join(into.withColumnRenamed("b", "host"), "host", "left_anti").select("host", "host", zero, one)
+        )
     hands = stage_table(hands)
     total = start.agg(F.coalesce(F.sum(F.col("t0") + F.col("d0")), zero).alias("n")).first().n
-    now = start.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
+    now = start.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"), "dt", "dd")
+    # All changes of a round sum up to at most `damping` times those of the round before.
+    enough = tolerance * (1 - damping) ** 2
+    if rounds is None:
+        rounds = max(1, math.ceil(math.log(enough / (2 * total)) / math.log(damping))) if total else 0
+    others = staged(spark)
     for _ in range(rounds):
         moved = hands.join(now, hands["a"] == now["host"]).groupBy("b").agg(
             F.sum(F.col("trust") * F.col("wt")).alias("t"), F.sum(F.col("distrust") * F.col("wd")).alias("d")
         )
         after = start.join(moved, start["host"] == moved["b"], "left").select(
-            "host", ((1 - damping) * F.col("t0") + damping * F.coalesce("t", zero)).alias("trust"),
-            ((1 - damping) * F.col("d0") + damping * F.coalesce("d", zero)).alias("distrust"),
+            "host", (((1 - damping) * F.col("t0") + damping * F.coalesce("t", zero)) / F.col("dt")).alias("trust"),
+            (((1 - damping) * F.col("d0") + damping * F.coalesce("d", zero)) / F.col("dd")).alias("distrust"), "dt", "dd",
         )
         after = stage_table(after)
         old = now.select("host", F.col("trust").alias("ot"), F.col("distrust").alias("od"))
-        change = after.join(old, "host").agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("ot")), F.abs(F.col("distrust") - F.col("od")))).alias("m")).first().m
+        changes = F.abs(F.col("trust") - F.col("ot")) * F.col("dt") + F.abs(F.col("distrust") - F.col("od")) * F.col("dd")
+        change = after.join(old, "host").agg(F.sum(changes).alias("m")).first().m
         now = after
-        if change is None or change <= tolerance * total:
+        drop_stages(spark, among=[n for n in staged(spark) if n not in others][:-1])
+        if change is None or damping * change <= enough:
             break
-    return now
+    return now.select("host", "trust", "distrust")
 
 
 def url_verdicts(
