@@ -131,6 +131,26 @@ def test_main_text_cases(html, text):
     assert html_text.main_text(html) == text
 
 
+STORY = "".join(f"<p>Sentence {i} of the story, which goes on for quite a while, as stories do." for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ('<div class="content-sidebar-wrap">', '</div>'), ('<div class="has-sidebar">', '</div>'), ('<div class="layout no-sidebar">', '</div>'), ('<div class="ad-free content">', '</div>'),
+        ('<article class="post comments-open">', '</article>'), ('<div id="sidebar-wrap"><article>', '</article><div class="sidebar"><p>aside text, somewhat long</div></div>'),
+        ('<div class="widget"><div class="promo"><main>', '</main></div></div>'), ('<article class="sponsored">', '</article><div class="ad"><p>buy now</div>'),
+        ('<div class="related">', '</div><div class="promo">buy</div><div class="header">Site</div>'), ('<div class="replies">', '</div>'),
+        ('<div class="post">', '</div><section class="comments">' + '<article><p>I do not agree with any of it at all.</p></article>' * 12 + '</section>'),
+        ('<div class="widget">', '</div><ol class="commentlist">' + '<li><p>I do not agree with any of it at all.</p>' * 40 + '</ol>'),
+        ('<article>', '</article><div class="no-js sidebar"><p>aside text</div><div id="comments-wrapper"><p>first comment</div><article class="promo"><p>buy this</article>'),
+    ],
+)
+def test_main_text_in_parts_with_names_of_others(before, after):
+    want = [" ".join(p.split()) for p in STORY.split("<p>") if p]
+    assert html_text.main_text(f"<body>{before}{STORY}{after}</body>").split("\n\n") == want
+
+
 def test_main_text_of_long_and_deep_pages():
     deep = "<div>" * 3000 + "<p>inner words of the page</p>" + "</div>" * 3000
     assert html_text.main_text(deep) == "inner words of the page"

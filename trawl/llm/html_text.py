@@ -1,6 +1,7 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree without the parts that are never article text. Every node
+A page becomes a tree without the parts that are never article text; a part that
+is known by its class or id only stays in it if it may hold the article. Every node
 has a density: its characters per tag, lowered by the share of its text and tags
 that are links. The subtree whose children's densities sum up highest is the
 article; the smallest density on its path to the body is the threshold that
@@ -39,6 +40,16 @@ _PARTS = re.compile(
     r"subscribe|signup|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|login|masthead|copyright|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Adverts and notices, which have texts of their own, and discussions, which hold articles of their own.
+_OWN_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|copyright|disclaimer)(?=$|[\s_-])", re.I)
+_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqus|replies|reply)(?=$|[\s_-])", re.I)
+#: Names that say that a part is or is not there, or what a layout is made of, name no part.
+_LAYOUT = re.compile(
+    r"(?:^|[_-])(?:has|have|no|non|not|with|without|hide)[_-]|[_-](?:free|less|open|closed|enabled|disabled|on|off|layout)$|"
+    r"(?:content|main|primary|article)[_-]+(?:sidebars?|rail)[_-]+(?:wrap|wrapper|container|grid|inner|outer)$",
+    re.I,
+)
+_LAYOUT_PART, _OWN_TEXT_PART, _TALK_PART = 1, 2, 3
 _EDGES = re.compile(r"(?:^|[\s_-])(?:header|footer|topbar|bottombar|site-info)(?=$|[\s_-])", re.I)
 #: A start tag of the key ends an open element of the value, up to the nearest table cell, list or section.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,37 +64,97 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 
 
 class Node:
-    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "kept", "block")
+    __slots__ = ("tag", "children", "part", "chars", "tags", "link_chars", "link_tags", "density", "total", "kept", "block")
 
-    def __init__(self, tag: str) -> None:
-        self.tag, self.children = tag, []  # children: nodes and strings, in order
+    def __init__(self, tag: str, part: int = 0) -> None:
+        self.tag, self.children, self.part = tag, [], part  # children: nodes and strings, in order; part: what its name says
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.kept = False
         self.block = tag in _BLOCK
 
 
-def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script, style or comments."""
+def _judged(tag: str, attributes: str, inside_article: bool) -> tuple[bool, int]:
+    """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script, style or comments
+    by its tag, role or style; and if not, which kind of part it is by its name, 0 for none."""
     if tag in _NEVER or (tag == "header" and not inside_article):
-        return True
+        return True, 0
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
+        return True, 0
     if found.get("role", "").lower() in _ROLES:
-        return True
+        return True, 0
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    if tag == "main":
-        return False
-    return bool(_PARTS.search(names) or (not inside_article and tag != "article" and _EDGES.search(names)))
+    if tag == "main" or not (_PARTS.search(names) or _EDGES.search(names)):
+        return False, 0
+    names = " ".join(n for n in names.split() if not _LAYOUT.search(n))
+    if _PARTS.search(names):
+        return False, _TALK_PART if _TALK.search(names) else _OWN_TEXT_PART if _OWN_TEXT.search(names) else _LAYOUT_PART
+    return False, _LAYOUT_PART if not inside_article and tag != "article" and _EDGES.search(names) else 0
+
+
+def _drop_parts(root: Node) -> None:
+    """Drop the parts that are known by their names only, but for those that may hold the article.
+
+    A part stays, for the densities to decide, if it holds a main, or an article
+    that is none of a discussion; if it is the only article; or if it holds most
+    of the page's text, discussions aside. Discussions, adverts and notices must
+    hold nearly all of it, on a page without an article or main outside of all
+    parts. Parts inside a part that stays are judged alike. If no text is left,
+    layout parts stay, or else all.
+    """
+    order, waiting, outside = [], [(root, False)], False
+    while waiting:
+        node, inside = waiting.pop()
+        inside = inside or node.part > 0
+        outside |= not inside and node.tag in ("article", "main")
+        order.append(node)
+        waiting.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
+    size, talk, article, main = {}, {}, {}, {}  # by node: characters, those of discussions, whether it holds an article or a main
+    for node in reversed(order):
+        own = [c for c in node.children if isinstance(c, Node)]
+        n = sum(size[id(c)] for c in own) + sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        size[id(node)], talk[id(node)] = n, n if node.part == _TALK_PART else sum(talk[id(c)] for c in own)
+        main[id(node)] = node.tag == "main" or any(main[id(c)] for c in own)
+        article[id(node)] = any(article[id(c)] and c.part != _TALK_PART or c.tag == "article" and not c.part for c in own)
+    total, said = size[id(root)], talk[id(root)]
+
+    def stays(node: Node) -> bool:
+        i = id(node)
+        if not node.part or main[i]:
+            return True
+        if node.part == _TALK_PART:
+            return not outside and size[i] > (0.5 if article[i] else 0.9) * total
+        if article[i] or node.tag == "article" and not outside:
+            return True
+        if node.part == _OWN_TEXT_PART and outside:
+            return False
+        return size[i] - talk[i] > (0.5 if node.part == _LAYOUT_PART else 0.9) * (total - said)
+
+    for fallback in (None, _LAYOUT_PART, _TALK_PART):
+        gone, left, waiting = set(), False, [root]
+        while waiting:
+            node = waiting.pop()
+            for c in node.children:
+                if isinstance(c, str):
+                    left = left or not c.isspace() and c != ""
+                elif stays(c) or fallback and c.part <= fallback:
+                    waiting.append(c)
+                else:
+                    gone.add(id(c))
+        if left:
+            break
+    for node in order:
+        node.children = [c for c in node.children if id(c) not in gone]
 
 
 def parse(html: str) -> Node:
-    """The page as a tree without dropped parts; end tags that are missing or superfluous are put up with."""
+    """The page as a tree without dropped parts, named ones too; end tags that are missing or superfluous are put up with."""
     root = Node("body")
     stack, at, article, drop = [root], 0, 0, 0  # drop: depth of the stack where a dropped part began
+    named = False
     while True:
         token = _TOKEN.search(html, at)
         if token is None or token.start() > at:
@@ -120,8 +191,9 @@ def parse(html: str) -> Node:
                     break
                 if stack[i].tag in _LIMITS and not (stack[i].tag in ("td", "th") and "tr" in ends):
                     break
-        node = Node(tag)
-        gone = bool(drop) or _dropped(tag, attributes, article > 0)
+        gone, part = (True, 0) if drop else _judged(tag, attributes, article > 0)
+        node = Node(tag, part)
+        named = named or part > 0
         if not gone:
             stack[-1].children.append(node)
         if tag in _RAW:
@@ -136,6 +208,8 @@ def parse(html: str) -> Node:
         article += tag in ("article", "main")
         if gone and not drop:
             drop = len(stack) - 1
+    if named:
+        _drop_parts(root)
     return root
 
 
