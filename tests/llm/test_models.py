@@ -99,6 +99,31 @@ def test_quality_rounds_exchange_labels():
     assert right.mean() > 0.95
 
 
+def sampled_rows(monkeypatch, docs, labels, **options):
+    """Labels of the labelled rows and number of other rows that training gets."""
+    seen = []
+    fit = quality.CoTrained.fit
+    monkeypatch.setattr(quality.CoTrained, "fit", staticmethod(lambda *a, **b: seen.append((a[2].tolist(), len(a[3]))) or fit(*a, **b)))
+    model = quality.fit(docs, labels, **options)
+    monkeypatch.undo()
+    return model, *seen[0]
+
+
+@pytest.mark.parametrize("texts", [1, 300])
+def test_repeated_keys_leave_the_others_in_the_sample(spark, monkeypatch, texts):
+    keys = spark.range(120).orderBy(F.xxhash64(F.lit(42), F.col("id"))).select("id")
+    first = [r.id for r in keys.collect()]
+    good = {k: i % 2 for i, k in enumerate(first)}
+    rows = [(k, "plain words of a good text" if good[k] else "!!! BUY 1000 $$$ ###") for k in first]
+    # The labelled and the other key with the smallest hashes fill both bounds.
+    marked = [k for i, k in enumerate(first) if i % 4 < 2]
+    rows += [(k, f"copy {i % texts}") for k in (marked[0], next(k for k in first if k not in marked)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, good[k]) for k in marked], "doc_id bigint, quality int")
+    model, y, others = sampled_rows(monkeypatch, docs, labels, max_labelled=60, max_pool=60)
+    assert model.constant is None and min(y.count(0.0), y.count(1.0)) >= 29 and others >= 59
+
+
 def test_main_text_of_the_given_pages(spark):
     import re
     from html import unescape

@@ -14,16 +14,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.memory import release
 from trawl.llm.tokens import slices
+from trawl.session import stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Labelled rows, and rows of the unlabelled pool, that training may collect.
 MAX_LABELLED, MAX_POOL = 8000, 8000
+#: Rows of one key at most; up to here a rank is cut before rows are shuffled.
+_PER_KEY = 1000
 #: Buckets of hashed byte triples, of sources and of languages.
 _TRIPLES, _SOURCES, _LANGS = 256, 32, 8
 _WINDOW = 100
@@ -185,17 +188,21 @@ def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rounds: int = 5,
     max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, seed: int = 42,
 ) -> CoTrained:
-    """Fit on at most max_labelled labelled and max_pool other rows, picked by a seeded hash of the key.
+    """Fit on at most max_labelled labelled and max_pool other keys, picked by a seeded hash of the key.
 
-    Labels above 0.5 in the mean of a key are good; rows without key or label
+    Only keys that docs holds are picked, and each has an equal share of the rows,
+    one at least: rows of a key with equal features count once, others by a seeded
+    hash. Labels above 0.5 in the mean of a key are good; rows without key or label
     are left out. Only the features of the picked rows reach the driver.
     """
     order = _order(seed, key)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("_y"))
-    labelled = known.orderBy(order, key).limit(max_labelled).select(F.col(key).alias("_k"), (F.col("_y") > 0.5).cast("double").alias("_y"))
-    ids = docs.select(key).filter(F.col(key).isNotNull())
-    pool = ids.orderBy(order, key).limit(max_pool).distinct().join(known.select(key), key, "left_anti")
-    wanted = labelled.union(pool.select(F.col(key).alias("_k"), F.lit(None).cast("double"))).dropDuplicates(["_k"])
+    ids = docs.select(key).filter(F.col(key).isNotNull()).distinct()
+    marked = stage_table(ids.join(known, key, "left").select(key, (F.col("_y") > 0.5).cast("double").alias("_y")))
+    labelled = marked.filter("_y is not null").orderBy(order, key).limit(max_labelled)
+    pool = marked.filter("_y is null").orderBy(order, key).limit(max_pool)
+    wanted = stage_table(labelled.union(pool).withColumnRenamed(key, "_k"))
+    bound, keys = max_labelled + max_pool, wanted.count()
     picked = docs.select(F.col(key).alias("_k"), *[c.alias(n) for c, n in zip(_inputs(docs, text), ("t", "n", "s", "g"))])
     picked = picked.join(F.broadcast(wanted), "_k")
 
@@ -203,9 +210,11 @@ def fit(
         content, meta = _features(texts, counts, sources, langs)
         return pa.array([row.tobytes() for row in np.hstack([content, meta])], pa.binary())
 
-    # Features are made where the texts lie; keys that repeat are cut to the bound as features.
-    made = picked.select("_k", "_y", F.arrow_udf(packed, "binary")("t", "n", "s", "g").alias("x"))
-    found = made.orderBy(_order(seed, "_k"), "_k", "x").limit(max_labelled + max_pool).select("_y", "x").toArrow()
+    # Features are made where the texts lie. Equal rows of a key count once and every key has its share of the bound.
+    made = picked.select("_k", "_y", F.arrow_udf(packed, "binary")("t", "n", "s", "g").alias("x")).dropDuplicates(["_k", "x"])
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(F.lit(seed), "x"), "x"))
+    made = made.withColumn("_place", place).filter(F.col("_place") <= max(1, min(_PER_KEY, bound // max(keys, 1))))
+    found = made.orderBy(_order(seed, "_k"), "_k", "x").limit(bound).select("_y", "x").toArrow()
     if not found.num_rows:
         return CoTrained(1.0)
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(found.num_rows, -1)
