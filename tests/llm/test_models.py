@@ -124,6 +124,19 @@ def test_repeated_keys_leave_the_others_in_the_sample(spark, monkeypatch, texts)
     assert model.constant is None and min(y.count(0.0), y.count(1.0)) >= 29 and others >= 59
 
 
+def test_a_rare_class_and_the_whole_pool_are_sampled(spark, monkeypatch):
+    # 12 bad ones of 4,000 labelled documents, 400 picked; the first keys in the seeded order are all labelled.
+    first = [r.id for r in spark.range(4100).orderBy(F.xxhash64(F.lit(42), F.col("id"))).collect()]
+    bad = set(first[3000:3012])
+    docs = spark.createDataFrame([(k, "!!! BUY 1000 $$$ ###" if k in bad else f"plain words of good text {k % 7}") for k in first], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k not in bad)) for k in first[:4000]], "doc_id bigint, quality int")
+    model, y, others = sampled_rows(monkeypatch, docs, labels, max_labelled=400, max_pool=400)
+    assert y.count(0.0) == 12 and y.count(1.0) == 388 and others == 100
+    assert model.shift == pytest.approx(math.log(3988 / 12) - math.log(388 / 12))
+    scores = {r.doc_id: r.score for r in quality.with_scores(docs, model).collect()}
+    assert all((scores[k] < 0.5) == (k in bad) for k in first)
+
+
 def test_main_text_of_the_given_pages(spark):
     import re
     from html import unescape

@@ -115,6 +115,7 @@ class CoTrained:
 
     def __init__(self, constant: float | None = None) -> None:
         self.constant = constant
+        self.shift = 0.0  # of all log odds, for classes that were not picked by their shares
 
     @staticmethod
     def fit(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray, rounds: int = 5, share: float = 0.05) -> CoTrained:
@@ -160,7 +161,7 @@ class CoTrained:
             return np.full((len(content), 3), self.constant)
         logits = [a + b * view.logit(x) for (a, b), view, x in zip(self.scales, self.views, (content, meta))]
         both = self.joint[0] + self.joint[1] * logits[0] + self.joint[2] * logits[1]
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([*logits, both]), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([*logits, both]) + self.shift, -30, 30)))
 
 
 def _features(texts, counts, sources, langs) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +185,16 @@ def _order(seed: int, key: str):
     return F.xxhash64(F.lit(seed), F.col(key))
 
 
+def class_quotas(sizes: dict[float, int], most: int) -> dict[float, int]:
+    """How many keys of each class to pick: all if they fit, else by share, but an eighth of `most` of a rare class."""
+    total = sum(sizes.values())
+    if total <= most or len(sizes) < 2:
+        return {y: min(n, most) for y, n in sizes.items()}
+    rare = min(sizes, key=lambda y: (sizes[y], y))
+    n = max(1, round(most * sizes[rare] / total), min(sizes[rare], most // 8))
+    return {y: n if y == rare else most - n for y in sizes}
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rounds: int = 5,
     max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, seed: int = 42,
@@ -192,14 +203,19 @@ def fit(
 
     Only keys that docs holds are picked, and each has an equal share of the rows,
     one at least: rows of a key with equal features count once, others by a seeded
-    hash. Labels above 0.5 in the mean of a key are good; rows without key or label
+    hash. Of a rare class more keys are picked than its share, which the model's
+    log odds make up for. Labels above 0.5 in the mean of a key are good; rows without key or label
     are left out. Only the features of the picked rows reach the driver.
     """
     order = _order(seed, key)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("_y"))
     ids = docs.select(key).filter(F.col(key).isNotNull()).distinct()
     marked = stage_table(ids.join(known, key, "left").select(key, (F.col("_y") > 0.5).cast("double").alias("_y")))
-    labelled = marked.filter("_y is not null").orderBy(order, key).limit(max_labelled)
+    sizes = {r["_y"]: r["count"] for r in marked.filter("_y is not null").groupBy("_y").count().collect()}
+    quotas = class_quotas(sizes, max_labelled)
+    labelled = marked.limit(0)
+    for y, n in sorted(quotas.items()):
+        labelled = labelled.union(marked.filter(F.col("_y") == y).orderBy(order, key).limit(n))
     pool = marked.filter("_y is null").orderBy(order, key).limit(max_pool)
     wanted = stage_table(labelled.union(pool).withColumnRenamed(key, "_k"))
     bound, keys = max_labelled + max_pool, wanted.count()
@@ -220,7 +236,10 @@ def fit(
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(found.num_rows, -1)
     y = found["_y"].to_numpy().astype(float)
     content, meta, has = x[:, : 5 + _TRIPLES], x[:, 5 + _TRIPLES :], ~np.isnan(y)
-    return CoTrained.fit(content[has], meta[has], y[has], content[~has], meta[~has], rounds)
+    model = CoTrained.fit(content[has], meta[has], y[has], content[~has], meta[~has], rounds)
+    if len(sizes) == 2:
+        model.shift = float(np.log(sizes[1.0] / sizes[0.0]) - np.log(quotas[1.0] / quotas[0.0]))
+    return model
 
 
 def with_scores(docs: DataFrame, model: CoTrained, text: str = "text") -> DataFrame:
