@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import fingerprints, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_counts, urls
+from trawl.llm import conversations, fingerprints, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,3 +145,9 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest other vectors of every 50th vector."""
     vectors = _table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op13_repaired_conversations")
+def op13_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least-cost edits and the repaired text's digest of every damaged conversation."""
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
