@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import conversations, fingerprints, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_counts, urls
+from trawl.llm import conversations, fingerprints, host_rules, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,3 +151,45 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, least-cost edits and the repaired text's digest of every damaged conversation."""
     return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
+_HOST_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS i, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT i, doc_id, source, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts),
+windows AS (
+  SELECT i, pos, count(*) OVER (PARTITION BY i, a, b, c) AS n
+  FROM (SELECT i, pos, w[pos] AS a, w[pos + 1] AS b, w[pos + 2] AS c FROM (SELECT i, w, unnest(range(1, greatest(len(w) - 1, 1))) AS pos FROM split))),
+repeats AS (SELECT i, count(DISTINCT pos) AS n_repeat_words FROM (SELECT i, unnest([pos, pos + 1, pos + 2]) AS pos FROM windows WHERE n > 1) GROUP BY i),
+counted AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+  FROM split LEFT JOIN repeats USING (i)),
+failures AS (
+  SELECT source, unnest(['short', 'repeats', 'symbols', 'dup_lines']) AS rule,
+    unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > word_chars, 10 * n_dup_lines > 3 * n_lines]) AS failed
+  FROM counted WHERE source IS NOT NULL),
+hosts AS (SELECT source, rule, count(*)::DOUBLE AS n, count_if(failed)::DOUBLE AS f FROM failures GROUP BY ALL),
+rates AS (SELECT rule, count(*)::DOUBLE AS k, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ff, sum(f) / sum(n) AS mean FROM hosts GROUP BY rule),
+prior AS (
+  SELECT rule, mean, CASE WHEN n - nn / n - (k - 1) <= 0 OR mean = 0 OR mean = 1 THEN 1.0::DOUBLE / 3
+    ELSE least(greatest(((ff - f * mean) / (mean * (1 - mean)) - (k - 1)) / (n - nn / n - (k - 1)), 1e-4::DOUBLE), 0.9999::DOUBLE) END AS alike
+  FROM rates),
+posterior AS (
+  SELECT source, n, f, f + mean * (1 - alike) / alike AS a, n - f + (1 - mean) * (1 - alike) / alike AS b FROM hosts JOIN prior USING (rule)),
+bad AS (
+  SELECT DISTINCT source FROM posterior
+  WHERE round(a / (a + b) - 2 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)), 9) > 0.5 AND f > 0.5 * n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.source IS NULL AS kept
+FROM counted LEFT JOIN bad USING (source)
+"""
+
+
+@query("op12_host_rules", _HOST_SQL)
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, whether it fails a rule, and whether it stays; a document's host is its source."""
+    judged = host_rules.judge_by_host(_table(spark, sf_dir, "documents"), F.col("source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
