@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.catalog.registry import query
-from trawl.llm import conversations, fingerprints, host_rules, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_counts, urls
+from trawl.llm import conversations, fingerprints, host_rules, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_counts, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -193,3 +193,9 @@ def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, whether it fails a rule, and whether it stays; a document's host is its source."""
     judged = host_rules.judge_by_host(_table(spark, sf_dir, "documents"), F.col("source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op11_whitened_vectors")
+def op11_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 largest principal components, with unit variance over the distinct vectors."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
