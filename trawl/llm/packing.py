@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.tokens import WordEncoder
+from trawl.llm.tokens import process_encoder
 from trawl.session import stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -60,7 +60,7 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
 
 def _piece_rows(path: str, size: int, end: int, keep_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = WordEncoder(path), end.to_bytes(4, "little")
+        encoder, tail = process_encoder(path), end.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             for i, text in enumerate(batch.column("_text")):

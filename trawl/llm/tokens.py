@@ -1,15 +1,17 @@
 """Token ids of whole texts with a public word-level BPE vocabulary, word by word.
 
-Words between white space never share tokens, so each distinct word is encoded
-once a task and long texts are cut at white space. Texts with characters that
-the plain rules below do not cover go through the library's own pipeline.
+Words between white space never share tokens, so a distinct word is encoded once
+and remembered for the life of the worker process; long texts are cut at white
+space. Texts with characters that the plain rules below do not cover go through
+the library's own pipeline.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+import types
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 
@@ -44,30 +46,51 @@ def slices(text: str, size: int = _SLICE) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+class Memo(dict):
+    """A function's results by argument; forgets what was not used for long.
+
+    When `most` are held they become the older half, and the half before goes;
+    one that is met again moves to the newer half, so frequent ones stay.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit numbers.
 
-    `known` maps words to encoded ids and is emptied when it holds `most` words.
+    It remembers at most 2 * `most` words between white space and as many
+    pre-tokens.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.letters = _byte_letters()
-        self.other, self.pieces = re.compile(_OTHER), re.compile(_PIECES)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.most = most
-
-    def _part(self, piece: str) -> bytes:
-        found = self.parts.get(piece)
-        if found is None:
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
-            self.parts[piece] = found
-        return found
+        self.model, self.letters = self.whole.model, _byte_letters()
+        self.other, self.pattern = re.compile(_OTHER), re.compile(_PIECES)
+        self.words, self.pieces = Memo(self._word, most), Memo(self._piece, most)
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+
+    def _word(self, word: str) -> bytes:
+        pieces = self.pattern.findall(word.lower())
+        return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         return b"".join(self._slice(s) for s in slices(text))
@@ -78,13 +101,17 @@ class WordEncoder:
 
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        words = text.split()
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear(), self.parts.clear()
-                new = set(words)
-            for word in new:
-                known[word] = b"".join(map(self._part, self.pieces.findall(word.lower())))
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+def process_encoder(path: str) -> WordEncoder:
+    """The encoder of this process for a vocabulary, so that later tasks find the words of earlier ones.
+
+    Task code is pickled by value, so its globals do not outlive a task; the
+    process's module table does.
+    """
+    kept = sys.modules.setdefault("_trawl_word_encoders", types.ModuleType("_trawl_word_encoders"))
+    encoders = vars(kept).setdefault("by_path", {})
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
