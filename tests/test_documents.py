@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +252,40 @@ def test_content_hash_does_not_depend_on_the_number_of_pages(spark):
     got = {r.doc_name: r for r in pg.document_digests(spark.createDataFrame(rows, "doc_name string, page int, text string").repartition(6)).collect()}
     assert got["one"].content_hash == got["many"].content_hash == hashlib.sha256(" ".join(words).encode()).hexdigest()
     assert got["one"].n_chars == got["many"].n_chars == len(" ".join(words)) and got["none"].content_hash == hashlib.sha256(b" x").hexdigest()
+
+
+def test_hot_keys_alone_are_cut_into_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randint(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o bigint, x bigint")
+    for hot in (1, 100, 1000):
+        got = {(r.k, r.o): r.s for r in prefix.sum_before(df, ["k"], "o", F.col("x"), "s", hot_rows=hot).collect()}
+        assert got == {(k, o): sum(x for kk, oo, x in rows if kk == k and oo < o) for k, o, _ in rows}
+
+
+def test_chunk_texts_are_the_page_cut_by_bytes(spark):
+    rng = random.Random(3)
+    bits = ["é", "a.", "日本 語", "b! ", "\n\n", "x\n", " ", "\x1c", "ü?", " "]
+    texts = [None, "", "  \n", "  eins zwei", *("".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(200))) for _ in range(30))]
+    pages = spark.createDataFrame([("s", "d", i, t, [f"{j}é " for j in range(i)]) for i, t in enumerate(texts)], "session_id string, doc_name string, page int, text string, own array<string>")
+    for semantic in (True, False):
+        cut = chunks.break_spans if semantic else lambda t, s, o: chunks.fixed_spans(len(t), s, o)
+        words = [chunks._WORDS.findall(t or "") for t in texts]
+        got = {(r.page, r.pos): (r.start, r.end, r.text) for r in chunks.split_pages(pages, 10, 3, semantic).collect()}
+        assert got == {(i, p): (s, e, "".join(w[s:e])) for i, w in enumerate(words) for p, (s, e) in enumerate(cut(w, 10, 3))}
+        own = {(r.page, r.pos): r.text for r in chunks.split_pages(pages, 10, 3, semantic, tokens="own").collect()}
+        assert own == {(i, p): "".join(f"{j}é " for j in range(s, e)) for i in range(len(texts)) for p, (s, e) in enumerate(cut([f"{j}é " for j in range(i)], 10, 3))}
+    numbered = sorted((r.page, r.chunk_id) for r in chunks.chunk_pages(pages, 10, 3).collect())
+    assert [c for _, c in numbered] == list(range(len(numbered)))
+
+
+def test_the_function_of_spans_runs_once(spark):
+    plan = chunks.split_pages(spark.createDataFrame([("d", 1, "x")], "doc_name string, page int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_very_long_page_takes_linear_time(spark):
+    page = spark.range(1).select(F.lit("d").alias("doc_name"), F.lit(1).alias("page"), F.repeat(F.lit("word é. "), 1_500_000).alias("text"))
+    start = time.perf_counter()
+    got = chunks.split_pages(page, 380, 50).agg(F.count("*").alias("n"), F.max("end").alias("end")).first()
+    assert got.end == 3_000_000 and got.n > 8000 and time.perf_counter() - start < 40

@@ -1,8 +1,15 @@
-"""Token windows over page texts, cut at sentence ends where one is near."""
+"""Token windows over page texts, cut at sentence ends where one is near.
+
+A page is tokenised once, in an Arrow batch, and its windows are kept as token
+numbers and byte ranges; the text of a chunk is then cut out of the page by its
+bytes, in generated code, in time proportional to the chunk.
+"""
 
 from __future__ import annotations
 
+import re
 import sys
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -10,27 +17,29 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trawl.functions import fixed_values as fv
-from trawl.functions.text import words
 from trawl.operators.prefix import sum_before
 from trawl.session import stage_table, with_session
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Values, not the module, so that task code needs no package on the workers.
+MARKERS, LOOKAHEAD, MIN_FILL = tuple(fv.BREAK_MARKERS), fv.BREAK_LOOKAHEAD, fv.BREAK_MIN_FILL
+_WORDS = re.compile(r"\S+\s*", re.ASCII)
+SPANS = "array<struct<start:int,end:int,at:bigint,bytes:bigint>>"
+
 
 def _check(size: int, overlap: int) -> None:
-    if not 0 <= overlap < fv.BREAK_MIN_FILL * size:
+    if not 0 <= overlap < MIN_FILL * size:
         raise ValueError("overlap must be below 0.7 of the chunk size, or windows stop advancing")
 
 
-def fixed_spans(n: Column, size: int, overlap: int) -> Column:
-    """ARRAY<STRUCT<start, end>> of plain windows over ``n`` tokens; NULL-free, empty for 0."""
-    last = F.greatest(F.lit(0), n - 1 - overlap)
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last, F.lit(size - overlap)))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end")))
-    return F.filter(spans, lambda s: s["end"] > s["start"])
+def fixed_spans(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Plain windows (start, end) over n tokens; none for 0."""
+    starts = [0] if n <= size else range(0, max(0, n - 1 - overlap) + 1, size - overlap)
+    return [(s, min(s + size, n)) for s in starts if s < n]
 
 
-def break_spans(tokens: list[str], size: int, overlap: int) -> list[tuple[int, int]]:
+def break_spans(tokens: list[str], size: int, overlap: int, markers=MARKERS, lookahead=LOOKAHEAD, min_fill=MIN_FILL) -> list[tuple[int, int]]:
     """Windows (start, end) over tokens, whose end moves to just behind a break.
 
     For each marker, in order, only its first occurrence in the text of the
@@ -43,24 +52,25 @@ def break_spans(tokens: list[str], size: int, overlap: int) -> list[tuple[int, i
     if n <= size:
         return [(0, n)] if n else []
     text = "".join(tokens)
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, tokens), np.int64, n))])
+    offsets = [0, *np.cumsum(np.fromiter(map(len, tokens), np.int64, n)).tolist()]
     marks = []
-    for marker in fv.BREAK_MARKERS:
+    for marker in markers:
         places, at = [], text.find(marker)
         while at >= 0:
             places.append(at)
             at = text.find(marker, at + 1)
-        marks.append((np.array(places, np.int64), len(marker)))
+        if places:
+            marks.append((places, len(marker)))
     spans, start = [], 0
     while True:
         end = min(start + size, n)
         if end < n:
-            limit = min(end + fv.BREAK_LOOKAHEAD, n)
+            limit = min(end + lookahead, n)
             for places, length in marks:
-                i = np.searchsorted(places, offsets[start])
+                i = bisect_left(places, offsets[start])
                 if i < len(places) and places[i] + length <= offsets[limit]:
-                    behind = int(np.searchsorted(offsets, places[i] + length))
-                    if start + fv.BREAK_MIN_FILL * size < behind < limit:
+                    behind = bisect_left(offsets, places[i] + length, start, limit + 1)
+                    if start + min_fill * size < behind < limit:
                         end = behind
                         break
         spans.append((start, end))
@@ -69,15 +79,44 @@ def break_spans(tokens: list[str], size: int, overlap: int) -> list[tuple[int, i
         start = max(0, end - overlap)
 
 
-def semantic_spans(tokens: Column, size: int, overlap: int) -> Column:
-    """ARRAY<STRUCT<start, end>> of `break_spans`; empty for null."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def _byte_offsets(text: str, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions in UTF-8 of character positions."""
+    if text.isascii():
+        return offsets
+    data = np.frombuffer(text.encode(), np.uint8)
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[offsets]
+
+
+def _spans(column: Column, size: int, overlap: int, semantic: bool, tokenised: bool) -> Column:
+    """`SPANS` of a text column, or of a column of token arrays; empty for null."""
+    _check(size, overlap)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("at", pa.int64()), ("bytes", pa.int64())]))
+    cut = break_spans if semantic else lambda tokens, size, overlap: fixed_spans(len(tokens), size, overlap)
+
+    def row(value) -> list[dict]:
+        if tokenised:
+            tokens = value or []
+            text, first = "".join(tokens), 0
+        else:
+            text = value or ""
+            tokens = _WORDS.findall(text)
+            first = len(text) - sum(map(len, tokens))
+        spans = cut(tokens, size, overlap)
+        if len(spans) == 1:
+            places = [len(text[:first].encode()), len(text.encode())]
+            return [{"start": 0, "end": len(tokens), "at": places[0], "bytes": places[1] - places[0]}]
+        offsets = first + np.cumsum([0, *map(len, tokens)])
+        places = _byte_offsets(text, offsets).tolist()
+        return [{"start": s, "end": e, "at": places[s], "bytes": places[e] - places[s]} for s, e in spans]
 
     def spans(batch: pa.Array) -> pa.Array:
-        found = (break_spans(row.as_py() or [], size, overlap) for row in batch)
-        return pa.array([[{"start": s, "end": e} for s, e in row] for row in found], kind)
+        return pa.array([row(value.as_py()) for value in batch], kind)
+
+    return F.arrow_udf(spans, SPANS)(column)
+
 
-    return F.arrow_udf(spans, "array<struct<start:int,end:int>>")(tokens)
+def _column(tokens: str | None) -> Column:
+    return F.col(tokens) if tokens else F.col("text")
 
 
 def split_pages(
@@ -86,28 +125,25 @@ def split_pages(
 ) -> DataFrame:
     """Chunks per page: the page's columns, pos (from 0), start, end, n_tokens, text.
 
-    ``tokens`` names a column with the caller's token array; the default tokens
-    are words with the white space behind them.
+    ``tokens`` names a column with the caller's token array, whose joined tokens
+    are then the text; the default tokens are words with the white space behind
+    them.
     """
     keep = [c for c in pages.columns if c not in ("text", tokens)]
-    return _cut(pages.withColumn("_spans", _spans(size, overlap, semantic, tokens)), keep, tokens)
-
-
-def _tokens(tokens: str | None) -> Column:
-    return F.col(tokens) if tokens else words(F.col("text"))
-
-
-def _spans(size: int, overlap: int, semantic: bool, tokens: str | None) -> Column:
-    _check(size, overlap)
-    return semantic_spans(_tokens(tokens), size, overlap) if semantic else fixed_spans(F.size(_tokens(tokens)), size, overlap)
+    return _cut(pages.withColumn("_spans", _spans(_column(tokens), size, overlap, semantic, tokens is not None)), keep, tokens)
 
 
 def _cut(pages: DataFrame, keep: list[str], tokens: str | None) -> DataFrame:
-    """A row for each of the pages' _spans."""
+    """A row for each of the pages' _spans.
+
+    The outer explode keeps Spark from inferring a filter that would run the
+    function of _spans a second time.
+    """
+    data = (F.array_join(tokens, "") if tokens else F.col("text")).cast("binary")
     start, end = F.col("span.start"), F.col("span.end")
-    return pages.select(*keep, _tokens(tokens).alias("_tokens"), F.posexplode("_spans").alias("pos", "span")).select(
-        *keep, "pos", start.alias("start"), end.alias("end"), (end - start).alias("n_tokens"),
-        F.array_join(F.slice("_tokens", start + 1, end - start), "").alias("text"),
+    text = F.substring("_data", (F.col("span.at") + 1).cast("int"), F.col("span.bytes").cast("int"))
+    return pages.select(*keep, data.alias("_data"), F.posexplode_outer("_spans").alias("pos", "span")).filter("span IS NOT NULL").select(
+        *keep, "pos", start.alias("start"), end.alias("end"), (end - start).alias("n_tokens"), text.cast("string").alias("text"),
     )
 
 
@@ -124,7 +160,7 @@ def chunk_pages(
     """
     doc = ["session_id", "doc_name"]
     pages = with_session(pages)
-    spans = stage_table(pages.select(*doc, "page", _spans(size, overlap, semantic, tokens).alias("_spans")))
+    spans = stage_table(pages.select(*doc, "page", _spans(_column(tokens), size, overlap, semantic, tokens is not None).alias("_spans")))
     counts = spans.select(*doc, "page", F.size("_spans").alias("n"))
     offsets = sum_before(counts, doc, "page", F.col("n"), "before").select(*doc, "page", "before")
     found = stage_table(spans.filter(F.size("_spans") > 0).join(offsets, [*doc, "page"]))
