@@ -131,14 +131,14 @@ def _band_values(bands: int) -> Column:
     return F.array(*fields)
 
 
-def _band_keys(bands: int, max_distance: int) -> Column:
+def band_keys(bands: int, max_distance: int) -> Column:
     """One key per choice of bands that a close pair must agree on.
 
     Two hashes at most ``max_distance`` apart differ in at most that many bands,
     so they agree on all bands of some choice of ``bands - max_distance``.
     """
     choices = list(combinations(range(bands), bands - max_distance))
-    table = F.array(*[F.array(*[F.lit(b) for b in c]) for c in choices])
+    table = F.expr("array(" + ", ".join(f"array({', '.join(map(str, c))})" for c in choices) + ")")  # one call, not one a number
     pack = lambda values: F.transform(
         table, lambda c, i: F.aggregate(c, i.cast("bigint"), lambda acc, b: acc * 2048 + F.get(values, b))
     )
@@ -156,7 +156,7 @@ def near_hash_pairs(hashes: DataFrame, max_distance: int = fv.MAX_HAMMING, bands
     """
     distinct = with_session(hashes).select("session_id", "hi", "lo").distinct()
     key = ["session_id", "band"]
-    keyed = distinct.select("session_id", "hi", "lo", F.explode(_band_keys(bands, max_distance)).alias("band"))
+    keyed = distinct.select("session_id", "hi", "lo", F.explode(band_keys(bands, max_distance)).alias("band"))
     crowded = keyed.groupBy(*key).count().filter(F.col("count") > hot).select(*key)
     if bands >= FINE_BANDS or crowded.isEmpty():
         return _verified(keyed, max_distance).distinct()
@@ -227,10 +227,13 @@ def nearest_prior(registered: DataFrame, max_distance: int = fv.MAX_HAMMING) ->
     Equal hashes beat all others, so only the first document of each hash looks
     at other hashes, and there only documents that lower the running registry
     minimum can win. A hash shared by many copies therefore costs one pass.
+    A doc_first column, if there is one, tells when each name was first registered.
     """
     registered = with_session(registered)
-    doc_first = registered.groupBy("session_id", "doc_id").agg(F.min("reg").alias("doc_first"))
-    rows = registered.join(doc_first, ["session_id", "doc_id"]).select("session_id", *_PRIOR, "hi", "lo")
+    if "doc_first" not in registered.columns:
+        doc_first = registered.groupBy("session_id", "doc_id").agg(F.min("reg").alias("doc_first"))
+        registered = registered.join(doc_first, ["session_id", "doc_id"])
+    rows = registered.select("session_id", *_PRIOR, "hi", "lo")
     me = F.struct(*_PRIOR)
     seen = stage(min_before(rows, ["session_id", "hi", "lo"], "reg", me, "same"))
     same = seen.filter("same IS NOT NULL").select("reg", F.lit(0).alias("distance"), F.col("same").alias("prior"))
@@ -287,7 +290,15 @@ def register(uploads: DataFrame, max_distance: int = fv.MAX_HAMMING) -> DataFram
     matched_reg, similarity, supersedes, status (active / superseded), superseded_by.
     """
     rows = stage(registered_documents(uploads))  # read by several joins
-    prior = nearest_prior(rows, max_distance)
+    return with_status(judged(rows, nearest_prior(rows, max_distance)))
+
+
+def judged(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """Registered documents with what their nearest earlier one (reg, distance, prior) makes of them.
+
+    Adds result, message, matched_reg, matched_name, similarity, supersedes; none
+    of it changes when later documents come.
+    """
     matched = (
         rows.join(prior, "reg", "left")
         .withColumn("similarity", F.coalesce(similarity(F.col("distance")), F.lit(0.0)))
@@ -295,23 +306,30 @@ def register(uploads: DataFrame, max_distance: int = fv.MAX_HAMMING) -> DataFram
         .withColumn("matched_name", F.col("prior.filename"))
         .withColumn("result", classify(F.col("similarity"), F.col("filename"), F.col("matched_name")))
     )
-    replaces = F.col("result").isin("version", "updated")
-    replaced = (
-        matched.filter(replaces).groupBy(F.col("matched_reg").alias("reg"))
-        .agg(F.max_by("doc_id", "reg").alias("superseded_by"))
-    )
+    message = registration_message(F.col("result"), F.lit(False), F.col("filename"), F.col("matched_name"), F.col("similarity"))
     return (
-        matched.join(replaced, "reg", "left")
-        .withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise("active"))
-        .withColumn("supersedes", F.when(replaces, F.array("matched_name")).otherwise(F.array().cast("array<string>")))
-        .withColumn(
-            "message",
-            registration_message(F.col("result"), F.lit(False), F.col("filename"), F.col("matched_name"), F.col("similarity")),
-        )
-        .drop("prior", "distance")
+        matched.withColumn("supersedes", F.when(_replaces(), F.array("matched_name")).otherwise(F.array().cast("array<string>")))
+        .withColumn("message", message).drop("prior", "distance")
     )
 
 
+def _replaces() -> Column:
+    return F.col("result").isin("version", "updated")
+
+
+def replacements(matched: DataFrame) -> DataFrame:
+    """(reg, doc_id, by): the documents that `judged` ones replace, with the name and number of the newer one."""
+    return matched.filter(_replaces()).select(F.col("matched_reg").alias("reg"), "doc_id", F.col("reg").alias("by"))
+
+
+def with_status(matched: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
+    """`judged` documents with status (active / superseded) and superseded_by, the newest that replaces each."""
+    replaced = replacements(matched) if replaced is None else replaced
+    newest = replaced.groupBy("reg").agg(F.max_by("doc_id", "by").alias("superseded_by"))
+    status = F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise("active")
+    return matched.join(newest, "reg", "left").withColumn("status", status)
+
+
 def upload_results(uploads: DataFrame, registry: DataFrame) -> DataFrame:
     """(reg, filename, result, message) of every upload, exact duplicates included."""
     known = registry.select("reg", "filename", "result", "message")

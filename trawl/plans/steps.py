@@ -29,7 +29,7 @@ class Ingested:
     statistics: DataFrame
 
 
-def _document_uploads(pages: DataFrame, files: DataFrame) -> DataFrame:
+def document_uploads(pages: DataFrame, files: DataFrame) -> DataFrame:
     """One upload per file with hashes of its cleaned text; ``content_hash`` is the SHA-256 of the document text."""
     doc = ["session_id", "doc_name"]
     content = document_digests(pages).drop("n_chars")
@@ -59,7 +59,7 @@ def ingest(
     columns = [
         "session_id", "reg", "filename", "file_hash", "content_hash", "hi", "lo", "upload_timestamp", "page_count",
     ]
-    fresh = stage(_document_uploads(cleaned, new_files).select(*columns))
+    fresh = stage(document_uploads(cleaned, new_files).select(*columns))
     uploads = fresh if registered is None else registered.select(*columns).unionByName(fresh)
     registry = stage(v.register(uploads))
     results = v.upload_results(uploads, registry).join(fresh.select("reg", "session_id"), "reg")
