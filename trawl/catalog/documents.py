@@ -8,7 +8,8 @@ from trawl.catalog.inputs import AS_OF, PAGES_SQL, big, pages, r6, table, text_c
 from trawl.catalog.registry import query
 from trawl.functions.text import normalize_ws, split_lines, tokenize_terms
 from trawl.operators import chunks, pages as pg, versions as v
-from trawl.session import stage_table
+from trawl.session import scratch_folder, stage_table
+from trawl.sources.registry_store import RegistryStore
 
 _SPLIT = r"list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: regexp_matches(x, '\S'))"
 _NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -275,6 +276,17 @@ def _(spark, d):
     return r.select("reg", "doc_id", "status", "superseded_by", F.array_join("supersedes", "|").alias("supersedes"))
 
 
+@query("register_stored", _REG + "SELECT reg, doc_id, version, result, matched_reg, status, superseded_by FROM registry")
+def _(spark, d):
+    """The stored registry after two batches: the first two thirds of the uploads, and the rest."""
+    u = v.stage(uploads(spark, d))
+    cut = u.agg(F.percentile("reg", 2 / 3).cast("bigint")).first()[0]
+    store = RegistryStore(spark, scratch_folder(spark), buckets=4, payload="upload_timestamp double, page_count bigint, chunk_count bigint")
+    store.register(u.filter(F.col("reg") <= cut), 0)
+    store.register(u.filter(F.col("reg") > cut), 1)
+    return store.documents().select("reg", "doc_id", big("version").alias("version"), "result", "matched_reg", "status", "superseded_by")
+
+
 @query("version_number", _REG + "SELECT reg, doc_id, version FROM regd")
 def _(spark, d):
     return v.registered_documents(uploads(spark, d)).select("reg", "doc_id", "version")

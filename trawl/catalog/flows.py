@@ -7,17 +7,21 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from trawl.catalog.documents import _DIST, _EDGES, _semantic_sql, hash_sql
+from trawl.catalog.documents import _DIST, _EDGES, _REG, _semantic_sql, hash_sql
 from trawl.catalog.inputs import AS_OF, big, chunks, mmr_sql, pages, r6, ranked_sql, table, vector_questions
 from trawl.catalog.operations import LIMITS, _JOBS, _METRICS, _rounded, as_job_events, as_requests, cases
 from trawl.catalog.registry import SQL, query
 from trawl.catalog.retrieval import _HYBRID
 from trawl.catalog.scalars import SUMMARY_SQL, TYPE_SQL
 from trawl.functions import fixed_values as fv
-from trawl.operators import answers as an
+from trawl.operators import answers as an, embedding as em, versions as v
+from trawl.operators.chunks import chunk_pages
+from trawl.operators.pages import clean_pages
 from trawl.plans import steps
-from trawl.session import scratch_folder
+from trawl.session import scratch_folder, stage_table
+from trawl.sources.registry_store import RegistryStore
 from trawl.streaming import streams
+from trawl.streaming.documents import DocumentStream
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -56,6 +60,91 @@ def _(spark, d):
     return ingested(spark, d).manifest.select("doc", "pages", "chunks", "status", "version")
 
 
+# Uploads into a used store: of the sources, numbers 0 mod 4 are in the manifest, the
+# other even ones were registered before from another file and have cached chunks.
+_USED = (
+    _EDGES.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_semantic_sql('cleaned', 'doc_name, page', 380, 50)}, {hash_sql('cleaned', 'doc_name')}, "
+    "num AS (SELECT *, regexp_extract(doc_name, '\\d+')::BIGINT AS n FROM hashes), "
+    "ups AS (SELECT n - 1000 AS reg, doc_name AS filename, hi, lo FROM num WHERE n % 2 = 0 UNION ALL SELECT n, doc_name, hi, lo FROM num WHERE n % 4 <> 0), "
+    "regd AS (SELECT *, replace(filename, '.pdf', '') AS doc_id, row_number() OVER (PARTITION BY filename ORDER BY reg) AS version, "
+    "min(reg) OVER (PARTITION BY filename) AS doc_first FROM ups), " + _REG[_REG.index("prior AS (") :]
+    + """, cut AS (SELECT doc_name, page, row_number() OVER (PARTITION BY doc_name ORDER BY page, pos) - 1 AS chunk_id, e - s AS n_tokens,
+  array_to_string(k.t[s + 1 : e], '') AS text, num.n AS nr FROM walk JOIN toks k USING (doc_name, page) JOIN num USING (doc_name) WHERE e >= 0),
+now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY status = 'active' DESC, version DESC) AS rn FROM registry) WHERE rn = 1)
+"""
+)
+
+
+def _ingested_into_used(spark, d):
+    number = F.regexp_extract("doc_name", r"(\d+)", 1).cast("bigint")
+    p = pages(spark, d).withColumn("session_id", F.lit("s"))
+    files = table(spark, d, "documents").select("source").distinct().select(
+        F.lit("s").alias("session_id"), F.concat("source", F.lit(".pdf")).alias("doc_name"), F.sha2("source", 256).alias("file_hash"),
+        F.regexp_extract("source", r"(\d+)$", 1).cast("bigint").alias("reg"), F.lit(AS_OF).alias("upload_timestamp"),
+    )
+    cleaned = stage_table(clean_pages(p.filter(number % 2 == 0)))
+    registered = v.simhash128(cleaned, ["session_id", "doc_name"]).select(
+        "session_id", (number - 1000).alias("reg"), F.col("doc_name").alias("filename"), F.lit("before").alias("file_hash"), F.lit("").alias("content_hash"),
+        "hi", "lo", F.lit(AS_OF - 1).alias("upload_timestamp"), F.lit(1).cast("bigint").alias("page_count"),
+    )
+    manifest = files.filter("reg % 4 = 0").selectExpr(
+        "session_id", "doc_name AS doc", "1L AS pages", "1L AS chunks", "'new' AS status", "'' AS message", "upload_timestamp", "'active' AS document_status", "1L AS version"
+    )
+    cached = em.with_key(chunk_pages(cleaned.filter(number % 4 == 2))).select("k").distinct()
+    cache = cached.select("k", F.lit(2).alias("dim"), F.array(F.lit(3.0), F.lit(4.0)).cast("array<float>").alias("vec"))
+    return steps.ingest(p, files, registered, manifest, cache, _embed)
+
+
+@query(
+    "ingest_chunks",
+    _USED + "SELECT doc_name, page, chunk_id, n_tokens, status AS document_status, version AS document_version, round(CASE WHEN text IN (SELECT text FROM cut WHERE nr % 4 = 2) THEN 0.6 "
+    "ELSE len(text) / sqrt(len(text) ** 2 + n_tokens ** 2) END, 4)::DOUBLE AS v0 FROM cut JOIN now ON now.doc_id = replace(doc_name, '.pdf', '') WHERE nr % 4 <> 0",
+)
+def _(spark, d):
+    c = _ingested_into_used(spark, d).chunks
+    first = F.round(F.get("vec", F.lit(0)).cast("double"), 4)
+    return c.select("doc_name", "page", "chunk_id", big("n_tokens").alias("n_tokens"), "document_status", big("document_version").alias("document_version"), first.alias("v0"))
+
+
+@query("ingest_registry", _USED + "SELECT reg, filename, version, result, matched_reg, status, superseded_by FROM registry")
+def _(spark, d):
+    return _ingested_into_used(spark, d).registry.select("reg", "filename", big("version").alias("version"), "result", "matched_reg", "status", "superseded_by")
+
+
+@query("ingest_skipped", "SELECT DISTINCT source || '.pdf' AS doc_name FROM documents WHERE regexp_extract(source, '\\d+')::BIGINT % 4 = 0")
+def _(spark, d):
+    return _ingested_into_used(spark, d).skipped.select("doc_name")
+
+
+@query(
+    "ingest_statistics",
+    _USED + ", per AS (SELECT doc_name AS filename, count(*) AS n_chunks FROM cut WHERE nr % 4 <> 0 GROUP BY ALL) SELECT count(*) AS total_documents, "
+    "count(*) FILTER (status = 'active') AS active_documents, count(*) FILTER (status = 'superseded') AS superseded_documents, 0::BIGINT AS archived_documents, "
+    "coalesce(sum(n_chunks) FILTER (status = 'active'), 0)::BIGINT AS total_chunks, count(DISTINCT doc_id) AS unique_filenames FROM registry LEFT JOIN per USING (filename)",
+)
+def _(spark, d):
+    return _ingested_into_used(spark, d).statistics.drop("session_id")
+
+
+@query("ingest_stream", SQL["ingest"])
+def _(spark, d):
+    """The manifest after the pages of all documents came in two micro-batches, every third page in the second."""
+    out = scratch_folder(spark)
+    p = pages(spark, d).select(F.lit("s").alias("session_id"), "doc_name", "page", "text")
+    files = p.groupBy("session_id", "doc_name").agg(F.countDistinct("page").alias("page_count")).select(
+        "session_id", "doc_name", F.regexp_extract("doc_name", r"(\d+)", 1).cast("bigint").alias("reg"), F.sha2("doc_name", 256).alias("file_hash"),
+        F.lit(AS_OF).alias("upload_timestamp"), "page_count",
+    )
+    store = RegistryStore(spark, f"{out}/registry", buckets=4, payload="content_hash string, upload_timestamp double, page_count bigint")
+    cache = spark.createDataFrame([], "k string, dim int, vec array<float>")
+    stream = DocumentStream(spark, f"{out}/tables", stage_table(files), store, spark.createDataFrame([], MANIFEST), cache, _embed)
+    late = F.col("page") % 3 == 0
+    for n, part in enumerate((p.filter(~late), p.filter(late))):
+        part.write.parquet(f"{out}/in/p{n}")
+        stream.start(spark.readStream.schema(p.schema).parquet(f"{out}/in/p*"), f"{out}/checkpoint").awaitTermination()
+    return stream.tables().manifest.select("doc", "pages", "chunks", "status", big("version").alias("version"))
+
+
 def _asked(spark, d):
     q = vector_questions(spark, d).withColumns(
         {"session_id": F.lit("s"), "docs": F.array(F.lit("all")), "selected": F.lit(None).cast("string")}

@@ -83,10 +83,10 @@ TERM_RE = r"\p{L}+\p{M}*|\p{Nd}+"
 
 def bm25_stats_sql(source: str) -> str:
     """CTEs from a table of (chunk_key, text) up to the term weights."""
-    return rf"""tf AS (
+    return rf"""tf AS MATERIALIZED (
   SELECT chunk_key, term, count(*) AS tf FROM (
     SELECT chunk_key, lower(unnest(regexp_extract_all(text, '{TERM_RE}'))) AS term FROM {source}) GROUP BY ALL),
-dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+dfreq AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
 size AS (SELECT count(*) AS n FROM {source}),
 ridf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfreq, size),
 stat AS (SELECT (SELECT n FROM size) AS n, (SELECT sum(tf) FROM tf) / (SELECT n FROM size) AS avg_len,

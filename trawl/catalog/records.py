@@ -165,6 +165,21 @@ def _(spark, d):
     return tb.removed_counts(pool, tb.remove_doc(pool, "src3.pdf"))
 
 
+@query(
+    "replace_sessions",
+    "SELECT 's' || (conv_id % 20) AS session_id, conv_id, turn, role FROM conversations WHERE NOT (conv_id % 20 < 5 AND role = 'system')",
+)
+def _(spark, d):
+    """A stored table after five of its sessions were written again without their system rows."""
+    rows = table(spark, d, "conversations").select(
+        F.concat(F.lit("s"), (F.col("conv_id") % 20).cast("string")).alias("session_id"), "conv_id", "turn", "role"
+    )
+    path = scratch_folder(spark)
+    tb.replace_sessions(rows, path)
+    tb.replace_sessions(rows.filter("conv_id % 20 < 5 AND role <> 'system'"), path)
+    return spark.read.schema(rows.schema).parquet(path).select("session_id", "conv_id", "turn", "role")
+
+
 @query(
     "drop_sessions",
     "SELECT 's' || conv_id AS session_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')",

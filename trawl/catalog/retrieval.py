@@ -12,6 +12,8 @@ from trawl.catalog.registry import query
 from trawl.functions.vectors import cosine01, dot, l2_normalize
 from trawl.operators import bm25, retrieve
 from trawl.operators.ranking import SCORE_DIGITS
+from trawl.session import scratch_folder, stage_table
+from trawl.sources.corpus_store import CorpusStore
 
 _TEXT = f"WITH {TEXT_CHUNKS_SQL}, {TEXT_QUESTIONS_SQL}, {bm25_sql('text_chunks')}, {RANGE_SQL}"
 _STATS = f"WITH {TEXT_CHUNKS_SQL}, {bm25_stats_sql('text_chunks')} "
@@ -35,10 +37,30 @@ def _(spark, d):
 @query("bm25_idf", _STATS + "SELECT term, df, round(idf, 6) AS idf FROM idf")
 def _(spark, d):
     pool = text_chunks(spark, d)
-    frequency = bm25.term_document_frequency(bm25.chunk_terms(pool))
+    frequency = stage_table(bm25.term_document_frequency(bm25.chunk_terms(pool)))
     return bm25.term_idf(frequency, bm25.corpus_stats(pool, frequency)).select("term", "df", r6("idf").alias("idf"))
 
 
+_LEFT_OVER = "pool AS (SELECT * FROM text_chunks WHERE NOT (chunk_key % 5 = 0 AND chunk_key % 3 < 2))"
+
+
+@query(
+    "bm25_maintained_stats",
+    f"WITH {TEXT_CHUNKS_SQL}, {_LEFT_OVER}, {bm25_stats_sql('pool')} SELECT n AS n_chunks, round(avg_len, 6) AS avg_len, "
+    "(SELECT count(*) FROM dfreq) AS n_distinct_terms, (SELECT sum(tf)::BIGINT FROM tf) AS n_terms, round(mean_idf, 6) AS mean_idf FROM stat",
+)
+def _(spark, d):
+    """Statistics after three batches: two thirds come, the rest comes while some go, more go."""
+    pool = text_chunks(spark, d)
+    third, gone = F.col("chunk_key") % 3, F.col("chunk_key") % 5 == 0
+    store = CorpusStore(spark, scratch_folder(spark))
+    store.apply(0, added=pool.filter(third < 2))
+    store.apply(1, added=pool.filter(third == 2), removed=pool.filter(gone & (third == 0)))
+    store.apply(2, removed=pool.filter(gone & (third == 1)))
+    s = store.stats()
+    return s.select("n_chunks", r6("avg_len").alias("avg_len"), "n_distinct_terms", "n_terms", r6("mean_idf").alias("mean_idf"))
+
+
 @query("bm25_scores", _TEXT + "SELECT query_id, chunk_key, round(bm25_raw, 6) AS bm25_raw FROM sparse")
 def _(spark, d):
     s = bm25.bm25_scores(questions(spark, d), text_chunks(spark, d))

@@ -57,7 +57,11 @@ def term_document_frequency(postings: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame, frequency: DataFrame) -> DataFrame:
     """One row per scope: chunk count, total terms, mean length, mean raw idf."""
-    size = corpus_size(chunks)
+    return stats_of(corpus_size(chunks), frequency)
+
+
+def stats_of(size: DataFrame, frequency: DataFrame) -> DataFrame:
+    """The same from (scope, n_chunks) and (scope, term, df, cf)."""
     totals = frequency.join(size, "scope").groupBy("scope").agg(
         F.first("n_chunks").alias("n_chunks"),
         F.sum("cf").alias("n_terms"),
