@@ -66,20 +66,36 @@ def admitted(times: np.ndarray, most: int, span: float, kept: list[float]) -> tu
 
 
 def _admit(batches):
-    """Pass over rows sorted by client, stretch and time; holds one stretch's last accepted times."""
+    """Pass over rows sorted by client, stretch and time; holds one stretch's last accepted times.
+
+    Most stretches are a few requests; one that fits whole under its maximum is
+    let through without a search.
+    """
     current, kept = None, []
     for pdf in batches:
-        if not len(pdf):
+        n = len(pdf)
+        if not n:
             continue
-        keys = pdf[["client", "endpoint", "stretch"]]
-        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy() | (np.arange(len(pdf)) == 0))
+        columns = [pdf[c].to_numpy() for c in ("client", "endpoint", "stretch")]
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, n)).tolist()
+        most = pdf["max_requests"].to_numpy()[starts].astype(np.int64).tolist()
+        span = pdf["window_s"].to_numpy()[starts].tolist()
         times = pdf["ts"].to_numpy()
-        out = np.empty(len(pdf), dtype=bool)
-        for a, b in zip(starts, np.append(starts[1:], len(pdf))):
-            key = tuple(keys.iloc[a])
-            kept = kept if key == current else []
-            current = key
-            out[a:b], kept = admitted(times[a:b], int(pdf["max_requests"].iloc[a]), float(pdf["window_s"].iloc[a]), kept)
+        out = np.ones(n, dtype=bool)
+        first, last = (tuple(c[i] for c in columns) for i in (0, -1))
+        ends = len(starts) - 1
+        for i, (a, size) in enumerate(zip(starts.tolist(), sizes)):
+            carried = kept if i == 0 and first == current else []
+            if len(carried) + size > most[i]:
+                out[a : a + size], after = admitted(times[a : a + size], most[i], span[i], carried)
+            elif i == ends:
+                after = carried + times[a:].tolist()
+        current, kept = last, after
         yield pd.DataFrame({"request_id": pdf["request_id"], "allowed": out})
 
 
