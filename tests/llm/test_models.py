@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -290,3 +291,23 @@ def test_pipeline_stages_hand_on_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, spark.read.parquet(f"{SMALL}/documents.parquet").limit(0), SMALL)
         assert empty.count() == 0
+
+
+def test_stray_end_tags_cost_nothing():
+    start = time.perf_counter()
+    text = html_text.main_text("<body>" + "<div>" * 4000 + "<p>" + "Some words of the article. " * 20 + "</span></b></x>" * 33_000)
+    assert text.startswith("Some words") and time.perf_counter() - start < 5
+
+
+def test_a_page_inside_one_form():
+    body = "<h1>Title here</h1>" + "".join(f"<p>Paragraph {i} with many words of the article in it.</p>" for i in range(8))
+    assert "Paragraph 7" in html_text.main_text(f"<body><form id=f action=/x/><input name=q>{body}<button>Go</button></form></body>")
+    assert html_text.main_text(f"<body><div>{body}</div><form><p>Your name</p><input></form></body>").endswith("Paragraph 7 with many words of the article in it.")
+    assert html_text.main_text("<body><form><label>User name and password please</label><input></form></body>") == ""
+
+
+def test_a_slash_in_an_unquoted_value_closes_nothing():
+    body = "".join(f"<p>Paragraph {i} with many words of the article in it.</p>" for i in range(5))
+    assert "<" not in html_text.main_text(f"<body><div>{body}<p><a href=/x/>linked</a> text</p></div></body>")
+    tree = html_text.parse("<a href=/x/>linked</a>")
+    assert tree.children[0].children == ["linked"]

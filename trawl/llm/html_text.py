@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from html import unescape
 from math import e, log
 
@@ -30,7 +31,7 @@ _BLOCK = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _NEVER = frozenset(
-    "head title script style noscript template svg math iframe object canvas audio video form button select textarea input option "
+    "head title script style noscript template svg math iframe object canvas audio video button select textarea input option "
     "nav aside footer menu dialog noembed noframes map".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
@@ -49,7 +50,7 @@ _LAYOUT = re.compile(
     r"(?:content|main|primary|article)[_-]+(?:sidebars?|rail)[_-]+(?:wrap|wrapper|container|grid|inner|outer)$",
     re.I,
 )
-_LAYOUT_PART, _OWN_TEXT_PART, _TALK_PART = 1, 2, 3
+_LAYOUT_PART, _OWN_TEXT_PART, _TALK_PART, _FORM_PART = 1, 2, 3, 4
 _EDGES = re.compile(r"(?:^|[\s_-])(?:header|footer|topbar|bottombar|site-info)(?=$|[\s_-])", re.I)
 #: A start tag of the key ends an open element of the value, up to the nearest table cell, list or section.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,6 +63,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
+#: An unquoted last value that ends with a slash, as in href=/a/, closes nothing.
+_SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'>]+/\Z")
+
 
 class Node:
     __slots__ = ("tag", "children", "part", "chars", "tags", "link_chars", "link_tags", "density", "total", "kept", "block")
@@ -79,13 +83,16 @@ def _judged(tag: str, attributes: str, inside_article: bool) -> tuple[bool, int]
     by its tag, role or style; and if not, which kind of part it is by its name, 0 for none."""
     if tag in _NEVER or (tag == "header" and not inside_article):
         return True, 0
+    kind = _FORM_PART if tag == "form" else 0
     if not attributes or tag in ("html", "body"):
-        return False, 0
+        return False, kind
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return True, 0
     if found.get("role", "").lower() in _ROLES:
         return True, 0
+    if kind:
+        return False, kind
     names = f"{found.get('class', '')} {found.get('id', '')}"
     if tag == "main" or not (_PARTS.search(names) or _EDGES.search(names)):
         return False, 0
@@ -102,8 +109,9 @@ def _drop_parts(root: Node) -> None:
     that is none of a discussion; if it is the only article; or if it holds most
     of the page's text, discussions aside. Discussions, adverts and notices must
     hold nearly all of it, on a page without an article or main outside of all
-    parts. Parts inside a part that stays are judged alike. If no text is left,
-    layout parts stay, or else all.
+    parts. A form stays if it is the wrapper of the page: it holds an article, a main,
+    or paragraphs and most of the text. Parts inside a part that stays are judged
+    alike. If no text is left, layout parts stay, or else all but forms.
     """
     order, waiting, outside = [], [(root, False)], False
     while waiting:
@@ -112,11 +120,13 @@ def _drop_parts(root: Node) -> None:
         outside |= not inside and node.tag in ("article", "main")
         order.append(node)
         waiting.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
-    size, talk, article, main = {}, {}, {}, {}  # by node: characters, those of discussions, whether it holds an article or a main
+    # by node: characters, those of discussions, whether it holds an article, a main or a paragraph
+    size, talk, article, main, paragraph = {}, {}, {}, {}, {}
     for node in reversed(order):
         own = [c for c in node.children if isinstance(c, Node)]
         n = sum(size[id(c)] for c in own) + sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
         size[id(node)], talk[id(node)] = n, n if node.part == _TALK_PART else sum(talk[id(c)] for c in own)
+        paragraph[id(node)] = node.tag == "p" or any(paragraph[id(c)] for c in own)
         main[id(node)] = node.tag == "main" or any(main[id(c)] for c in own)
         article[id(node)] = any(article[id(c)] and c.part != _TALK_PART or c.tag == "article" and not c.part for c in own)
     total, said = size[id(root)], talk[id(root)]
@@ -125,6 +135,8 @@ def _drop_parts(root: Node) -> None:
         i = id(node)
         if not node.part or main[i]:
             return True
+        if node.part == _FORM_PART:
+            return article[i] or paragraph[i] and size[i] - talk[i] > 0.5 * (total - said)
         if node.part == _TALK_PART:
             return not outside and size[i] > (0.5 if article[i] else 0.9) * total
         if article[i] or node.tag == "article" and not outside:
@@ -154,7 +166,12 @@ def parse(html: str) -> Node:
     """The page as a tree without dropped parts, named ones too; end tags that are missing or superfluous are put up with."""
     root = Node("body")
     stack, at, article, drop = [root], 0, 0, 0  # drop: depth of the stack where a dropped part began
-    named = False
+    named, opened = False, Counter()  # open elements by name: an end tag without one costs no search
+
+    def close_from(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while True:
         token = _TOKEN.search(html, at)
         if token is None or token.start() > at:
@@ -169,22 +186,22 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if end:
-            if tag in ("html", "body"):
+            if tag in ("html", "body") or not opened[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     article -= sum(n.tag in ("article", "main") for n in stack[i:])
-                    del stack[i:]
+                    close_from(i)
                     drop = 0 if drop >= i else drop
                     break
             continue
         if tag in ("html", "body"):
             continue
         ends = {"p"} if tag in _P_ENDS else _ENDS.get(tag, ())
-        if ends:
+        if any(opened[t] for t in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    close_from(i)
                     drop = 0 if drop >= i else drop
                     if tag in ("tr",):
                         continue
@@ -202,9 +219,10 @@ def parse(html: str) -> Node:
                 node.children.append(html[at : close.start() if close else len(html)])
             at = close.end() if close else len(html)
             continue
-        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK and not _SLASH_IN_VALUE.search(attributes):
             continue
         stack.append(node)
+        opened[tag] += 1
         article += tag in ("article", "main")
         if gone and not drop:
             drop = len(stack) - 1
@@ -263,25 +281,27 @@ def _weigh(order: list[Node]) -> None:
         node.total += _density(*own, share)
 
 
-def _densest(node: Node) -> Node:
-    """The node below or at this one with the largest sum of child densities, first in page order."""
-    best, waiting = node, [node]
-    while waiting:
-        now = waiting.pop()
-        if now.total > best.total:
-            best = now
-        waiting.extend(c for c in reversed(now.children) if isinstance(c, Node))
+def _densest(order: list[Node]) -> dict[int, Node]:
+    """By node: the one below or at it with the largest sum of child densities, first in page order."""
+    best: dict[int, Node] = {}
+    for node in reversed(order):
+        found = node
+        for c in node.children:
+            if isinstance(c, Node) and best[id(c)].total > found.total:
+                found = best[id(c)]
+        best[id(node)] = found
     return best
 
 
-def _path(root: Node, target: Node) -> list[Node]:
-    waiting = [(root, [root])]
-    while waiting:
-        node, path = waiting.pop()
-        if node is target:
-            return path
-        waiting.extend((c, [*path, c]) for c in node.children if isinstance(c, Node) and c.chars)
-    return [root]
+def _path(order: list[Node], target: Node) -> list[Node]:
+    """The nodes from the target up to the root; the root alone for a target without text."""
+    if not target.chars:
+        return [order[0]]
+    above = {id(c): node for node in order for c in node.children if isinstance(c, Node)}
+    path = [target]
+    while id(path[-1]) in above:
+        path.append(above[id(path[-1])])
+    return path
 
 
 def select(root: Node) -> None:
@@ -289,14 +309,15 @@ def select(root: Node) -> None:
     root.block = True
     order = _measured(root)
     _weigh(order)
-    best = _densest(root)
-    threshold = min(n.density for n in _path(root, best))
+    densest = _densest(order)
+    best = densest[id(root)]
+    threshold = min(n.density for n in _path(order, best))
     best.kept = True
     waiting = [c for c in root.children if isinstance(c, Node)]
     while waiting:
         node = waiting.pop()
         if node.density and node.density >= threshold and not node.kept:
-            _densest(node).kept = True
+            densest[id(node)].kept = True
             waiting.extend(c for c in node.children if isinstance(c, Node))
 
 
