@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trawl.functions import fixed_values as fv
 from trawl.functions.text import stem
 from trawl.operators import versions as v
-from trawl.session import stage, stage_table, with_session
+from trawl.session import stage_table, with_session
 
 _NAMES = "session_id string, doc_id string, file_hash string, reg bigint, filename string, hi bigint, lo bigint, version bigint, doc_first bigint, similarity double, matched_reg bigint, matched_name string, result string, supersedes array<string>, message string"
 _PRIOR = "struct<doc_first:bigint,version:bigint,reg:bigint,doc_id:string,filename:string>"
@@ -88,8 +88,8 @@ class RegistryStore:
         Gives what `versions.register` over all uploads gives for these; reading
         it back later, with statuses, is `documents`.
         """
-        named = stage(with_session(uploads).withColumn("doc_id", stem(F.col("filename"))))
-        names = stage(self.touched("names", named, batch).join(named.select("session_id", "doc_id").distinct(), ["session_id", "doc_id"], "left_semi"))
+        named = stage_table(with_session(uploads).withColumn("doc_id", stem(F.col("filename"))))
+        names = stage_table(self.touched("names", named, batch).join(named.select("session_id", "doc_id").distinct(), ["session_id", "doc_id"], "left_semi"))
         file = ["session_id", "doc_id", "file_hash"]
         fresh = named.join(names.select(*file).distinct(), file, "left_anti")
         older = names.groupBy("session_id", "doc_id").agg(F.min("reg").alias("_first"), F.max("version").alias("_known"))
@@ -97,12 +97,12 @@ class RegistryStore:
         rows = rows.withColumn("version", (F.col("version") + F.coalesce("_known", F.lit(0))).cast("bigint"))
         newest = rows.groupBy("session_id", "doc_id").agg(F.min("reg").alias("_own"))
         rows = rows.join(newest, ["session_id", "doc_id"]).withColumn("doc_first", F.coalesce("_first", "_own")).drop("_first", "_known", "_own")
-        rows = stage(rows)
+        rows = stage_table(rows)
 
         inside = v.nearest_prior(rows, self.max_distance).select("reg", "distance", "prior")
         stored = rows.select("reg", *_HASH).join(self._nearest_stored(rows, batch), _HASH).select("reg", "distance", "prior")
         best = inside.unionByName(stored).groupBy("reg").agg(F.min(F.struct("distance", "prior")).alias("b")).select("reg", "b.distance", "b.prior")
-        matched = stage(v.judged(rows, best))
+        matched = stage_table(v.judged(rows, best))
 
         columns = [c.strip().split(" ")[0] for c in self._schema("names").split(",") if "<" not in c] + ["supersedes"]
         self._append("names", matched.select(*dict.fromkeys(columns)), batch)
@@ -118,9 +118,9 @@ class RegistryStore:
 
     def _nearest_stored(self, rows: DataFrame, batch: int) -> DataFrame:
         """(session_id, hi, lo, distance, prior) of the closest stored document of each hash; appends the batch's new keys."""
-        hashes = stage(rows.select(*_HASH).distinct())
+        hashes = stage_table(rows.select(*_HASH).distinct())
         coarse = stage_table(hashes.select("*", F.explode(v.band_keys(v.BANDS, self.max_distance)).alias("band")))
-        same = stage(self.touched("hashes", hashes, batch).join(hashes, _HASH, "left_semi").groupBy(*_HASH).agg(F.min("prior").alias("prior")))
+        same = stage_table(self.touched("hashes", hashes, batch).join(hashes, _HASH, "left_semi").groupBy(*_HASH).agg(F.min("prior").alias("prior")))
         fresh = hashes.join(same.select(*_HASH), _HASH, "left_anti")
         old = self.touched("bands", coarse, batch).join(coarse.select(*_BAND).distinct(), _BAND, "left_semi")
         old = stage_table(old.select(*_BAND, "hi", "lo"))
@@ -129,16 +129,16 @@ class RegistryStore:
         sizes = old.withColumn("_old", F.lit(1)).unionByName(new.withColumn("_old", F.lit(0))).groupBy(*_BAND).agg(
             F.count(F.lit(1)).alias("n"), F.sum("_old").alias("n_old")
         )
-        crowded = stage(sizes.filter(F.col("n") > self.hot))
+        crowded = stage_table(sizes.filter(F.col("n") > self.hot))
         if crowded.isEmpty():
-            pairs, moved_keys = stage(self._close(coarse, old)), None
+            pairs, moved_keys = stage_table(self._close(coarse, old)), None
         else:
             pairs, moved_keys = self._crowded_pairs(coarse, old, fresh, crowded, batch)
         priors = self.touched("hashes", pairs.select("session_id", F.col("hi_o").alias("hi"), F.col("lo_o").alias("lo")), batch)
         others = priors.groupBy(*_HASH).agg(F.min("prior").alias("prior")).select("session_id", F.col("hi").alias("hi_o"), F.col("lo").alias("lo_o"), "prior")
         near = pairs.distinct().join(others, ["session_id", "hi_o", "lo_o"]).select(*_HASH, "distance", "prior")
         best = near.unionByName(same.select(*_HASH, F.lit(0).alias("distance"), "prior"))
-        best = stage(best.groupBy(*_HASH).agg(F.min(F.struct("distance", "prior")).alias("b")).select(*_HASH, "b.distance", "b.prior"))
+        best = stage_table(best.groupBy(*_HASH).agg(F.min(F.struct("distance", "prior")).alias("b")).select(*_HASH, "b.distance", "b.prior"))
         self._append("bands", new, batch)
         if moved_keys is not None:
             self._append("fine", moved_keys, batch)
@@ -157,7 +157,7 @@ class RegistryStore:
         fine = stage_table(asking.select("*", fine_keys))
         kept = self.touched("fine", fine, batch).select(*_BAND, "hi", "lo")
         moved = stage_table(turned.select("*", fine_keys).select(*_BAND, "hi", "lo"))
-        pairs = stage(self._close(cold, old).unionByName(self._close(fine, kept.unionByName(moved))))
+        pairs = stage_table(self._close(cold, old).unionByName(self._close(fine, kept.unionByName(moved))))
         return pairs, fine.join(fresh, _HASH, "left_semi").select(*_BAND, "hi", "lo").unionByName(moved).distinct()
 
     def _close(self, asking: DataFrame, stored: DataFrame) -> DataFrame:
