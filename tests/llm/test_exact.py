@@ -293,6 +293,31 @@ def test_digests_cover_the_text_and_peel_exactly(monkeypatch):
         monkeypatch.setattr(fingerprints, "_SLICE", 64)
 
 
+def test_long_runs_without_spaces_count_whole(monkeypatch):
+    rng = random.Random(3)
+    run = "".join(rng.choice("abcdefgh") for _ in range(300_000))
+    edited = run[:150_000] + "".join(rng.choice("ijklmnop") for _ in range(150_000))
+    same_word, one_byte = ("foo " * 60_000).encode(), b"a" * 300_001
+    low = np.uint64(0xFFFF)
+    for raw in (run.encode(), one_byte, same_word, b" " * 200_000, b"x " + one_byte + b" y"):
+        found = fingerprints.digests(raw)
+        assert int((found & low).sum()) == len(raw) and int((found & low).max()) <= 1 << 15
+        monkeypatch.setattr(fingerprints, "_SLICE", 40_000)
+        assert (fingerprints.digests(raw) == found).all()
+        monkeypatch.setattr(fingerprints, "_SLICE", 1 << 20)
+    near = fingerprints.likenesses([(fingerprints.digests(run.encode()), fingerprints.digests(edited.encode()))])
+    assert 0.4 < near[0] < 0.52
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "one two three four five six", "a"), (2, "one two three four five six", "b"), (3, "other", "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _digest string").selectExpr("*", "1 AS _k", "2 AS _t", "3 AS _n", "4 AS row", "5 AS key")
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r._digest, r._n) for r in kept.collect()) == [(1, "a", 3), (3, "c", 3)]
+    named = spark.createDataFrame([("two words",), (None,)], "`a.b` string")
+    assert [r.n for r in named.select(mixing.word_count("a.b").alias("n")).collect()] == [2, 0]
+
+
 def test_edited_likeness(spark):
     rows = sample_docs()
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS bucket", "2 AS key", "3 AS t").repartition(7)

@@ -311,3 +311,10 @@ def test_a_slash_in_an_unquoted_value_closes_nothing():
     assert "<" not in html_text.main_text(f"<body><div>{body}<p><a href=/x/>linked</a> text</p></div></body>")
     tree = html_text.parse("<a href=/x/>linked</a>")
     assert tree.children[0].children == ["linked"]
+
+
+def test_scores_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a text", 5, 6, 0.5)], "doc_id bigint, text string, _scores int, row int, score double")
+    scored = quality.with_scores(docs, quality.CoTrained(0.25)).first()
+    assert (scored._scores, scored.row, scored.score, scored.content_score) == (5, 6, 0.25, 0.25)
+    assert quality.with_scores(docs.limit(0), quality.CoTrained(0.25)).count() == 0

@@ -1,7 +1,8 @@
 """Document fingerprints that tell which paragraphs differ between two versions.
 
 A text is a bag of paragraph pieces: lines, and inside long lines runs of words
-that end where a word's hash says so, so that an edit changes few pieces. The
+that end where a word's hash says so, so that an edit changes few pieces; pieces
+of more than 32 KB are cut again inside words. The
 pieces' digests, each with its length, go into an invertible Bloom lookup sketch.
 Sketches of two versions are subtracted cell by cell; peeling the cells that hold
 one digest recovers the digests that differ. If cells are left over, both
@@ -29,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STORED = 8
 #: A word ends a piece if its hash is divisible by this: pieces of eight words on average.
 _WORDS = np.uint64(8)
+#: Longer pieces are cut again where the hash of the last bytes says so, 4096 on average, and at this length.
+_LONGEST, _WINDOW, _SPOTS = 1 << 15, 64, np.uint64(4096)
 #: Bytes cut into pieces at a time, and bytes of text compared together.
 _SLICE, _TOGETHER = 1 << 20, 4 << 20
 
@@ -58,6 +61,20 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
+def _divided(sums: np.ndarray, back: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """ends, with more of them inside pieces above `_LONGEST` bytes; they depend on the piece alone."""
+    cuts = []
+    begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    for i in np.flatnonzero(ends - begins > _LONGEST):
+        at, end = int(begins[i]), int(ends[i])
+        windows = _mixed((sums[at + _WINDOW : end] - sums[at : end - _WINDOW]) * back[at : end - _WINDOW])
+        spots = np.append(np.flatnonzero(windows % _SPOTS == 0) + at + _WINDOW, end)
+        while at < end:
+            at = min(int(spots[np.searchsorted(spots, min(at + _WINDOW, end))]), at + _LONGEST)
+            cuts.append(at)
+    return np.unique(np.concatenate([ends, cuts]).astype(np.int64)) if cuts else ends
+
+
 def _cut(data: np.ndarray, final: bool) -> tuple[np.ndarray, int]:
     """(digests, bytes used) of the pieces of a byte array; without final the last, open one is left."""
     n = len(data)
@@ -72,10 +89,11 @@ def _cut(data: np.ndarray, final: bool) -> tuple[np.ndarray, int]:
     ends = word_ends[(words % _WORDS == 0) | np.append(lines[word_starts[1:]] > lines[word_ends[: max(len(word_ends) - 1, 0)]], False)[: len(word_ends)]]
     if final and n and (not len(ends) or ends[-1] < n):
         ends = np.append(ends, n)
+    ends = _divided(sums, back, ends)
     begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
     sizes = (ends - begins).astype(np.uint64)
     hashes = _mixed((sums[ends] - sums[begins]) * back[begins] + sizes * _SALTS[1])
-    return (hashes << np.uint64(16)) | np.minimum(sizes, np.uint64(0xFFFF)), int(ends[-1]) if len(ends) else 0
+    return (hashes << np.uint64(16)) | sizes, int(ends[-1]) if len(ends) else 0
 
 
 def digests(raw: bytes) -> np.ndarray:
@@ -164,10 +182,7 @@ def peel(counts: np.ndarray, xors: np.ndarray, checks: np.ndarray, size: int) ->
 
 
 def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """1 - differing bytes / all bytes of each pair of digest lists, from peeled sketches; 1 for two empty ones.
-
-    Pieces of 64 KB and more count as that long.
-    """
+    """1 - differing bytes / all bytes of each pair of digest lists, from peeled sketches; 1 for two empty ones."""
     low = np.uint64(0xFFFF)
     total = np.array([int((a & low).sum() + (b & low).sum()) for a, b in pairs], np.float64)
     out = np.ones(len(pairs))
@@ -262,11 +277,11 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     table gives no rows; other columns are ignored.
 
     Texts are shuffled once, to ranges of keys whose bounds are read off the keys
-    alone, and each range also gets the first row of the next one.
+    alone, one range a task and as many as docs has partitions, and each range also gets the first row of the next one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     ranged = rows.select("k").filter("k is not null").repartitionByRange(parts, "k")
     bounds = [r.low for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("low")).orderBy("low").collect()][1:]
     edges = np.array(bounds, np.float64 if any(isinstance(b, float) for b in bounds) else np.int64)
@@ -281,6 +296,6 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     firsts = stage_table(firsts.select("bucket", "least.k", "least.t"))
     ahead = firsts.select(F.when(F.col("bucket") == 0, len(bounds)).otherwise(F.col("bucket") - 1).cast("int").alias("bucket"), F.lit(True).alias("ahead"), "k", "t")
     both = placed.select("bucket", F.lit(False).alias("ahead"), "k", "t").union(ahead)
-    ordered = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "k", "t")
+    ordered = both.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "k", "t")
     out = ordered.mapInArrow(_edited_rows(), _SCHEMA.format(kind=docs.schema[key].dataType.simpleString()))
     return out.withColumnRenamed("key", key)

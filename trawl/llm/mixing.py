@@ -20,7 +20,7 @@ _SLICE_DIGITS = 3
 
 def word_count(text: str = "text"):
     """Number of runs without space, tab, LF, VT, FF and CR; 0 for null."""
-    spaced = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    spaced = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\t\n\x0b\x0c\r", "     ")
     return F.size(F.filter(F.split(spaced, " "), lambda w: w != "")).cast("bigint")
 
 

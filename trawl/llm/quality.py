@@ -139,7 +139,7 @@ class CoTrained:
                 ready = np.flatnonzero(free[other])
                 logit = views[v].logit(pool[v][ready])
                 for label, rate in ((1, y.mean()), (0, 1 - y.mean())):
-                    sure = logit if label else -logit
+                    sure = np.round(logit if label else -logit, 9)  # last bits differ between machines
                     n = int(np.ceil(share * rate * len(pool_content)))
                     best = np.argsort(-sure, kind="stable")[:n]
                     best = best[sure[best] > 2.0]
@@ -161,7 +161,7 @@ class CoTrained:
             return np.full((len(content), 3), self.constant)
         logits = [a + b * view.logit(x) for (a, b), view, x in zip(self.scales, self.views, (content, meta))]
         both = self.joint[0] + self.joint[1] * logits[0] + self.joint[2] * logits[1]
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([*logits, both]) + self.shift, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(np.column_stack([*logits, both]) + self.shift, -30, 30))), 9)
 
 
 def _features(texts, counts, sources, langs) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +247,8 @@ def with_scores(docs: DataFrame, model: CoTrained, text: str = "text") -> DataFr
 
     Every row gets scores from its whole text; a null text counts as empty and
     null metadata as a value of its own. Equal rows score alike. Columns of docs
-    with those names are replaced.
+    with those names are replaced; an empty table stays empty. Scores are rounded
+    to nine digits, below which sums may differ between machines.
     """
 
     def scored(texts: pa.Array, counts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
@@ -256,8 +257,9 @@ def with_scores(docs: DataFrame, model: CoTrained, text: str = "text") -> DataFr
         return scores
 
     names = ["content_score", "metadata_score", "score"]
-    both = docs.drop(*names).withColumn("_scores", F.arrow_udf(scored, "array<double>")(*_inputs(docs, text)))
-    return both.withColumns({n: F.col("_scores")[i] for i, n in enumerate(names)}).drop("_scores")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    both = docs.select(rest.alias("row"), F.arrow_udf(scored, "array<double>")(*_inputs(docs, text)).alias("scores"))
+    return both.select("row.*", *[F.col("scores")[i].alias(n) for i, n in enumerate(names)])
 
 
 def cotrained_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

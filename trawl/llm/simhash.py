@@ -308,6 +308,8 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     rooted = rows.join(groups.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t", "n")).alias("least"))
     kept = stage_table(kept.select(F.col("least.k").alias("_k"), F.col("least.t").alias("_t"), F.col("least.n").alias("_n")))
-    staying = docs.withColumn("_digest", digest).join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_t")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no column's name meets those used here
+    rows = docs.select(whole.alias("row"), F.col(f"`{key}`").alias("key"), digest.alias("digest"))
+    staying = rows.join(kept, F.col("key").eqNullSafe(F.col("_k")) & (F.col("digest") == F.col("_t")))
     single, repeated = staying.filter("_n = 1"), staying.filter("_n > 1").dropDuplicates(["_k", "_t"])
-    return single.union(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return single.union(repeated).select("row.*")
