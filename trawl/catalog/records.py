@@ -12,7 +12,7 @@ from trawl.catalog.inputs import AS_OF, TEXT_CHUNKS_SQL, big, r6, table, text_ch
 from trawl.catalog.registry import query
 from trawl.functions.text import sha1_key
 from trawl.functions.vectors import dot
-from trawl.operators import answers as an, chats as ch, embedding as em, sessions as se, versions as v
+from trawl.operators import answers as an, chat_changes as cc, chats as ch, embedding as em, sessions as se, versions as v
 from trawl.session import scratch_folder
 from trawl.sources import files as fi, tables as tb
 
@@ -386,6 +386,38 @@ def _(spark, d):
     return ch.apply_chat_changes(chats(spark, d), changes(spark, d))
 
 
+@query(
+    "apply_chat_changes_in_order",
+    "WITH " + _CHANGES + """, a AS (SELECT seq, session_id, action, chat_id, nullif(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '') AS title, timestamp AS ts FROM acts),
+ev AS (SELECT -1::BIGINT AS seq, 'base' AS action, session_id, chat_id, title, updated_at AS ts FROM chats UNION ALL
+  SELECT seq, action, session_id, chat_id, title, ts FROM a WHERE chat_id IS NOT NULL),
+lf AS (SELECT *, coalesce(last_value(CASE action WHEN 'delete' THEN false WHEN 'rename' THEN NULL ELSE true END IGNORE NULLS) OVER
+    (PARTITION BY session_id, chat_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS alive,
+  coalesce(min(CASE WHEN action = 'delete' THEN seq END) OVER
+    (PARTITION BY session_id, chat_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 9000000000000000000) AS ends FROM ev),
+ef AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, CASE WHEN action = 'base' THEN coalesce(ts, 0) END, chat_id DESC) AS place,
+  CASE WHEN action = 'delete' THEN -1 WHEN action = 'rename' OR alive THEN 0 ELSE 1 END AS delta FROM lf WHERE alive OR action NOT IN ('rename', 'delete')),
+implied AS (SELECT u.seq, u.action, u.session_id, arg_max(e.chat_id, e.place) AS chat_id, any_value(u.title) AS title, any_value(u.ts) AS ts FROM a u JOIN ef e
+  ON e.session_id = u.session_id AND e.action <> 'delete' AND e.seq < u.seq AND e.ends > u.seq WHERE u.chat_id IS NULL AND u.action = 'rename' GROUP BY ALL),
+told AS (SELECT seq, action, session_id, chat_id, CASE WHEN action = 'create' THEN coalesce(title, 'Cuộc trò chuyện ' || (1 + coalesce(sum(delta) OVER
+    (PARTITION BY session_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE title END AS title, ts FROM ef
+  UNION ALL SELECT seq, action, session_id, chat_id, title, ts FROM implied),
+num AS (SELECT *, coalesce(max(CASE WHEN action = 'delete' THEN NULL WHEN regexp_extract(title, '^Cuộc trò chuyện.*\\s(\\d+)\\s*$', 1) <> '' THEN
+    try_cast(regexp_extract(title, '^Cuộc trò chuyện.*\\s(\\d+)\\s*$', 1) AS BIGINT) WHEN trim(title) = 'Cuộc trò chuyện' THEN 1 END) OVER
+  (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM told),
+wait AS (SELECT seq, top, row_number() OVER (ORDER BY seq) AS k FROM num WHERE action = 'create_session' AND title IS NULL),
+given AS (SELECT seq, k + 1 + max(top - k) OVER (ORDER BY seq) AS no FROM wait),
+full_ AS (SELECT t.* REPLACE (coalesce(title, 'Cuộc trò chuyện ' || no) AS title) FROM told t LEFT JOIN given USING (seq)),
+born AS (SELECT session_id, chat_id, arg_max(title, seq) FILTER (title IS NOT NULL AND action <> 'delete') AS title, arg_max(ts, seq) FILTER (action <> 'delete') AS updated_at,
+  arg_max(action, seq) FILTER (action NOT IN ('rename', 'delete')) AS birth, arg_max(ts, seq) FILTER (action NOT IN ('rename', 'delete')) AS born_at,
+  arg_max(action, seq) FILTER (action <> 'rename') AS last_life FROM full_ GROUP BY ALL)
+SELECT b.session_id, b.chat_id, b.title, CASE WHEN birth = 'base' THEN c.created_at ELSE born_at END AS created_at, b.updated_at
+FROM born b LEFT JOIN chats c USING (session_id, chat_id) WHERE last_life <> 'delete'""",
+)
+def _(spark, d):
+    return cc.apply_chat_changes_in_order(chats(spark, d), changes(spark, d))
+
+
 @query(
     "resolve_chat",
     f"WITH {_EXCHANGES}, newest AS (SELECT session_id, arg_min(chat_id, {{'a': -coalesce(updated_at, 0), 'c': chat_id}}) AS nc FROM chats GROUP BY ALL), "

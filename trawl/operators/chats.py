@@ -121,7 +121,7 @@ def resolve_chat(questions: DataFrame, chats: DataFrame) -> DataFrame:
     )
 
 
-def _number(title: Column) -> Column:
+def default_number(title: Column) -> Column:
     """Trailing integer of a default title; the bare default counts as 1."""
     digits = F.regexp_extract(title, rf"^{fv.DEFAULT_CHAT_TITLE}.*\s(\p{{Nd}}+)\s*$", 1)
     return F.when(digits != "", digits.try_cast("bigint")).when(strip(title) == fv.DEFAULT_CHAT_TITLE, 1)
@@ -139,7 +139,7 @@ def apply_chat_changes(chats: DataFrame, changes: DataFrame) -> DataFrame:
     the greatest number are those before the batch, and a chat that any row
     deletes is gone, whatever other rows say of it. ``seq`` numbers the creates
     and decides between several renames of a chat, also of one made in the same
-    batch. For strict order apply the changes in several calls.
+    batch. `chat_changes.apply_chat_changes_in_order` applies them one after the other.
     """
     title = F.nullif(strip(F.coalesce("title", F.lit(""))), F.lit(""))
     acts = changes.withColumn("title", title)
@@ -152,7 +152,7 @@ def apply_chat_changes(chats: DataFrame, changes: DataFrame) -> DataFrame:
     held = chats.groupBy("session_id").agg(F.count(F.lit(1)).alias("_held"))
     in_session = count_before(acts.filter("action = 'create'"), ["session_id"], "seq", "_older").join(held, "session_id", "left")
     in_session = in_session.withColumn("_no", F.coalesce("_held", F.lit(0)) + F.col("_older") + 1)
-    top = chats.agg(F.coalesce(F.max(_number(F.col("title"))), F.lit(0)).alias("top")).scalar()
+    top = chats.agg(F.coalesce(F.max(default_number(F.col("title"))), F.lit(0)).alias("top")).scalar()
     untitled = acts.filter("action = 'create_session'").withColumn("_blank", F.col("title").isNull())
     across = count_before(untitled, ["_blank"], "seq", "_older").withColumn("_no", top + F.col("_older") + 1)
     both = in_session.drop("_held", "_older").unionByName(across.drop("_blank", "_older"))

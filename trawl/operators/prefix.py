@@ -1,4 +1,4 @@
-"""Running totals and minima over a key that may hold most of the rows.
+"""Running totals, minima and maxima over a key that may hold most of the rows.
 
 A plain window would sort a hot key in one task. Keys are counted first; those of
 at most `HOT_ROWS` rows take one plain window. The rows of the others are cut into
@@ -81,3 +81,8 @@ def count_before(df: DataFrame, keys: list[str], order: str, out: str, ranges: i
 def min_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, ranges: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Add ``out``: the least ``value`` over the key's earlier rows, NULL for the first."""
     return _before(df, keys, order, value, F.min, lambda a, b: F.least(a, b), ranges, hot_rows, out)
+
+
+def max_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, ranges: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Add ``out``: the greatest ``value`` over the key's earlier rows, NULL for the first."""
+    return _before(df, keys, order, value, F.max, lambda a, b: F.greatest(a, b), ranges, hot_rows, out)
