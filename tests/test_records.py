@@ -1,6 +1,7 @@
 """Files, tables, caches, chats and rate limits."""
 
 import json
+import os
 import random
 import tempfile
 
@@ -32,6 +33,21 @@ def test_validate_files(spark):
     assert fi.rejected(fi.validate_files(df, max_files=7)).count() == 2
 
 
+def test_heads_read_no_more_than_the_start(spark, folder):
+    os.makedirs(f"{folder}/s1/x y")
+    for name, size in (("a.pdf", 10), ("b c%20.PDF", 9_000), ("empty.pdf", 0), ("big.pdf", 3_000_000)):
+        with open(f"{folder}/s1/x y/{name}", "wb") as file:
+            file.write((b"%PDF-1.4" + b"x" * size)[:size])
+    found = fi.scan_heads(spark, folder, where=F.col("size") < 2_000_000, partitions=3)
+    assert found.rdd.getNumPartitions() == 3
+    got = {r.filename: (r.session_id, r.size, bytes(r.head)) for r in found.collect()}
+    whole = (b"%PDF-1.4" + b"x" * 9_000)[:4096]
+    assert got == {"a.pdf": ("x y", 10, b"%PDF-1.4xx"), "b c%20.PDF": ("x y", 9_000, whole)}
+    ups = fi.scan_heads(spark, folder).withColumns({"batch_id": F.lit(1), "content_type": F.lit(None).cast("string")})
+    errors = {r.filename: r.error for r in fi.validate_files(ups, max_mb=2).collect()}
+    assert [k for k, v in errors.items() if v] == ["big.pdf"]
+
+
 def test_scan_files_ignores_case(spark, folder):
     import os
 

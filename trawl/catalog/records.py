@@ -55,6 +55,24 @@ def _(spark, d):
     return fi.validate_files(ups, max_files=6).select("page_id", "safe_name", "error")
 
 
+@query(
+    "validate_scanned_files",
+    """WITH f AS (SELECT page_id % 16 AS bucket, sum(strlen(translate(html, chr(10) || chr(13), '  ')) + 1 + CASE WHEN page_id % 16 % 3 = 0 THEN 9 ELSE 0 END)::BIGINT AS size FROM pages GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY bucket // 7) AS n FROM f)
+SELECT 'bucket=' || bucket AS session_id, size, CASE WHEN n > 6 THEN 'Tối đa 6 file / lần' WHEN bucket % 5 = 0 THEN 'File không phải PDF'
+  WHEN bucket % 3 > 0 THEN 'Tệp không phải PDF hợp lệ (thiếu chữ ký %PDF)' WHEN size > 1048576 THEN 'File vượt quá 1 MB' END AS error FROM n""",
+)
+def _(spark, d):
+    """Pages written as one file per bucket and checked by size and first bytes; no file is read whole."""
+    folder = scratch_folder(spark)
+    b = F.col("page_id") % 16
+    line = F.concat(F.when(b % 3 == 0, "%PDF-1.4 ").otherwise(""), F.translate("html", "\n\r", "  "))
+    table(spark, d, "pages").select(b.alias("bucket"), line.alias("value")).repartition("bucket").write.partitionBy("bucket").text(folder)
+    found = fi.scan_heads(spark, folder, "*.[tT][xX][tT]")
+    bucket = F.substring_index("session_id", "=", -1).cast("int")
+    ups = found.withColumns({"batch_id": F.floor(bucket / 7), "content_type": F.when(bucket % 5 == 0, "text/html").otherwise("application/pdf")})
+    return fi.validate_files(ups, max_mb=1, max_files=6).select("session_id", "size", "error")
+
+
 def _items(spark, d):
     return text_chunks(spark, d).select(
         (F.concat(F.lit("s"), (F.col("chunk_key") % 4).cast("string"))).alias("session_id"), "doc_name",

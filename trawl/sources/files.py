@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trawl.functions import fixed_values as fv
 from trawl.functions.text import sanitize_filename
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Bytes at the start of a file in which its signature must be.
+HEAD_BYTES = 4096
 ITEM_SCHEMA = (
     "meta STRUCT<doc: STRING, page: INT, chunk_id: INT, filename: STRING, start_token: INT, end_token: INT, "
     "semantic_chunk: BOOLEAN, upload_timestamp: DOUBLE, document_status: STRING, document_version: INT>, text STRING"
@@ -41,21 +52,68 @@ def scan_files(spark: SparkSession, folder: str, names: str = "*.[pP][dD][fF]")
     )
 
 
+def scan_heads(
+    spark: SparkSession, folder: str, names: str = "*.[pP][dD][fF]", where: Column | None = None, head_bytes: int = HEAD_BYTES,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Files below ``folder``: session_id, filename, size, modified, head (the first bytes).
+
+    Spark lists the files; tasks then open each and read ``head_bytes`` of it at
+    most, so the work follows the number of files and not their sizes. ``where``
+    is tested on session_id, filename, size and modified before a file is opened.
+    Files are read by pyarrow, which must know their file system. A file that is
+    gone by then has a null head. Spark lists no empty files, here as in `scan_files`.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(folder)
+    parts = F.split("path", "/")
+    listed = files.select(
+        F.element_at(parts, -2).alias("session_id"), F.element_at(parts, -1).alias("filename"), F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified"), "path",
+    )
+    if where is not None:
+        listed = listed.filter(where)
+    # The listing is packed into partitions by the files' sizes; opening them is work per file.
+    spread = listed.repartition(partitions, F.xxhash64("path")) if partitions else listed.repartition(F.xxhash64("path"))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        systems: dict[str, fs.FileSystem] = {}
+        for batch in batches:
+            heads = []
+            for uri in batch.column("path").to_pylist():
+                scheme, authority, path = re.match("([^:]+):(?://([^/]*))?(.*)", uri, re.DOTALL).groups()
+                root = f"{scheme}://{authority or ''}"
+                if root not in systems:
+                    systems[root] = fs.LocalFileSystem() if scheme == "file" else fs.FileSystem.from_uri(f"{root}/")[0]
+                place = path if scheme in ("file", "hdfs") else f"{authority}{path}"
+                try:
+                    with systems[root].open_input_file(place) as file:
+                        heads.append(file.read(head_bytes))
+                except FileNotFoundError:
+                    heads.append(None)
+            kept = [batch.column(c) for c in ("session_id", "filename", "size", "modified")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(heads, pa.binary())], ["session_id", "filename", "size", "modified", "head"])
+
+    return spread.mapInArrow(opened, "session_id string, filename string, size bigint, modified timestamp, head binary")
+
+
 def validate_files(
     uploads: DataFrame, max_mb: int = fv.MAX_FILE_MB, max_files: int = fv.MAX_FILES, batch: str = "batch_id"
 ) -> DataFrame:
     """Annotate uploads (batch, filename, content_type, content) with safe_name and error.
 
-    A NULL error means accepted. A batch with too many files is rejected whole.
+    Instead of content, size and head (see `scan_heads`) will do. A NULL error
+    means accepted. A batch with too many files is rejected whole.
     """
+    whole = "content" in uploads.columns
+    start, size = F.col("content" if whole else "head"), F.length("content") if whole else F.col("size")
     name, kind = F.lower(F.coalesce("filename", F.lit(""))), F.lower(F.coalesce("content_type", F.lit("")))
-    head = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
+    head = F.decode(F.substring(start, 1, HEAD_BYTES), "ISO-8859-1")
     sizes = uploads.groupBy(batch).agg(F.count(F.lit(1)).alias("_files"))
     error = (
         F.when(F.col("_files") > max_files, fv.MSG_TOO_MANY.format(n=max_files))
         .when(~(kind.contains("pdf") | name.endswith(".pdf")), fv.MSG_NOT_PDF)
-        .when((F.length("content") > 0) & ~head.contains("%PDF"), fv.MSG_NO_SIGNATURE)
-        .when(F.length("content") > max_mb * 1024 * 1024, fv.MSG_TOO_LARGE.format(mb=max_mb))
+        .when((size > 0) & ~head.contains("%PDF"), fv.MSG_NO_SIGNATURE)
+        .when(size > max_mb * 1024 * 1024, fv.MSG_TOO_LARGE.format(mb=max_mb))
     )
     return uploads.join(sizes, batch).withColumns(
         {"safe_name": sanitize_filename(F.coalesce("filename", F.lit(""))), "error": error}
