@@ -9,6 +9,7 @@ from trawl.catalog.registry import query
 from trawl.functions.text import normalize_ws, split_lines, tokenize_terms
 from trawl.operators import chunks, pages as pg, versions as v
 from trawl.session import scratch_folder, stage_table
+from trawl.sources.page_store import PageStore
 from trawl.sources.registry_store import RegistryStore
 
 _SPLIT = r"list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: regexp_matches(x, '\S'))"
@@ -172,6 +173,44 @@ def _(spark, d):
     return h.select("doc_name", v.simhash_hex(F.col("hi"), F.col("lo")).alias("simhash"))
 
 
+def _late_pages(spark, d) -> PageStore:
+    """All pages after three batches: most come, the rest comes while some are blanked, those are corrected."""
+    p = stage_table(pages(spark, d))
+    late, wrong = F.col("page") % 3 == 2, (F.col("page") % 3 == 1) & (F.col("page") % 5 == 0)
+    blank = p.filter(wrong).withColumn("text", F.lit(""))
+    store = PageStore(spark, scratch_folder(spark))
+    store.apply(0, added=p.filter(~late))
+    store.apply(1, added=p.filter(late).unionByName(blank), removed=p.filter(wrong))
+    store.apply(2, added=p.filter(wrong), removed=blank)
+    return store
+
+
+_CLEAN_HASH = _EDGES + ", " + hash_sql("cleaned", "doc_name")
+
+
+@query("late_page_hashes", _CLEAN_HASH + " SELECT doc_name, simhash FROM hashes")
+def _(spark, d):
+    h = _late_pages(spark, d).hashes()
+    return h.select("doc_name", v.simhash_hex(F.col("hi"), F.col("lo")).alias("simhash"))
+
+
+@query("late_page_lines", _EDGES + "SELECT 'head' AS position, * FROM heads UNION ALL SELECT 'tail', * FROM tails")
+def _(spark, d):
+    return _late_pages(spark, d).repeated_lines().select("position", "doc_name", "key", "n")
+
+
+_WORD_SUMS = " || ".join(f"printf('%08x', sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) % 4294967296)" for i in range(8))
+
+
+@query(
+    "late_page_digests",
+    f"WITH {PAGES_SQL}, hexed AS (SELECT doc_name, len(text) AS n, sha256(page || ':' || text) AS h FROM pages_in) "
+    f"SELECT doc_name, count(*) AS pages, sum(n)::BIGINT AS n_chars, {_WORD_SUMS} AS digest FROM hexed GROUP BY doc_name",
+)
+def _(spark, d):
+    return _late_pages(spark, d).digests().drop("session_id")
+
+
 @query("simhash128", f"WITH {_HASH} SELECT doc_id, simhash FROM hashes")
 def _(spark, d):
     return _hashes(spark, d).select("doc_id", v.simhash_hex(F.col("hi"), F.col("lo")).alias("simhash"))

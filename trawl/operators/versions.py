@@ -79,12 +79,28 @@ def simhash128(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     summed with partial aggregation; the document text is never put together.
     Two counts share one BIGINT, which halves the aggregation columns.
     """
+    return halves_of_sums(bit_sums(bit_counts(texts, keys, text), keys), keys)
+
+
+SUMS = ["n", *[f"c{j}" for j in range(64)]]
+
+
+def bit_counts(texts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """(keep, n, c0 ... c63) of each text: its words, and two to a column how many of their digests set a bit."""
     counts = F.arrow_udf(_bit_counts, ArrayType(LongType()))
-    hashed = texts.select(*keys, hashed_words(F.col(text)).alias("h"))
-    counted = hashed.select(*keys, (F.octet_length("h") / 16).cast("bigint").alias("n"), counts("h").alias("c"))
-    sums = counted.groupBy(*keys).agg(
-        F.sum("n").alias("n"), *[F.sum(F.get("c", F.lit(j))).alias(f"c{j}") for j in range(64)]
-    )
+    hashed = texts.select(*keep, hashed_words(F.col(text)).alias("h"))
+    counted = hashed.select(*keep, (F.octet_length("h") / 16).cast("bigint").alias("n"), counts("h").alias("c"))
+    return counted.select(*keep, "n", *[F.get("c", F.lit(j)).alias(f"c{j}") for j in range(64)])
+
+
+def bit_sums(counts: DataFrame, keys: list[str], weight: Column | None = None, *more: Column) -> DataFrame:
+    """(keys, n, c0 ... c63, more): sums by key, each row taken ``weight`` times."""
+    times = (lambda c: F.col(c)) if weight is None else (lambda c: weight * F.col(c))
+    return counts.groupBy(*keys).agg(*[F.sum(times(c)).alias(c) for c in SUMS], *more)
+
+
+def halves_of_sums(sums: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, hi, lo): a bit is set if more than half of the n digests set it."""
 
     def half(count) -> Column:
         bits = [
@@ -94,7 +110,7 @@ def simhash128(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
     low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
     high = lambda c: F.shiftrightunsigned(c, 32)
-    return sums.select(*keys, half(low).alias("hi"), half(high).alias("lo"))
+    return sums.select(*keep, half(low).alias("hi"), half(high).alias("lo"))
 
 
 def _signed(v: int) -> int:
