@@ -210,6 +210,34 @@ def test_rate_limit_stream_judges_late_requests(spark, folder):
     assert got == {1: True, 2: True, 3: False, 4: True, 6: False, 5: True, 7: True}
 
 
+def test_rate_limit_stream_forgets_clients_after_their_window(spark, folder):
+    schema = "request_id bigint, client string, endpoint string, ts double"
+    limits = {"ask": (2, 10.0), "log": (1, 1000.0)}
+    parts = [
+        [(1, "a", "ask", 100.0), (2, "a", "ask", 104.0), (3, "a", "log", 104.0)],
+        [(4, "b", "ask", 113.9), (5, "a", "ask", 113.9), (6, "a", "ask", 113.95)],  # a's window is 104 to 114
+        [(7, "c", "ask", 140.0)],
+        [(8, "a", "ask", 90.0), (9, "a", "ask", 91.0), (10, "a", "ask", 92.0), (11, "a", "log", 1103.0), (12, "c", "ask", 1150.0)],
+        [(13, "a", "log", 1104.0), (14, "d", "ask", 5000.0)],
+    ]
+    left = []
+    for part, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/ends/p{part}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/ends/p*")
+        streams.rate_limit_stream(stream, limits, "1 second").writeStream.format("parquet").option("path", f"{folder}/endsout").option(
+            "checkpointLocation", f"{folder}/endscp"
+        ).trigger(availableNow=True).start().awaitTermination()
+        state = spark.read.format("statestore").option("path", f"{folder}/endscp").option("stateVarName", "accepted").load()
+        left.append({(r.key.client, r.key.endpoint) for r in state.select("key").collect()})
+    got = {r.request_id: r.allowed for r in spark.read.parquet(f"{folder}/endsout").collect()}
+    # 8 to 10 come after a's state is gone: judged at the stream's time, 139. 13 is judged at the stream's 1149.
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False, 7: True, 8: True, 9: True, 10: False, 11: False, 12: True, 13: True, 14: True}
+    assert left[0] == {("a", "ask"), ("a", "log")}
+    assert left[1] == {("a", "ask"), ("a", "log"), ("b", "ask")}
+    assert left[2] == {("c", "ask"), ("a", "log")}
+    assert left[-1] == {("d", "ask")}
+
+
 def test_admission_equals_the_loop():
     rng = random.Random(12)
     for _ in range(200):

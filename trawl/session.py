@@ -65,6 +65,13 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Streams that start in this session keep their state in RocksDB, which operators with timers need."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+
+
 def with_session(df: DataFrame) -> DataFrame:
     """Rows without a session column all belong to the session ''."""
     return df if "session_id" in df.columns else df.withColumn("session_id", lit(""))

@@ -28,14 +28,13 @@ from trawl.operators import embedding as em, sessions as se, versions as v
 from trawl.operators.chunks import chunk_pages
 from trawl.operators.pages import clean_pages
 from trawl.plans.steps import Ingested, document_uploads
-from trawl.session import stage, stage_table
+from trawl.session import stage, stage_table, use_rocksdb
 from trawl.sources.registry_store import RegistryStore
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DOC = ["session_id", "doc_name"]
 _EVENTS = "session_id string, doc_name string, kind string, page bigint, text string"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class PageTracker(StatefulProcessor):
@@ -125,7 +124,7 @@ class DocumentStream:
         gives ``trigger={"processingTime": "1 minute"}``; availableNow would never
         end, since timers always ask for one more batch.
         """
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+        use_rocksdb(self.spark)
         wanted = self._new_files().select(*DOC, F.col("page_count").cast("bigint"))
         counted = pages.join(wanted, DOC).select(*DOC, F.col("page").cast("bigint").alias("page"), "text", "page_count")
         schema = StructType.fromDDL(_EVENTS)

@@ -9,45 +9,77 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from trawl.functions import fixed_values as fv
 from trawl.operators.ops import CLIENT, Limits, _limit_columns, admitted, job_state, request_metrics
 from trawl.operators.chunks import chunk_pages
 from trawl.operators.pages import clean_pages
-from trawl.session import stage_table
+from trawl.session import stage_table, use_rocksdb
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def _judge(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Judge a client's requests of a micro-batch in time order; a late one is judged as if it came now."""
-    kept, last = (list(state.get[0]), state.get[1]) if state.exists else ([], -np.inf)
-    parts = [p[["request_id", "ts", "max_requests", "window_s"]] for p in rows]
-    batch = parts[0] if len(parts) == 1 else pd.concat(parts)
-    batch = batch.sort_values(["ts", "request_id"])
-    times = np.maximum(batch["ts"].to_numpy(), last)
-    most, span = int(batch["max_requests"].iloc[0]), float(batch["window_s"].iloc[0])
-    allowed, kept = admitted(times, most, span, kept)
-    state.update((kept, float(times[-1])))
-    yield pd.DataFrame({"request_id": batch["request_id"].to_numpy(), "allowed": allowed})
+_ALLOWED = "request_id {}, allowed boolean"
 
 
-def rate_limit_stream(requests: DataFrame, limits: Limits = fv.RATE_LIMITS) -> DataFrame:
+class Limiter(StatefulProcessor):
+    """One client's limit at one endpoint; the state ends by a timer once nothing in it can refuse a request.
+
+    State: the last accepted times, no more than the endpoint's maximum, the
+    latest time, and when the timer is due.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.accepted = handle.getValueState("accepted", "times array<double>, last double, due bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept, last, due = self.accepted.get() if self.accepted.exists() else ([], -np.inf, None)
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+        batch = batch.sort_values(["ts", "request_id"])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        now = max(last, watermark / 1000 if watermark > 0 else -np.inf)  # 0 stands for none yet
+        times = np.maximum(batch["ts"].to_numpy(), now)
+        most, span = int(batch["max_requests"].iloc[0]), float(batch["window_s"].iloc[0])
+        allowed, kept = admitted(times, most, span, [float(t) for t in kept])
+        last = float(times[-1])
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = int(np.ceil((last + span) * 1000)) + 1  # past the rounding of the sum
+        self.handle.registerTimer(due)
+        self.accepted.update((kept, last, due))
+        yield pd.DataFrame({"request_id": batch["request_id"].to_numpy(), "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(requests: DataFrame, limits: Limits = fv.RATE_LIMITS, lateness: str = "10 minutes") -> DataFrame:
     """(request_id, allowed) of a request stream with ts in seconds; every request gets a row.
 
-    There is no watermark, so nothing is too late: a request older than one of
-    its client that an earlier micro-batch judged is judged at that one's time,
-    as the limiter sees it only now. A client's state is its last accepted times,
-    no more than the endpoint's maximum, and the latest time. Endpoints without a
-    limit pass in a branch of their own, stateless.
+    The stream's time is the newest ts of a limited request so far less
+    ``lateness``. Nothing is too late: a request is judged at its own time, at its
+    client's latest one or at the stream's, whichever is last. So the rows equal
+    those of `rate_limit` if each client's requests come in time order and none
+    lags behind the newest of all by more than ``lateness``. A client's state ends
+    when the stream's time has passed its last request by a whole window. Endpoints
+    without a limit pass in a branch of their own, stateless.
     """
+    use_rocksdb(requests.sparkSession)
     most, span = _limit_columns(limits)
     marked = requests.withColumns({"max_requests": most, "window_s": span})
     kind = requests.schema["request_id"].dataType.simpleString()
     free = marked.filter(F.col("max_requests").isNull()).select("request_id", F.lit(True).alias("allowed"))
-    judged = marked.filter(F.col("max_requests").isNotNull()).groupBy(*CLIENT).applyInPandasWithState(
-        _judge, f"request_id {kind}, allowed boolean", "times array<double>, last double", "append", GroupStateTimeout.NoTimeout
+    # Only the operator's clock needs the watermark; without its column Spark drops no late row.
+    timed = marked.filter(F.col("max_requests").isNotNull()).withColumn("_at", F.timestamp_seconds("ts")).withWatermark("_at", lateness)
+    judged = (
+        timed.select("request_id", *CLIENT, "ts", "max_requests", "window_s").groupBy(*CLIENT)
+        .transformWithStateInPandas(Limiter(), _ALLOWED.format(kind), "append", "eventTime")
     )
     return judged.unionByName(free)
 
