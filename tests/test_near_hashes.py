@@ -1,0 +1,58 @@
+"""Close hashes by bands, cells and tiles against plain loops."""
+
+import random
+
+import pytest
+
+from trawl.functions import fixed_values as fv
+from trawl.operators import near_hashes as nh
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def clustered(n, seed):
+    """Distinct hashes around one centre, so that every band key is crowded."""
+    rng = random.Random(seed)
+    centre, out = rng.getrandbits(128), {}
+    while len(out) < n:
+        h = centre
+        for b in rng.sample(range(128), rng.randrange(9)):
+            h ^= 1 << b
+        out[h] = None
+    return list(out)
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 7])
+def test_nearest_earlier_equals_a_loop(spark, hot):
+    hashes = clustered(90, 1)
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), h, i, rng.randrange(5), rng.randrange(3)) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(
+        [(s, signed(h >> 64), signed(h & (1 << 64) - 1), i, i % 3 > 0, i, first, version, i, f"d{first}", f"d{first}.pdf") for s, h, i, first, version in rows],
+        "session_id string, hi bigint, lo bigint, id bigint, asks boolean, turn bigint, doc_first bigint, version bigint, reg bigint, doc_id string, filename string",
+    )
+    got = {r.id: (r.distance, r.prior.reg) for r in nh.nearest_earlier(df, 10, hot).collect()}
+    want = {}
+    for s, h, i, _, _ in rows:
+        near = [((h ^ o).bit_count(), first, version, j) for t, o, j, first, version in rows if t == s and j < i and (h ^ o).bit_count() <= 10]
+        if i % 3 and near:
+            want[i] = (min(near)[0], min(near)[3])
+    assert len(want) > 30 and got == want
+
+
+@pytest.mark.parametrize("distance, hot", [(0, 5), (1, 1 << 16), (3, 4), (10, 5)])
+def test_close_pairs_come_once_with_their_columns(spark, distance, hot):
+    hashes = clustered(70, 3)
+    df = spark.createDataFrame([("s", signed(h >> 64), signed(h & (1 << 64) - 1), i) for i, h in enumerate(hashes)], "session_id string, hi bigint, lo bigint, n bigint")
+    rows = nh.close_pairs(df, distance, hot).collect()
+    want = {(i, j) for j in range(70) for i in range(j) if (hashes[i] ^ hashes[j]).bit_count() <= distance}
+    assert sorted(tuple(sorted([r.n_a, r.n_b])) for r in rows) == sorted(want)
+    assert all((r.hi_a, r.lo_a) < (r.hi_b, r.lo_b) for r in rows)
+
+
+def test_hashes_of_crowded_keys_are_dealt_once_a_band(spark):
+    """More than 4096 hashes of one key: eleven rows each are shuffled, not a thousand."""
+    df = spark.range(5000).selectExpr("'' AS session_id", "0L AS hi", "id AS lo")
+    assert nh._dealt(df, fv.MAX_HAMMING, nh.HOT_BAND).count() == 11 * 5000
