@@ -144,3 +144,17 @@ def test_wrong_vector_length(spark, corpus):
     assert retrieve.vector_search(short, chunks, 5, 0.5).count() == 0
     with pytest.raises(Exception, match="vector length differs"):
         retrieve.dense_scores(short, chunks).collect()
+
+
+def test_bm25_scores_sum_term_matches_inside_tasks(spark):
+    """Equal to the join that more questions take, without a row for each term match."""
+    words = ["ape", "bee", "cat", "dog", "eel"]
+    chunks = spark.createDataFrame([(i, " ".join(words[j % 5] for j in range(i, 2 * i + 1))) for i in range(12)] + [(3, "ape ape")], "chunk_key bigint, text string")
+    questions = spark.createDataFrame([(i, " ".join(words[: i + 1]) + " ape") for i in range(4)], "query_id bigint, query_text string")
+    inside = bm25.bm25_scores(questions, chunks)
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "salt" not in plan
+    more = questions.unionByName(spark.range(100, 1200).selectExpr("id AS query_id", "'ape' AS query_text"))
+    joined = {(r.query_id, r.chunk_key): r.bm25_raw for r in bm25.bm25_scores(more, chunks).filter("query_id < 4").collect()}
+    got = {(r.query_id, r.chunk_key): r.bm25_raw for r in inside.collect()}
+    assert got.keys() == joined.keys() and all(abs(got[k] - joined[k]) < 1e-12 for k in got)
