@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,36 @@ def test_bm25_scores_sum_term_matches_inside_tasks(spark):
     joined = {(r.query_id, r.chunk_key): r.bm25_raw for r in bm25.bm25_scores(more, chunks).filter("query_id < 4").collect()}
     got = {(r.query_id, r.chunk_key): r.bm25_raw for r in inside.collect()}
     assert got.keys() == joined.keys() and all(abs(got[k] - joined[k]) < 1e-12 for k in got)
+
+
+def test_term_rows_of_chunks_are_not_shuffled(spark, corpus, monkeypatch):
+    """Looked up row by row, a chunk's gains equal those of the join that more terms take, also in scopes and for repeated keys."""
+    chunks, questions = frames(spark, corpus)
+    pool = retrieve.scope_chunks(chunks.unionByName(chunks.filter("chunk_key < 9")), spark.createDataFrame(SCOPES, "scope string, doc_name string"))
+    gains = lambda df: {(r.scope, r.chunk_key): sorted(round(g, 12) for g in r.gains) for r in df.collect()}
+    _, looked_up = bm25.sparse_sides(questions, pool)
+    plan = looked_up._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Join" not in plan
+    got = gains(looked_up)
+    monkeypatch.setattr(ranking, "TERMS_IN_TASKS", 2)
+    assert got == gains(bm25.sparse_sides(questions, pool)[1])
+    assert got == gains(bm25.sparse_sides(questions, pool, postings=bm25.chunk_terms(pool))[1])
+
+
+def test_scorer_memory_stays_small():
+    """The scorer of a task holds small matrices, however many questions and chunks meet."""
+    rng = np.random.default_rng(2)
+
+    def rows(n, values, **more):
+        lists = pa.ListArray.from_arrays(np.arange(0, 20 * n + 1, 20, dtype=np.int32), pa.array(rng.integers(0, 300, 20 * n)))
+        amounts = pa.ListArray.from_arrays(np.arange(0, 20 * n + 1, 20, dtype=np.int32), pa.array(rng.random(20 * n)))
+        vec = pa.ListArray.from_arrays(np.arange(0, 8 * n + 1, 8, dtype=np.int32), pa.array(rng.random(8 * n)))
+        return pa.table({"scope": [""] * n, "vec": vec, "terms": lists, values: amounts} | more)
+
+    questions = rows(1024, "weights", query_id=np.arange(1024), low=np.zeros(1024), high=np.ones(1024))
+    chunks = rows(4096, "gains", chunk_key=np.arange(4096), recency=np.ones(4096))
+    tracemalloc.start()
+    best = ranking._best_of(questions, [chunks], ranking.Mix(0.5, 0.2, 30))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best.num_rows == 1024 * 30 and peak < 80e6, peak
