@@ -4,10 +4,13 @@ import hashlib
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trawl.functions import fixed_values as fv
+from trawl.functions.text import split_lines
 from trawl.operators import chunks, pages as pg, prefix, versions as v
 
 
@@ -289,3 +292,47 @@ def test_a_very_long_page_takes_linear_time(spark):
     start = time.perf_counter()
     got = chunks.split_pages(page, 380, 50).agg(F.count("*").alias("n"), F.max("end").alias("end")).first()
     assert got.end == 3_000_000 and got.n > 8000 and time.perf_counter() - start < 40
+
+
+def test_words_are_hashed_once_a_task_and_counted_without_carry():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["é" * 70]  # the long one is not kept
+    texts = [None, "", "x " * 70_000, *(" ".join(rng.choice(words) for _ in range(n)) for n in (1, 254, 255, 256, 20_000))]
+    known = v._Digests()
+    lengths, ones = v._ones(pa.array(texts), known)
+    for text, n, sums in zip(texts, lengths, ones):
+        said = (text or "").split()
+        digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in said), dtype=np.uint8).reshape(-1, 16)
+        assert n == len(said) and (sums == np.unpackbits(digests, axis=1).sum(axis=0)).all()
+    assert set(known) == {"x", *words[:-1]}
+
+
+def test_kept_digests_are_bounded():
+    known = v._Digests()
+    known.most = 10
+    assert all(known[f"w{i % 25}"] == hashlib.md5(f"w{i % 25}".encode()).digest() and len(known) <= 10 for i in range(100))
+
+
+def test_cleaning_in_one_pass_equals_its_steps(spark):
+    rng = random.Random(6)
+    bits = ["a", "é ", "\x85", "\x1c", "\x1f", "\u2028", "\u00a0", "\r\n", "\n", "\x0b", "\t", "  ", "\u3000", "\u200b"]
+    texts = [None, "", " \n ", *("".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(150))]
+    pages = spark.createDataFrame([("s", f"d{i % 2}", i, t) for i, t in enumerate(texts)], "session_id string, doc_name string, page int, text string")
+    steps = pg.strip_repeated(pages).withColumn("text", pg.rebuild_page(F.col("lines"))).drop("lines")
+    assert sorted(map(tuple, pg.clean_pages(pages).select(steps.columns).collect())) == sorted(map(tuple, steps.collect()))
+    lines = split_lines(F.col("text"))
+    key = lambda at: F.when(F.size("lines") > 0, pg.line_key(F.get("lines", at)))
+    want = pages.withColumn("lines", lines).select("page", F.size("lines"), key(F.lit(0)), key(F.size("lines") - 1))
+    assert sorted(map(str, pg.page_edges(pages).select("page", "n_lines", "head", "tail").collect())) == sorted(
+        map(str, want.toDF("page", "n_lines", "head", "tail").collect())
+    )
+
+
+def test_token_starts_in_bytes_are_those_of_the_words():
+    rng = random.Random(7)
+    bits = ["é", "a.", "日本 語", "b! ", "\n\n", "x\n", " ", "\x1c", "\u00a0", "\t\x0b"]
+    for text in ["", "  ", " a", "a ", *("".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(200))]:
+        words = chunks._WORDS.findall(text)
+        first = len(text) - sum(map(len, words))
+        want = np.cumsum([len(text[:first].encode()), *(len(w.encode()) for w in words)])
+        assert chunks._token_offsets(text.encode()).tolist() == want.tolist()

@@ -1,6 +1,6 @@
 """Token windows over page texts, cut at sentence ends where one is near.
 
-A page is tokenised once, in an Arrow batch, and its windows are kept as token
+Token starts are found once in a page's bytes, in an Arrow batch, and its windows are kept as token
 numbers and byte ranges; the text of a chunk is then cut out of the page by its
 bytes, in generated code, in time proportional to the chunk.
 """
@@ -24,6 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Values, not the module, so that task code needs no package on the workers.
 MARKERS, LOOKAHEAD, MIN_FILL = tuple(fv.BREAK_MARKERS), fv.BREAK_LOOKAHEAD, fv.BREAK_MIN_FILL
+# A word with the white space behind it; `_token_offsets` finds their starts.
 _WORDS = re.compile(r"\S+\s*", re.ASCII)
 SPANS = "array<struct<start:int,end:int,at:bigint,bytes:bigint>>"
 
@@ -48,13 +49,29 @@ def break_spans(tokens: list[str], size: int, overlap: int, markers=MARKERS, loo
     of the lookahead sets the end. Linear in the tokens, but for the logarithm of
     a search per window.
     """
-    n = len(tokens)
+    return _break_spans(*_joined(tokens), size, overlap, markers, lookahead, min_fill)
+
+
+def _joined(tokens: list[str]) -> tuple[bytes, np.ndarray]:
+    """UTF-8 bytes of the joined tokens, where each starts, and the end."""
+    coded = [token.encode() for token in tokens]
+    return b"".join(coded), np.cumsum([0, *map(len, coded)])
+
+
+def _token_offsets(data: bytes) -> np.ndarray:
+    """Where each word starts in UTF-8 bytes, and their end; the white space behind a word is its own."""
+    codes = np.frombuffer(data, dtype=np.uint8)
+    space = (codes == 32) | (codes - np.uint8(9) < 5)
+    return np.append(np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)) < 0), len(codes))
+
+
+def _break_spans(text: bytes, offsets: np.ndarray, size: int, overlap: int, markers=MARKERS, lookahead=LOOKAHEAD, min_fill=MIN_FILL) -> list[tuple[int, int]]:
+    n = len(offsets) - 1
     if n <= size:
         return [(0, n)] if n else []
-    text = "".join(tokens)
-    offsets = [0, *np.cumsum(np.fromiter(map(len, tokens), np.int64, n)).tolist()]
+    offsets = offsets.tolist()
     marks = []
-    for marker in markers:
+    for marker in map(str.encode, markers):
         places, at = [], text.find(marker)
         while at >= 0:
             places.append(at)
@@ -79,35 +96,19 @@ def break_spans(tokens: list[str], size: int, overlap: int, markers=MARKERS, loo
         start = max(0, end - overlap)
 
 
-def _byte_offsets(text: str, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions in UTF-8 of character positions."""
-    if text.isascii():
-        return offsets
-    data = np.frombuffer(text.encode(), np.uint8)
-    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[offsets]
-
-
 def _spans(column: Column, size: int, overlap: int, semantic: bool, tokenised: bool) -> Column:
     """`SPANS` of a text column, or of a column of token arrays; empty for null."""
     _check(size, overlap)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("at", pa.int64()), ("bytes", pa.int64())]))
-    cut = break_spans if semantic else lambda tokens, size, overlap: fixed_spans(len(tokens), size, overlap)
+    cut = _break_spans if semantic else lambda text, offsets, size, overlap: fixed_spans(len(offsets) - 1, size, overlap)
 
     def row(value) -> list[dict]:
         if tokenised:
-            tokens = value or []
-            text, first = "".join(tokens), 0
+            data, offsets = _joined(value or [])
         else:
-            text = value or ""
-            tokens = _WORDS.findall(text)
-            first = len(text) - sum(map(len, tokens))
-        spans = cut(tokens, size, overlap)
-        if len(spans) == 1:
-            places = [len(text[:first].encode()), len(text.encode())]
-            return [{"start": 0, "end": len(tokens), "at": places[0], "bytes": places[1] - places[0]}]
-        offsets = first + np.cumsum([0, *map(len, tokens)])
-        places = _byte_offsets(text, offsets).tolist()
-        return [{"start": s, "end": e, "at": places[s], "bytes": places[e] - places[s]} for s, e in spans]
+            data = (value or "").encode()
+            offsets = _token_offsets(data)
+        return [{"start": s, "end": e, "at": int(offsets[s]), "bytes": int(offsets[e] - offsets[s])} for s, e in cut(data, offsets, size, overlap)]
 
     def spans(batch: pa.Array) -> pa.Array:
         return pa.array([row(value.as_py()) for value in batch], kind)

@@ -24,18 +24,42 @@ def line_key(line: Column) -> Column:
     return F.substring(normalize_ws(line), 1, fv.LINE_KEY_CHARS)
 
 
-def line_key_or_null(line: Column) -> Column:
-    return F.when(line.isNotNull(), line_key(line))
+# A value, not the module, so that task code needs no package on the workers.
+KEY_CHARS = fv.LINE_KEY_CHARS
+_EDGE = "struct<n_lines:int,head:string,tail:string>"
+
+
+def _lines(text: bytes | None) -> list[str]:
+    """The non-blank lines, as `split_lines` gives them."""
+    return [line for line in (text or b"").decode(errors="replace").splitlines() if line and not line.isspace()]
+
+
+def _edges(texts: pa.Array) -> pa.Array:
+    def edge(lines: list[str]) -> dict:
+        head, tail = (" ".join(lines[i].split())[:KEY_CHARS] if lines else None for i in (0, -1))
+        return {"n_lines": len(lines), "head": head, "tail": tail}
+
+    kind = pa.struct([("n_lines", pa.int32()), ("head", pa.string()), ("tail", pa.string())])
+    return pa.array([edge(_lines(text.as_py())) for text in texts], kind)
+
+
+def _rebuilt(texts: pa.Array, drop_head: pa.Array, drop_tail: pa.Array) -> pa.Array:
+    """Texts in one line, with single spaces, without their first or last non-blank line where told."""
+    out = []
+    for text, first, last in zip(texts, drop_head.to_numpy(zero_copy_only=False), drop_tail.to_numpy(zero_copy_only=False)):
+        text = text.as_py()
+        if first or last:
+            lines = _lines(text)
+            out.append(" ".join(" ".join(lines[int(first) : len(lines) - int(last)]).split()))
+        else:
+            out.append(" ".join((text or b"").decode(errors="replace").split()))
+    return pa.array(out, pa.string())
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """Per page: line count and the keys of its first and last line, NULL without lines."""
-    lines = split_lines(F.col("text"))
-    return with_session(pages).select(*DOC, "page", lines.alias("lines")).select(
-        *DOC, "page", F.size("lines").alias("n_lines"),
-        line_key_or_null(F.get("lines", F.lit(0))).alias("head"),
-        line_key_or_null(F.get("lines", F.size("lines") - 1)).alias("tail"),
-    )
+    edge = F.arrow_udf(_edges, _EDGE)(F.col("text").cast("binary"))
+    return with_session(pages).select(*DOC, "page", edge.alias("edge")).select(*DOC, "page", "edge.*")
 
 
 def repeated_lines(edges: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
@@ -74,19 +98,26 @@ def repeated_edges(pages: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFra
     ).filter("drop_head OR drop_tail")
 
 
-def strip_repeated(pages: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
-    """Pages with ``lines``: the non-blank lines left after header and footer removal.
+def _judged(pages: DataFrame, min_repeat: int) -> DataFrame:
+    """Pages with drop_head and drop_tail.
 
     The list of pages to cut is written first, so the planner knows its size and
     shuffles the texts only when it is too large to broadcast.
     """
     drops = stage_table(repeated_edges(pages, min_repeat))
-    lines = split_lines(F.col("text"))
-    first = 1 + F.coalesce("drop_head", F.lit(False)).cast("int")
-    kept = F.size("lines") - F.coalesce("drop_head", F.lit(False)).cast("int") - F.coalesce("drop_tail", F.lit(False)).cast("int")
+    no = F.lit(False)
+    return with_session(pages).join(drops, [*DOC, "page"], "left").withColumns(
+        {"drop_head": F.coalesce("drop_head", no), "drop_tail": F.coalesce("drop_tail", no)}
+    )
+
+
+def strip_repeated(pages: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
+    """Pages with ``lines``: the non-blank lines left after header and footer removal."""
+    first = 1 + F.col("drop_head").cast("int")
+    kept = F.size("lines") - F.col("drop_head").cast("int") - F.col("drop_tail").cast("int")
     return (
-        with_session(pages).join(drops, [*DOC, "page"], "left")
-        .withColumn("lines", lines)
+        _judged(pages, min_repeat)
+        .withColumn("lines", split_lines(F.col("text")))
         .withColumn("lines", F.slice("lines", first, kept))
         .drop("drop_head", "drop_tail")
     )
@@ -97,8 +128,9 @@ def rebuild_page(lines: Column) -> Column:
 
 
 def clean_pages(pages: DataFrame, min_repeat: int = fv.MIN_REPEAT) -> DataFrame:
-    """Pages with cleaned text; an emptied page stays, with ''."""
-    return strip_repeated(pages, min_repeat).withColumn("text", rebuild_page(F.col("lines"))).drop("lines")
+    """Pages with cleaned text, `rebuild_page` of what `strip_repeated` leaves; an emptied page stays, with ''."""
+    rebuilt = F.arrow_udf(_rebuilt, "string")(F.col("text").cast("binary"), "drop_head", "drop_tail")
+    return _judged(pages, min_repeat).withColumn("text", rebuilt).drop("drop_head", "drop_tail")
 
 
 def pages_needing_ocr(pages: DataFrame, ocr: bool = False) -> DataFrame:
