@@ -5,10 +5,11 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Row
 
 from trawl.plans import steps
 from trawl.sources.registry_store import RegistryStore
-from trawl.streaming.documents import DocumentStream
+from trawl.streaming.documents import DocumentStream, PageTracker
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -91,3 +92,70 @@ def test_open_documents_wait_and_stale_ones_go(spark, tmp_path):
     assert [r.doc_name for r in spark.read.parquet(f"{tmp_path}/t/done").collect()] == ["b.pdf"]
     assert [r.text for r in stream.tables().chunks.collect()] == ["the whole of b"]
     assert [tuple(r) for r in stream.repeated_pages().collect()] == [("s", "b.pdf", 1)]
+
+
+class Handle:
+    """State of one key in a dict; counts the looks into it."""
+
+    def __init__(self):
+        self.kept, self.looks, self.timers = {}, 0, set()
+
+    def getMapState(self, name, *_):
+        return State(self, name)
+
+    getValueState = getMapState
+    registerTimer = property(lambda self: self.timers.add)
+    deleteTimer = property(lambda self: self.timers.discard)
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def _look(self):
+        self.handle.looks += 1
+        return self.handle.kept
+
+    def containsKey(self, key):
+        return (self.name, key) in self._look()
+
+    def getValue(self, key):
+        return self._look()[self.name, key]
+
+    def updateValue(self, key, value):
+        self._look()[self.name, key] = value
+
+    def exists(self):
+        return self.name in self._look()
+
+    def get(self):
+        return self._look()[self.name]
+
+    def update(self, value):
+        self._look()[self.name] = value
+
+    def clear(self):
+        kept = self._look()
+        for key in [k for k in kept if k == self.name or k[0] == self.name]:
+            del kept[key]
+
+
+class Clock:
+    def getCurrentProcessingTimeInMs(self):
+        return 5
+
+
+def test_state_is_read_by_blocks_of_pages_not_by_page():
+    rng = random.Random(8)
+    numbers = [*range(-9000, 30_000), None]
+    rng.shuffle(numbers)
+    tracker, handle, kinds = PageTracker(10), Handle(), []
+    tracker.init(handle)
+    for part in (numbers[:20_000] + numbers[:50], numbers[10_000:10_100] + numbers[20_000:]):
+        page_rows = iter([Row(page=p, text="t", page_count=len(numbers)) for p in part])
+        kinds.append([(r.kind, r.page) for r in tracker.handleInputRows(("s", "d"), page_rows, Clock())])
+    first, second = ([x for x in k if x[0] != "page"] for k in kinds)
+    assert first == [("again", p) for p in numbers[:50]]
+    assert second == [*(("again", p) for p in numbers[10_000:10_100]), ("complete", None)]
+    assert sum(k == "page" for part in kinds for k, _ in part) == len(numbers)
+    assert not handle.kept and not handle.timers and handle.looks < 80

@@ -34,14 +34,18 @@ from trawl.sources.registry_store import RegistryStore
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DOC = ["session_id", "doc_name"]
+# Page numbers that share a row of state.
+_BLOCK_PAGES = 8192
 _EVENTS = "session_id string, doc_name string, kind string, page bigint, text string"
 
 
 class PageTracker(StatefulProcessor):
     """Pages of one document that have come; tells when all are there, or when none came for too long.
 
-    State: a map of page numbers and their count. It goes with the last page or
-    with the timer, so only open documents have any.
+    State: a bit for each page number, in blocks, and their count. A block is read
+    and written once in a micro-batch, as each look into the state is a message to
+    the engine. It goes with the last page or with the timer, so only open
+    documents have any.
     """
 
     def __init__(self, patience_ms: int) -> None:
@@ -49,9 +53,13 @@ class PageTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "page bigint", "there boolean")
+        self.seen = handle.getMapState("blocks", "block bigint", "bits binary")
         self.count = handle.getValueState("count", "n bigint, deadline bigint")
 
+    def _block(self, number: int | None) -> bytearray:
+        stored = self.seen.getValue((number,)) if self.seen.containsKey((number,)) else None
+        return bytearray(_BLOCK_PAGES // 8 if stored is None else stored[0])
+
     def _wait_from(self, n: int, now: int) -> None:
         """Move the deadline; one timer at a time."""
         if self.count.exists() and self.count.get()[1] is not None:
@@ -69,15 +77,23 @@ class PageTracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         session, doc = key
         n = self.count.get()[0] if self.count.exists() else 0
-        total = None
+        total, blocks, changed = None, {}, set()
         for row in rows:
             total = row.page_count
-            if self.seen.containsKey((row.page,)):
+            number, place = (None, 0) if row.page is None else divmod(row.page, _BLOCK_PAGES)
+            if number not in blocks:
+                blocks[number] = self._block(number)
+            bit = 1 << place % 8
+            if blocks[number][place // 8] & bit:
                 yield Row(session_id=session, doc_name=doc, kind="again", page=row.page, text=None)
                 continue
-            self.seen.updateValue((row.page,), (True,))
+            blocks[number][place // 8] |= bit
+            changed.add(number)
             n += 1
             yield Row(session_id=session, doc_name=doc, kind="page", page=row.page, text=row.text)
+        if n < total:
+            for number in changed:
+                self.seen.updateValue((number,), (bytes(blocks[number]),))
         if n >= total:
             self._close()
             yield Row(session_id=session, doc_name=doc, kind="complete", page=None, text=None)
