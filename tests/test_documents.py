@@ -336,3 +336,11 @@ def test_token_starts_in_bytes_are_those_of_the_words():
         first = len(text) - sum(map(len, words))
         want = np.cumsum([len(text[:first].encode()), *(len(w.encode()) for w in words)])
         assert chunks._token_offsets(text.encode()).tolist() == want.tolist()
+
+
+def test_registration_compares_hashes_once(spark):
+    rng = random.Random(9)
+    rows = [(i, f"f{i % 5}.pdf", f"h{i}", signed(hi >> 64), signed(hi & (1 << 64) - 1)) for i, hi in enumerate(rng.getrandbits(128) for _ in range(20))]
+    registry = v.register(spark.createDataFrame(rows, "reg bigint, filename string, file_hash string, hi bigint, lo bigint"))
+    assert registry.count() == 20
+    assert "MapInArrow" not in registry._jdf.queryExecution().executedPlan().toString()
