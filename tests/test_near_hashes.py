@@ -5,7 +5,7 @@ import random
 import pytest
 
 from trawl.functions import fixed_values as fv
-from trawl.operators import near_hashes as nh
+from trawl.operators import near_hashes as nh, versions as v
 
 
 def signed(v):
@@ -56,3 +56,46 @@ def test_hashes_of_crowded_keys_are_dealt_once_a_band(spark):
     """More than 4096 hashes of one key: eleven rows each are shuffled, not a thousand."""
     df = spark.range(5000).selectExpr("'' AS session_id", "0L AS hi", "id AS lo")
     assert nh._dealt(df, fv.MAX_HAMMING, nh.HOT_BAND).count() == 11 * 5000
+
+
+def documents(hashes):
+    return [(i, signed(h >> 64), signed(h & (1 << 64) - 1)) for i, h in hashes]
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 6])
+def test_classes_and_links_equal_a_loop(spark, hot):
+    """Two crowds, a chain, copies and lone hashes: rows by document equal what all pairs tell."""
+    chain = [((1 << 9 * i) - 1) << 7 | 5 << 100 for i in range(1, 8)]  # nine bits from one to the next
+    hashes = [*clustered(60, 4), *clustered(25, 5), *chain, *clustered(60, 4)[:9], *(random.Random(6).getrandbits(128) for _ in range(5))]
+    rows = list(enumerate(hashes, 100))
+    random.Random(7).shuffle(rows)
+    got = {
+        r.doc_id: (r.class_id, r.n_copies, r.n_links, r.distance, r.similarity)
+        for r in v.near_duplicate_documents(spark.createDataFrame(documents(rows), "doc_id bigint, hi bigint, lo bigint"), hot=hot).collect()
+    }
+    want = {}
+    for i, h in rows:
+        reached, new = {i}, [h]
+        while new:
+            at = new.pop()
+            found = [(j, o) for j, o in rows if j not in reached and (at ^ o).bit_count() <= 10]
+            reached |= {j for j, _ in found}
+            new += [o for _, o in found]
+        near = [d for d in ((h ^ o).bit_count() for _, o in rows) if 0 < d <= 10]
+        least = min(near) if near else None
+        want[i] = min(reached), sum(o == h for _, o in rows) - 1, len(near), least, None if least is None else 1 - least / 128
+    assert got == want and {w[0] for w in want.values()} >= {100, 160, 185} and max(w[2] for w in want.values()) > 20
+
+
+def test_near_duplicate_query_rows_grow_with_documents(spark):
+    """A crowd of 400 near hashes: a row for each document, not one for each of its 79,800 pairs."""
+    rows = documents(enumerate([1 << a | 1 << 64 + b for a in range(20) for b in range(20)]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, hi bigint, lo bigint")
+    told = v.near_duplicate_documents(docs).collect()
+    assert len(told) == 400 and {(r.class_id, r.n_links, r.distance) for r in told} == {(0, 399, 2)}
+    assert v.near_duplicate_pairs(docs).count() == 400 * 399 // 2
+
+
+def test_links_inside_a_task_give_a_row_for_each_hash(spark):
+    rows = spark.range(600).selectExpr("'' AS session_id", "0L AS hi", "1L << cast(id % 25 AS int) | 1L << cast(25 + id / 25 AS int) AS lo", "id AS node", "1L AS n_docs")
+    assert nh.close_links(rows, fv.MAX_HAMMING).count() <= 11 * 600
