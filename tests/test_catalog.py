@@ -78,6 +78,27 @@ def test_ask_scopes_cache_and_errors(spark):
         assert set(prompts) == {1, 2, 3} and "alpha?" in prompts[1] and "[1] a.pdf:1" in prompts[1]
 
 
+def test_ask_reads_chunks_for_scopes_that_are_there(spark):
+    """Twice for whole sessions or for named documents: once for terms and vectors, once for the picks. Both kinds take one more each."""
+    rows = [("s", f"k{i}", f"{i}.pdf", 1, 0, "alpha beta", [1.0, float(i)], 1.0) for i in range(20)]
+    names = "session_id string, chunk_key string, doc_name string, page bigint, chunk_id bigint, text string, vec array<double>, upload_timestamp double"
+    plain = spark.createDataFrame(rows, names)
+    cache = spark.createDataFrame([], CACHE)
+    for selected, reads in (([None], 2), (['["1.pdf","2.pdf"]'], 2), ([None, "3.pdf"], 4)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def read(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        asked = [(i, "alpha?", "s", ["x"], chosen, [1.0, 0.0]) for i, chosen in enumerate(selected)]
+        questions = spark.createDataFrame(asked, "query_id bigint, query_text string, session_id string, docs array<string>, selected string, vec array<double>")
+        got = steps.ask(questions, plain.mapInArrow(read, plain.schema), cache, 86400.0).context
+        assert {r.query_id for r in got.collect()} == set(range(len(selected)))
+        assert seen.value <= reads * len(rows)
+
+
 def test_evaluate_counts_missing_answers(spark):
     cases = spark.createDataFrame([("q1", ["Tải", "x"]), ("q2", ["zzz"]), ("q3", ["y"])], "q string, expected array<string>")
     answers = spark.createDataFrame([("q1", "bấm TẢI về", 0.9, 10.0), ("q2", "no", 0.1, 30.0)], "q string, answer string, confidence double, latency_ms double")

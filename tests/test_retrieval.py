@@ -176,6 +176,41 @@ def test_term_rows_of_chunks_are_not_shuffled(spark, corpus, monkeypatch):
     assert got == gains(bm25.sparse_sides(questions, pool, postings=bm25.chunk_terms(pool))[1])
 
 
+def test_terms_counted_in_batches_equal_the_columns(spark):
+    """Letters, digits and case of Latin-1 as the columns tell them, other scripts by the columns, wrong bytes and NULL included."""
+    texts = ["", " ", "a1b 22B,b\xa0É\u00c7 é,É", "ªµº ß² ×÷ÿ Þþ", "İstanbul iİ", "ΑΣ ας 日本 ab", "e\u0301x", "x_y-z 007 ٣4", "ab cd" * 700, "Ab aB", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_key bigint, text string")
+    rows = rows.unionByName(spark.sql("SELECT 50L AS chunk_key, cast(X'61C328E9' AS string) AS text"))
+    split = rows.select("chunk_key", bm25.tokenize_terms(F.col("text")).alias("t")).collect()
+    want = {r.chunk_key: (len(r.t), sorted((t, r.t.count(t)) for t in set(r.t))) for r in split}
+    lists = bm25.chunk_term_lists(rows, wanted=pa.array(["ab", "é"])).collect()
+    assert {r.chunk_key: (r.len, sorted(map(tuple, r.found))) for r in lists} == want and len(want[8][1]) == 3
+    for r in lists:
+        assert {p.term for p in r.found} >= {p.term for p in r.asked} >= {p.term for p in r.found} & {"ab", "é"}
+    assert [[tuple(p) for p in r.asked] for r in lists if r.chunk_key in (2, 9)] == [[("é", 2)], [("ab", 2)]]
+
+
+def test_rows_of_the_scorer_are_not_shuffled_for_their_terms(spark, corpus, monkeypatch):
+    """Gains are put beside a chunk's vector where it lies, and equal those of a join by key, also for repeated and NULL keys."""
+    chunks, questions = frames(spark, corpus)
+    odd = chunks.unionByName(chunks.filter("chunk_key < 9")).unionByName(chunks.filter("chunk_key < 5").withColumn("chunk_key", F.lit(None).cast("bigint")))
+    scopes = spark.createDataFrame(SCOPES, "scope string, doc_name string")
+    row = lambda r: (r.scope, r.chunk_key, tuple(r.vec), tuple(sorted(round(g, 12) for g in r.gains or [])))
+    for rows, plain in ((chunks, True), (odd, False)):
+        pool = bm25.stage_table(retrieve.scope_chunks(rows, scopes).select("scope", "chunk_key", "text", "vec"))
+        lists = bm25.stage_table(bm25.chunk_term_lists(pool, keep=["vec"], wanted=bm25.asked_terms(questions)))
+        _, ready = bm25.scored_sides(questions, lists)
+        if plain:
+            plan = ready._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+        by = ["scope", "chunk_key"]
+        want = sorted(map(row, pool.join(bm25.sparse_sides(questions, pool)[1], by, "left").collect()), key=repr)
+        assert sorted(map(row, ready.collect()), key=repr) == want
+        monkeypatch.setattr(ranking, "TERMS_IN_TASKS", 2)
+        assert sorted(map(row, bm25.scored_sides(questions, lists)[1].collect()), key=repr) == want
+        monkeypatch.undo()
+
+
 def test_scorer_memory_stays_small():
     """The scorer of a task holds small matrices, however many questions and chunks meet."""
     rng = np.random.default_rng(2)
