@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from __spark_entry__ import queries
 from trawl.functions import fixed_values as fv
 from trawl.operators import near_hashes as nh, versions as v
 
@@ -99,3 +100,25 @@ def test_near_duplicate_query_rows_grow_with_documents(spark):
 def test_links_inside_a_task_give_a_row_for_each_hash(spark):
     rows = spark.range(600).selectExpr("'' AS session_id", "0L AS hi", "1L << cast(id % 25 AS int) | 1L << cast(25 + id / 25 AS int) AS lo", "id AS node", "1L AS n_docs")
     assert nh.close_links(rows, fv.MAX_HAMMING).count() <= 11 * 600
+
+
+def test_near_duplicate_pairs_query_gives_a_row_for_each_pair(spark, tmp_path):
+    """Texts that differ in a few words, copies too: the query names every close pair of hashes, with its distance and documents."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if rng.random() > 0.01 else rng.choice(words) for w in words) for _ in range(30)]
+    texts += [texts[0], texts[0], texts[1], *(" ".join(rng.choices(words, k=50)) for _ in range(5))]
+    spark.createDataFrame(list(enumerate(texts, 100)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first, copies = {}, {}
+    for r in sorted(v.simhash128_rows(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("doc_id", "hi", "lo").collect()):
+        h = r.hi % (1 << 64) << 64 | r.lo % (1 << 64)
+        first.setdefault(h, r.doc_id)
+        copies[h] = copies.get(h, 0) + 1
+    want = set()
+    for g in first:
+        for h in first:
+            d = (g ^ h).bit_count()
+            if first[g] < first[h] and d <= 10:
+                want.add((first[g], first[h], copies[g] + copies[h], d, 1 - d / 128))
+    got = [tuple(r) for r in queries()["near_duplicate_pairs"](spark, str(tmp_path)).select("doc_a", "doc_b", "n_docs", "distance", "similarity").collect()]
+    assert len(got) == len(want) > len(texts) and set(got) == want and max(w[2] for w in want) > 3
