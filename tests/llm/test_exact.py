@@ -95,6 +95,44 @@ def test_grid_joins_every_near_pair(spark, width):
     assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.count() == len(want)
 
 
+def broadcast_explodes(df):
+    """Lines of the plan, as it is before anything runs, that explode rows below a broadcast."""
+    found, depths = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        depths = [d for d in depths if d < depth]
+        if depths and "Generate" in line:
+            found.append(line)
+        if "BroadcastExchange" in line:
+            depths.append(depth)
+    return found
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark counts them as the rows before the explode, here far below the limit."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    rows = [(i, " ".join([*base[: i % 50], f"n{i}", *base[i % 50 :]]), "s", "en", 1) for i in range(60)]
+    docs, staged, found = spark.createDataFrame(rows, DOCS), simhash.stage_table, []
+
+    def watched(df):
+        found.extend(broadcast_explodes(df))
+        return staged(df)
+
+    monkeypatch.setattr(simhash, "stage_table", watched)
+    monkeypatch.setattr("trawl.operators.components.stage_table", watched)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
+    try:
+        fps = staged(spark.range(2000).selectExpr("xxhash64(id) AS fp"))
+        found += broadcast_explodes(simhash.linked_fingerprints(fps, 2))
+        assert simhash.near_duplicate_groups(docs).count() == 60
+        assert simhash.one_of_each_group(docs).count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert found == []
+
+
 def test_similar_texts_keep_one_of_each_group(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]

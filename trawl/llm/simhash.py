@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.components import components
 from trawl.llm.memory import release
-from trawl.session import stage_table
+from trawl.session import shuffled, stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -122,7 +122,7 @@ def linked_fingerprints(fingerprints: DataFrame, max_bits: int, width: int = 2)
     keyed = fingerprints.select("fp", F.explode(cells).alias("cell"))
     left, right = keyed.select("cell", F.col("fp").alias("a")), keyed.select("cell", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    met = left.join(right, (left["cell"] == right["cell"]) & near).select("a", "b")
+    met = shuffled(left).join(shuffled(right), (left["cell"] == right["cell"]) & near).select("a", "b")
     return met.distinct()
 
 
@@ -140,11 +140,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, ke
     rows = stage_table(with_fingerprints(hashed, words, text="t", out="fp").select("k", "fp"))
     distinct = stage_table(rows.groupBy("fp").agg(F.min("k").alias("least")))
     found = components(linked_fingerprints(distinct, max_bits, width))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = distinct.join(shuffled(found.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stage_table(rooted)
     grouped = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(grouped, "root").select("fp", "component")
-    return rows.join(named, "fp").select(F.col("k").alias(key), F.col("fp").alias("fingerprint"), "component")
+    return rows.join(shuffled(named), "fp").select(F.col("k").alias(key), F.col("fp").alias("fingerprint"), "component")
 
 
 #: Sampled fingerprints of a text, and shingles in each sample.
@@ -182,7 +182,8 @@ def _shingle_sets(size: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least this Jaccard similarity."""
-    met = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("sb")), "b")
+    ends = [shuffled(sets.select(F.col("t").alias(c), F.col("s").alias(f"s{c}"))) for c in "ab"]
+    met = pairs.join(ends[0], "a").join(ends[1], "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return met.filter(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -245,17 +246,18 @@ def _linked_in_block(similarity: float):
 
 def _links_across(shared: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links that the buckets' members have beside those to their leaders, where members are of different components."""
-    rooted = shared.filter("n > 2 and not leads").join(found.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    rooted = shared.filter("n > 2 and not leads").join(shuffled(found.withColumnRenamed("node", "t")), "t", "left").withColumn("root", F.coalesce("root", "t"))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
     packed = F.arrow_udf(lambda batch: pa.array([np.asarray(s.values.to_numpy(zero_copy_only=False), np.int64).tobytes() for s in batch], pa.binary()), "binary")
     members = stage_table(rooted.join(open_, "bucket").join(sets.select("t", F.size("s").alias("m")), "t").select("bucket", "t", "root", "m"))
     blocks = members.groupBy("bucket").agg(
         F.greatest(F.ceil(F.count("*") / _BLOCK_MEMBERS), F.ceil(F.sum(F.col("m") * 8) / _BLOCK_BYTES)).cast("int").alias("blocks")
-    )
-    placed = members.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    ).filter("blocks > 1")  # few, as each of those is full
+    placed = members.join(F.broadcast(blocks), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = placed.withColumn("other", other).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "t", "root", "block")
-    full = paired.join(sets.select("t", packed("s").alias("s")), "t")
+    full = paired.join(shuffled(sets.select("t", packed("s").alias("s"))), "t")
     return full.groupBy("bucket", "i", "j").applyInPandas(_linked_in_block(similarity), "a binary, b binary")
 
 
@@ -276,16 +278,16 @@ def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8, max
     signed = stage_table(hashed.select("t", "f").groupBy("t").agg(F.first("f").alias("f")))
     shared = signed.select("t", F.posexplode("f").alias("view", "fp")).select("t", F.xxhash64("view", "fp").alias("bucket"))
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stage_table(shared.join(sizes, "bucket"))
+    shared = stage_table(shared.join(shuffled(sizes), "bucket"))
     whole = stage_table(signed.select("t", F.get("f", F.lit(0)).alias("fp")).groupBy("fp").agg(F.min("t").alias("t")))
     linked = linked_fingerprints(whole, max_bits)
     ends = whole.select(F.col("fp").alias("a"), F.col("t").alias("ta")), whole.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
-    near = stage_table(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
+    near = stage_table(linked.join(shuffled(ends[0]), "a").join(shuffled(ends[1]), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
     involved = shared.select("t").union(near.select("a")).union(near.select("b")).distinct()
-    sets = texts.dropDuplicates(["t"]).join(involved, "t", "left_semi").select("t", _shingle_sets(words)("text").alias("s"))
+    sets = texts.dropDuplicates(["t"]).join(shuffled(involved), "t", "left_semi").select("t", _shingle_sets(words)("text").alias("s"))
     sets = stage_table(sets)
     central = shared.groupBy("t").agg(F.sum("n").alias("central"))
-    weighed = shared.join(central, "t")
+    weighed = shared.join(shuffled(central), "t")
     lead = weighed.groupBy("bucket").agg(F.max_by("t", F.struct("central", "t")).alias("a"))
     shared = stage_table(shared.join(lead, "bucket").withColumn("leads", F.col("a") == F.col("t")))
     pairs = shared.filter("not leads").select("a", F.col("t").alias("b")).union(near).distinct()
@@ -305,11 +307,11 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
     rows = stage_table(docs.select(F.col(f"`{key}`").alias("k"), digest.alias("t")).groupBy("k", "t").agg(F.count("*").alias("n")))
     groups = similar_texts(docs.select(digest.alias("t"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), words, similarity, max_bits)
-    rooted = rows.join(groups.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    rooted = rows.join(shuffled(groups.withColumnRenamed("node", "t")), "t", "left").withColumn("root", F.coalesce("root", "t"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t", "n")).alias("least"))
     kept = stage_table(kept.select(F.col("least.k").alias("_k"), F.col("least.t").alias("_t"), F.col("least.n").alias("_n")))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no column's name meets those used here
     rows = docs.select(whole.alias("row"), F.col(f"`{key}`").alias("key"), digest.alias("digest"))
-    staying = rows.join(kept, F.col("key").eqNullSafe(F.col("_k")) & (F.col("digest") == F.col("_t")))
+    staying = rows.join(shuffled(kept), F.col("key").eqNullSafe(F.col("_k")) & (F.col("digest") == F.col("_t")))
     single, repeated = staying.filter("_n = 1"), staying.filter("_n > 1").dropDuplicates(["_k", "_t"])
     return single.union(repeated).select("row.*")
