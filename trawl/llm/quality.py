@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.memory import release
 from trawl.llm.tokens import slices
-from trawl.session import stage_table
+from trawl.session import shuffled, stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -210,7 +210,7 @@ def fit(
     order = _order(seed, key)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("_y"))
     ids = docs.select(key).filter(F.col(key).isNotNull()).distinct()
-    marked = stage_table(ids.join(known, key, "left").select(key, (F.col("_y") > 0.5).cast("double").alias("_y")))
+    marked = stage_table(ids.join(shuffled(known), key, "left").select(key, (F.col("_y") > 0.5).cast("double").alias("_y")))
     sizes = {r["_y"]: r["count"] for r in marked.filter("_y is not null").groupBy("_y").count().collect()}
     quotas = class_quotas(sizes, max_labelled)
     labelled = marked.limit(0)

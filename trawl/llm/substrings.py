@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.memory import release
-from trawl.session import stage_table
+from trawl.session import shuffled, stage_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -417,8 +417,8 @@ def repeated_spans(texts: DataFrame, length: int = 200, anchor: int = 48, keep_a
     """
     anchors = stage_table(texts.select("t", "k").mapInArrow(_anchor_rows(length, anchor), "k binary, h bigint, n int"))
     again = anchors.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    per_text = anchors.select("k", "h").join(again, "h").groupBy("k").agg(F.collect_set("h").alias("shared"))
-    beside = texts.join(per_text, "k", "left").withColumn("candidate", F.col("shared").isNotNull())
+    per_text = anchors.select("k", "h").join(shuffled(again), "h").groupBy("k").agg(F.collect_set("h").alias("shared"))
+    beside = texts.join(shuffled(per_text), "k", "left").withColumn("candidate", F.col("shared").isNotNull())
     if not keep_all:
         beside = beside.withColumn("t", F.when(F.col("candidate"), F.col("t")))
     beside = stage_table(beside)
@@ -435,7 +435,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, anchor: int = 48, keep_a
     if hot:
         repeated = repeated.union(_counted(contexts.join(many, "h", "left_semi"), length))
     places = shared.filter("k is not null").groupBy("k", "first").agg(F.first("c").alias("c"))
-    return beside.drop("shared"), places.join(repeated, "c").select("k", "first", "runs")
+    return beside.drop("shared"), places.join(shuffled(repeated), "c").select("k", "first", "runs")
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
@@ -452,7 +452,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     grams = stage_table(distinct.mapInArrow(strings, "c binary, start int, g binary, n bigint"))
     often = grams.groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g")
     runs = F.flatten(F.transform(F.array_sort(F.collect_set("start")), lambda i: F.array(i, F.lit(1))))
-    return grams.join(often, "g").groupBy("c").agg(runs.alias("runs"))
+    return grams.join(shuffled(often), "g").groupBy("c").agg(runs.alias("runs"))
 
 
 def without_repeats(docs: DataFrame, length: int = 200, anchor: int = 48, text: str = "text", output: str = "bytes") -> DataFrame:
@@ -477,7 +477,7 @@ def without_repeats(docs: DataFrame, length: int = 200, anchor: int = 48, text:
     )
     beside, spans = repeated_spans(rows, length, anchor, keep_all=not digest)
     per_text = spans.groupBy("k").agg(F.collect_list(F.struct("first", "runs")).alias("_spans"))
-    touched = beside.filter("candidate").join(per_text, "k", "left")
+    touched = beside.filter("candidate").join(shuffled(per_text), "k", "left")
     own = [c for c in beside.columns if c not in ("k", "t", "sha", "candidate")]
     hit = touched.filter("_spans is not null").select(*own, F.col("t").alias("_text"), "_spans")
     schema = ", ".join(f"`{c}` {hit.schema[c].dataType.simpleString()}" for c in own)
