@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Row
 
 from trawl.plans import steps
+from trawl.session import staged
 from trawl.sources.registry_store import RegistryStore
 from trawl.streaming.documents import DocumentStream, PageTracker
 
@@ -159,3 +160,20 @@ def test_state_is_read_by_blocks_of_pages_not_by_page():
     assert second == [*(("again", p) for p in numbers[10_000:10_100]), ("complete", None)]
     assert sum(k == "page" for part in kinds for k, _ in part) == len(numbers)
     assert not handle.kept and not handle.timers and handle.looks < 80
+
+
+def test_texts_stay_in_the_log_and_the_chunks_only(spark, tmp_path):
+    """Cleaned pages and chunks without vectors are gone after the micro-batch that made them."""
+    texts, files = made(3)
+    manifest = spark.createDataFrame([], MANIFEST)
+    cache = spark.createDataFrame([], "k string, dim int, vec array<float>")
+    store = RegistryStore(spark, f"{tmp_path}/registry", buckets=2, payload=PAYLOAD)
+    stream = DocumentStream(spark, f"{tmp_path}/tables", spark.createDataFrame(files, FILE), store, manifest, cache, embed, size=60, overlap=10)
+    spark.createDataFrame([(*k, t) for k, t in texts.items()], PAGE).coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = staged(spark)
+    stream.start(spark.readStream.schema(PAGE).parquet(f"{tmp_path}/in"), f"{tmp_path}/checkpoint").awaitTermination(100)
+    assert stream.tables().manifest.count() == len(files)
+    left = {f.relative_to(f"{tmp_path}/tables").parts[0] for f in (tmp_path / "tables").rglob("*.parquet")}
+    assert left == {"events", "arrivals", "done", "results", "chunks", "cache", "manifest"}
+    kept = [spark.read.parquet(n).columns for n in staged(spark) if n not in before]
+    assert not [c for c in kept if "text" in c]

@@ -9,7 +9,8 @@ the tables hold the same rows as one `ingest` over all pages, however the pages
 fall into micro-batches.
 
 Every table lies below one folder as ``name/batch=n``, and a repeated micro-batch
-replaces its own rows.
+replaces its own rows. Cleaned pages and chunks without vectors are tables of a
+micro-batch that go as soon as its later steps no longer read them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from trawl.operators import embedding as em, sessions as se, versions as v
 from trawl.operators.chunks import chunk_pages
 from trawl.operators.pages import clean_pages
 from trawl.plans.steps import Ingested, document_uploads
-from trawl.session import stage, stage_table, use_rocksdb
+from trawl.session import release_shuffles, stage, use_rocksdb
 from trawl.sources.registry_store import RegistryStore
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -151,9 +152,18 @@ class DocumentStream:
         return se.split_new_documents(self.files, self.manifest)[0]
 
     def _write(self, rows: DataFrame, name: str, batch: int, by: str | None = None) -> None:
-        writer = rows.write.mode("overwrite")
+        writer = rows.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}/batch={batch}")
 
+    def _written(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
+        """The rows as a table that `_drop` deletes."""
+        self._write(rows, name, batch)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}/batch={batch}")
+
+    def _drop(self, name: str, batch: int) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/batch={batch}")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def _read(self, name: str, schema: str | StructType) -> DataFrame:
         typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -187,20 +197,27 @@ class DocumentStream:
         arrivals = self._read("arrivals", "session_id string, doc_name string").join(until, DOC).filter("batch <= complete_in")
         batches = [r.batch for r in arrivals.select("batch").distinct().collect()]  # at most one number a micro-batch
         pages = log.filter(F.col("batch").isin(batches) & (F.col("kind") == "page")).join(until, DOC).filter("batch <= complete_in")
-        cleaned = stage_table(clean_pages(pages.select(*DOC, "page", "text")))
+        cleaned = self._written(clean_pages(pages.select(*DOC, "page", "text")), "cleaned", batch)
+        numbers = self._written(cleaned.select(*DOC, "page"), "numbers", batch)
         payload = ["upload_timestamp", "page_count"]
         uploads = document_uploads(cleaned, ready.drop("page_count"))
         done = self.registry.register(uploads.select("session_id", "reg", "filename", "file_hash", "content_hash", "hi", "lo", *payload), batch + 1)
         results = stage(done.results.join(ready.select("reg", "session_id", "upload_timestamp"), "reg"))
         self._write(results.select("session_id", "reg", "filename", "result", "message"), "results", batch)
-        self._write(chunk_pages(cleaned, self.size, self.overlap).join(ready.select(*DOC, "upload_timestamp"), DOC), "pieces", batch)
-        pieces = self.spark.read.parquet(f"{self.path}/pieces/batch={batch}")
+        cut = chunk_pages(cleaned, self.size, self.overlap).join(ready.select(*DOC, "upload_timestamp"), DOC)
+        pieces = self._written(cut, "pieces", batch)
+        self._drop("cleaned", batch)
+        release_shuffles(self.spark)
         known = self._cache(batch)
         vectors, grown = em.embed_column(pieces, known, self.embed)
+        release_shuffles(self.spark)
         self._write(vectors, "chunks", batch)
+        release_shuffles(self.spark)
         self._write(grown.join(known.select("k"), "k", "left_anti"), "cache", batch)
         state = results.withColumns({"status": F.lit(None).cast("string"), "version": F.lit(None).cast("bigint")})
-        self._write(se.doc_summary(cleaned, pieces, state), "manifest", batch)
+        self._write(se.doc_summary(numbers, pieces, state), "manifest", batch)
+        self._drop("pieces", batch)
+        self._drop("numbers", batch)
 
     def _cache(self, before: int) -> DataFrame:
         made = self._read("cache", "k string, dim int, vec array<float>").filter(F.col("batch") < before)
